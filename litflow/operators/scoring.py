@@ -156,26 +156,37 @@ def same_author(a: Column, b_norm: Column, b_last: Column, b_first: Column) -> C
     return (a["norm"] == b_norm) | ((a["last"] == b_last) & first_ok)
 
 
-def matched_authors(authors: Column, followed: Sequence[str]) -> Column:
-    """The paper's authors that match any followed name."""
+def parsed_authors(authors: Column) -> Column:
+    """ARRAY<STRUCT<raw, norm, last, first>>; names are taken apart once per paper."""
+    return F.transform(
+        F.transform(authors, lambda a: F.struct(a.alias("raw"), author_parts_column(a).alias("p"))),
+        lambda x: F.struct(
+            x["raw"].alias("raw"), x["p"]["norm"].alias("norm"), x["p"]["last"].alias("last"),
+            x["p"]["first"].alias("first"),
+        ),
+    )
+
+
+def matched_authors(parsed: Column, followed: Sequence[str]) -> Column:
+    """The paper's authors (from ``parsed_authors``) that match any followed name."""
     if not followed:
         return F.array().cast("array<string>")
     fixed = [author_parts(f) for f in followed]
+    lasts = sorted({la for _, la, _ in fixed})
 
-    def hit(author: Column) -> Column:
-        parts = author_parts_column(author)
-        tests = [same_author(parts, F.lit(n), F.lit(la), F.lit(fi)) for n, la, fi in fixed]
-        return reduce(lambda x, y: x | y, tests)
+    def hit(a: Column) -> Column:
+        tests = [same_author(a, F.lit(n), F.lit(la), F.lit(fi)) for n, la, fi in fixed]
+        return a["last"].isin(*lasts) & reduce(lambda x, y: x | y, tests)
 
-    return F.filter(authors, hit)
+    return F.transform(F.filter(parsed, hit), lambda a: a["raw"])
 
 
-def author_score(authors: Column, matched: Column, n_followed: int) -> Column:
+def author_score(n_authors: Column, n_matched: Column, n_followed: int) -> Column:
     if n_followed == 0:
         return F.lit(0.5)
-    n = F.size(matched)
-    return F.when((F.coalesce(F.size(authors), F.lit(0)) <= 0) | (n <= 0), F.lit(0.0)).otherwise(
-        F.least(F.lit(1.0), F.lit(0.7) + n * F.lit(0.1))
+    none = (F.coalesce(n_authors, F.lit(0)) <= 0) | (n_matched <= 0)
+    return F.when(none, F.lit(0.0)).otherwise(
+        F.least(F.lit(1.0), F.lit(0.7) + n_matched * F.lit(0.1))
     )
 
 
@@ -250,10 +261,15 @@ _UNSHARED_IDF = math.log(1.5) + 1.0
 PAIR_MAX_FEATURES = 1000
 
 
-def pair_terms(text: str) -> Counter:
-    """Uni- and bigram counts after stop-word removal."""
-    toks = [t for t in _PAIR_TOKEN.findall(text.lower()) if t not in _TFIDF_STOP_SET]
-    return Counter(toks) + Counter(f"{a} {b}" for a, b in zip(toks, toks[1:]))
+def pair_tokens(text: str) -> list[str]:
+    return [t for t in _PAIR_TOKEN.findall(text.lower()) if t not in _TFIDF_STOP_SET]
+
+
+def pair_terms(toks: list[str]) -> Counter:
+    """Uni- and bigram counts of tokens without stop words."""
+    counts = Counter(toks)
+    counts.update([f"{a} {b}" for a, b in zip(toks, toks[1:])])
+    return counts
 
 
 _TFIDF_STOP_SET = frozenset(tx.TFIDF_STOP)
@@ -293,7 +309,8 @@ def interest_profile_text(i: Interest) -> str:
 def pair_tfidf_udf(interests: Sequence[Interest]):
     """Arrow UDF from paper text to its TF-IDF score with every interest of the batch."""
     profiles = [interest_profile_text(i) for i in interests]
-    profile_terms = [pair_terms(p) for p in profiles]
+    profile_terms = [pair_terms(pair_tokens(p)) for p in profiles]
+    known = frozenset(t for q in profile_terms for t in q)
 
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -301,7 +318,12 @@ def pair_tfidf_udf(interests: Sequence[Interest]):
             rows = []
             for t in texts:
                 blank = not (t or "").strip()
-                counts = Counter() if blank else pair_terms(t)
+                toks = [] if blank else pair_tokens(t)
+                if toks and known.isdisjoint(toks):
+                    # no shared word, hence no shared bigram: every cosine is zero
+                    rows.append([0.0 if p.strip() else 0.5 for p in profiles])
+                    continue
+                counts = pair_terms(toks)
                 rows.append([
                     0.5 if blank or not p.strip() else pair_tfidf(counts, q)
                     for p, q in zip(profiles, profile_terms)
@@ -345,7 +367,9 @@ register_scorer(
 register_scorer(
     "author",
     lambda p, i, c: author_score(
-        p.row("authors"), matched_authors(p.row("authors"), i.followed_authors), len(i.followed_authors)
+        F.size(p.row("_authors")),
+        F.size(matched_authors(p.row("_authors"), i.followed_authors)),
+        len(i.followed_authors),
     ),
 )
 register_scorer("novelty", lambda p, i, c: novelty_score(p.text))
@@ -383,7 +407,10 @@ def _score_batch(
     keep: Sequence[str], custom_cosine: Callable | None,
 ) -> DataFrame:
     active = cfg.active
-    df = papers.withColumn("_text", tx.joined_text(F.col("title"), F.col("abstract")))
+    df = papers.withColumns({
+        "_text": tx.joined_text(F.col("title"), F.col("abstract")),
+        "_authors": parsed_authors(F.col("authors")),
+    })
     if "semantic" in active:
         if custom_cosine is not None:
             df = df.withColumn("_cosines", custom_cosine(batch))
@@ -401,8 +428,10 @@ def _score_batch(
         df = df.withColumn("_tfidf", pair_tfidf_udf(batch)(raw))
     shared = [n for n in active if n in _PAPER_ONLY]
     view = PaperView(F.col("_text"), F.col, as_of, 0)
-    for n in shared:
-        df = df.withColumn(f"_{n}", F.coalesce(SCORERS[n](view, batch[0], cfg), F.lit(0.5)))
+    if shared:
+        df = df.withColumns({
+            f"_{n}": F.coalesce(SCORERS[n](view, batch[0], cfg), F.lit(0.5)) for n in shared
+        })
 
     structs = []
     for slot, i in enumerate(batch):
@@ -416,7 +445,7 @@ def _score_batch(
             F.lit(i.interest_id).alias("interest_id"),
             F.lit(i.ord).alias("interest_ord"),
             matched_phrases(F.col("_text"), i.keywords).alias("matched_keywords"),
-            matched_authors(F.col("authors"), i.followed_authors).alias("matched_authors"),
+            matched_authors(F.col("_authors"), i.followed_authors).alias("matched_authors"),
             *[scores[n].cast("double").alias(f"{n}_score") for n in active],
         ))
     scored = df.select(*keep, F.inline(F.array(*structs)))

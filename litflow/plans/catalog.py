@@ -1,4 +1,8 @@
 """All registered queries."""
 
-from litflow.plans import catalog_scores  # noqa: F401
+from litflow.plans import (  # noqa: F401
+    catalog_linkage,
+    catalog_lists,
+    catalog_scores,
+)
 from litflow.plans.registry import ORACLES, QUERIES  # noqa: F401

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from litflow.operators.scoring import Interest
+from litflow.session import spread_small
 
 AS_OF = "2024-01-31 00:00:00"
 ORDERS_AS_OF = "2001-08-01 00:00:00"
@@ -25,7 +26,7 @@ def as_of() -> Column:
 
 def papers(spark: SparkSession, sf_dir: str, authors: bool = False) -> DataFrame:
     """``documents`` as papers. Authors cost two joins, so they are added only on request."""
-    d = table(spark, sf_dir, "documents")
+    d = spread_small(table(spark, sf_dir, "documents"), "doc_id")
     k = F.col("doc_id")
     pub = as_of() - F.make_dt_interval((k % 800).cast("int"))
     p = d.select(

@@ -15,6 +15,7 @@ def local_session(app: str = "litflow", cores: str = "*", partitions: int = 8) -
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "12g")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .getOrCreate()
@@ -45,3 +46,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 def row_count_within(df: DataFrame, limit: int) -> bool:
     """True when ``df`` has at most ``limit`` rows; reads no more than ``limit + 1`` of them."""
     return df.limit(limit + 1).count() <= limit
+
+
+def spread_small(df: DataFrame, key: str) -> DataFrame:
+    """Hash-spreads an input that has fewer splits than the cluster has cores.
+
+    Large inputs already have more splits than cores and pass through without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= 2 * cores:
+        return df
+    return df.repartition(cores, key)
