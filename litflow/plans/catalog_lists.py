@@ -229,8 +229,8 @@ def list_stats(spark, sf_dir):
 
 
 @register("a8_top_tags", sql(LISTS_SQL, body="""
-SELECT list_id, tag, n, rank FROM (SELECT list_id, tag, count(*) AS n, row_number() OVER (PARTITION BY list_id ORDER BY count(*) DESC, tag) AS rank
-  FROM (SELECT list_id, unnest(tags) AS tag FROM items) GROUP BY ALL) WHERE rank <= 10"""))
+SELECT list_id, tag, n, rank FROM (SELECT *, row_number() OVER (PARTITION BY list_id ORDER BY n DESC, tag) AS rank
+  FROM (SELECT list_id, tag, count(*) AS n FROM (SELECT list_id, unnest(tags) AS tag FROM items) GROUP BY ALL)) WHERE rank <= 10"""))
 def top_tags(spark, sf_dir):
     return reading.top_tags(items(spark, sf_dir)).select("list_id", "tag", F.col("count").alias("n"), "rank")
 
@@ -245,8 +245,8 @@ def global_stats(spark, sf_dir):
 
 
 @register("a9_global_tags", sql(LISTS_SQL, body="""
-SELECT tag, CAST(sum(n) AS BIGINT) AS n FROM (SELECT list_id, tag, count(*) AS n, row_number() OVER (PARTITION BY list_id ORDER BY count(*) DESC, tag) AS rank
-  FROM (SELECT list_id, unnest(tags) AS tag FROM items WHERE NOT is_archived) GROUP BY ALL) WHERE rank <= 10 GROUP BY tag ORDER BY n DESC, tag LIMIT 20"""))
+SELECT tag, CAST(sum(n) AS BIGINT) AS n FROM (SELECT *, row_number() OVER (PARTITION BY list_id ORDER BY n DESC, tag) AS rank
+  FROM (SELECT list_id, tag, count(*) AS n FROM (SELECT list_id, unnest(tags) AS tag FROM items WHERE NOT is_archived) GROUP BY ALL)) WHERE rank <= 10 GROUP BY tag ORDER BY n DESC, tag LIMIT 20"""))
 def global_tags(spark, sf_dir):
     return reading.global_top_tags(items(spark, sf_dir))
 

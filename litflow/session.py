@@ -57,3 +57,10 @@ def spread_small(df: DataFrame, key: str) -> DataFrame:
     if df.rdd.getNumPartitions() >= 2 * cores:
         return df
     return df.repartition(cores, key)
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = 50_000) -> DataFrame:
+    """Broadcast hint when a count proves the size; otherwise the join picks its own strategy."""
+    from pyspark.sql import functions as F
+
+    return F.broadcast(df) if row_count_within(df, max_rows) else df
