@@ -5,6 +5,7 @@ from litflow.plans import (  # noqa: F401
     catalog_linkage,
     catalog_lists,
     catalog_scores,
+    catalog_sources,
     catalog_trends,
 )
 from litflow.plans.registry import ORACLES, QUERIES  # noqa: F401

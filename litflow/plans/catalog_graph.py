@@ -130,10 +130,10 @@ def network(spark, sf_dir):
 
 @register("m6_network_nodes", sql(EDGES_SQL, """
 step AS (SELECT src AS a, dst AS b, 0 AS kind FROM edges UNION ALL SELECT dst, src, 1 FROM edges),
-l1 AS (SELECT b AS id, min((kind, b)) AS at FROM step WHERE a = 7 GROUP BY b),
-l1o AS (SELECT id, row_number() OVER (ORDER BY at) AS i FROM l1),
-l2 AS (SELECT b AS id, min((l.i, kind, b)) AS at FROM step s JOIN l1o l ON l.id = s.a WHERE b <> 7 AND b NOT IN (SELECT id FROM l1) GROUP BY b),
-l2o AS (SELECT id, row_number() OVER (ORDER BY at) AS i FROM l2)""", body="""
+l1 AS (SELECT b AS id, min((kind, b)) AS pos FROM step WHERE a = 7 GROUP BY b),
+l1o AS (SELECT id, row_number() OVER (ORDER BY pos) AS i FROM l1),
+l2 AS (SELECT b AS id, min((l.i, kind, b)) AS pos FROM step s JOIN l1o l ON l.id = s.a WHERE b <> 7 AND b NOT IN (SELECT id FROM l1) GROUP BY b),
+l2o AS (SELECT id, row_number() OVER (ORDER BY pos) AS i FROM l2)""", body="""
 SELECT paper_id, level FROM (SELECT 7 AS paper_id, 0 AS level, 0 AS i UNION ALL SELECT id, 1, i FROM l1o UNION ALL SELECT id, 2, (SELECT count(*) FROM l1o) + i FROM l2o) WHERE i < 150"""))
 def network_nodes(spark, sf_dir):
     n, _ = graph.build_network(edges(spark, sf_dir), 7, depth=2, max_nodes=150)
