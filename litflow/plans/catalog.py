@@ -1,6 +1,7 @@
 """All registered queries."""
 
 from litflow.plans import (  # noqa: F401
+    catalog_digest,
     catalog_graph,
     catalog_linkage,
     catalog_lists,
