@@ -7,6 +7,7 @@ from litflow.plans import (  # noqa: F401
     catalog_lists,
     catalog_scores,
     catalog_sources,
+    catalog_streaming,
     catalog_trends,
 )
 from litflow.plans.registry import ORACLES, QUERIES  # noqa: F401

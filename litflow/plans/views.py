@@ -26,10 +26,14 @@ def as_of() -> Column:
 
 def papers(spark: SparkSession, sf_dir: str, authors: bool = False) -> DataFrame:
     """``documents`` as papers. Authors cost two joins, so they are added only on request."""
-    d = spread_small(table(spark, sf_dir, "documents"), "doc_id")
+    p = paper_columns(spread_small(table(spark, sf_dir, "documents"), "doc_id"))
+    return with_authors(spark, sf_dir, p) if authors else p
+
+
+def paper_columns(d: DataFrame) -> DataFrame:
     k = F.col("doc_id")
     pub = as_of() - F.make_dt_interval((k % 800).cast("int"))
-    p = d.select(
+    return d.select(
         k.alias("paper_id"),
         F.substring_index("text", ".", 1).alias("title"),
         F.col("text").alias("abstract"),
@@ -52,8 +56,9 @@ def papers(spark: SparkSession, sf_dir: str, authors: bool = False) -> DataFrame
         F.col("source").alias("source_feed_id"),
         (as_of() - F.make_dt_interval(F.lit(0), (k % 96).cast("int"))).alias("created_at"),
     )
-    if not authors:
-        return p
+
+
+def with_authors(spark: SparkSession, sf_dir: str, p: DataFrame) -> DataFrame:
     sup = table(spark, sf_dir, "supplier")
     cus = table(spark, sf_dir, "customer")
     n_sup = sup.select(F.count("*")).scalar()
