@@ -10,6 +10,7 @@ from litflow.operators import scoring, tfidf, trends
 from litflow.plans.catalog_scores import _in_list, q
 from litflow.plans.registry import register
 from litflow.plans.views import INTERESTS, PAPERS_SQL, as_of, papers, sql, table
+from litflow.session import cut_lineage
 
 WINDOW = 800  # spans every publication date, so trends read the whole corpus
 EDGE = q(tx.TOKEN_EDGE)
@@ -78,7 +79,11 @@ def members(spark, sf_dir, min_papers=5):
 
 
 def topic_table(spark, sf_dir):
-    return trends.topics(members(spark, sf_dir), line(spark, sf_dir), as_of(), WINDOW)
+    # the timeline feeds the seeds and the momentum, so it is written once
+    p = papers(spark, sf_dir)
+    tl = cut_lineage(trends.keyword_timeline(p, as_of(), WINDOW))
+    found = trends.topic_papers(p, trends.seed_terms(trends.trending_keywords(tl, 3, WINDOW)), 5)
+    return trends.topics(found, tl, as_of(), WINDOW)
 
 
 @register("x10_tokens", sql(PAPERS_SQL, TEXT_SQL, body="SELECT paper_id, word, count(*) AS n FROM (SELECT paper_id, unnest(w) AS word FROM toks) GROUP BY ALL"))
@@ -129,8 +134,6 @@ def fit(spark, sf_dir):
 @register("x13_x15_tfidf_fitted_score", sql(PAPERS_SQL, FIT_SQL, FITTED_SQL, body="""
 SELECT p.paper_id, i.interest_id, round(coalesce(s / (dn.n * i.n), 0e0), 6) AS tfidf_score FROM papers p CROSS JOIN pn i LEFT JOIN dots d ON d.paper_id = p.paper_id AND d.interest_id = i.interest_id LEFT JOIN dn ON dn.paper_id = p.paper_id"""))
 def fitted(spark, sf_dir):
-    from litflow.session import cut_lineage
-
     p = papers(spark, sf_dir)
     model = cut_lineage(tfidf.fit(p, "paper_id", raw_text()))
     return tfidf.score(p, "paper_id", raw_text(), model, INTERESTS).withColumn("tfidf_score", F.round("tfidf_score", 6))

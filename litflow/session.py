@@ -64,3 +64,27 @@ def broadcast_if_small(df: DataFrame, max_rows: int = 50_000) -> DataFrame:
     from pyspark.sql import functions as F
 
     return F.broadcast(df) if row_count_within(df, max_rows) else df
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Sends this package to the Python workers once per application.
+
+    Needed when the application was not submitted with ``--py-files``: workers import the package
+    by name and do not share the driver's search path.
+    """
+    import os
+    import zipfile
+
+    sc = spark.sparkContext
+    if getattr(sc, "_litflow_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    target = os.path.join(tempfile.mkdtemp(prefix="litflow-zip-"), "litflow.zip")
+    with zipfile.ZipFile(target, "w") as z:
+        for folder, _, files in os.walk(root):
+            for f in sorted(files):
+                if f.endswith(".py"):
+                    path = os.path.join(folder, f)
+                    z.write(path, os.path.join("litflow", os.path.relpath(path, root)))
+    sc.addPyFile(target)
+    sc._litflow_shipped = True
