@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from litflow.session import row_count_within
+
 QUERIES_PER_PASS = 2_000
 # Base scores of the citation and author methods.
 DIRECT = (0.8, 1.0)
@@ -24,57 +26,73 @@ def _best(df: DataFrame, k: int, *order) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def _query_chunks(queries: DataFrame, size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Query ids and unit vectors in chunks of at most ``size``, streamed to the driver."""
-    ids: list = []
-    vecs: list = []
-    for r in queries.select("paper_id", "embedding").orderBy("paper_id").toLocalIterator():
-        ids.append(r["paper_id"])
-        vecs.append(r["embedding"])
-        if len(ids) == size:
-            yield np.array(ids), _unit(np.array(vecs, dtype=np.float64))
-            ids, vecs = [], []
-    if ids:
-        yield np.array(ids), _unit(np.array(vecs, dtype=np.float64))
-
-
 def _unit(m: np.ndarray) -> np.ndarray:
     n = np.linalg.norm(m, axis=1, keepdims=True)
     return m / np.where(n == 0, 1.0, n)
 
 
-def nearest(queries: DataFrame, candidates: DataFrame, k: int, chunk: int = QUERIES_PER_PASS) -> DataFrame:
+def matrix(vectors) -> np.ndarray:
+    return np.array(list(vectors), dtype=np.float64)
+
+
+def _best_pairs(ids: np.ndarray, q: np.ndarray, cand: np.ndarray, c: np.ndarray, k: int) -> pd.DataFrame:
+    """For every query the ``k`` best candidates of one block, with all ties at the last place."""
+    if c.shape[1] != q.shape[1]:
+        raise ValueError("vector dimensions must match")
+    sim = c @ q.T
+    sim[cand[:, None] == ids[None, :]] = -np.inf
+    cut = len(cand) - min(k, len(cand))
+    bar = np.partition(sim, cut, axis=0)[cut]
+    rows, cols = np.nonzero((sim >= bar[None, :] - 1e-9) & np.isfinite(sim))
+    return pd.DataFrame({"query_id": ids[cols], "paper_id": cand[rows], "similarity": sim[rows, cols]})
+
+
+def tile_pairs(left: DataFrame, right: DataFrame, left_key: str, right_key: str, rows: int) -> tuple[DataFrame, DataFrame]:
+    """Both sides cut into hash tiles of about ``rows`` rows, each placed with every tile of the other
+    side under the key (``_tl``, ``_tr``): a group is one pair of tiles, whatever the table size.
+    Right-hand columns are prefixed with ``r_``, since both sides may be the same table."""
+    nl = left.select(F.greatest(F.ceil(F.count("*") / rows), F.lit(1))).scalar()
+    nr = right.select(F.greatest(F.ceil(F.count("*") / rows), F.lit(1))).scalar()
+    zero = F.lit(0).cast("long")
+    a = left.withColumn("_tl", F.pmod(F.xxhash64(left_key), nl)).withColumn("_tr", F.explode(F.sequence(zero, nr - 1)))
+    b = right.select(*[F.col(c).alias(f"r_{c}") for c in right.columns])
+    b = b.withColumn("_tr", F.pmod(F.xxhash64(f"r_{right_key}"), nr)).withColumn("_tl", F.explode(F.sequence(zero, nl - 1)))
+    return a, b
+
+
+def nearest(queries: DataFrame, candidates: DataFrame, k: int, few: int = QUERIES_PER_PASS) -> DataFrame:
     """Exact cosine k-NN ``(query_id, paper_id, similarity, rank)``, without the query itself.
 
-    Queries travel in chunks of fixed size; each chunk is one streaming pass over the candidates in
-    which every batch keeps its own best ``k`` per query, so the shuffle sees few rows per batch.
+    At most ``few`` queries travel to the candidates, which are streamed once. More queries meet the
+    candidates tile by tile in separate tasks; nothing passes through the driver. Either way each
+    block keeps its own best ``k`` per query before the final ranking.
     """
     key = candidates.schema["paper_id"].dataType.simpleString()
-    parts = []
-    for ids, q in _query_chunks(queries, chunk):
-
-        def scan(batches: Iterator[pd.DataFrame], ids=ids, q=q) -> Iterator[pd.DataFrame]:
+    schema = f"query_id {key}, paper_id {key}, similarity double"
+    q = queries.select("paper_id", "embedding")
+    c = candidates.select("paper_id", "embedding")
+    if row_count_within(q, few):
+        held = q.collect()
+        if not held:
+            raise ValueError("no query papers")
+        ids = np.array([r["paper_id"] for r in held])
+        vecs = _unit(matrix(r["embedding"] for r in held))
+
+        def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in batches:
-                c = _unit(np.array(pdf["embedding"].tolist(), dtype=np.float64))
-                if c.shape[1] != q.shape[1]:
-                    raise ValueError("vector dimensions must match")
-                cand = pdf["paper_id"].to_numpy()
-                sim = c @ q.T
-                sim[cand[:, None] == ids[None, :]] = -np.inf
-                keep = min(k, len(cand))
-                # every candidate at least as good as the k-th, so ties reach the final ranking
-                bar = np.partition(sim, len(cand) - keep, axis=0)[len(cand) - keep]
-                rows, cols = np.nonzero((sim >= bar[None, :]) & np.isfinite(sim))
-                yield pd.DataFrame({"query_id": ids[cols], "paper_id": cand[rows], "similarity": sim[rows, cols]})
-
-        parts.append(candidates.select("paper_id", "embedding").mapInPandas(
-            scan, f"query_id {key}, paper_id {key}, similarity double"
-        ))
-    if not parts:
-        raise ValueError("no query papers")
-    hits = parts[0]
-    for p in parts[1:]:
-        hits = hits.unionByName(p)
+                if len(pdf):
+                    yield _best_pairs(ids, vecs, pdf["paper_id"].to_numpy(), _unit(matrix(pdf["embedding"])), k)
+
+        hits = c.mapInPandas(scan, schema)
+    else:
+        def meet(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+            if x.empty or y.empty:
+                return pd.DataFrame({"query_id": [], "paper_id": [], "similarity": []})
+            return _best_pairs(
+                x["paper_id"].to_numpy(), _unit(matrix(x["embedding"])), y["r_paper_id"].to_numpy(), _unit(matrix(y["r_embedding"])), k)
+
+        a, b = tile_pairs(q, c, "paper_id", "paper_id", few)
+        hits = a.groupBy("_tl", "_tr").cogroup(b.groupBy("_tl", "_tr")).applyInPandas(meet, schema)
     return _best(hits, k, F.round("similarity", 9).desc(), "paper_id")
 
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -18,11 +17,12 @@ from pyspark.sql import Window as W
 
 from litflow.functions import text as tx
 from litflow.functions.vectors import unit
+from litflow.operators.similarity import matrix, tile_pairs
 from litflow.session import broadcast_if_small, cut_lineage
 
 MAX_CLUSTERS = 20
 MIN_SIZE = 3
-POINTS_PER_PASS = 2_000
+POINTS_PER_TILE = 2_000
 
 
 def default_k(n: int, most: int = MAX_CLUSTERS) -> int:
@@ -97,45 +97,36 @@ def coherence(vectors: DataFrame) -> DataFrame:
         F.when(F.col("n") < 2, 1.0).otherwise((total - F.col("sq")) / F.nullif(pairs, F.lit(0))).alias("coherence"))
 
 
-def silhouette(vectors: DataFrame, chunk: int = POINTS_PER_PASS) -> DataFrame:
+def _distance_sums(pts: pd.DataFrame, other: pd.DataFrame) -> pd.DataFrame:
+    """Summed distances of each point to the members of each cluster in one tile."""
+    names = ["paper_id", "cluster_id", "other", "total", "n"]
+    if pts.empty or other.empty:
+        return pd.DataFrame(columns=names)
+    p, c = matrix(pts["embedding"]), matrix(other["r_embedding"])
+    ids, lab = pts["paper_id"].to_numpy(), other["r_cluster_id"].to_numpy()
+    d2 = (p**2).sum(1)[:, None] + (c**2).sum(1)[None, :] - 2 * p @ c.T
+    d2[ids[:, None] == other["r_paper_id"].to_numpy()[None, :]] = 0.0
+    d = np.sqrt(np.maximum(d2, 0.0))
+    own = pts["cluster_id"].to_numpy()
+    return pd.concat([
+        pd.DataFrame({
+            "paper_id": ids, "cluster_id": own, "other": x, "total": d[:, lab == x].sum(1), "n": int((lab == x).sum())})
+        for x in np.unique(lab)
+    ])[names]
+
+
+def silhouette(vectors: DataFrame, tile_rows: int = POINTS_PER_TILE) -> DataFrame:
     """Exact Euclidean silhouette per point, ``(paper_id, cluster_id, silhouette)``.
 
-    Points travel in chunks of fixed size; a chunk is one streaming pass that sums distances per
-    cluster inside each batch. For large data use ``ClusteringEvaluator``, which needs no pairs.
+    Points meet tile by tile in separate tasks and only sums per point and cluster leave a tile. For
+    large data use ``ClusteringEvaluator``, which needs no pairs.
     """
-    v = vectors.where("cluster_id IS NOT NULL").select("paper_id", F.col("cluster_id").cast("long").alias("cluster_id"), "embedding")
+    v = vectors.where("cluster_id IS NOT NULL").select(
+        "paper_id", F.col("cluster_id").cast("long").alias("cluster_id"), "embedding")
     key = v.schema["paper_id"].dataType.simpleString()
-    sums = None
-    rows = v.orderBy("paper_id").toLocalIterator()
-    done = False
-    while not done:
-        part = []
-        for r in rows:
-            part.append(r)
-            if len(part) == chunk:
-                break
-        done = len(part) < chunk
-        if not part:
-            break
-        ids = np.array([r["paper_id"] for r in part])
-        own = np.array([r["cluster_id"] for r in part])
-        pts = np.array([r["embedding"] for r in part], dtype=np.float64)
-
-        def scan(batches: Iterator[pd.DataFrame], ids=ids, own=own, pts=pts) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                c = np.array(pdf["embedding"].tolist(), dtype=np.float64)
-                lab = pdf["cluster_id"].to_numpy()
-                d2 = (pts**2).sum(1)[:, None] + (c**2).sum(1)[None, :] - 2 * pts @ c.T
-                d2[ids[:, None] == pdf["paper_id"].to_numpy()[None, :]] = 0.0
-                d = np.sqrt(np.maximum(d2, 0.0))
-                for label in np.unique(lab):
-                    yield pd.DataFrame({
-                        "paper_id": ids, "cluster_id": own, "other": label, "total": d[:, lab == label].sum(1), "n": int((lab == label).sum())})
-
-        out = v.mapInPandas(scan, f"paper_id {key}, cluster_id long, other long, total double, n long")
-        sums = out if sums is None else sums.unionByName(out)
-    if sums is None:
-        raise ValueError("no clustered points")
+    a, b = tile_pairs(v, v, "paper_id", "paper_id", tile_rows)
+    sums = a.groupBy("_tl", "_tr").cogroup(b.groupBy("_tl", "_tr")).applyInPandas(
+        _distance_sums, f"paper_id {key}, cluster_id long, other long, total double, n long")
     per = sums.groupBy("paper_id", "cluster_id", "other").agg(F.sum("total").alias("t"), F.sum("n").alias("n"))
     same = F.col("cluster_id") == F.col("other")
     s = per.groupBy("paper_id", "cluster_id").agg(

@@ -6,7 +6,7 @@ from difflib import SequenceMatcher
 import numpy as np
 from pyspark.sql import functions as F
 
-from litflow.operators import digest, graph, linkage, ranking, trends
+from litflow.operators import digest, graph, linkage, ranking, similarity, topics, trends
 from litflow.operators.independent_set import components, greedy_representatives
 
 
@@ -207,3 +207,21 @@ def test_digest_sections_match_sequential_pick(spark):
     df = spark.createDataFrame(rows, "user_id string, interest_id string, interest_ord int, paper_id int, title string, total_score double")
     got = [(r["interest_id"], r["position"], r["paper_id"]) for r in digest.digest_items(df, 3, 0.2, 7).collect()]
     assert sorted(got) == sorted(want)
+
+
+def test_vector_tiles_give_the_same_neighbours_and_silhouette(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, i % 3, [float(x) for x in rng.normal(size=6)]) for i in range(60)]
+    v = spark.createDataFrame(rows, "paper_id long, cluster_id int, embedding array<double>")
+    one = {tuple(r)[:2] + (r["rank"],) for r in similarity.nearest(v, v, 4).collect()}
+    many = {tuple(r)[:2] + (r["rank"],) for r in similarity.nearest(v, v, 4, few=13).collect()}
+    assert one == many and len(one) == 240
+    a = {r["paper_id"]: r["silhouette"] for r in topics.silhouette(v).collect()}
+    b = {r["paper_id"]: r["silhouette"] for r in topics.silhouette(v, tile_rows=11).collect()}
+    assert all(abs(a[i] - b[i]) < 1e-9 for i in range(60))
+    x = np.array([r[2] for r in rows])
+    d = np.linalg.norm(x[:, None] - x[None, :], axis=2)
+    lab = np.array([r[1] for r in rows])
+    own = d[0][lab == 0].sum() / 19
+    other = min(d[0][lab == c].mean() for c in (1, 2))
+    assert abs(a[0] - (other - own) / max(own, other)) < 1e-9
