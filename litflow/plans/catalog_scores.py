@@ -11,6 +11,7 @@ from litflow.operators import ranking, scoring
 from litflow.operators.scoring import ScoringConfig, score_papers
 from litflow.plans.registry import register
 from litflow.plans.views import AS_OF, AUTHORS_SQL, INTERESTS, PAPERS_SQL, papers, phrase_sql, sql
+from litflow.session import cut_lineage
 
 CFG = ScoringConfig()
 
@@ -251,8 +252,8 @@ def component_rows(spark, sf_dir):
     "SELECT paper_id, interest_id, row_number() OVER (PARTITION BY interest_id ORDER BY round(total_score, 6) DESC, paper_id) AS rank FROM scored"))
 def rank_all(spark, sf_dir):
     s = scored(spark, sf_dir).select("paper_id", "interest_id", F.round("total_score", 6).alias("total_score"))
-    # the quantile probes and the ranking read the scores; a cache keeps the text pass single
-    s = s.persist()
+    # the quantile probes and the ranking read the scores; written once, the text pass stays single
+    s = cut_lineage(s)
     return ranking.row_number_desc(s, ["interest_id"], "total_score", "paper_id").select(
         "paper_id", "interest_id", "rank")
 
