@@ -155,7 +155,16 @@ DATE_FORMATS = (
     "yyyy-MM-dd'T'HH:mm:ss",
     "EEE, d MMM yyyy HH:mm:ss Z",
     "EEE, d MMM yyyy HH:mm:ss z",
+    "EEE, d MMM yyyy HH:mm Z",
+    "EEE, d MMM yyyy HH:mm z",
+    "EEE, d MMM yyyy HH:mm:ss",
+    "EEE, d MMM yyyy HH:mm",
     "d MMM yyyy",
+    "d MMMM yyyy",
+    "MMM d, yyyy",
+    "MMMM d, yyyy",
+    "MMM yyyy",
+    "MMMM yyyy",
     "yyyy-MM-dd",
     "yyyy-MM",
     "yyyy/MM/dd",
@@ -164,12 +173,16 @@ DATE_FORMATS = (
 
 
 def parse_date(c: Column) -> Column:
-    """First layout that fits, as a UTC timestamp; NULL when none does."""
+    """First layout that fits, as a UTC timestamp; NULL when none does.
+
+    Layouts that begin with a year also go through the SQL cast: T or a space, fractions, any zone.
+    """
     s = strip(c)
     # a leading weekday is dropped because newer parsers reject it as a pattern letter
-    s = F.regexp_replace(s, r"^[A-Za-z]{3}, ", "")
+    s = F.regexp_replace(s, r"(?i)^(?:mon|tue|wed|thu|fri|sat|sun)[a-z]*,? ", "")
     formats = [f.replace("EEE, ", "") for f in DATE_FORMATS]
-    return F.coalesce(*[F.try_to_timestamp(s, F.lit(f)) for f in formats])
+    by_cast = F.when(s.rlike(r"^\d{4}-\d"), s.try_cast("timestamp"))
+    return F.coalesce(by_cast, *[F.try_to_timestamp(s, F.lit(f)) for f in formats])
 
 
 def parse_trend_date(c: Column, as_of: Column) -> tuple[Column, Column]:

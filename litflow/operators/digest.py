@@ -30,13 +30,13 @@ def title_key(title: Column) -> Column:
 
 
 def digest_items(
-    scored: DataFrame, n_interests: int, min_score: float = 0.1, cap: int = 10, exclusive: bool = True
+    scored: DataFrame, min_score: float = 0.1, cap: int = 10, exclusive: bool = True
 ) -> DataFrame:
     """Up to ``cap`` papers per section, best first; adds ``position``.
 
     With ``exclusive`` a title appears once per digest, in the first section that takes it. Sections
-    before a section hide at most ``cap`` titles each, so the best ``cap * n_interests`` distinct
-    titles of every section decide the digest; only those meet in one group per user.
+    before a section hide at most ``cap`` titles each, so the best ``cap`` times as many distinct
+    titles as the user has sections decide each of them; only those meet in one group per user.
     """
     rows = scored.where(F.col("total_score") >= min_score).withColumn("_key", title_key(F.col("title")))
     order = [F.col("total_score").desc(), F.col("paper_id")]
@@ -49,7 +49,9 @@ def digest_items(
         F.min_by(whole, F.struct(-F.col("total_score"), "paper_id")).alias("r")
     ).select("r.*")
     w = W.partitionBy(*by).orderBy(*order)
-    short = best.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= cap * n_interests).drop("_rn")
+    sections_of = best.select(*by).distinct().groupBy("user_id").agg(F.count("*").alias("_sections"))
+    ranked = best.withColumn("_rn", F.row_number().over(w)).join(sections_of.withColumnRenamed("user_id", "_u"), F.col("user_id").eqNullSafe(F.col("_u")))
+    short = ranked.where(F.col("_rn") <= cap * F.col("_sections")).drop("_rn", "_u", "_sections")
 
     def pick(pdf: pd.DataFrame) -> pd.DataFrame:
         used: set[str] = set()

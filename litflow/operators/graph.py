@@ -6,8 +6,10 @@ A graph is ``edges(src, dst)`` (src cites dst) and ``nodes(paper_id, year, citat
 from __future__ import annotations
 
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from litflow.operators import ranking
 from litflow.operators.independent_set import greedy_representatives
@@ -26,13 +28,14 @@ def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def pagerank(
     nodes: DataFrame, edges: DataFrame, damping: float = 0.85, iterations: int = 100,
-    tolerance: float = 1e-6, distinct: bool = True, every: int = 5,
+    tolerance: float = 1e-6, distinct: bool = True,
 ) -> DataFrame:
     """``(paper_id, pagerank)``. Rank of nodes without references is not redistributed.
 
-    An iteration is one join on the source and one map-side combined sum on the target. Lineage is
-    cut and convergence tested every few iterations, so results may be slightly more exact than the
-    tolerance asks. ``distinct=False`` lets repeated edges count repeatedly.
+    A round is one join on the source and one map-side combined sum on the target; it ends after ``iterations`` rounds
+    or with the first in which no rank moves by ``tolerance`` or more. Links stay partitioned by source on the
+    executors, only ranks move; ranks are checkpointed every round. ``distinct=False`` lets repeated edges count
+    repeatedly.
     """
     ids = nodes.select("paper_id").distinct()
     n = ids.count()
@@ -42,25 +45,22 @@ def pagerank(
     e = e.distinct() if distinct else e
     out = e.groupBy("src").agg(F.count("*").alias("_out"))
     links = cut_lineage(e.join(out, "src").join(ids.withColumnRenamed("paper_id", "src"), "src", "left_semi"))
+    links = links.repartition("src").persist(StorageLevel.DISK_ONLY)
     ranks = cut_lineage(ids.withColumn("pagerank", F.lit(1.0 / n)))
-    done = 0
-    while done < iterations:
-        prev = ranks
-        for step in range(min(every, iterations - done)):
-            prev = ranks
-            flow = links.join(ranks, F.col("src") == F.col("paper_id")).groupBy("dst").agg(
-                F.sum(F.col("pagerank") / F.col("_out")).alias("_in")
-            )
-            ranks = ids.join(flow, F.col("paper_id") == F.col("dst"), "left").select(
-                "paper_id", (F.lit((1 - damping) / n) + damping * F.coalesce("_in", F.lit(0.0))).alias("pagerank")
-            )
-            done += 1
-        ranks = cut_lineage(ranks)
-        if tolerance > 0 and done < iterations:
-            old = prev.select("paper_id", F.col("pagerank").alias("_old"))
-            gap = ranks.join(old, "paper_id").agg(F.max(F.abs(F.col("pagerank") - F.col("_old")))).first()[0]
-            if gap is not None and gap < tolerance:
-                break
+    for _ in range(iterations):
+        flow = links.join(ranks, F.col("src") == F.col("paper_id")).groupBy("dst").agg(
+            F.sum(F.col("pagerank") / F.col("_out")).alias("_in")
+        )
+        new = ranks.join(flow, F.col("paper_id") == F.col("dst"), "left").select(
+            "paper_id", (F.lit((1 - damping) / n) + damping * F.coalesce("_in", F.lit(0.0))).alias("pagerank"),
+            F.col("pagerank").alias("_old"),
+        )
+        new = cut_lineage(new)
+        gap = new.agg(F.max(F.abs(F.col("pagerank") - F.col("_old")))).first()[0]
+        ranks = new.drop("_old")
+        if gap is not None and gap < tolerance:
+            break
+    links.unpersist()
     return ranks
 
 
@@ -150,9 +150,11 @@ def build_network(
     return nodes, spark.createDataFrame(kept, f"src {key}, dst {key}").distinct()
 
 
-def graph_stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def graph_stats(nodes: DataFrame, edges: DataFrame, max_nodes: int = 100) -> DataFrame:
+    """Totals, and the deepest level that was worked on: a network cut off at ``max_nodes`` was still on the level before."""
     e = edges.select(F.count("*")).scalar()
-    return nodes.agg(F.count("*").alias("total_nodes"), F.max("level").alias("depth_reached")).withColumn("total_edges", e)
+    deepest = F.when(F.count("*") >= max_nodes, F.greatest(F.max("level") - 1, F.lit(0))).otherwise(F.max("level"))
+    return nodes.agg(F.count("*").alias("total_nodes"), deepest.alias("depth_reached")).withColumn("total_edges", e)
 
 
 def recent_nodes(nodes: DataFrame, as_of: Column, years: int = 3) -> DataFrame:
@@ -256,7 +258,8 @@ def research_fronts(
     size = rows.groupBy("front").agg(
         F.count("*").alias("size"), F.avg("citation_count").alias("mean_citations")
     ).where(F.col("size") >= min_size)
-    return rows.select("front", "paper_id").join(size, "front")
+    ranked = size.withColumn("rank", F.row_number().over(W.orderBy(F.col("mean_citations").desc(), "front")))  # one row per front
+    return rows.select("front", "paper_id").join(ranked, "front")
 
 
 def node_table(nodes: DataFrame, edges: DataFrame, ranks: DataFrame) -> DataFrame:

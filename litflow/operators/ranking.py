@@ -13,10 +13,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-MAX_RANGES = 512
+MAX_RANGES = 4096
+# Rows of one range, about.
+RANGE_ROWS = 250_000
 
 
-def _splits(df: DataFrame, column: str, ranges: int) -> list[float]:
+def _splits(df: DataFrame, column: str, ranges: int | None) -> list[float]:
+    if ranges is None:  # as many as the rows need
+        ranges = -(-df.count() // RANGE_ROWS)
     ranges = max(1, min(ranges, MAX_RANGES))
     if ranges == 1:
         return []
@@ -41,7 +45,7 @@ def _offsets(counts: DataFrame, by: Sequence[str], order: Sequence[str]) -> Data
 
 
 def row_number_desc(
-    df: DataFrame, partition: Sequence[str], value: str, tie: str, ranges: int = 64, name: str = "rank"
+    df: DataFrame, partition: Sequence[str], value: str, tie: str, ranges: int | None = None, name: str = "rank"
 ) -> DataFrame:
     """``row_number`` per partition by ``value`` descending, then ``tie`` ascending (numeric, unique).
 
@@ -69,7 +73,7 @@ def row_number_desc(
     )
 
 
-def share_at_most(df: DataFrame, value: str, ranges: int = 64, name: str = "share") -> DataFrame:
+def share_at_most(df: DataFrame, value: str, ranges: int | None = None, name: str = "share") -> DataFrame:
     """``cume_dist`` over the whole table: share of rows whose value is at most this one.
 
     Equal values are counted first, so a value that fills a third of the table costs one row.

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from litflow.functions.text import blank_to_null, strip
-from litflow.operators import ranking
 from litflow.operators.history import days_before
 from litflow.operators.scoring import age_days
 
@@ -164,45 +163,56 @@ def distinct_items(items: DataFrame, order: Sequence[str]) -> DataFrame:
     from litflow.operators.independent_set import greedy_representatives
 
     once = first_of_each(items, ["list_id", "paper_id", "title"], order)
-    item = F.concat_ws("\u0001", F.col("list_id").cast("string"), F.col("paper_id").cast("string"), "title")
+    item = F.to_json(F.struct("list_id", "paper_id", "title"))
     keyed = once.withColumn("_node", item).withColumn("_ord", F.struct(*[F.col(o) for o in order]))
     groups = keyed.select(
         F.col("_node").alias("node"), F.col("_ord").alias("ord"),
-        F.explode(F.array(
-            F.concat_ws("\u0001", F.lit("id"), F.col("list_id").cast("string"), F.col("paper_id").cast("string")),
-            F.concat_ws("\u0001", F.lit("title"), F.col("list_id").cast("string"), "title"),
-        )).alias("grp"),
+        F.explode(F.array_compact(F.array(  # a missing id or title conflicts with nothing; an item always has its own group
+            F.concat(F.lit("item"), item),
+            F.when(F.col("paper_id").isNotNull(), F.concat(F.lit("id"), F.to_json(F.struct("list_id", "paper_id")))),
+            F.when(F.col("title").isNotNull(), F.concat(F.lit("title"), F.to_json(F.struct("list_id", "title")))),
+        ))).alias("grp"),
     )
     leaders = greedy_representatives(groups).where("is_leader").select(F.col("node").alias("_node"))
     return keyed.join(leaders, "_node", "left_semi").drop("_node", "_ord")
 
 
 def reorder(items: DataFrame, wanted: DataFrame) -> DataFrame:
-    """New positions: items named in ``wanted(list_id, item_id, want)`` first, the rest keep order."""
+    """New positions: items named in ``wanted(list_id, item_id, want)`` first, the rest keep order. A list is one
+    user's and is ordered in one task."""
     named = items.join(wanted, ["list_id", "item_id"], "left")
-    key = F.when(F.col("want").isNotNull(), F.col("want")).otherwise(F.lit(1e15))
-    ranked = ranking.row_number_desc(
-        named.withColumn("_key", -key.cast("double")), ["list_id"], "_key", "position", name="_rank"
-    )
-    return ranked.withColumn("position", F.col("_rank") - 1).drop("_rank", "_key", "want")
+    place = F.row_number().over(W.partitionBy("list_id").orderBy(F.col("want").asc_nulls_last(), "position")) - 1
+    return named.withColumn("position", place).drop("want")
 
 
 def renumber(items: DataFrame) -> DataFrame:
     """Positions 0..n-1 per list after removals."""
-    ranked = ranking.row_number_desc(
-        items.withColumn("_key", -F.col("position").cast("double")), ["list_id"], "_key", "position", name="_rank"
-    )
-    return ranked.withColumn("position", F.col("_rank") - 1).drop("_rank", "_key")
+    return items.withColumn("position", F.row_number().over(W.partitionBy("list_id").orderBy("position")) - 1)
 
 
 def merge_lists(items: DataFrame, target: str, order: Sequence[str]) -> DataFrame:
-    """All given lists as one: a ``from:`` tag per source list, duplicates dropped."""
+    """All given lists as one: a ``from:`` tag per source list, duplicates dropped.
+
+    Items are added afresh: without dates of reading, rating and highlights, and in positions counted from 0.
+    """
+    void = {c: F.lit(None).cast(items.schema[c].dataType) for c in ("started_at", "finished_at", "rating", "highlights") if c in items.columns}
     tagged = items.withColumns({
+        **void,
         "tags": F.array_append("tags", F.concat(F.lit("from:"), F.col("list_name"))),
         "source": F.coalesce(blank_to_null(F.col("source")), F.col("list_name")),
         "list_id": F.lit(target),
     })
-    return distinct_items(tagged, order)
+    place = F.row_number().over(W.partitionBy("list_id").orderBy(*order)) - 1
+    return distinct_items(tagged, order).withColumn("position", place)
+
+
+def move_items(items: DataFrame, picked: Column, target: Column) -> DataFrame:
+    """Picked items leave their list for ``target`` with their reading state, after what it holds; both are renumbered."""
+    moved = items.withColumns({
+        "_moved": F.coalesce(picked, F.lit(False)), "_from": F.col("list_id"), "_at": F.col("position"),
+    }).withColumn("list_id", F.when(F.col("_moved"), target).otherwise(F.col("list_id")))
+    place = F.row_number().over(W.partitionBy("list_id").orderBy("_moved", "_from", "_at", "item_id")) - 1
+    return moved.withColumn("position", place).drop("_moved", "_from", "_at")
 
 
 def split_by_tag(items: DataFrame, tag: str, new_list: Column) -> DataFrame:

@@ -355,11 +355,11 @@ def register_scorer(name: str, scorer: Scorer) -> None:
     SCORERS[name] = scorer
 
 
-register_scorer("semantic", lambda p, i, c: semantic_score(F.get(p.row("_cosines"), F.lit(p.slot))))
+register_scorer("semantic", lambda p, i, c: semantic_score(p.row(f"_cosine{p.slot}")))
 register_scorer(
     "keyword",
     lambda p, i, c: keyword_score(
-        F.size(matched_phrases(p.text, i.keywords)),
+        F.size(p.row(f"_keywords{p.slot}")),
         F.size(matched_phrases(p.text, i.excluded_keywords)),
         len(i.keywords),
     ),
@@ -368,7 +368,7 @@ register_scorer(
     "author",
     lambda p, i, c: author_score(
         F.size(p.row("_authors")),
-        F.size(matched_authors(p.row("_authors"), i.followed_authors)),
+        F.size(p.row(f"_followed{p.slot}")),
         len(i.followed_authors),
     ),
 )
@@ -402,6 +402,34 @@ def weighted_total(scores: dict[str, Column], weights: dict[str, float]) -> Colu
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), total))
 
 
+def guarded(score: Callable[[pd.Series], pd.Series]):
+    """Arrow UDF from ``score``; rows for which it raises are null, which counts as 0.5."""
+
+    @F.pandas_udf(T.DoubleType())
+    def run(values: pd.Series) -> pd.Series:
+        try:
+            return score(values)
+        except Exception:
+            out = []
+            for i in range(len(values)):
+                try:
+                    out.append(float(score(values.iloc[i : i + 1]).iloc[0]))
+                except Exception:
+                    out.append(None)
+            return pd.Series(out, dtype="float64")
+
+    return run
+
+
+def _component(name: str, view: PaperView, interest: Interest, cfg: ScoringConfig) -> Column:
+    """A component's Column; null, and a scorer that cannot be built, count as 0.5."""
+    try:
+        return F.coalesce(SCORERS[name](view, interest, cfg), F.lit(0.5))
+    except Exception as e:
+        warnings.warn(f"scorer {name} failed: {e}", stacklevel=2)
+        return F.lit(0.5)
+
+
 def _score_batch(
     papers: DataFrame, batch: Sequence[Interest], cfg: ScoringConfig, as_of: Column,
     keep: Sequence[str], custom_cosine: Callable | None,
@@ -415,14 +443,26 @@ def _score_batch(
         if custom_cosine is not None:
             df = df.withColumn("_cosines", custom_cosine(batch))
         else:
-            mat = np.array([
-                i.embedding if i.embedding is not None
-                else vx.hashed_embedding(vx.interest_text(i.name, i.description, i.keywords))
-                for i in batch
-            ])
+            mat = np.array([vx.hashed_embedding(vx.interest_text(i.name, i.description, i.keywords)) for i in batch])
             df = df.withColumn(
                 "_cosines", vx.cosines_to(mat)(vx.paper_text(F.col("title"), F.col("abstract")))
             )
+        # stored vectors are compared with stored ones, hashed texts with hashed texts, never one with the other
+        stored = "embedding" in papers.columns and custom_cosine is None
+        for slot, i in enumerate(batch):
+            cos = F.get("_cosines", F.lit(slot))
+            if stored and i.embedding is not None:
+                vector = F.array(*[F.lit(float(x)) for x in i.embedding])
+                same = F.col("embedding").isNotNull() & (F.size("embedding") == len(i.embedding))
+                cos = F.when(same, vx.cosine(F.col("embedding"), vector)).otherwise(cos)
+            df = df.withColumn(f"_cosine{slot}", cos)
+    none = F.array().cast("array<string>")
+    # what a component and the matches both use is computed once, and only for active components
+    df = df.withColumns({
+        f"_keywords{slot}": matched_phrases(F.col("_text"), i.keywords) if "keyword" in active else none for slot, i in enumerate(batch)
+    } | {
+        f"_followed{slot}": matched_authors(F.col("_authors"), i.followed_authors) if "author" in active else none for slot, i in enumerate(batch)
+    })
     if "tfidf" in active:
         raw = F.concat_ws(" ", F.col("title"), tx.blank_to_null(F.col("abstract")))
         df = df.withColumn("_tfidf", pair_tfidf_udf(batch)(raw))
@@ -430,22 +470,22 @@ def _score_batch(
     view = PaperView(F.col("_text"), F.col, as_of, 0)
     if shared:
         df = df.withColumns({
-            f"_{n}": F.coalesce(SCORERS[n](view, batch[0], cfg), F.lit(0.5)) for n in shared
+            f"_{n}": _component(n, view, batch[0], cfg) for n in shared
         })
 
     structs = []
     for slot, i in enumerate(batch):
         v = PaperView(F.col("_text"), F.col, as_of, slot)
         scores = {
-            n: F.col(f"_{n}") if n in shared else F.coalesce(SCORERS[n](v, i, cfg), F.lit(0.5))
+            n: F.col(f"_{n}") if n in shared else _component(n, v, i, cfg)
             for n in active
         }
         structs.append(F.struct(
             F.lit(i.user_id).alias("user_id"),
             F.lit(i.interest_id).alias("interest_id"),
             F.lit(i.ord).alias("interest_ord"),
-            matched_phrases(F.col("_text"), i.keywords).alias("matched_keywords"),
-            matched_authors(F.col("_authors"), i.followed_authors).alias("matched_authors"),
+            F.col(f"_keywords{slot}").alias("matched_keywords"),
+            F.col(f"_followed{slot}").alias("matched_authors"),
             *[scores[n].cast("double").alias(f"{n}_score") for n in active],
         ))
     scored = df.select(*keep, F.inline(F.array(*structs)))

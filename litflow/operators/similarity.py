@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -10,8 +11,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from litflow.session import row_count_within
-
 QUERIES_PER_PASS = 2_000
 # Base scores of the citation and author methods.
 DIRECT = (0.8, 1.0)
@@ -36,15 +35,17 @@ def matrix(vectors) -> np.ndarray:
 
 
 def _best_pairs(ids: np.ndarray, q: np.ndarray, cand: np.ndarray, c: np.ndarray, k: int) -> pd.DataFrame:
-    """For every query the ``k`` best candidates of one block, with all ties at the last place."""
+    """For every query the ``k`` best candidates of one block, equal similarities (nine digits) by id."""
     if c.shape[1] != q.shape[1]:
         raise ValueError("vector dimensions must match")
-    sim = c @ q.T
-    sim[cand[:, None] == ids[None, :]] = -np.inf
-    cut = len(cand) - min(k, len(cand))
-    bar = np.partition(sim, cut, axis=0)[cut]
-    rows, cols = np.nonzero((sim >= bar[None, :] - 1e-9) & np.isfinite(sim))
-    return pd.DataFrame({"query_id": ids[cols], "paper_id": cand[rows], "similarity": sim[rows, cols]})
+    sim = q @ c.T
+    sim[ids[:, None] == cand[None, :]] = -np.inf
+    by_id = np.argsort(cand, kind="stable")
+    order = by_id[np.argsort(-np.round(sim[:, by_id], 9), axis=1, kind="stable")[:, :k]]
+    rows = np.repeat(np.arange(len(ids)), order.shape[1])
+    found = sim[rows, order.ravel()]
+    ok = np.isfinite(found)
+    return pd.DataFrame({"query_id": ids[rows[ok]], "paper_id": cand[order.ravel()[ok]], "similarity": found[ok]})
 
 
 def tile_pairs(left: DataFrame, right: DataFrame, left_key: str, right_key: str, rows: int) -> tuple[DataFrame, DataFrame]:
@@ -60,21 +61,18 @@ def tile_pairs(left: DataFrame, right: DataFrame, left_key: str, right_key: str,
     return a, b
 
 
-def nearest(queries: DataFrame, candidates: DataFrame, k: int, few: int = QUERIES_PER_PASS) -> DataFrame:
+def nearest(queries: DataFrame, candidates: DataFrame, k: int, block: int = QUERIES_PER_PASS) -> DataFrame:
     """Exact cosine k-NN ``(query_id, paper_id, similarity, rank)``, without the query itself.
 
-    At most ``few`` queries travel to the candidates, which are streamed once. More queries meet the
-    candidates tile by tile in separate tasks; nothing passes through the driver. Either way each
-    block keeps its own best ``k`` per query before the final ranking.
+    Queries travel to the candidates in blocks of ``block`` vectors; each block is one streaming pass in which every
+    batch of candidates keeps its best ``k`` per query, so no vector of either side is shuffled. Exact search against
+    all candidates is meant for stated query sets; ``nearest_probed`` serves whole tables. No queries give no rows.
     """
     key = candidates.schema["paper_id"].dataType.simpleString()
     schema = f"query_id {key}, paper_id {key}, similarity double"
-    q = queries.select("paper_id", "embedding")
     c = candidates.select("paper_id", "embedding")
-    if row_count_within(q, few):
-        held = q.collect()
-        if not held:
-            raise ValueError("no query papers")
+
+    def one_pass(held: list) -> DataFrame:
         ids = np.array([r["paper_id"] for r in held])
         vecs = _unit(matrix(r["embedding"] for r in held))
 
@@ -83,36 +81,67 @@ def nearest(queries: DataFrame, candidates: DataFrame, k: int, few: int = QUERIE
                 if len(pdf):
                     yield _best_pairs(ids, vecs, pdf["paper_id"].to_numpy(), _unit(matrix(pdf["embedding"])), k)
 
-        hits = c.mapInPandas(scan, schema)
-    else:
-        def meet(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-            if x.empty or y.empty:
-                return pd.DataFrame({"query_id": [], "paper_id": [], "similarity": []})
-            return _best_pairs(
-                x["paper_id"].to_numpy(), _unit(matrix(x["embedding"])), y["r_paper_id"].to_numpy(), _unit(matrix(y["r_embedding"])), k)
+        return c.mapInPandas(scan, schema)
 
-        a, b = tile_pairs(q, c, "paper_id", "paper_id", few)
-        hits = a.groupBy("_tl", "_tr").cogroup(b.groupBy("_tl", "_tr")).applyInPandas(meet, schema)
+    rows = queries.select("paper_id", "embedding").toLocalIterator()
+    hits = candidates.sparkSession.createDataFrame([], schema)
+    for held in iter(lambda: list(islice(rows, block)), []):
+        hits = hits.unionByName(one_pass(held))
     return _best(hits, k, F.round("similarity", 9).desc(), "paper_id")
 
 
-def nearest_lsh(queries: DataFrame, candidates: DataFrame, k: int, buckets: float = 0.5, tables: int = 8) -> DataFrame:
-    """Approximate k-NN on unit vectors with random projections, for query sets too large to scan."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
+def nearest_probed(
+    queries: DataFrame, candidates: DataFrame, k: int, lists: int | None = None, probes: int | None = None, list_rows: int = 4_000, seed: int = 1,
+) -> DataFrame:
+    """Approximate k-NN for whole tables: unit vectors are listed by nearest centroid, a query visits ``probes`` lists.
+
+    Three quarters of the lists (the default) are for vectors without clusters; clustered ones need a few.
+
+    A list of more than ``list_rows`` vectors is split by a hash, and its queries visit all parts, so no task holds
+    more than a part and its queries. What a visit finds is ranked exactly; each visit keeps its own best ``k``.
+    """
+    from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
     from litflow.functions.vectors import unit
 
-    def prep(df: DataFrame) -> DataFrame:
-        return df.select("paper_id", array_to_vector(unit(F.col("embedding"))).alias("v"))
-
-    q, c = prep(queries), prep(candidates)
-    model = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=buckets, numHashTables=tables, seed=1).fit(c)
-    j = model.approxSimilarityJoin(q, c, 1.4142, distCol="d").select(
-        F.col("datasetA.paper_id").alias("query_id"), F.col("datasetB.paper_id").alias("paper_id"),
-        (1 - F.col("d") * F.col("d") / 2).alias("similarity"),
-    ).where("query_id <> paper_id")
-    return _best(j, k, F.col("similarity").desc(), "paper_id")
+    key = candidates.schema["paper_id"].dataType.simpleString()
+    c = candidates.select("paper_id", unit(F.col("embedding")).alias("v"))
+    n = c.count()
+    lists = lists or max(1, min(4096, int(n**0.5)))
+    probes = probes or -(-3 * lists // 4)
+    points = c.select("paper_id", "v", array_to_vector("v").alias("features"))
+    centres = np.array(KMeans(k=lists, seed=seed, maxIter=10).fit(points).clusterCenters()) if n else np.zeros((1, 1))
+
+    def nearest_lists(how_many: int):
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            half = (centres**2).sum(axis=1) / 2
+            for pdf in batches:
+                if len(pdf):
+                    near = np.argsort(half[None, :] - matrix(pdf["v"]) @ centres.T, axis=1)[:, :how_many]
+                    yield pdf.loc[np.repeat(pdf.index, near.shape[1])].assign(list=near.ravel().astype("int32"))
+
+        return run
+
+    listed = c.mapInPandas(nearest_lists(1), f"paper_id {key}, v array<double>, list int")
+    visits = queries.select("paper_id", unit(F.col("embedding")).alias("v")).mapInPandas(nearest_lists(probes), f"paper_id {key}, v array<double>, list int")
+    sizes = listed.groupBy("list").agg(F.greatest(F.ceil(F.count("*") / list_rows), F.lit(1)).cast("int").alias("parts"))
+    listed = listed.join(sizes, "list").withColumn("part", F.pmod(F.xxhash64("paper_id"), F.col("parts")).cast("int"))
+    visits = visits.join(sizes, "list").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+
+    def meet(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        if x.empty or y.empty:
+            return pd.DataFrame({"query_id": [], "paper_id": [], "similarity": []})
+        parts = [
+            _best_pairs(x["paper_id"].to_numpy()[i : i + 1000], matrix(x["v"].iloc[i : i + 1000]), y["paper_id"].to_numpy(), matrix(y["v"]), k)
+            for i in range(0, len(x), 1000)
+        ]
+        return pd.concat(parts)
+
+    hits = visits.select("list", "part", "paper_id", "v").groupBy("list", "part").cogroup(
+        listed.select("list", "part", "paper_id", "v").groupBy("list", "part")
+    ).applyInPandas(meet, f"query_id {key}, paper_id {key}, similarity double")
+    return _best(hits, k, F.round("similarity", 9).desc(), "paper_id")
 
 
 def by_citations(queries: DataFrame, edges: DataFrame, k: int, refs: int = 10, per_ref: int = 20) -> DataFrame:

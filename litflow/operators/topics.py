@@ -18,7 +18,7 @@ from pyspark.sql import Window as W
 from litflow.functions import text as tx
 from litflow.functions.vectors import unit
 from litflow.operators.similarity import matrix, tile_pairs
-from litflow.session import broadcast_if_small, cut_lineage
+from litflow.session import cut_lineage
 
 MAX_CLUSTERS = 20
 MIN_SIZE = 3
@@ -73,7 +73,7 @@ def cluster_keywords(members: DataFrame, k: int = 10) -> DataFrame:
     per = terms.groupBy("cluster_id", "paper_id", "term").agg(F.count("*").alias("c"))
     freq = per.groupBy("cluster_id", "term").agg(F.sum("c").alias("tf"), F.count("*").alias("df")).where("df >= 2")
     size = members.groupBy("cluster_id").agg(F.count("*").alias("n"))
-    s = freq.join(broadcast_if_small(size), "cluster_id").withColumn("score", F.col("tf") * F.log(F.col("n") / F.col("df")))
+    s = freq.join(size, "cluster_id").withColumn("score", F.col("tf") * F.log(F.col("n") / F.col("df")))
     w = W.partitionBy("cluster_id").orderBy(F.round("score", 9).desc(), "term")
     return s.drop("n").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
@@ -138,16 +138,19 @@ def silhouette(vectors: DataFrame, tile_rows: int = POINTS_PER_TILE) -> DataFram
 
 
 def lda_topics(
-    papers: DataFrame, k: int = 10, iterations: int = 50, min_size: int = MIN_SIZE, seed: int = 42, vocab: int = 50_000
+    papers: DataFrame, k: int = 10, iterations: int = 50, min_size: int = MIN_SIZE, seed: int = 42, vocab: int = 2**31 - 1
 ) -> tuple[DataFrame, DataFrame]:
     """LDA: ``assignments(paper_id, cluster_id)`` by dominant topic and
-    ``topics(cluster_id, keywords, share)``; share is the topic's mean weight."""
+    ``topics(cluster_id, keywords, share)``; share is the topic's mean weight.
+
+    Every iteration reads every paper, and every word belongs to the vocabulary unless ``vocab`` bounds it.
+    """
     toks = tx.tokens(tx.joined_text(F.col("title"), F.col("abstract")), tx.TOPIC_STOP, 2)
     docs = papers.select("paper_id", toks.alias("toks"))
     cv = CountVectorizer(inputCol="toks", outputCol="features", vocabSize=vocab).fit(docs)
     feats = cut_lineage(cv.transform(docs).select("paper_id", "features"))
     model = LDA(
-        k=k, maxIter=iterations, seed=seed, optimizer="online", docConcentration=[0.1] * k, topicConcentration=0.01).fit(feats)
+        k=k, maxIter=iterations, seed=seed, optimizer="online", subsamplingRate=1.0, docConcentration=[0.1] * k, topicConcentration=0.01).fit(feats)
     dist = cut_lineage(model.transform(feats).select("paper_id", vector_to_array("topicDistribution").alias("d")))
     label = (F.array_position("d", F.array_max("d")) - 1).cast("int")
     assigned = _drop_small(dist.select("paper_id", label.alias("label")), min_size)
@@ -205,7 +208,7 @@ def assign_to_clusters(papers: DataFrame, clusters: DataFrame, threshold: float
         "cluster_id", "cluster_ord", F.size("keywords").alias("n"), F.explode("keywords").alias("k")).withColumn("w", F.lower("k"))
     words = papers.select("paper_id", F.explode(F.array_distinct(
         F.split(tx.strip(tx.joined_text(F.col("title"), F.col("abstract"))), r"(?U)\s+"))).alias("w"))
-    hits = words.join(broadcast_if_small(kw), "w").groupBy("paper_id", "cluster_id", "cluster_ord", "n").agg(F.count("*").alias("h"))
+    hits = words.join(kw, "w").groupBy("paper_id", "cluster_id", "cluster_ord", "n").agg(F.count("*").alias("h"))
     share = hits.withColumn("share", F.col("h") / F.col("n")).where(F.col("share") >= threshold)
     best = share.groupBy("paper_id").agg(F.min(F.struct(-F.col("share"), F.col("cluster_ord"), F.col("cluster_id"))).alias("b"))
     return best.select("paper_id", F.col("b.cluster_id").alias("cluster_id"), (-F.col("b.col1")).alias("share"))
@@ -214,7 +217,7 @@ def assign_to_clusters(papers: DataFrame, clusters: DataFrame, threshold: float
 def export_rows(assigned: DataFrame, papers: DataFrame, labels: DataFrame) -> DataFrame:
     """Flat cluster export for ``write.csv`` (quoted properly) or ``write.json``."""
     return (
-        assigned.where("cluster_id IS NOT NULL").join(broadcast_if_small(labels), "cluster_id")
+        assigned.where("cluster_id IS NOT NULL").join(labels, "cluster_id")
         .join(papers.select("paper_id", "paper_key", "title"), "paper_id")
         .select("cluster_id", F.col("label").alias("cluster_label"), F.col("paper_key").alias("paper_id"), F.substring("title", 1, 100).alias("paper_title")))
 

@@ -15,7 +15,8 @@ from litflow.operators.scoring import age_days
 from litflow.session import cut_lineage, row_count_within
 
 SEEDS = 30
-MASKS_ON_DRIVER = 200_000
+# Seeds decided by one pass: at most 2**8 patterns of them come back.
+SEEDS_PER_PASS = 8
 
 
 def paper_date(as_of: Column, date: str = "published_date") -> Column:
@@ -93,23 +94,22 @@ def _seed_mask(seeds: Sequence[str]) -> Column:
     return mask
 
 
-def accepted_seeds(masks: DataFrame, n_seeds: int, min_papers: int, driver_limit: int = MASKS_ON_DRIVER) -> list[int]:
+def accepted_seeds(masks: DataFrame, n_seeds: int, min_papers: int, per_pass: int = SEEDS_PER_PASS) -> list[int]:
     """Greedy choice on pattern counts ``(mask, n)``: a seed is taken when enough papers that hold it
-    hold no taken seed. Few patterns are decided on the driver, many by one count job per seed."""
+    hold no taken seed. A pass decides ``per_pass`` seeds from the counts of their patterns among papers without a
+    taken seed, so at most ``2 ** per_pass`` rows come to the driver."""
     taken: list[int] = []
     used = 0
-    local = [(r["mask"], r["n"]) for r in masks.collect()] if row_count_within(masks, driver_limit) else None
-    for i in range(n_seeds):
-        bit = 1 << i
-        if local is not None:
-            free = sum(n for m, n in local if m & bit and not m & used)
-        else:
-            hit = F.col("mask").bitwiseAND(F.lit(bit)) != 0
-            clear = F.col("mask").bitwiseAND(F.lit(used)) == 0
-            free = masks.where(hit & clear).agg(F.sum("n")).first()[0] or 0
-        if free >= min_papers:
-            taken.append(i)
-            used |= bit
+    for first in range(0, n_seeds, per_pass):
+        block = sum(1 << i for i in range(first, min(first + per_pass, n_seeds)))
+        clear = masks.where(F.col("mask").bitwiseAND(F.lit(used).cast("bigint")) == 0)
+        counts = clear.groupBy(F.col("mask").bitwiseAND(F.lit(block).cast("bigint")).alias("m")).agg(F.sum("n").alias("n"))
+        local = [(r["m"], r["n"]) for r in counts.collect()]
+        for i in range(first, min(first + per_pass, n_seeds)):
+            bit = 1 << i
+            if sum(n for m, n in local if m & bit and not m & used) >= min_papers:
+                taken.append(i)
+                used |= bit
     return taken
 
 

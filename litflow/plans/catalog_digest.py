@@ -27,7 +27,7 @@ def rows(spark, sf_dir, keep=("paper_id", "title")):
 
 
 def items(spark, sf_dir, keep=("paper_id", "title")):
-    return digest.digest_items(rows(spark, sf_dir, keep), N, FLOOR, CAP)
+    return digest.digest_items(rows(spark, sf_dir, keep), FLOOR, CAP)
 
 
 @register("k10_w16_digest_items", sql(*DIGEST_CTES, body="SELECT interest_id, position, paper_id, round(s, 6) AS total_score FROM items"))
@@ -39,7 +39,7 @@ def digest_items(spark, sf_dir):
 SELECT 'u0' AS user_id, count(*) AS total_papers, CAST(3 AS BIGINT) AS n_sections, count(*) > 0 AS has_content, 'Weekly Digest: ' || count(*) || ' papers across 3 interests' AS subject FROM items"""))
 def totals(spark, sf_dir):
     s = rows(spark, sf_dir)
-    return digest.digest_totals(digest.sections(digest.digest_items(s, N, FLOOR, CAP), s, FLOOR))
+    return digest.digest_totals(digest.sections(digest.digest_items(s, FLOOR, CAP), s, FLOOR))
 
 
 @register("a2_section_stats", sql(*DIGEST_CTES, body="""
@@ -47,7 +47,7 @@ SELECT interest_id, f AS total_papers_found, n AS shown, im AS immediate_count,
 JOIN (SELECT i.interest_id, count(*) AS n, count(*) FILTER (WHERE priority = 'immediate') AS im, count(*) FILTER (WHERE priority = 'weekly') AS wk FROM items i JOIN scored USING (paper_id, interest_id) GROUP BY 1) USING (interest_id)"""))
 def section_stats(spark, sf_dir):
     s = rows(spark, sf_dir)
-    return digest.sections(digest.digest_items(s, N, FLOOR, CAP), s, FLOOR).drop("user_id")
+    return digest.sections(digest.digest_items(s, FLOOR, CAP), s, FLOOR).drop("user_id")
 
 
 @register("w16_nested_digest")
@@ -202,7 +202,7 @@ def auto_k(spark, sf_dir):
 
 @register("m3_lda_topics")
 def lda(spark, sf_dir):
-    return topics.lda_topics(papers(spark, sf_dir), 5, iterations=10)[1]
+    return topics.lda_topics(papers(spark, sf_dir), 5)[1]
 
 
 @register("m4_hybrid_clusters")
@@ -241,6 +241,13 @@ def graph_export(spark, sf_dir):
     return topics.export_graph(a, keyed(spark, sf_dir), lab)[0]
 
 
+@register("s12_cluster_graph_links", sql(PAPERS_SQL, body=f"SELECT lang AS source, {KEY_SQL} AS target FROM papers"))
+def graph_links(spark, sf_dir):
+    a = papers(spark, sf_dir).select("paper_id", F.col("lang").alias("cluster_id"))
+    lab = a.select("cluster_id").distinct().withColumn("label", F.concat(F.lit("c "), "cluster_id"))
+    return topics.export_graph(a, keyed(spark, sf_dir), lab)[1]
+
+
 @register("x16_x18_embeddings")
 def embeddings(spark, sf_dir):
     p = papers(spark, sf_dir).select("paper_id", vx.paper_text(F.col("title"), F.col("abstract")).alias("t"))

@@ -299,6 +299,14 @@ def split(spark, sf_dir):
     return reading.split_by_tag(items(spark, sf_dir), "q3", -F.col("list_id")).select("item_id", "list_id")
 
 
+@register("w13_move_items", sql(LISTS_SQL, body="""
+SELECT item_id, to_list AS list_id, row_number() OVER (PARTITION BY to_list ORDER BY moved, list_id, position, item_id) - 1 AS position
+FROM (SELECT *, status = 'reading' AS moved, CASE WHEN status = 'reading' THEN list_id + 1 ELSE list_id END AS to_list FROM items)"""))
+def move(spark, sf_dir):
+    x = items(spark, sf_dir)
+    return reading.move_items(x, F.col("status") == "reading", F.col("list_id") + 1).select("item_id", "list_id", "position")
+
+
 @register("w13_copy_items", sql(LISTS_SQL, body="""
 SELECT list_id, item_id, coalesce(source, '') AS source FROM items UNION ALL
 SELECT list_id, item_id, source FROM (SELECT *, row_number() OVER (PARTITION BY list_id, paper_id ORDER BY position, item_id) AS r1, row_number() OVER (PARTITION BY list_id, title ORDER BY position, item_id) AS r2 FROM

@@ -106,7 +106,7 @@ def scholar(spark, sf_dir):
 
 
 @register("s4_pubmed_articles", sql(PAPERS_SQL, AUTHORS_SQL, body=f"""
-SELECT p.paper_id, trim(title, {WS}) AS title, 'https://pubmed.ncbi.nlm.nih.gov/' || k || '/' AS url, CAST(k AS VARCHAR) AS pubmed_id, md5('BACKGROUND: ' || trim(title, {WS}) || ' ' || trim(abstract, {WS})) AS abstract_md5,
+SELECT p.paper_id, trim(title, {WS}) || '2' AS title, 'https://pubmed.ncbi.nlm.nih.gov/' || k || '/' AS url, CAST(k AS VARCHAR) AS pubmed_id, md5('BACKGROUND: ' || trim(title, {WS}) || ' On E. coli, ' || trim(abstract, {WS})) AS abstract_md5,
   coalesce(array_to_string(list_transform(authors, lambda a: 'Ann ' || a), ';'), '') AS authors, doi, journal, strftime(CASE WHEN k % 4 = 0 THEN date_trunc('month', published_date) ELSE published_date END, '%Y-%m-%d') AS published, lang AS fields
 FROM papers p JOIN paper_authors USING (paper_id)"""))
 def pubmed(spark, sf_dir):
@@ -116,8 +116,8 @@ def pubmed(spark, sf_dir):
     date = F.when(pub.isNotNull(), tag("PubDate", xml(
         tag("Year", F.year(pub).cast("string")), tag("Month", month), F.when(_k() % 4 != 0, tag("Day", F.dayofmonth(pub).cast("string"))))))
     art = tag("Article", xml(
-        tag("Journal", xml(tag("JournalIssue", xml(date)), tag("Title", F.col("journal")))), tag("ArticleTitle", esc(F.col("title"))),
-        tag("Abstract", xml(tag('AbstractText Label="BACKGROUND"', esc(F.col("title"))), tag("AbstractText", esc(F.col("abstract"))))),
+        tag("Journal", xml(tag("JournalIssue", xml(date)), tag("Title", F.col("journal")))), tag("ArticleTitle", F.concat(F.lit("<i>"), esc(F.col("title")), F.lit("</i><sub>2</sub>"))),
+        tag("Abstract", xml(tag('AbstractText Label="BACKGROUND"', esc(F.col("title"))), tag("AbstractText", F.concat(F.lit("On <i>E. coli</i>, "), esc(F.col("abstract")))))),
         tag("AuthorList", F.array_join(F.transform("authors", lambda a: tag("Author", F.concat(tag("LastName", a), tag("ForeName", F.lit("Ann"))))), ""))))
     ids = F.when(F.col("doi").isNotNull(), tag("PubmedData", tag("ArticleIdList", F.concat(
         F.lit('<ArticleId IdType="pubmed">1</ArticleId>'), tag('ArticleId IdType="doi"', F.col("doi"))))))

@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from litflow.operators.scoring import Interest
-from litflow.session import spread_small
 
 AS_OF = "2024-01-31 00:00:00"
 ORDERS_AS_OF = "2001-08-01 00:00:00"
@@ -26,7 +25,7 @@ def as_of() -> Column:
 
 def papers(spark: SparkSession, sf_dir: str, authors: bool = False) -> DataFrame:
     """``documents`` as papers. Authors cost two joins, so they are added only on request."""
-    p = paper_columns(spread_small(table(spark, sf_dir, "documents"), "doc_id"))
+    p = paper_columns(table(spark, sf_dir, "documents"))
     return with_authors(spark, sf_dir, p) if authors else p
 
 

@@ -48,24 +48,6 @@ def row_count_within(df: DataFrame, limit: int) -> bool:
     return df.limit(limit + 1).count() <= limit
 
 
-def spread_small(df: DataFrame, key: str) -> DataFrame:
-    """Hash-spreads an input that has fewer splits than the cluster has cores.
-
-    Large inputs already have more splits than cores and pass through without a shuffle.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= 2 * cores:
-        return df
-    return df.repartition(cores, key)
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = 50_000) -> DataFrame:
-    """Broadcast hint when a count proves the size; otherwise the join picks its own strategy."""
-    from pyspark.sql import functions as F
-
-    return F.broadcast(df) if row_count_within(df, max_rows) else df
-
-
 def ship_package(spark: SparkSession) -> None:
     """Sends this package to the Python workers once per application.
 

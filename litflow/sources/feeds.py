@@ -7,31 +7,30 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from litflow.session import broadcast_if_small
-
-# Code | journal code | journal name | description | categories.
-CATALOGUE = """
-acsami | aamick | ACS Applied Materials & Interfaces | Functional materials, interfaces, surfaces, and devices | materials interfaces polymers
-acsapm | aapmcd | ACS Applied Polymer Materials | Polymer synthesis, characterization, and applications | polymers materials
-macromolecules | mamobx | Macromolecules | Polymer synthesis, theory, and characterization | polymers theory synthesis
-biomac | bomaf6 | Biomacromolecules | Biopolymers and biomaterials | polymers biomaterials
-langmuir | langd5 | Langmuir | Surfaces, interfaces, colloids, and soft matter | surfaces interfaces soft-matter
-nanoletters | nalefd | Nano Letters | Nanoscience and nanotechnology | nanomaterials materials
-acsnano | ancac3 | ACS Nano | Nanoscale materials and devices | nanomaterials materials
-chemmater | cmatex | Chemistry of Materials | Materials chemistry and synthesis | materials synthesis
-jpcb | jpcbfk | J. Physical Chemistry B | Soft matter, biological systems, polymers | physical-chemistry soft-matter polymers simulations
-jpca | jpcafh | J. Physical Chemistry A | Spectroscopy, dynamics, theory | physical-chemistry spectroscopy theory
-jpcc | jpccck | J. Physical Chemistry C | Surfaces, interfaces, nanomaterials | physical-chemistry surfaces nanomaterials
-jpclett | jpclcd | J. Physical Chemistry Letters | Communications in physical chemistry | physical-chemistry theory
-jctc | jctcce | J. Chemical Theory and Computation | Computational chemistry, molecular dynamics, ML | computation simulations machine-learning theory
-jcim | jcisd8 | J. Chemical Information and Modeling | Cheminformatics, ML, molecular modeling | computation machine-learning modeling
-jacs | jacsat | J. American Chemical Society | Premier general chemistry journal | general synthesis materials
-acscentral | acscii | ACS Central Science | Multidisciplinary chemistry research | general multidisciplinary
-acsenergyletter | aelccp | ACS Energy Letters | Energy conversion and storage | energy materials
-acsaem | aaemcq | ACS Applied Energy Materials | Energy materials and devices | energy materials
-acscatal | accacs | ACS Catalysis | Heterogeneous, homogeneous, and biocatalysis | catalysis materials
-suschemeng | ascecg | ACS Sustainable Chemistry & Engineering | Green chemistry and sustainability | sustainability green-chemistry
-"""
+
+# Feed code, journal code, journal name, categories.
+CATALOGUE = (
+    ("acsami", "aamick", "ACS Applied Materials & Interfaces", ("materials", "interfaces", "polymers",)),
+    ("acsapm", "aapmcd", "ACS Applied Polymer Materials", ("polymers", "materials",)),
+    ("macromolecules", "mamobx", "Macromolecules", ("polymers", "theory", "synthesis",)),
+    ("biomac", "bomaf6", "Biomacromolecules", ("polymers", "biomaterials",)),
+    ("langmuir", "langd5", "Langmuir", ("surfaces", "interfaces", "soft-matter",)),
+    ("nanoletters", "nalefd", "Nano Letters", ("nanomaterials", "materials",)),
+    ("acsnano", "ancac3", "ACS Nano", ("nanomaterials", "materials",)),
+    ("chemmater", "cmatex", "Chemistry of Materials", ("materials", "synthesis",)),
+    ("jpcb", "jpcbfk", "J. Physical Chemistry B", ("physical-chemistry", "soft-matter", "polymers", "simulations",)),
+    ("jpca", "jpcafh", "J. Physical Chemistry A", ("physical-chemistry", "spectroscopy", "theory",)),
+    ("jpcc", "jpccck", "J. Physical Chemistry C", ("physical-chemistry", "surfaces", "nanomaterials",)),
+    ("jpclett", "jpclcd", "J. Physical Chemistry Letters", ("physical-chemistry", "theory",)),
+    ("jctc", "jctcce", "J. Chemical Theory and Computation", ("computation", "simulations", "machine-learning", "theory",)),
+    ("jcim", "jcisd8", "J. Chemical Information and Modeling", ("computation", "machine-learning", "modeling",)),
+    ("jacs", "jacsat", "J. American Chemical Society", ("general", "synthesis", "materials",)),
+    ("acscentral", "acscii", "ACS Central Science", ("general", "multidisciplinary",)),
+    ("acsenergyletter", "aelccp", "ACS Energy Letters", ("energy", "materials",)),
+    ("acsaem", "aaemcq", "ACS Applied Energy Materials", ("energy", "materials",)),
+    ("acscatal", "accacs", "ACS Catalysis", ("catalysis", "materials",)),
+    ("suschemeng", "ascecg", "ACS Sustainable Chemistry & Engineering", ("sustainability", "green-chemistry",)),
+)
 # Curated bundles of feed codes, and the feed address.
 BUNDLES = {
     "polymer_md": ("jctc", "jpcb", "macromolecules", "acsapm", "langmuir", "jcim"),
@@ -41,13 +40,8 @@ FEED_URL = "https://pubs.acs.org/action/showFeed?type=axatoc&feed=rss&jc="
 
 
 def catalogue(spark: SparkSession) -> DataFrame:
-    rows = []
-    for line in CATALOGUE.strip().splitlines():
-        code, journal, name, about, cats = (p.strip() for p in line.split("|"))
-        rows.append((code, journal, name, about, cats.split()))
-    return spark.createDataFrame(
-        rows, "code string, journal_code string, journal_name string, description string, categories array<string>"
-    )
+    rows = [(code, journal, name, list(cats)) for code, journal, name, cats in CATALOGUE]
+    return spark.createDataFrame(rows, "code string, journal_code string, journal_name string, categories array<string>")
 
 
 def by_category(feeds: DataFrame, category: str) -> DataFrame:
@@ -76,7 +70,7 @@ def fetch_state(log: DataFrame) -> DataFrame:
     one task.
     """
     last_ok = log.where("ok").groupBy("feed_id").agg(F.max("ts").alias("last_successful_fetch_at"))
-    joined = log.join(broadcast_if_small(last_ok), "feed_id", "left")
+    joined = log.join(last_ok, "feed_id", "left")
     after = ~F.col("ok") & (
         F.col("last_successful_fetch_at").isNull() | (F.col("ts") > F.col("last_successful_fetch_at"))
     )

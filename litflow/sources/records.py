@@ -55,6 +55,8 @@ ARXIV_SCHEMA = f"""
 `id` STRING, `title` STRING, `summary` STRING, `published` STRING, `updated` STRING, `author` ARRAY<STRUCT<name: STRING>>,
 `category` ARRAY<STRUCT<_term: STRING>>, `arxiv:doi` STRING, `arxiv:journal_ref` STRING, `link` {_LINK}
 """
+# Inline elements of titles and abstracts; their tags are dropped, their text stays.
+INLINE_MARKUP = r"</?(?:i|b|u|em|strong|italic|bold|sub|sup|DispFormula|mml:[A-Za-z]+)(?:\s[^>]*)?/?>"
 ROW_TAGS = {"rss": "item", "atom": "entry", "pubmed": "PubmedArticle", "arxiv": "entry"}
 SCHEMAS = {
     "rss": RSS_SCHEMA, "atom": ATOM_SCHEMA, "pubmed": PUBMED_SCHEMA, "arxiv": ARXIV_SCHEMA, "scholar": SCHOLAR_SCHEMA,
@@ -194,7 +196,8 @@ def parse(payloads: DataFrame, kind: str, column: str, keep: tuple[str, ...] = (
     if kind == "scholar":
         r = F.from_json(column, schema, options)
     else:
-        r = F.from_xml(F.col(column), schema, {**options, "rowTag": ROW_TAGS[kind]})
+        text = F.regexp_replace(column, INLINE_MARKUP, "") if kind == "pubmed" else F.col(column)
+        r = F.from_xml(text, schema, {**options, "rowTag": ROW_TAGS[kind]})
     rec = payloads.withColumn("_r", r)
     given = None if journal is None else F.col(journal)
     return rec.select(
@@ -206,6 +209,12 @@ def parse(payloads: DataFrame, kind: str, column: str, keep: tuple[str, ...] = (
 def read(spark: SparkSession, kind: str, path: str, journal: str | None = None, streaming: bool = False) -> DataFrame:
     """Papers from landed files, with the file they came from; set ``streaming`` to watch the folder."""
     reader = spark.readStream if streaming else spark.read
+    if kind == "pubmed":
+        # records are cut at their end tag, so that inline markup can go before the XML is read
+        pieces = reader.format("text").option("lineSep", "</PubmedArticle>").load(path).select(F.col("_metadata.file_path").alias("file"), "value")
+        start = F.regexp_extract("value", r"(?s)<PubmedArticle(?=[\s>]).*$", 0)
+        rows = pieces.select("file", start.alias("record")).where("record <> ''").withColumn("record", F.concat("record", F.lit("</PubmedArticle>")))
+        return parse(rows, kind, "record", keep=("file",))
     schema = SCHEMAS[kind].strip() + f", {CORRUPT} STRING"
     if kind == "scholar":
         raw = reader.format("json").schema(schema).option("columnNameOfCorruptRecord", CORRUPT).load(path)

@@ -176,7 +176,7 @@ def test_pagerank_matches_power_iteration(spark):
     assert max(abs(x["pagerank"] - r[x["paper_id"]]) for x in got) < 1e-6
 
 
-def test_seed_choice_is_the_same_on_driver_and_on_cluster(spark):
+def test_seed_choice_by_passes(spark):
     rng = random.Random(6)
     counts: dict[int, int] = {}
     for _ in range(200):
@@ -189,7 +189,7 @@ def test_seed_choice_is_the_same_on_driver_and_on_cluster(spark):
             want.append(i)
             used |= 1 << i
     assert trends.accepted_seeds(masks, 8, 12) == want
-    assert trends.accepted_seeds(masks, 8, 12, driver_limit=3) == want
+    assert trends.accepted_seeds(masks, 8, 12, per_pass=3) == want
 
 
 def test_digest_sections_match_sequential_pick(spark):
@@ -205,16 +205,16 @@ def test_digest_sections_match_sequential_pick(spark):
             n += 1
             want.append((r[1], n, r[3]))
     df = spark.createDataFrame(rows, "user_id string, interest_id string, interest_ord int, paper_id int, title string, total_score double")
-    got = [(r["interest_id"], r["position"], r["paper_id"]) for r in digest.digest_items(df, 3, 0.2, 7).collect()]
+    got = [(r["interest_id"], r["position"], r["paper_id"]) for r in digest.digest_items(df, 0.2, 7).collect()]
     assert sorted(got) == sorted(want)
 
 
-def test_vector_tiles_give_the_same_neighbours_and_silhouette(spark):
+def test_vector_blocks_give_the_same_neighbours_and_silhouette(spark):
     rng = np.random.default_rng(3)
     rows = [(i, i % 3, [float(x) for x in rng.normal(size=6)]) for i in range(60)]
     v = spark.createDataFrame(rows, "paper_id long, cluster_id int, embedding array<double>")
     one = {tuple(r)[:2] + (r["rank"],) for r in similarity.nearest(v, v, 4).collect()}
-    many = {tuple(r)[:2] + (r["rank"],) for r in similarity.nearest(v, v, 4, few=13).collect()}
+    many = {tuple(r)[:2] + (r["rank"],) for r in similarity.nearest(v, v, 4, block=13).collect()}
     assert one == many and len(one) == 240
     a = {r["paper_id"]: r["silhouette"] for r in topics.silhouette(v).collect()}
     b = {r["paper_id"]: r["silhouette"] for r in topics.silhouette(v, tile_rows=11).collect()}
