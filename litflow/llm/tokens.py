@@ -19,7 +19,9 @@ PRINTABLE = (*range(33, 127), *range(161, 173), *range(174, 256))
 
 PART_BYTES = 4 << 20
 #: Pieces whose prefix counts a task remembers.
-REMEMBERED = 400_000
+REMEMBERED = 700_000
+#: Lengths of stems whose states are remembered, longest first.
+STEMS = (9, 6)
 #: Texts of several times the length of any common piece are counted without being remembered.
 LONG_PIECE = 256
 
@@ -44,14 +46,22 @@ class PrefixCounter:
         self.special = [t["content"] for t in spec.get("added_tokens", [])]
         self.split = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
         self.find = regex.compile(PIECES).findall
-        lengths: dict[bytes, set[int]] = {}
-        for t in self.vocab:
-            lengths.setdefault(t[-2:], set()).add(len(t))
-        self.lengths = {k: sorted(v, reverse=True) for k, v in lengths.items()}
-        self.apart: dict[tuple[bytes, bytes], bool] = {}
-        self.whole: dict[bytes, bool] = {}
+        # tokens that stand when encoded alone, read backwards: (node * 256 + byte) gives the next node
+        self.tokens = [t for t in self.vocab if self.merged(t) == [t]]
+        self.steps: dict[int, int] = {}
+        self.ends = [-1]
+        for number, t in enumerate(self.tokens):
+            node = 0
+            for byte in reversed(t):
+                if (found := self.steps.get(node << 8 | byte)) is None:
+                    found = self.steps[node << 8 | byte] = len(self.ends)
+                    self.ends.append(-1)
+                node = found
+            self.ends[node] = number
+        self.apart: dict[int, bool] = {}
+        self.stems: dict[bytes, tuple[list[int], list[int]]] = {}
         self.counts: dict[str, list[int]] = {}
-        self.totals: dict[str, int] = {}
+        self.totals = _Totals(self)
 
     def merged(self, raw: bytes) -> list[bytes]:
         """The tokens of a short byte string, by its merges in order of rank."""
@@ -63,33 +73,43 @@ class PrefixCounter:
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
         return parts
 
-    def _stands(self, token: bytes) -> bool:
-        if (known := self.whole.get(token)) is None:
-            known = self.whole[token] = len(self.merged(token)) == 1
-        return known
-
-    def _apart(self, a: bytes, b: bytes) -> bool:
-        if (known := self.apart.get((a, b))) is None:
-            if len(self.apart) > 2_000_000:
-                self.apart.clear()
-            known = self.apart[a, b] = self.merged(a + b) == [a, b]
+    def _apart(self, pair: int) -> bool:
+        a, b = self.tokens[pair >> 32], self.tokens[pair & 0xFFFFFFFF]
+        if len(self.apart) > 2_000_000:
+            self.apart.clear()
+        known = self.apart[pair] = self.merged(a + b) == [a, b]
         return known
 
     def byte_counts(self, raw: bytes) -> list[int]:
         """Token counts of raw[:0], raw[:1], ..., raw."""
-        counts, last = [0] * (len(raw) + 1), [b""] * (len(raw) + 1)
-        vocab, lengths = self.vocab, self.lengths
-        for end in range(1, len(raw) + 1):
-            tail = raw[end - 2 : end] if end > 1 else raw[:1]
-            options = [*lengths.get(tail, ()), 1] if end > 1 else (1,)
-            for size in options:
-                start = end - size
-                if start < 0:
-                    continue
-                token = raw[start:end]
-                if token in vocab and self._stands(token) and (not start or self._apart(last[start], token)):
-                    counts[end], last[end] = counts[start] + 1, token
-                    break
+        counts, last, done = [0], [0], 0
+        for cut in STEMS:  # what common stems have in store is taken over
+            if len(raw) >= cut and (known := self.stems.get(raw[:cut])) is not None:
+                counts, last, done = [*known[0]], [*known[1]], cut
+                break
+        counts += [0] * (len(raw) - done)
+        last += [0] * (len(raw) - done)
+        step, ends, apart = self.steps.get, self.ends, self.apart.get
+        for end in range(done + 1, len(raw) + 1):
+            node, start, found = 0, end, []
+            while start and (node := step(node << 8 | raw[start - 1])) is not None:
+                start -= 1
+                if (token := ends[node]) >= 0:
+                    found.append((start, token))
+            for start, token in reversed(found):
+                if start:
+                    pair = last[start] << 32 | token
+                    if (ok := apart(pair)) is None:
+                        ok = self._apart(pair)
+                    if not ok:
+                        continue
+                counts[end], last[end] = counts[start] + 1, token
+                break
+        for cut in STEMS:
+            if done < cut <= len(raw):
+                if len(self.stems) >= REMEMBERED:
+                    self.stems.clear()
+                self.stems[raw[:cut]] = counts[: cut + 1], last[: cut + 1]
         return counts
 
     def piece_counts(self, piece: str) -> list[int]:
@@ -116,17 +136,12 @@ class PrefixCounter:
             out += [part] if part in self.special else self.find(part)
         return out
 
-    def total(self, piece: str) -> int:
-        if (known := self.totals.get(piece)) is None:
-            known = 1 if piece in self.special else self.piece_counts(piece)[-1]
-            if len(piece) <= LONG_PIECE:
-                self.totals[piece] = known
-        return known
+    def count(self, pieces: list[str]) -> int:
+        return sum(map(self.totals.__getitem__, pieces))
 
     def sums(self, pieces: list[str]) -> list[int]:
         """Tokens up to the end of each piece."""
-        known = self.totals.get
-        return list(accumulate(n if (n := known(p)) is not None else self.total(p) for p in pieces))
+        return list(accumulate(map(self.totals.__getitem__, pieces)))
 
     def at(self, pieces: list[str], sums: list[int], number: int, inside: int) -> int:
         """Tokens of the text cut ``inside`` code points into piece ``number``.
@@ -146,8 +161,8 @@ class PrefixCounter:
                 first, tail = number - 1, pieces[number - 1] + tail
         before = sums[first - 1] if first else 0
         if first == number and (inside == len(piece) or piece[:1] != "'" and piece not in self.special):
-            return before + (self.total(piece) if inside == len(piece) else self.piece_counts(piece)[inside])
-        return before + sum(self.total(p) for p in self.find(tail))
+            return before + (self.totals[piece] if inside == len(piece) else self.piece_counts(piece)[inside])
+        return before + self.count(self.find(tail))
 
     def prefix_counts(self, text: str) -> list[int]:
         """Tokens of text[:0], text[:1], ..., text: each as if that prefix were encoded alone."""
@@ -167,6 +182,19 @@ class PrefixCounter:
         return done
 
 
+class _Totals(dict):
+    """Tokens of whole pieces, worked out when first asked for."""
+
+    def __init__(self, counter: PrefixCounter):
+        self.counter = counter
+
+    def __missing__(self, piece: str) -> int:
+        n = 1 if piece in self.counter.special else self.counter.piece_counts(piece)[-1]
+        if len(piece) <= LONG_PIECE:
+            self[piece] = n
+        return n
+
+
 _COUNTERS: dict[str, PrefixCounter] = {}
 
 
@@ -193,9 +221,10 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 512, text: str = "text
             out: list[list] = [[], [], [], []]
             for said in part.column(part.schema.get_field_index(text)).to_pylist():
                 pieces = count.pieces(said or "")
-                sums = count.sums(pieces)
-                n = sums[-1] if sums else 0
-                for column, value in zip(out, (len((said or "").encode()), n, n > limit, count.fit(pieces, sums, limit)), strict=True):
+                n = count.count(pieces)
+                first = pieces[: limit + 1]  # each piece has a token: the limit lies in these
+                fits = len(said or "") if n <= limit else count.fit(first, count.sums(first), limit)
+                for column, value in zip(out, (len((said or "").encode()), n, n > limit, fits), strict=True):
                     column.append(value)
             kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.int64())
             yield pa.RecordBatch.from_arrays([*part.columns, *[pa.array(v, k) for v, k in zip(out, kinds, strict=True)]], [*part.schema.names, *names])
