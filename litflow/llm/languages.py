@@ -98,28 +98,32 @@ def fit_svm(x: np.ndarray, y: np.ndarray, penalty: float = 8.0, rounds: int = 30
     return weights
 
 
-def training_sample(docs: DataFrame, per_language: int, most: int, text: str, lang: str, by: str) -> DataFrame:
-    """At most ``per_language`` rows of each language and ``most`` in all, by a hash of the id; texts need a letter.
+def training_sample(docs: DataFrame, per_language: int, most: int, languages: int, text: str, lang: str, by: str) -> DataFrame:
+    """At most ``per_language`` rows of each of the ``languages`` most frequent languages, and ``most`` in all, by a hash
+    of the id; texts need a letter.
 
-    Counts come first, so that only about twice the rows needed are sent to the window that takes the exact number.
+    Counts come first (of whole rows, at most ``languages`` of them), so that only about twice the rows needed are
+    sent to the window that takes the exact number.
     """
-    rows = docs.where(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}")).select(
+    rows = docs.where(F.col(lang).isNotNull()).select(
         F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"), F.xxhash64(F.coalesce(F.col(by).cast("string"), F.lit(""))).alias("turn")
     )
-    counts = rows.groupBy("lang").agg(F.count("*").alias("n"))
-    near = F.pmod("turn", F.lit(1 << 20)) <= F.least(F.lit(1.0), F.lit(2.0 * per_language) / F.col("n")) * (1 << 20)
-    few = rows.join(counts, "lang").where(near | (F.col("n") <= 4 * per_language))
+    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()
+    if not counts:
+        return rows.select("text", "lang").limit(0)
+    share = F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(min(1 << 20, -(-(per_language << 21) // r["count"]))))])
+    few = rows.where(F.pmod("turn", F.lit(1 << 20)) < share[F.col("lang")]).where(F.col("text").rlike(r"\p{L}"))
     place = F.row_number().over(W.partitionBy("lang").orderBy("turn", F.xxhash64("text")))
     return few.withColumn("place", place).where(F.col("place") <= per_language).orderBy("place", "lang").limit(most).select("text", "lang")
 
 
-def learn(docs: DataFrame, text: str = "text", lang: str = "lang", by: str = "doc_id", per_language: int = 800, most: int = 8_000) -> dict:
+def learn(docs: DataFrame, text: str = "text", lang: str = "lang", by: str = "doc_id", per_language: int = 800, most: int = 8_000, languages: int = 200) -> dict:
     """The models: ``langs``, and weights for each pair of families and each pair of languages in a family.
 
     Each pair is fitted in a task of its own on at most ``2 * per_language`` sampled rows of its two sides (families
-    take up to that many rows of their languages together); ``per_language`` and ``most`` bound the sample.
+    take up to that many rows of their languages together); ``per_language``, ``most`` and ``languages`` bound the sample.
     """
-    sample = training_sample(docs, per_language, most, text, lang, by)
+    sample = training_sample(docs, per_language, most, languages, text, lang, by)
 
     def vectors(batches: Iterator[pa.RecordBatch]):
         for part in slices(batches, "text", PART_BYTES):
