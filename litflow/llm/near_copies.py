@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from litflow.llm.common import cut_lineage, lowered, plus, slices, utf8, words_of
+from litflow.llm.common import cut_lineage, lowered, plus, slices, stored, utf8, words_of
 from litflow.llm.components import connected_components
 
 SPACE = np.zeros(256, bool)
@@ -276,15 +276,20 @@ def _join_groups(table: pa.Table, keys: list[str], budget: int):
         yield pa.RecordBatch.from_arrays([pa.array(value[mine][a]), pa.array(value[mine][b])], ["a", "b"])
 
 
-def near_components(docs: DataFrame, budget: int = 4, words: int = 4, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def near_components(
+    docs: DataFrame, budget: int = 4, words: int = 4, doc_id: str = "doc_id", text: str = "text", columns: list[str] | None = None
+) -> DataFrame:
     """Every row with ``simhash`` (long) and ``component_id``: the smallest id that links reach, its own included.
 
     Texts with one fingerprint, and texts without words (fingerprint zero), are linked like any others. Null ids are
     passed over when the smallest is taken; a component with null ids only has a null one. Columns with an output's
-    name are replaced. Texts are read once; only fingerprints are shuffled, joined and linked.
+    name are replaced. Only fingerprints are shuffled, joined and linked. With ``columns`` only these are returned;
+    they are written beside the fingerprints, so that texts are read and hashed once instead of twice.
     """
     kept = docs.drop(*[c for c in docs.columns if c.lower() in ("simhash", "component_id")])
     printed = with_fingerprint(kept, text, words)
+    if columns is not None:
+        printed = stored(printed.select(*columns, "simhash"))
     return with_components(printed, budget, doc_id).drop("__component")
 
 

@@ -86,7 +86,7 @@ def op5_secrets(table):
 
 @query()
 def op6_simhash(table):
-    found = near_copies.near_components(table("documents").select("doc_id", "text"))
+    found = near_copies.near_components(table("documents").select("doc_id", "text"), columns=["doc_id"])
     return found.select("doc_id", F.lower(F.lpad(F.hex("simhash"), 16, "0")).alias("fingerprint"), "component_id")
 
 
