@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from litflow.llm.common import cut_lineage, plus, slices, stored, text_or_empty, utf8
 
-#: Text taken at once; its hashes take about 60 times as much memory.
-PART_BYTES = 2 << 20
+#: Text taken at once; its hashes take about 100 times as much memory.
+PART_BYTES = 1 << 20
 #: Contexts sorted at once, and contexts of one anchor beyond which its windows are split before the sort.
 SORT_ROWS = 16_384
 GROUP_ROWS = 32_768
