@@ -8,13 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from litflow.llm import languages, leaks, mixing, near_copies, secrets
-from litflow.llm.common import cut_lineage
-from litflow.session import ship_package
+from litflow.llm.common import cut_lineage, start
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents whose text has a language; drops those without a letter (``und``)."""
-    ship_package(spark)
+    start(spark)
     model = languages.learn(docs.where(~languages.held_out()))
     columns = docs.columns
     return languages.predict(docs, model).where(F.col("lang_pred") != languages.UNKNOWN).select(*columns)
@@ -22,13 +21,13 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest id of each group of near copies."""
-    ship_package(spark)
+    start(spark)
     return near_copies.keep_one(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts benchmark passages out of the texts; drops documents of which no word is left, if they had any."""
-    ship_package(spark)
+    start(spark)
     found = leaks.find_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     clean = leaks.remove_leaks(found.where("n_hit = 0 OR n_hit < n_words"))
     return _measured(clean).select(*docs.columns)

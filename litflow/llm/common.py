@@ -109,3 +109,21 @@ def plus(fields, ddl: str):
     from pyspark.sql import types as T
 
     return T.StructType([*fields, *T.StructType.fromDDL(ddl).fields])
+
+
+def hashable(df: DataFrame) -> list[str]:
+    """Columns that Spark can hash: all but those with a map or a variant inside."""
+    return [f.name for f in df.schema.fields if not any(k in f.dataType.simpleString() for k in ("map<", "variant"))]
+
+
+def start(spark) -> None:
+    """Ships the package, and keeps Arrow batches small: a batch is held by the executor and by Python at once."""
+    ship_package(spark)
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(rows)) > BATCH_ROWS or int(spark.conf.get(rows)) <= 0:
+        spark.conf.set(rows, BATCH_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
+#: Rows and bytes of an Arrow batch.
+BATCH_ROWS, BATCH_BYTES = 2_000, 8 << 20

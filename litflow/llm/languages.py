@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from litflow.llm.common import cut_lineage, lowered, plus, slices, text_or_empty, utf8
+from litflow.llm.common import cut_lineage, lowered, plus, slices, utf8
 
 #: Families of languages by ISO code; a language that is not listed is a family of its own.
 FAMILIES = {
@@ -187,17 +187,17 @@ def predict(docs: DataFrame, model: dict, text: str = "text") -> DataFrame:
     families = sorted({family_of(x) for x in langs})
     members = {f: [x for x in langs if family_of(x) == f] for f in families}
     kept = docs.drop(*[c for c in docs.columns if c.lower() in ("lang_pred", "score")])
-    rest = F.struct(*[F.col(c) for c in kept.columns]).alias("row")
-    rows = kept.select(rest, text_or_empty(text).alias("text"), F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)).alias("letters"))
+    rows = kept.withColumn("__letters", F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)))
+    columns = kept.columns
 
     def run(batches: Iterator[pa.RecordBatch]):
-        for part in slices(batches, "text", PART_BYTES):
+        for part in slices(batches, text, PART_BYTES):
             for lo in range(0, part.num_rows, ROWS):
                 piece = part.slice(lo, ROWS)
-                letters = piece.column(2).to_numpy(zero_copy_only=False)
+                letters = piece.column(len(columns)).to_numpy(zero_copy_only=False)
                 name, score = np.full(piece.num_rows, UNKNOWN, object), np.zeros(piece.num_rows)
                 if langs and letters.any():
-                    x = features(*utf8(piece.column(1)))
+                    x = features(*utf8(piece.column(columns.index(text))))
                     family, clear = _vote(x, families, "family", weights)
                     chance = 1 / (1 + np.exp(-4 * clear))
                     for f, names in enumerate(families):
@@ -206,9 +206,9 @@ def predict(docs: DataFrame, model: dict, text: str = "text") -> DataFrame:
                             lang, near = _vote(x[mine], members[names], "lang", weights)
                             name[mine] = np.array(members[names], object)[lang]
                             score[mine] = chance[mine] / (1 + np.exp(-4 * near))
-                yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(name.tolist(), pa.string()), pa.array(score)], ["row", "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*piece.columns[:-1], pa.array(name.tolist(), pa.string()), pa.array(score)], [*columns, "lang_pred", "score"])
 
-    return rows.mapInArrow(run, plus([rows.schema["row"]], "lang_pred string, score double")).select("row.*", "lang_pred", "score")
+    return rows.mapInArrow(run, plus(kept.schema.fields, "lang_pred string, score double"))
 
 
 def held_out(by: str = "doc_id"):

@@ -8,10 +8,9 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from litflow.llm.common import cut_lineage, lowered, plus, slices, stored, utf8, words_of
+from litflow.llm.common import cut_lineage, hashable, lowered, plus, slices, stored, utf8, words_of
 from litflow.llm.components import connected_components
 
 SPACE = np.zeros(256, bool)
@@ -294,7 +293,7 @@ def near_components(
 
 
 def with_components(printed: DataFrame, budget: int = 4, doc_id: str = "doc_id") -> DataFrame:
-    """``__component`` is the fingerprint that names the component."""
+    """Rows that have a ``simhash`` with ``component_id`` and ``__component``, the fingerprint that names the component."""
     narrow = cut_lineage(printed.groupBy("simhash").agg(F.min(doc_id).alias("least")))
     parts = connected_components(fingerprint_links(narrow, budget))
     joined = narrow.join(parts, F.col("simhash") == F.col("node"), "left").withColumn("__component", F.coalesce("component", "simhash"))
@@ -304,9 +303,14 @@ def with_components(printed: DataFrame, budget: int = 4, doc_id: str = "doc_id")
 
 
 def keep_one(docs: DataFrame, budget: int = 4, words: int = 4, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row of each component: that with the smallest id; of rows that share it, the first by a hash of all columns."""
-    rest = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), F.col(doc_id).alias("id"), F.col(text).alias("text"))
-    found = with_components(with_fingerprint(rest, "text", words), budget, "id")
-    best = found.where(F.col("id").eqNullSafe(F.col("component_id")))
-    first = F.row_number().over(W.partitionBy("__component").orderBy(F.xxhash64("row")))
-    return best.withColumn("first", first).where("first = 1").select("row.*")
+    """One row of each component: that with the smallest id; of several rows with it, the first by a hash of their columns.
+
+    Components are found from ids and hashes, written once; then one shuffle brings whole rows to the hashes kept.
+    """
+    columns = hashable(docs)
+    keyed = docs.withColumns({"__k1": F.xxhash64(*columns), "__k2": F.xxhash64(F.lit(1), *columns)})
+    printed = with_fingerprint(keyed.select("__k1", "__k2", F.col(doc_id).alias("id"), F.col(text).alias("text")), "text", words)
+    narrow = stored(printed.select("__k1", "__k2", "id", "simhash"))
+    first = with_components(narrow, budget, "id").where(F.col("id").eqNullSafe(F.col("component_id")))
+    kept = first.groupBy("__component").agg(F.min(F.struct("__k1", "__k2")).alias("k")).select("k.*")
+    return keyed.dropDuplicates(["__k1", "__k2"]).join(kept, ["__k1", "__k2"], "left_semi").select(*docs.columns)

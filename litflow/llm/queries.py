@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from litflow.llm import chat, languages, leaks, mixing, near_copies, prints, repeats, secrets, tokens, urls
-from litflow.session import ship_package
+from litflow.llm.common import start
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -17,7 +17,7 @@ ORACLES: dict[str, str] = {}
 def query(sql: str | None = None):
     def add(fn):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            ship_package(spark)
+            start(spark)
             return fn(lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
         run.__name__, run.__doc__ = fn.__name__, fn.__doc__

@@ -136,7 +136,8 @@ def find_secrets(docs: DataFrame, rules: Sequence[Rule] = RULES, text: str = "te
     Null text counts as empty. Equal texts share their postings; rows keep their number. A column named ``secrets``
     is replaced, others pass.
     """
-    rest = F.struct(*[F.col(c) for c in docs.columns if c.lower() != "secrets"]).alias("row")
+    names = [c for c in docs.columns if c.lower() != "secrets"]
+    rest = F.struct(F.col(text).isNull().alias("missing"), *[F.col(c) for c in names if c != text]).alias("row")
     rows = docs.select(rest, text_or_empty(text).alias("text")).withColumn("key", F.xxhash64("text"))
     wanted = sorted({t for r in rules if not scans_fully(r) for way in trigram_query(r.pattern) for t in way})
     spans = [_none()]
@@ -147,7 +148,8 @@ def find_secrets(docs: DataFrame, rules: Sequence[Rule] = RULES, text: str = "te
         run = F.lit(True) if scans_fully(rule) else F.coalesce(F.col("rules").bitwiseAND(F.lit(1 << i).cast("bigint")) != 0, F.lit(False))
         has = run & F.col("text").rlike(rule.pattern)
         spans.append(F.when(has, rule_spans(F.col("text"), rule, i)).otherwise(_none()))
-    return rows.withColumn("secrets", F.sort_array(F.flatten(F.array(*spans)))).select("row.*", "secrets")
+    back = [F.when(~F.col("row")["missing"], F.col("text")).alias(c) if c == text else F.col("row")[c].alias(c) for c in names]
+    return rows.withColumn("secrets", F.sort_array(F.flatten(F.array(*spans)))).select(*back, "secrets")
 
 
 def digest(secrets: Column, rules: Sequence[Rule] = RULES, only: int | None = None) -> Column:
