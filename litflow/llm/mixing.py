@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from litflow.llm.common import cut_lineage, text_or_empty
+from litflow.llm.common import cut_lineage, hashable, text_or_empty
 
 WORDS = "[^\\x20\\x09-\\x0D]+"
 #: A document's expected copies are held as whole 2**-24ths: their sums do not depend on the order of addition.
@@ -69,7 +69,7 @@ def mix(
     id_text = F.coalesce(F.col(doc_id).cast("string"), F.lit(""))
     buckets = max(1, -(-docs.count() // bucket_rows))
     rows = docs.select(
-        rest, words.alias("size"), F.col(doc_id).alias("id"), F.xxhash64(*docs.columns).alias("tie"),
+        rest, words.alias("size"), F.col(doc_id).alias("id"), F.xxhash64(*hashable(docs)).alias("tie"),
         F.when(F.col(source).isNull(), "").otherwise(F.concat(F.lit("="), F.col(source).cast("string"))).alias("key"),
         F.pmod(_hashed(id_text, 8), F.lit(buckets)).alias("bucket"),
     )
@@ -81,7 +81,7 @@ def mix(
     unit = F.lit(1 << UNIT_BITS)
     plan = source_targets(sizes, weights, cap).select(
         "key", "source_size", "target",
-        F.coalesce(F.round(F.least(F.lit(float(cap)), F.try_divide(F.col("target"), F.col("source_size"))) * unit), F.lit(0)).cast("bigint").alias("step"),
+        F.when(F.col("source_size") > 0, F.round(F.least(F.lit(float(cap)), F.try_divide(F.col("target"), F.col("source_size"))) * unit)).otherwise(0).cast("bigint").alias("step"),
         _hashed(F.concat(F.lit(seed), F.col("key")), UNIT_BITS // 4).alias("offset"),
     )
     earlier = W.unboundedPreceding, -1

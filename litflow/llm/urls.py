@@ -63,12 +63,11 @@ def rule_for(host: Column, path: Column, rules: Sequence[UrlRule]) -> Column:
 
 
 def node_of(url: Column) -> Column:
-    """Two urls that differ in scheme, fragment, default port or a slash at the end only are one node; null has none."""
+    """Two urls that differ in scheme, fragment or default port only are one node; null, and one without ``://``, has none."""
     rest = F.regexp_replace(_after_scheme(url), r"(?s)#.*$", "")
     host = F.regexp_replace(host_of(url), r":(80|443)$", "")
-    path = F.regexp_replace(path_of(url), r"(?s)/+$", "")
     query = F.regexp_extract(rest, r"(?s)\?(.*)$", 1)
-    return F.when(F.contains(url, F.lit("://")), F.xxhash64(host, path, query))
+    return F.when(F.contains(url, F.lit("://")), F.xxhash64(host, path_of(url), query))
 
 
 def links_in(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
