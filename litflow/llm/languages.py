@@ -26,7 +26,8 @@ FAMILIES = {
 UNKNOWN = "und"
 
 #: Hash buckets of byte n-grams of one length, and these lengths.
-BUCKETS, GRAMS = 4096, (2, 3, 4)
+BUCKET_BITS, GRAMS = 11, (2, 3, 4)
+BUCKETS = 1 << BUCKET_BITS
 WIDTH = BUCKETS * len(GRAMS)
 #: Rows whose features are held at once.
 ROWS = 128
@@ -63,7 +64,7 @@ def features(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
             value = value * np.uint32(0x01000193) + low[j : j + m] + np.uint32(1)
         value ^= value >> np.uint32(15)
         value *= np.uint32(0x2C1B3C6D)
-        bucket = (value >> np.uint32(32 - 12)).astype(np.int64)
+        bucket = (value >> np.uint32(32 - BUCKET_BITS)).astype(np.int64)
         inside = row[:m] == row[size - 1 :]
         counts = np.bincount(row[:m][inside] * BUCKETS + bucket[inside], minlength=n * BUCKETS)
         out[:, k * BUCKETS : (k + 1) * BUCKETS] = counts.reshape(n, BUCKETS)
@@ -72,16 +73,16 @@ def features(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.divide(out, norm, out=out, where=norm > 0)
 
 
-def fit_svm(x: np.ndarray, y: np.ndarray, penalty: float = 8.0, rounds: int = 30) -> np.ndarray:
-    """Weights (the last one is the bias) of a linear SVM with squared hinge loss, by dual coordinate descent.
+def fit_svm(rows: np.ndarray, y: np.ndarray, penalty: float = 8.0, rounds: int = 30) -> np.ndarray:
+    """Weights of a linear SVM with squared hinge loss, by dual coordinate descent.
 
-    ``y`` is 1 or -1. The two sides weigh alike however many rows they have.
+    ``y`` is 1 or -1. The last column of ``rows`` is 1, its weight the bias. The two sides weigh alike however many
+    rows they have.
     """
-    n = len(x)
-    rows = np.hstack([x, np.ones((n, 1), np.float32)]).astype(np.float32)
+    n = len(rows)
     share = np.where(y > 0, n / (2 * max(1, (y > 0).sum())), n / (2 * max(1, (y < 0).sum())))
     diagonal = 1 / (2 * penalty * share)
-    square = (rows * rows).sum(axis=1) + diagonal
+    square = np.einsum("ij,ij->i", rows, rows) + diagonal
     weights, alpha = np.zeros(rows.shape[1], np.float32), np.zeros(n)
     rng = np.random.default_rng(7)
     for _ in range(rounds):
@@ -117,7 +118,7 @@ def training_sample(docs: DataFrame, per_language: int, most: int, languages: in
     return few.withColumn("place", place).where(F.col("place") <= per_language).orderBy("place", "lang").limit(most).select("text", "lang")
 
 
-def learn(docs: DataFrame, text: str = "text", lang: str = "lang", by: str = "doc_id", per_language: int = 800, most: int = 8_000, languages: int = 200) -> dict:
+def learn(docs: DataFrame, text: str = "text", lang: str = "lang", by: str = "doc_id", per_language: int = 600, most: int = 6_000, languages: int = 200) -> dict:
     """The models: ``langs``, and weights for each pair of families and each pair of languages in a family.
 
     Each pair is fitted in a task of its own on at most ``2 * per_language`` sampled rows of its two sides (families
@@ -149,10 +150,13 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang", by: str = "do
         def fit(frame: pd.DataFrame) -> pd.DataFrame:
             pair = frame["pair"].iloc[0]
             one = pair.split("\t")[1]
-            x = np.stack([np.frombuffer(v, np.float16) for v in frame["x"]]).astype(np.float32)
-            order = np.lexsort((frame["x"].to_numpy(), frame["side"].to_numpy()))  # the same rows give the same weights
-            y = np.where(frame["side"].to_numpy()[order] == one, 1.0, -1.0)
-            return pd.DataFrame({"pair": [pair], "w": [fit_svm(x[order], y).astype(np.float32).tobytes()]})
+            vectors, side = frame["x"].to_numpy(), frame["side"].to_numpy()
+            order = np.lexsort((vectors, side))  # the same rows give the same weights
+            rows = np.ones((len(order), WIDTH + 1), np.float32)
+            for i, k in enumerate(order):
+                rows[i, :-1] = np.frombuffer(vectors[k], np.float16)
+            weights = fit_svm(rows, np.where(side[order] == one, 1.0, -1.0))
+            return pd.DataFrame({"pair": [pair], "w": [weights.astype(np.float32).tobytes()]})
 
         fitted = spread.groupBy("pair").applyInPandas(fit, "pair string, w binary")
         weights = {r["pair"]: np.frombuffer(bytes(r["w"]), np.float32) for r in fitted.collect()}
