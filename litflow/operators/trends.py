@@ -244,6 +244,11 @@ def topic_evolution(snapshots: DataFrame, n: int = 30, tie: str = "snapshot_id")
     )
 
 
+def topic_history(snapshots: DataFrame, n: int = 30, tie: str = "snapshot_id", values: Sequence[str] = ("trend_score",)) -> DataFrame:
+    """The kept snapshots of each topic, one row each: when, and the values that were held (score, paper count, ...)."""
+    return keep_snapshots(snapshots, n, tie).select("topic_id", "ts", *values)
+
+
 def related_trends(topic_table: DataFrame, k: int = 5) -> DataFrame:
     """Topics that share keywords, by Jaccard similarity: ``(topic_id, other_id, similarity, rank)``."""
     kw = topic_table.select(

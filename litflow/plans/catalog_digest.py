@@ -50,9 +50,13 @@ def section_stats(spark, sf_dir):
     return digest.sections(digest.digest_items(s, FLOOR, CAP), s, FLOOR).drop("user_id")
 
 
-@register("w16_nested_digest")
+@register("w16_nested_digest", sql(*DIGEST_CTES, body="""
+SELECT 'u0' AS user_id, string_agg(said, '/' ORDER BY interest_id) AS sections FROM
+(SELECT interest_id, interest_id || '=' || string_agg(position || ':' || paper_id, ',' ORDER BY position) AS said FROM items GROUP BY interest_id)"""))
 def nested(spark, sf_dir):
-    return digest.nested_digest(items(spark, sf_dir))
+    n = digest.nested_digest(items(spark, sf_dir))
+    listed = lambda s: F.array_join(F.transform(s["papers"], lambda p: F.concat_ws(":", p["position"].cast("string"), p["paper_id"].cast("string"))), ",")
+    return n.select("user_id", F.array_join(F.transform("sections", lambda s: F.concat_ws("=", s["interest_id"], listed(s))), "/").alias("sections"))
 
 
 SUMMARY_SQL = r"""
@@ -195,6 +199,35 @@ def kmeans(spark, sf_dir):
     return topics.cluster_embeddings(vectors(spark, sf_dir))[0]
 
 
+@register("m1_kmeans_facts", "SELECT count(*) AS points, count(*) AS nearest_to_own, true AS large_enough FROM embeddings")
+def kmeans_facts(spark, sf_dir):
+    """Every point is assigned once, and to the centroid nearest to it; no kept cluster is below the least size."""
+    a, c = topics.cluster_embeddings(vectors(spark, sf_dir), min_size=1)
+    v = vectors(spark, sf_dir).select("paper_id", "embedding")
+    centre = F.array_sort(F.collect_list(F.struct("cluster_id", "centroid"))).alias("centres")  # at most 20 centroids
+    gap = lambda p, q: F.aggregate(F.zip_with(p, q, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, d: s + d)
+    near = v.crossJoin(c.agg(centre)).select("paper_id", F.array_min(F.transform("centres", lambda k: F.struct(gap(F.col("embedding"), k["centroid"]).alias("gap"), k["cluster_id"].alias("id")))).alias("best"))
+    both = a.join(near, "paper_id")
+    size = topics.cluster_embeddings(vectors(spark, sf_dir))[0].where("cluster_id IS NOT NULL").groupBy("cluster_id").count().agg((F.min("count") >= topics.MIN_SIZE).alias("large_enough"))
+    return both.agg(F.count("*").alias("points"), F.count_if(F.col("best.id") == F.col("cluster_id")).alias("nearest_to_own")).crossJoin(size)
+
+
+@register("m3_lda_facts", "SELECT count(*) AS papers, 5 AS topics, true AS shares_sum_to_one, 50 AS keywords FROM documents")
+def lda_facts(spark, sf_dir):
+    """Every paper has one topic, shares are a distribution, each topic has ten words."""
+    a, t = topics.lda_topics(papers(spark, sf_dir), 5, iterations=5, min_size=1)
+    n = a.where("cluster_id IS NOT NULL").agg(F.count("*").alias("papers"))
+    return n.crossJoin(t.agg(F.count("*").alias("topics"), F.sum("share").between(0.99, 1.0 + 1e-6).alias("shares_sum_to_one"), F.sum(F.size("keywords")).alias("keywords")))
+
+
+@register("x18_embedding_facts", "SELECT count(*) AS papers, 768 AS dims, true AS unit_length, count(DISTINCT lower(trim(text))) AS texts FROM documents")
+def embedding_facts(spark, sf_dir):
+    """Vectors of one length and norm 1, equal for equal texts only."""
+    p = papers(spark, sf_dir).select(F.col("abstract").alias("t"))
+    e = p.select(vx.hashed_embedder()(F.col("t")).alias("e"))
+    return e.agg(F.count("*").alias("papers"), F.max(F.size("e")).alias("dims"), (F.max(F.abs(vx.norm(F.col("e")) - 1)) < 1e-5).alias("unit_length"), F.countDistinct("e").alias("texts"))
+
+
 @register("m2_auto_k_clusters")
 def auto_k(spark, sf_dir):
     return topics.cluster_auto_k(vectors(spark, sf_dir))[0]

@@ -119,9 +119,22 @@ def jaccard(spark, sf_dir):
     return graph.coupled_papers(refs(spark, sf_dir), 0.6).withColumn("jaccard", F.round("jaccard", 6))
 
 
-@register("m7_a22_research_fronts")
+@register("m7_a22_research_fronts", sql(EDGES_SQL, SETS_SQL, """
+recent AS (SELECT DISTINCT paper_id FROM nodes WHERE year >= 2021),
+sets AS (SELECT src, list_sort(list(dst)) AS s FROM refs JOIN recent ON paper_id = src GROUP BY src),
+rep AS (SELECT min(src) AS ord, s, len(s) AS n, row_number() OVER (ORDER BY min(src)) AS i FROM sets GROUP BY s),
+tok AS (SELECT i, n, unnest(s) AS dst FROM rep),
+near AS (SELECT a.i, b.i AS j FROM tok a JOIN tok b ON a.dst = b.dst AND b.i < a.i GROUP BY a.i, b.i HAVING count(*) / CAST(any_value(a.n + b.n) - count(*) AS DOUBLE) >= 0.5e0),
+rec AS MATERIALIZED (SELECT rep.i, coalesce(list(j) FILTER (WHERE j IS NOT NULL), CAST([] AS BIGINT[])) AS nb FROM rep LEFT JOIN near ON near.i = rep.i GROUP BY rep.i),
+walk(i, kept, lead) AS (SELECT CAST(0 AS BIGINT), CAST([] AS BIGINT[]), CAST(NULL AS BIGINT) UNION ALL
+  SELECT r.i, CASE WHEN len(list_intersect(r.nb, w.kept)) = 0 THEN list_append(w.kept, r.i) ELSE w.kept END, coalesce(list_min(list_intersect(r.nb, w.kept)), r.i) FROM walk w JOIN rec r ON r.i = w.i + 1),
+member AS (SELECT l.ord AS front, src AS paper_id, citation_count FROM walk w JOIN rep l ON l.i = w.lead JOIN rep m ON m.i = w.i JOIN sets ON sets.s = m.s JOIN nodes ON nodes.paper_id = src),
+size AS (SELECT front, count(*) AS size, avg(citation_count) AS mean_citations FROM member GROUP BY front HAVING count(*) >= 3),
+ranked AS (SELECT *, row_number() OVER (ORDER BY mean_citations DESC, front) AS rank FROM size)""", body="""
+SELECT front, paper_id, size, round(mean_citations, 6) AS mean_citations, rank FROM member JOIN ranked USING (front)""").replace("WITH ", "WITH RECURSIVE ", 1))
 def fronts(spark, sf_dir):
-    return graph.research_fronts(nodes(spark, sf_dir), refs(spark, sf_dir), as_of(), 3, 0.5)
+    f = graph.research_fronts(nodes(spark, sf_dir), refs(spark, sf_dir), as_of(), 3, 0.5)
+    return f.withColumn("mean_citations", F.round("mean_citations", 6))
 
 
 NETWORK_SQL = """
@@ -217,6 +230,28 @@ def author_similarity(spark, sf_dir):
     return similarity.by_authors(p, p, 20).select("query_id", "paper_id", "reason", "rank")
 
 
+IN_TABLE = AUT_SQL.replace("FROM paper_authors)", "FROM paper_authors WHERE paper_id IN (SELECT vec_id FROM embeddings))").format(k=10)
+COMBINED = """
+rows AS (SELECT query_id, paper_id, s AS e, 0e0 AS c, 0e0 AS a FROM knn WHERE rank <= 20
+  UNION ALL SELECT query_id, paper_id, 0e0, citation_similarity, 0e0 FROM cit UNION ALL SELECT query_id, paper_id, 0e0, 0e0, 1e0 FROM aut),
+tot AS (SELECT query_id, paper_id, max(e) * 0.5e0 + max(c) * 0.3e0 + max(a) * 0.2e0 AS s FROM (SELECT * FROM rows WHERE query_id IN (SELECT vec_id FROM embeddings)) GROUP BY ALL)"""
+FEW_CIT = CIT_SQL.format(k=10).replace("direct AS", "direct10 AS").replace("FROM direct", "FROM direct10").replace("direct1010", "direct10").replace("myrefs", "myrefs10").replace("page", "page10").replace("coupled", "coupled10").replace("cit0", "cit010").replace("cit AS", "cit10 AS")
+
+
+@register("w8_find_similar", sql(EDGES_SQL, AUTHORS_SQL, VEC_SQL, CIT_SQL.format(k=20), FEW_CIT, IN_TABLE, COMBINED, body="""
+SELECT 'embedding' AS method, query_id, paper_id, rank FROM knn WHERE rank <= 10
+UNION ALL SELECT 'citation', query_id, paper_id, rank FROM cit10 WHERE query_id IN (SELECT vec_id FROM embeddings)
+UNION ALL SELECT 'author', query_id, paper_id, rank FROM aut
+UNION ALL SELECT 'combined', query_id, paper_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, paper_id) AS rank FROM tot) WHERE rank <= 10"""))
+def find_similar(spark, sf_dir):
+    p = vectors(spark, sf_dir).join(papers(spark, sf_dir, authors=True).select("paper_id", "year", "authors"), "paper_id")
+    out = None
+    for method in similarity.METHODS:
+        one = similarity.find_similar(p, p, edges(spark, sf_dir), method, 10).select(F.lit(method).alias("method"), "query_id", "paper_id", "rank")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 @register("j10_w8_combined_similarity", sql(EDGES_SQL, AUTHORS_SQL, VEC_SQL, CIT_SQL.format(k=20), AUT_SQL.format(k=10), """
 rows AS (SELECT query_id, paper_id, s AS e, 0e0 AS c, 0e0 AS a, 'High semantic similarity' AS reason FROM knn WHERE rank <= 20
   UNION ALL SELECT query_id, paper_id, 0e0, citation_similarity, 0e0, reason FROM cit UNION ALL SELECT query_id, paper_id, 0e0, 0e0, 1e0, reason FROM aut),

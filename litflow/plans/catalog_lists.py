@@ -286,11 +286,17 @@ def renumber(spark, sf_dir):
     return reading.renumber(x).select("list_id", "item_id", "position")
 
 
-@register("w12_merge_lists")
+@register("w12_merge_lists", sql(LISTS_SQL, """
+o AS (SELECT *, row_number() OVER (ORDER BY list_name, position, item_id) AS rn FROM items),
+walk(rn, ids, titles) AS (SELECT 0, CAST([] AS VARCHAR[]), CAST([] AS VARCHAR[]) UNION ALL
+  SELECT x.rn, list_append(w.ids, x.paper_id), list_append(w.titles, x.title) FROM walk w,
+    LATERAL (SELECT arg_min(paper_id, rn) AS paper_id, arg_min(title, rn) AS title, min(rn) AS rn FROM o WHERE o.rn > w.rn AND NOT list_contains(w.ids, o.paper_id) AND NOT list_contains(w.titles, o.title)) x WHERE x.rn IS NOT NULL)""", body="""
+SELECT item_id, paper_id, title, CASE WHEN source = '' THEN list_name ELSE source END AS source, array_to_string(tags, ',') || ',from:' || list_name AS tags,
+  CAST(NULL AS INTEGER) AS rating, CAST(NULL AS TIMESTAMP) AS started_at, row_number() OVER (ORDER BY rn) - 1 AS position FROM o JOIN walk USING (rn)""").replace("WITH ", "WITH RECURSIVE ", 1))
 def merge_lists(spark, sf_dir):
     x = items(spark, sf_dir)
     m = reading.merge_lists(x, "merged", ["list_name", "position", "item_id"])
-    return m.select("item_id", "paper_id", "title", "source", F.array_join("tags", ",").alias("tags"))
+    return m.select("item_id", "paper_id", "title", "source", F.array_join("tags", ",").alias("tags"), "rating", "started_at", "position")
 
 
 @register("w13_split_by_tag", sql(LISTS_SQL, body="""

@@ -13,8 +13,10 @@ from litflow.plans.views import AS_OF, AUTHORS_SQL, INTERESTS, PAPERS_SQL, paper
 from litflow.streaming import jobs
 
 
-def stream_papers(spark, sf_dir, authors=False):
-    p = paper_columns(jobs.table_stream(spark, sf_dir, "documents.parquet"))
+def stream_papers(spark, sf_dir, authors=False, repeated=True):
+    """Documents over several micro-batches; a seventh of them comes twice."""
+    docs = table(spark, sf_dir, "documents")
+    p = paper_columns(jobs.landed_stream(docs, 3, docs.where("doc_id % 7 = 0") if repeated else None))
     return with_authors(spark, sf_dir, p) if authors else p
 
 
@@ -50,7 +52,7 @@ def alerts(spark, sf_dir):
 SELECT strftime(date_trunc('day', created_at), '%Y-%m-%d') AS day, term, count(*) AS n FROM (SELECT created_at, unnest(w || list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS term FROM toks JOIN papers USING (paper_id)) GROUP BY ALL"""))
 def timeline(spark, sf_dir):
     path = jobs.scratch_path(spark, "timeline")
-    jobs.run_to(jobs.stream_timeline(stream_papers(spark, sf_dir)), path, "update")
+    jobs.run_to(jobs.stream_timeline(stream_papers(spark, sf_dir, repeated=False), delay="5 days"), path, "update")
     out = jobs.read_out(spark, path)
     # counts only grow, so the largest upsert of a window is the current one
     return out.groupBy(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "term").agg(F.max("n").alias("n"))
@@ -83,7 +85,7 @@ def state(spark, sf_dir):
 @register("t4_stream_item_state", sql(LOG_SQL, body=STATE_BODY))
 def stream_state(spark, sf_dir):
     path = jobs.scratch_path(spark, "state")
-    jobs.run_to(jobs.item_state(log(jobs.table_stream(spark, sf_dir, "events.parquet"))), path, "update")
+    jobs.run_to(jobs.item_state(log(jobs.landed_stream(table(spark, sf_dir, "events"), 4))), path, "update")
     return shown(jobs.latest_state(jobs.read_out(spark, path)))
 
 
@@ -95,6 +97,6 @@ def annotations(spark, sf_dir):
 @register("t5_stream_sent_once", sql(body="SELECT DISTINCT user_id, event_type FROM events").replace("WITH \n", ""))
 def sent_once(spark, sf_dir):
     path = jobs.scratch_path(spark, "sent")
-    e = jobs.table_stream(spark, sf_dir, "events.parquet").select("user_id", "event_type", F.col("ts").cast("timestamp").alias("sent_at"))
+    e = jobs.landed_stream(table(spark, sf_dir, "events"), 4, table(spark, sf_dir, "events").where("event_id % 5 = 0")).select("user_id", "event_type", F.col("ts").cast("timestamp").alias("sent_at"))
     jobs.run_to(jobs.sent_once(e, ["user_id", "event_type"]), path)
     return jobs.read_out(spark, path).select("user_id", "event_type")

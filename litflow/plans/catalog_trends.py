@@ -243,6 +243,13 @@ def keep(spark, sf_dir):
     return trends.keep_snapshots(snapshots(spark, sf_dir)).select("topic_id", "snapshot_id", "trend_score")
 
 
+@register("a16_topic_history", sql(KEPT_SQL, body="SELECT topic_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS at, value AS trend_score, event_id % 97 AS paper_count FROM kept"))
+def history(spark, sf_dir):
+    counted = snapshots(spark, sf_dir).withColumn("paper_count", F.col("snapshot_id") % 97)
+    h = trends.topic_history(counted, values=("trend_score", "paper_count"))
+    return h.select("topic_id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("at"), "trend_score", "paper_count")
+
+
 @register("a16_topic_evolution", sql(KEPT_SQL, """
 o AS (SELECT *, row_number() OVER (PARTITION BY topic_id ORDER BY ts, event_id) AS i, count(*) OVER (PARTITION BY topic_id) AS c FROM kept),
 g AS (SELECT topic_id, arg_max(value, i) AS current_score, avg(value) AS average_score, max(value) AS peak_score, min(value) AS min_score, count(*) AS data_points,

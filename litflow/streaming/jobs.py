@@ -33,6 +33,16 @@ def table_stream(spark: SparkSession, folder: str, file_name: str) -> DataFrame:
     return spark.readStream.schema(schema).option("pathGlobFilter", file_name).parquet(folder)
 
 
+def landed_stream(df: DataFrame, files: int = 3, repeated: DataFrame | None = None) -> DataFrame:
+    """A table landed as several files, read as a stream of one file per micro-batch; ``repeated`` rows land once more."""
+    spark = df.sparkSession
+    path = scratch_path(spark, "landed")
+    df.repartition(files).write.parquet(path)
+    if repeated is not None:
+        repeated.coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
 def run_to(
     stream: DataFrame, path: str, mode: str = "append", prepare: Callable[[DataFrame, int], DataFrame] | None = None
 ) -> None:
