@@ -15,6 +15,7 @@ from litflow.session import local_session
 HEADLINE = (
     "w2_digest_top_k", "x3_keyword_score", "x13_x15_tfidf_fitted_score", "a10_keyword_timeline", "w3_citation_velocity",
     "w7_embedding_knn", "m5_pagerank", "k6_components_by_id", "a8_list_stats", "w9_suggest_next", "s1_x23_x24_x25_x27_rss_items",
+    "k5_u3_similar_titles", "k6_greedy_by_id", "j11_reference_jaccard", "w11_reorder_items", "m2_auto_k_clusters", "t1_stream_ingest",
 )
 
 

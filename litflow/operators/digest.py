@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 import pandas as pd
@@ -95,15 +95,25 @@ def nested_digest(items: DataFrame) -> DataFrame:
         F.sort_array(F.collect_list(F.struct("interest_ord", "interest_id", "papers"))).alias("sections"))
 
 
-def enrich(items: DataFrame, interests: Sequence[Interest], n: int = 10) -> DataFrame:
-    """Summary, relevance note and tags for the first ``n`` papers of each section."""
+def high_priority(scored: DataFrame, min_score: float = 0.1, levels: Sequence[str] = ("immediate", "weekly")) -> DataFrame:
+    """Scored papers of the given priorities with at least ``min_score``."""
+    return scored.where(F.col("priority").isin(*levels) & (F.col("total_score") >= min_score))
+
+
+def enrich(
+    items: DataFrame, interests: Sequence[Interest], n: int = 10, summarise: Callable[[Column, Column], Column] = tx.extractive_summary
+) -> DataFrame:
+    """Summary, relevance note and tags for the first ``n`` papers of each section.
+
+    ``summarise`` maps title and abstract to a summary; it may wrap a ``pandas_udf``, which gets papers in batches.
+    """
     note: Column = F.lit(None).cast("string")
     for i in interests:
         text = tx.relevance_note(i.name, i.keywords, F.col("abstract"), F.col("total_score"))
         note = F.when(F.col("interest_id") == i.interest_id, text).otherwise(note)
     first = F.col("position") <= n
     return items.withColumns({
-        "summary": F.when(first, tx.extractive_summary(F.col("title"), F.col("abstract"))),
+        "summary": F.when(first, summarise(F.col("title"), F.col("abstract"))),
         "why_relevant": F.when(first, note),
         "tags": relevance_tags(),
         "authors_display": tx.authors_display(F.col("authors")),
@@ -140,11 +150,13 @@ def author_join(papers: DataFrame, followed: DataFrame) -> DataFrame:
 
     Names match only with equal last names and, when both have a first name, equal initials: the
     join runs on both, so a common last name is spread by initial. Names without a first name match
-    every bearer of the last name and are joined on it alone.
+    every bearer of the last name and are joined on it alone. Equal names are matched once, papers and
+    followers come back afterwards: a name that many papers or followers share costs no pairs of them before that.
     """
-    a = papers.select("paper_id", F.explode("authors").alias("author")).distinct()
-    a = a.withColumn("a", author_parts_column(F.col("author")))
-    b = followed.select("follower", "followed").distinct().withColumn("b", author_parts_column(F.col("followed")))
+    bearers = papers.select("paper_id", F.explode("authors").alias("author")).distinct()
+    fans = followed.select("follower", "followed").distinct()
+    a = bearers.select("author").distinct().withColumn("a", author_parts_column(F.col("author")))
+    b = fans.select("followed").distinct().withColumn("b", author_parts_column(F.col("followed")))
 
     def key(df: DataFrame, p: str) -> DataFrame:
         return df.withColumns({
@@ -155,5 +167,5 @@ def author_join(papers: DataFrame, followed: DataFrame) -> DataFrame:
     named = a.where("ai <> ''").join(b.where("bi <> ''"), (F.col("al") == F.col("bl")) & (F.col("ai") == F.col("bi")) & same)
     bare = a.where("ai = ''").join(b, F.col("al") == F.col("bl"))
     rest = a.where("ai <> ''").join(b.where("bi = ''"), F.col("al") == F.col("bl"))
-    out = ["paper_id", "author", "follower", "followed"]
-    return named.select(*out).unionByName(bare.select(*out)).unionByName(rest.select(*out))
+    pairs = named.select("author", "followed").unionByName(bare.select("author", "followed")).unionByName(rest.select("author", "followed"))
+    return bearers.join(pairs, "author").join(fans, "followed").select("paper_id", "author", "follower", "followed")

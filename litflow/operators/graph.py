@@ -5,6 +5,7 @@ A graph is ``edges(src, dst)`` (src cites dst) and ``nodes(paper_id, year, citat
 
 from __future__ import annotations
 
+import math
 
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
@@ -194,14 +195,18 @@ def similar_sets(refs: DataFrame, threshold: float = 0.3) -> tuple[DataFrame, Da
     prefix = F.col("size") - F.ceil(F.col("size") * threshold) + 1
     idx = cut_lineage(placed.where(F.col("pos") <= prefix).select("dst", "set_id", "size", "pos"))
     salts = idx.groupBy("dst").agg(F.ceil(F.count("*") / HOT_TOKEN_ROWS).cast("int").alias("k"))
+    # sets whose sizes differ by more than the threshold allows are never in neighbouring bands of size
+    band = F.floor(F.log("size") / math.log(1 / threshold) + 1e-9).cast("int")
+    idx = idx.withColumn("band", band)
     left = idx.join(salts, "dst").withColumn("salt", F.pmod(F.xxhash64("set_id"), F.col("k")).cast("int")).drop("k")
     right = idx.join(salts, "dst").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).drop("k")
+    right = right.withColumn("band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)))
     a, b = left.alias("a"), right.alias("b")
     alpha = F.ceil((F.col("a.size") + F.col("b.size")) * (threshold / (1 + threshold)) - 1e-9)
     reachable = 1 + F.least(F.col("a.size") - F.col("a.pos"), F.col("b.size") - F.col("b.pos")) >= alpha
     sizes = (F.col("a.size") >= F.col("b.size") * threshold) & (F.col("b.size") >= F.col("a.size") * threshold)
     cand = (
-        a.join(b, (F.col("a.dst") == F.col("b.dst")) & (F.col("a.salt") == F.col("b.salt"))
+        a.join(b, (F.col("a.dst") == F.col("b.dst")) & (F.col("a.salt") == F.col("b.salt")) & (F.col("a.band") == F.col("b.band"))
                & (F.col("a.set_id") < F.col("b.set_id")) & sizes & reachable)
         .select(F.col("a.set_id").alias("set_a"), F.col("b.set_id").alias("set_b"),
                 F.col("a.size").alias("size_a"), F.col("b.size").alias("size_b")).distinct()

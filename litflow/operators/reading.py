@@ -215,6 +215,12 @@ def move_items(items: DataFrame, picked: Column, target: Column) -> DataFrame:
     return moved.withColumn("position", place).drop("_moved", "_from", "_at")
 
 
+def tag_union(items: DataFrame) -> DataFrame:
+    """``(list_id, tags)``: the distinct tags of a list's items, sorted; made distinct before they are gathered."""
+    tags = items.select("list_id", F.explode("tags").alias("tag")).distinct()
+    return tags.groupBy("list_id").agg(F.sort_array(F.collect_list("tag")).alias("tags"))
+
+
 def split_by_tag(items: DataFrame, tag: str, new_list: Column) -> DataFrame:
     """Items that carry ``tag`` move to ``new_list``; the others stay."""
     return items.withColumn("list_id", F.when(F.array_contains("tags", tag), new_list).otherwise(F.col("list_id")))

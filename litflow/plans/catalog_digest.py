@@ -83,7 +83,7 @@ FROM items i JOIN ({' UNION ALL '.join(_note(i) for i in INTERESTS)}) USING (pap
 def enriched(spark, sf_dir):
     it = items(spark, sf_dir)
     text = papers(spark, sf_dir, authors=True).select("paper_id", "abstract", "authors")
-    e = digest.enrich(text.join(F.broadcast(it), "paper_id"), INTERESTS, 4)  # items: cap * interests rows
+    e = digest.enrich(text.join(it, "paper_id"), INTERESTS, 4)
     return e.select("interest_id", "position", "why_relevant", "authors_display", "score_percent")
 
 

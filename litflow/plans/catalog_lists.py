@@ -327,8 +327,7 @@ def copy(spark, sf_dir):
 @register("w14_tag_union", sql(LISTS_SQL, body="""
 SELECT list_id, array_to_string(list_sort(list(DISTINCT tag)), ',') AS tags FROM (SELECT list_id, unnest(tags) AS tag FROM items) GROUP BY list_id"""))
 def tag_union(spark, sf_dir):
-    t = items(spark, sf_dir).select("list_id", F.explode("tags").alias("tag")).distinct()
-    return t.groupBy("list_id").agg(F.array_join(F.sort_array(F.collect_set("tag")), ",").alias("tags"))
+    return reading.tag_union(items(spark, sf_dir)).select("list_id", F.array_join("tags", ",").alias("tags"))
 
 
 @register("s9_bibtex", sql(LISTS_SQL, body="""

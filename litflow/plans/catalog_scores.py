@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from litflow.functions import text as tx
 from litflow.functions import vectors as vx
+from litflow.operators.digest import high_priority as top_priority
 from litflow.operators import ranking, scoring
 from litflow.operators.scoring import ScoringConfig, score_papers
 from litflow.plans.registry import register
@@ -289,7 +290,7 @@ def section_counts(spark, sf_dir):
     "SELECT interest_id, paper_id, round(total_score, 6) AS total_score FROM scored WHERE priority IN ('immediate', 'weekly') AND total_score >= 0.1e0"))
 def high_priority(spark, sf_dir):
     s = scored(spark, sf_dir)
-    return s.where(F.col("priority").isin("immediate", "weekly") & (F.col("total_score") >= 0.1)).select(
+    return top_priority(s).select(
         "interest_id", "paper_id", F.round("total_score", 6).alias("total_score"))
 
 

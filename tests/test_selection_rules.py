@@ -225,3 +225,56 @@ def test_vector_blocks_give_the_same_neighbours_and_silhouette(spark):
     own = d[0][lab == 0].sum() / 19
     other = min(d[0][lab == c].mean() for c in (1, 2))
     assert abs(a[0] - (other - own) / max(own, other)) < 1e-9
+
+
+def test_long_conflict_chains_settle(spark):
+    n = 5000
+    rows = [(i, i, f"g{i // 2}a") for i in range(n)] + [(i, i, f"g{(i + 1) // 2}b") for i in range(n)]
+    got = {r["node"]: r["is_leader"] for r in greedy_representatives(spark.createDataFrame(rows, "node int, ord int, grp string")).collect()}
+    assert [got[i] for i in range(n)] == [i % 2 == 0 for i in range(n)]
+    large = {r["node"]: r["is_leader"] for r in greedy_representatives(spark.createDataFrame([r for r in rows if r[0] < 60], "node int, ord int, grp string"), rounds=3, local_rows=10).collect()}
+    assert [large[i] for i in range(60)] == [i % 2 == 0 for i in range(60)]
+
+
+def test_titles_that_normalise_to_nothing_are_equal(spark):
+    rows = [(0, "...", None), (1, "!!", None), (2, "?", ["Ann Lee"]), (3, "a title", None)]
+    df = spark.createDataFrame(rows, "ord int, title string, authors array<string>")
+    nodes = {r["ord"]: r["node"] for r in linkage.title_nodes(df).collect()}
+    got = {(r["node_a"], r["node_b"]) for r in linkage.similar_titles(df).collect()}
+    assert nodes[0] == nodes[1] and got == {(nodes[0], nodes[2])}
+
+
+def test_items_without_id_do_not_collapse(spark):
+    from litflow.operators import reading
+
+    rows = [("l", None, "A", 0), ("l", None, "B", 1), ("l", None, "A", 2), ("l", "7", "C", 3), ("l", "7", "D", 4), ("l", None, None, 5), ("l", None, None, 6)]
+    df = spark.createDataFrame(rows, "list_id string, paper_id string, title string, position int")
+    got = sorted(r["position"] for r in reading.distinct_items(df, ["position"]).collect())
+    assert got == [0, 1, 3, 5]
+
+
+def test_network_depth_of_a_capped_walk(spark):
+    edges = spark.createDataFrame([(0, i) for i in range(1, 30)], "src int, dst int")
+    n, e = graph.build_network(edges, 0, depth=2, max_nodes=10)
+    assert graph.graph_stats(n, e, 10).first()["depth_reached"] == 0
+    n, e = graph.build_network(edges, 0, depth=2, max_nodes=100)
+    assert graph.graph_stats(n, e, 100).first()["depth_reached"] == 1
+
+
+def test_digest_counts_the_sections_itself(spark):
+    rows = [("u", f"i{k}", k, p, f"T{p}", 1.0 - p / 100) for k in range(5) for p in range(12)]
+    df = spark.createDataFrame(rows, "user_id string, interest_id string, interest_ord int, paper_id int, title string, total_score double")
+    got = {(r["interest_id"], r["paper_id"]) for r in digest.digest_items(df, 0.1, 2).collect()}
+    assert got == {(f"i{k}", p) for k in range(5) for p in (2 * k, 2 * k + 1)}
+
+
+def test_batch_embedder_takes_texts_in_batches(spark):
+    from litflow.functions import vectors as vx
+
+    def model(texts):
+        assert len(texts) <= 2
+        return np.array([[len(t), 1.0] for t in texts])
+
+    df = spark.createDataFrame([(i, "x" * i if i != 3 else None) for i in range(7)], "i int, t string").coalesce(1)
+    got = {r["i"]: r["v"] for r in df.select("i", vx.batch_embedder(model, 2)(F.col("t")).alias("v")).collect()}
+    assert got[3] is None and got[5] == [5.0, 1.0]
