@@ -23,12 +23,23 @@ PART_BYTES = 2 << 20
 TRIE_ROWS = 1_000_000
 
 
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
 def simhashes(raw: np.ndarray, at: np.ndarray, words: int = 4) -> np.ndarray:
     """One fingerprint for each row of a UTF-8 buffer."""
+    return simhash_table(raw, at, words, 1)[:, 0]
+
+
+def simhash_table(raw: np.ndarray, at: np.ndarray, words: int, prints: int) -> np.ndarray:
+    """``prints`` fingerprints for each row: the first from the shingles' hashes, others from these hashes mixed anew."""
     raw = lowered(raw)
     starts, ends, rows = words_of(raw, at, ~SPACE)
     counts = np.diff(rows)
-    out = np.zeros(len(counts), np.uint64)
+    out = np.zeros((len(counts), prints), np.uint64)
     if not len(starts):
         return out
     # words one after the other, a space after each
@@ -48,23 +59,30 @@ def simhashes(raw: np.ndarray, at: np.ndarray, words: int = 4) -> np.ndarray:
     left, right = begin[first].tolist(), (begin[last] + size[last] - 1).tolist()
     hashes = np.fromiter((digest(text[a:b], SEED) for a, b in zip(left, right, strict=True)), np.uint64, len(left))
     full = np.flatnonzero(n)
-    set_bits = np.add.reduceat(np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"), (np.cumsum(n) - n)[full], axis=0, dtype=np.int64)
-    bits = (set_bits * 2 > n[full, None]).astype(np.uint8)
-    out[full] = np.packbits(bits, axis=1, bitorder="little").view(np.uint64).ravel()
+    for k in range(prints):
+        if k:
+            hashes = _mixed(hashes + np.uint64(0x9E3779B97F4A7C15))
+        set_bits = np.add.reduceat(np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"), (np.cumsum(n) - n)[full], axis=0, dtype=np.int32)
+        bits = (set_bits * 2 > n[full, None]).astype(np.uint8)
+        out[full, k] = np.packbits(bits, axis=1, bitorder="little").view(np.uint64).ravel()
     return out
 
 
-def with_fingerprint(docs: DataFrame, text: str = "text", words: int = 4, name: str = "simhash") -> DataFrame:
-    """Adds the fingerprint as a long (its 64 bits); null text and text without words: zero."""
+def with_fingerprint(docs: DataFrame, text: str = "text", words: int = 4, name: str = "simhash", prints: int | None = None) -> DataFrame:
+    """Adds the fingerprint as a long (its 64 bits), or an array of ``prints`` of them; null text and text without words: zero."""
     kept = docs.drop(*[c for c in docs.columns if c.lower() == name])
 
     def run(batches):
         for part in slices(batches, text, PART_BYTES):
             raw, at = utf8(part.column(part.schema.get_field_index(text)))
-            prints = pa.array(simhashes(raw, at, words).view(np.int64))
-            yield pa.RecordBatch.from_arrays([*part.columns, prints], [*part.schema.names, name])
+            if prints is None:
+                found = pa.array(simhashes(raw, at, words).view(np.int64))
+            else:
+                table = simhash_table(raw, at, words, prints).view(np.int64)
+                found = pa.ListArray.from_arrays(pa.array(np.arange(len(table) + 1) * prints, pa.int32()), pa.array(table.ravel()))
+            yield pa.RecordBatch.from_arrays([*part.columns, found], [*part.schema.names, name])
 
-    return kept.mapInArrow(run, plus(kept.schema.fields, f"{name} bigint"))
+    return kept.mapInArrow(run, plus(kept.schema.fields, f"{name} bigint" if prints is None else f"{name} array<bigint>"))
 
 
 # ---------------------------------------------------------------- trie
@@ -191,8 +209,8 @@ def _blocks(rows: int, budget: int) -> tuple[int, int]:
     return 16, 16 - budget
 
 
-def fingerprint_links(prints: DataFrame, budget: int = 4, name: str = "simhash") -> DataFrame:
-    """Links (a, b) that join all distinct values within ``budget`` differing bits into their components.
+def fingerprint_links(values: DataFrame, budget: int = 4) -> DataFrame:
+    """Links (print, a, b) that join all distinct values ``v`` of a ``print`` within ``budget`` differing bits into components.
 
     A value goes to one group for each choice of blocks, with the chosen blocks turned to the front, so that the first
     levels of the trie are equal there by choice and the trie joins the rest. A group beyond ``TRIE_ROWS`` is dealt
@@ -200,9 +218,8 @@ def fingerprint_links(prints: DataFrame, budget: int = 4, name: str = "simhash")
     """
     from itertools import combinations
 
-    values = prints.select(F.col(name).alias("v")).distinct()
-    values = cut_lineage(values)
-    n, chosen = _blocks(values.count(), budget)
+    sizes = values.agg(F.count("*").alias("n"), F.countDistinct("print").alias("p")).first()
+    n, chosen = _blocks(sizes["n"] // max(1, sizes["p"]), budget)
     edges = [round(i * 64 / n) for i in range(n + 1)]
     turns = []
     for choice in combinations(range(n), chosen):
@@ -215,18 +232,18 @@ def fingerprint_links(prints: DataFrame, budget: int = 4, name: str = "simhash")
             turned = turned.bitwiseOR(F.shiftleft(piece, 64 - bits))
         depth = sum(edges[i + 1] - edges[i] for i in choice)
         turns.append(F.struct(F.lit(len(turns)).alias("turn"), F.shiftrightunsigned(turned, 64 - depth).alias("front"), turned.alias("turned"), F.lit(depth).alias("depth")))
-    spread = values.select("v", F.explode(F.array(*turns)).alias("t")).select("t.*", "v")
-    hot = spread.groupBy("turn", "front").count().where(F.col("count") > TRIE_ROWS).select("turn", "front", F.ceil(F.col("count") / (TRIE_ROWS // 2)).cast("int").alias("parts"))
+    spread = values.select("print", "v", F.explode(F.array(*turns)).alias("t")).select("print", "t.*", "v")
+    hot = spread.groupBy("print", "turn", "front").count().where(F.col("count") > TRIE_ROWS).select("print", "turn", "front", F.ceil(F.col("count") / (TRIE_ROWS // 2)).cast("int").alias("parts"))
     own = F.pmod(F.xxhash64("v"), F.col("parts")).cast("int")
     pairs = F.transform(
         F.sequence(F.lit(0), F.col("parts") - 1), lambda o: F.struct(F.least(o, F.col("own")).alias("p"), F.greatest(o, F.col("own")).alias("q"))
     )
     dealt = (
-        spread.join(hot, ["turn", "front"], "left").withColumn("own", F.when(F.col("parts").isNull(), 0).otherwise(own))
+        spread.join(hot, ["print", "turn", "front"], "left").withColumn("own", F.when(F.col("parts").isNull(), 0).otherwise(own))
         .withColumn("pair", F.explode(F.when(F.col("parts").isNull(), F.array(F.struct(F.lit(0).alias("p"), F.lit(0).alias("q")))).otherwise(pairs)))
-        .select("turn", "front", "pair.p", "pair.q", "turned", "depth", "v")
+        .select("print", "turn", "front", "pair.p", "pair.q", "turned", "depth", "v")
     )
-    keys = ["turn", "front", "p", "q"]
+    keys = ["print", "turn", "front", "p", "q"]
 
     def run(batches):
         held: list[pa.RecordBatch] = []
@@ -244,7 +261,7 @@ def fingerprint_links(prints: DataFrame, budget: int = 4, name: str = "simhash")
         if held:
             yield from _join_groups(pa.Table.from_batches(held), keys, budget)
 
-    return dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a bigint, b bigint")
+    return dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "print int, a bigint, b bigint")
 
 
 def _last_group(table: pa.Table, keys: list[str]) -> int:
@@ -272,7 +289,22 @@ def _join_groups(table: pa.Table, keys: list[str], budget: int):
         mine = np.flatnonzero(depth == d)
         runs = heads[depth[heads] == d]
         a, b = trie_links(turned[mine], np.searchsorted(mine, runs), int(d), budget)
-        yield pa.RecordBatch.from_arrays([pa.array(value[mine][a]), pa.array(value[mine][b])], ["a", "b"])
+        number = table.column("print").to_numpy()[mine][a]
+        yield pa.RecordBatch.from_arrays([pa.array(number, pa.int32()), pa.array(value[mine][a]), pa.array(value[mine][b])], ["print", "a", "b"])
+
+
+def print_components(rows: DataFrame, budget: int = 4) -> DataFrame:
+    """(node, component) of the nodes that share a value with another or have one within the budget of another's.
+
+    ``rows``: (node, prints), any number of rows per node. Values are compared print by print; a value stands for the
+    smallest node that has it. Nodes without a link are left out.
+    """
+    each = rows.select("node", F.posexplode("prints").alias("print", "v"))
+    values = stored(each.groupBy("print", "v").agg(F.min("node").alias("rep")))
+    same = each.join(values, ["print", "v"]).where("node <> rep").select(F.col("node").alias("a"), F.col("rep").alias("b"))
+    one, two = values.select("print", F.col("v").alias("a"), F.col("rep").alias("x")), values.select("print", F.col("v").alias("b"), F.col("rep").alias("y"))
+    near = fingerprint_links(values, budget).join(one, ["print", "a"]).join(two, ["print", "b"]).select(F.col("x").alias("a"), F.col("y").alias("b"))
+    return connected_components(same.unionByName(near))
 
 
 def near_components(
@@ -295,22 +327,29 @@ def near_components(
 def with_components(printed: DataFrame, budget: int = 4, doc_id: str = "doc_id") -> DataFrame:
     """Rows that have a ``simhash`` with ``component_id`` and ``__component``, the fingerprint that names the component."""
     narrow = cut_lineage(printed.groupBy("simhash").agg(F.min(doc_id).alias("least")))
-    parts = connected_components(fingerprint_links(narrow, budget))
+    parts = print_components(narrow.select(F.col("simhash").alias("node"), F.array("simhash").alias("prints")), budget)
     joined = narrow.join(parts, F.col("simhash") == F.col("node"), "left").withColumn("__component", F.coalesce("component", "simhash"))
     least = joined.groupBy("__component").agg(F.min("least").alias("component_id"))
     labels = joined.join(least, "__component").select(F.col("simhash").alias("__print"), "__component", "component_id")
     return printed.join(labels, F.col("simhash") == F.col("__print")).drop("__print")
 
 
-def keep_one(docs: DataFrame, budget: int = 4, words: int = 4, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def keep_one(
+    docs: DataFrame, budget: int = 4, words: int = 4, doc_id: str = "doc_id", text: str = "text", prints: int = 1
+) -> DataFrame:
     """One row of each component: that with the smallest id; of several rows with it, the first by a hash of their columns.
 
-    Components are found from ids and hashes, written once; then one shuffle brings whole rows to the hashes kept.
+    Texts are linked if any of their ``prints`` fingerprints are within the budget: more of them find more of the less
+    similar copies. Components are found from ids and hashes, written once; then one shuffle brings whole rows to the
+    hashes kept.
     """
     columns = hashable(docs)
     keyed = docs.withColumns({"__k1": F.xxhash64(*columns), "__k2": F.xxhash64(F.lit(1), *columns)})
-    printed = with_fingerprint(keyed.select("__k1", "__k2", F.col(doc_id).alias("id"), F.col(text).alias("text")), "text", words)
-    narrow = stored(printed.select("__k1", "__k2", "id", "simhash"))
-    first = with_components(narrow, budget, "id").where(F.col("id").eqNullSafe(F.col("component_id")))
-    kept = first.groupBy("__component").agg(F.min(F.struct("__k1", "__k2")).alias("k")).select("k.*")
+    printed = with_fingerprint(keyed.select("__k1", "__k2", F.col(doc_id).alias("id"), F.col(text).alias("text")), "text", words, "prints", prints)
+    narrow = stored(printed.select("__k1", "__k2", "id", "prints"))
+    parts = print_components(narrow.select(F.col("__k1").alias("node"), "prints"), budget)
+    labelled = narrow.join(parts, F.col("__k1") == F.col("node"), "left").withColumn("component", F.coalesce("component", "__k1"))
+    # the smallest id first, null last, then the hash
+    first = F.min(F.struct(F.col("id").isNull(), "id", "__k1", "__k2"))
+    kept = labelled.groupBy("component").agg(first.alias("k")).select("k.__k1", "k.__k2")
     return keyed.dropDuplicates(["__k1", "__k2"]).join(kept, ["__k1", "__k2"], "left_semi").select(*docs.columns)
