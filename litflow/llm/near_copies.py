@@ -20,7 +20,7 @@ SEED = 42
 #: Text taken at once; its shingle hashes and their bits take about 30 times as much memory.
 PART_BYTES = 2 << 20
 #: Fingerprints of one trie at most; larger groups go in pairs of parts.
-TRIE_ROWS = 1_000_000
+TRIE_ROWS = 200_000
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -103,8 +103,8 @@ def _labels(n: int, a: np.ndarray, b: np.ndarray, start: np.ndarray) -> np.ndarr
             return label
 
 
-#: Node pairs worked on at once.
-FRONT = 1 << 20
+#: Node pairs worked on at once; each is at most 16 pairs of values when it is small enough to be compared directly.
+FRONT = 1 << 16
 
 
 def trie_links(prints: np.ndarray, heads: np.ndarray, depth: int, budget: int) -> tuple[np.ndarray, np.ndarray]:
@@ -124,7 +124,7 @@ def trie_links(prints: np.ndarray, heads: np.ndarray, depth: int, budget: int) -
     def counted(level: int) -> np.ndarray:
         if ones[level] is None:
             bit = (prints >> np.uint64(63 - level)) & np.uint64(1)
-            ones[level] = np.concatenate([[0], np.cumsum(bit, dtype=np.int64)])
+            ones[level] = np.concatenate([[0], np.cumsum(bit, dtype=np.int32)]).astype(np.int32)
         return ones[level]
 
     for allowed in range(1, budget + 1):
@@ -155,7 +155,7 @@ def trie_links(prints: np.ndarray, heads: np.ndarray, depth: int, budget: int) -
                     found_b.append(y[ok])
                     pending += int(ok.sum())
             go = ~one & ~small
-            if pending > 4 * FRONT:  # what was found so far is folded in, and prunes the rest
+            if pending > 16 * FRONT:  # what was found so far is folded in, and prunes the rest
                 label, change, pending = _fold(n, label, found_a, found_b, kept_a, kept_b)
             if not go.any() or level >= 64:
                 continue
