@@ -126,4 +126,4 @@ def start(spark) -> None:
 
 
 #: Rows and bytes of an Arrow batch.
-BATCH_ROWS, BATCH_BYTES = 2_000, 8 << 20
+BATCH_ROWS, BATCH_BYTES = 1_000, 4 << 20

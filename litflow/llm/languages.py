@@ -30,8 +30,8 @@ BUCKET_BITS, GRAMS = 11, (2, 3, 4)
 BUCKETS = 1 << BUCKET_BITS
 WIDTH = BUCKETS * len(GRAMS)
 #: Rows whose features are held at once.
-ROWS = 128
-PART_BYTES = 2 << 20
+ROWS = 64
+PART_BYTES = 3 << 18
 
 IN_WORD = np.zeros(256, bool)
 IN_WORD[97:123] = IN_WORD[128:] = True

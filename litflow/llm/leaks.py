@@ -17,7 +17,7 @@ IN_WORD = np.zeros(256, bool)
 IN_WORD[0x30:0x3A] = IN_WORD[0x61:0x7B] = IN_WORD[0x80:] = True
 
 #: Text of one shard; its index takes about 25 times as much memory.
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 1 << 20
 #: Every so many positions of the indexed sequence keep their place.
 SAMPLE_EVERY = 16
 #: Benchmark text that goes to the tasks at once; a larger benchmark goes in blocks, each over all documents.

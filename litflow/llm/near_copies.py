@@ -18,7 +18,7 @@ SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 SEED = 42
 #: Text taken at once; its shingle hashes and their bits take about 30 times as much memory.
-PART_BYTES = 2 << 20
+PART_BYTES = 3 << 18
 #: Fingerprints of one trie at most; larger groups go in pairs of parts.
 TRIE_ROWS = 200_000
 
