@@ -12,7 +12,7 @@ from litflow.llm.common import cut_lineage, start
 
 
 #: SimHash fingerprints of each document in the near-duplicate stage, and bits in which linked ones may differ.
-PRINTS, BITS = 8, 5
+PRINTS, BITS = 16, 5
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

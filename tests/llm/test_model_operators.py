@@ -248,6 +248,32 @@ def test_repeats_in_a_whole_table_and_an_empty_one(spark):
 # ---------------------------------------------------------------- pipeline
 
 
+def shingles(text):
+    w = text.lower().split()
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+
+def jaccard(a, b):
+    a, b = shingles(a), shingles(b)
+    return len(a & b) / len(a | b)
+
+
+def test_fingerprints_of_the_pipeline_find_most_copies_from_similarity_080():
+    rng = random.Random(4)
+    pairs = []
+    while len(pairs) < 400:
+        w = [f"w{rng.randrange(5000)}" for _ in range(120)]
+        c = list(w)
+        for _ in range(rng.randint(1, 3)):
+            c[rng.randrange(120)] = "new"
+        if 0.8 <= jaccard(" ".join(w), " ".join(c)) < 0.9:
+            pairs += [" ".join(w), " ".join(c)]
+    raw, at = utf8(pa.array(pairs, pa.large_string()))
+    table = near_copies.simhash_table(raw, at, 5, corpus_pipeline.PRINTS)
+    found = lambda n: np.mean(np.bitwise_count(table[::2, :n] ^ table[1::2, :n]).min(axis=1) <= corpus_pipeline.BITS)
+    assert corpus_pipeline.PRINTS >= 12 and found(corpus_pipeline.PRINTS) >= 0.8 > found(8)
+
+
 def test_pipeline_stage_by_stage(spark):
     docs_ = spark.read.parquet(f"{SF}/documents.parquet")
     extra = [(9000, "12345 !!", None, "src0", 8), (9001, None, "en", "src0", None), (9002, "", "en", None, 0)]
