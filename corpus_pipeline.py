@@ -13,6 +13,8 @@ from litflow.llm.common import cut_lineage, start
 
 #: SimHash fingerprints of each document in the near-duplicate stage, and bits in which linked ones may differ.
 PRINTS, BITS = 16, 5
+#: Jaccard similarity, in hundredths, from which two texts are near copies.
+PERCENT = 80
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,7 +26,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group of near copies.
+    """Keeps the document with the smallest id of each group that fingerprint links alone join; not a stage, since some links are false.
 
     Shingles have five words. One fingerprint within four bits finds a third of the copies of similarity 0.9;
     ``PRINTS`` of them within ``BITS`` find nearly all, and most from 0.8 on.
@@ -33,6 +35,16 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return near_copies.keep_one(docs, budget=BITS, words=5, prints=PRINTS)
 
 
+def drop_checked_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document with the smallest id of each group of near copies.
+
+    The fingerprint links of ``drop_near_copies`` are candidates; one holds if the five-word shingles of both texts have
+    a Jaccard similarity of ``PERCENT`` or more.
+    """
+    start(spark)
+    return near_copies.keep_one(docs, budget=BITS, words=5, prints=PRINTS, percent=PERCENT)
+
+
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts benchmark passages out of the texts; drops documents of which no word is left, if they had any."""
     start(spark)
@@ -59,7 +71,7 @@ def _measured(docs: DataFrame) -> DataFrame:
 
 STAGES = [
     ("language_id", identify_language),
-    ("simhash_near_dedup", drop_near_copies),
+    ("simhash_near_dedup", drop_checked_copies),
     ("benchmark_decontamination", decontaminate),
     ("secret_scans", redact_secrets),
     ("mixing", mix_sources),

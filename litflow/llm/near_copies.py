@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from litflow.llm.common import cut_lineage, hashable, lowered, plus, slices, stored, utf8, words_of
@@ -34,14 +35,13 @@ def simhashes(raw: np.ndarray, at: np.ndarray, words: int = 4) -> np.ndarray:
     return simhash_table(raw, at, words, 1)[:, 0]
 
 
-def simhash_table(raw: np.ndarray, at: np.ndarray, words: int, prints: int) -> np.ndarray:
-    """``prints`` fingerprints for each row: the first from the shingles' hashes, others from these hashes mixed anew."""
+def shingle_hashes(raw: np.ndarray, at: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of all shingles, row after row, and how many each row has; a row without words has none."""
     raw = lowered(raw)
     starts, ends, rows = words_of(raw, at, ~SPACE)
     counts = np.diff(rows)
-    out = np.zeros((len(counts), prints), np.uint64)
     if not len(starts):
-        return out
+        return np.zeros(0, np.uint64), np.zeros(len(counts), np.int64)
     # words one after the other, a space after each
     size = ends - starts + 1
     begin = np.cumsum(size) - size
@@ -57,7 +57,15 @@ def simhash_table(raw: np.ndarray, at: np.ndarray, words: int, prints: int) -> n
     last = first + np.minimum(counts, words)[row_of] - 1
     text, digest = spaced.tobytes(), xxhash.xxh64_intdigest
     left, right = begin[first].tolist(), (begin[last] + size[last] - 1).tolist()
-    hashes = np.fromiter((digest(text[a:b], SEED) for a, b in zip(left, right, strict=True)), np.uint64, len(left))
+    return np.fromiter((digest(text[a:b], SEED) for a, b in zip(left, right, strict=True)), np.uint64, len(left)), n
+
+
+def simhash_table(raw: np.ndarray, at: np.ndarray, words: int, prints: int) -> np.ndarray:
+    """``prints`` fingerprints for each row: the first from the shingles' hashes, others from these hashes mixed anew."""
+    hashes, n = shingle_hashes(raw, at, words)
+    out = np.zeros((len(n), prints), np.uint64)
+    if not len(hashes):
+        return out
     full = np.flatnonzero(n)
     for k in range(prints):
         if k:
@@ -194,6 +202,60 @@ def _fold(n, label, found_a, found_b, kept_a, kept_b):
     return new, np.concatenate([[0], np.cumsum(new[1:] != new[:-1])]), 0
 
 
+def trie_pairs(prints: np.ndarray, label: np.ndarray, heads: np.ndarray, depth: int, budget: int):
+    """Yields all pairs of places whose labels differ and whose values differ in ``budget`` bits or fewer, some at a time.
+
+    Like ``trie_links``, but values are sorted and may repeat, and nothing is pruned except pairs of one label. Equal
+    values of several labels are split by halves once all bits are used up.
+    """
+    tails = np.append(heads[1:], len(prints))
+    change = np.concatenate([[0], np.cumsum(label[1:] != label[:-1])])
+    ones = {}
+    many = tails - heads > 1
+    stack = [(depth, heads[many], tails[many], heads[many], tails[many], np.zeros(int(many.sum()), np.int8))]
+    while stack:
+        level, *sides = stack.pop()
+        if len(sides[0]) > FRONT:
+            half = len(sides[0]) // 2
+            stack += [(level, *[x[half:] for x in sides]), (level, *[x[:half] for x in sides])]
+            continue
+        al, ah, bl, bh, err = sides
+        one = (change[ah - 1] == change[al]) & (change[bh - 1] == change[bl]) & (label[al] == label[bl])
+        small = ~one & ((ah - al) * (bh - bl) <= 16)
+        if small.any():
+            sa, sb, na, nb = al[small], bl[small], (ah - al)[small], (bh - bl)[small]
+            total = na * nb
+            base = np.repeat(np.arange(len(total)), total)
+            k = np.arange(int(total.sum())) - np.repeat(np.cumsum(total) - total, total)
+            x, y = sa[base] + k // nb[base], sb[base] + k % nb[base]
+            ok = (x < y) & (label[x] != label[y]) & (np.bitwise_count(prints[x] ^ prints[y]) <= budget)
+            if ok.any():
+                yield x[ok], y[ok]
+        go = ~one & ~small
+        if not go.any():
+            continue
+        al, ah, bl, bh, err = al[go], ah[go], bl[go], bh[go], err[go]
+        if level < 64:
+            if level not in ones:
+                ones[level] = np.concatenate([[0], np.cumsum((prints >> np.uint64(63 - level)) & np.uint64(1), dtype=np.int64)]).astype(np.int64)
+            c = ones[level]
+            am, bm, cost = ah - (c[ah] - c[al]), bh - (c[bh] - c[bl]), 1
+        else:
+            am, bm, cost = (al + ah) // 2, (bl + bh) // 2, 0
+        same = (al == bl) & (ah == bh)
+        parts = []
+        for number, side in enumerate(((al, am, bl, bm, err), (am, ah, bm, bh, err), (al, am, bm, bh, err + np.int8(cost)), (am, ah, bl, bm, err + np.int8(cost)))):
+            fits = (side[0] < side[1]) & (side[2] < side[3]) & (side[4] <= budget)
+            if number < 2:
+                fits &= ~same | (side[1] - side[0] > 1)
+            if number == 3:
+                fits &= ~same
+            parts.append([x[fits] for x in side])
+        merged = [np.concatenate(x) for x in zip(*parts, strict=True)]
+        if len(merged[0]):
+            stack.append((level + 1, *merged))
+
+
 # ---------------------------------------------------------------- links between all fingerprints
 
 
@@ -214,10 +276,13 @@ def fingerprint_links(values: DataFrame, budget: int = 4) -> DataFrame:
 
     A value goes to one group for each choice of blocks, with the chosen blocks turned to the front, so that the first
     levels of the trie are equal there by choice and the trie joins the rest. A group beyond ``TRIE_ROWS`` is dealt
-    into parts that meet in pairs. The links of a task span what it found; they are fewer than its values.
+    into parts that meet in pairs. The links of a task span what it found; they are fewer than its values. If values
+    have a ``node`` and a ``label``, all pairs of nodes with different labels within the budget are given instead.
     """
     from itertools import combinations
 
+    extra = [c for c in ("node", "label") if c in values.columns]
+
     sizes = values.agg(F.count("*").alias("n"), F.countDistinct("print").alias("p")).first()
     n, chosen = _blocks(sizes["n"] // max(1, sizes["p"]), budget)
     edges = [round(i * 64 / n) for i in range(n + 1)]
@@ -232,16 +297,16 @@ def fingerprint_links(values: DataFrame, budget: int = 4) -> DataFrame:
             turned = turned.bitwiseOR(F.shiftleft(piece, 64 - bits))
         depth = sum(edges[i + 1] - edges[i] for i in choice)
         turns.append(F.struct(F.lit(len(turns)).alias("turn"), F.shiftrightunsigned(turned, 64 - depth).alias("front"), turned.alias("turned"), F.lit(depth).alias("depth")))
-    spread = values.select("print", "v", F.explode(F.array(*turns)).alias("t")).select("print", "t.*", "v")
+    spread = values.select("print", "v", *extra, F.explode(F.array(*turns)).alias("t")).select("print", "t.*", "v", *extra)
     hot = spread.groupBy("print", "turn", "front").count().where(F.col("count") > TRIE_ROWS).select("print", "turn", "front", F.ceil(F.col("count") / (TRIE_ROWS // 2)).cast("int").alias("parts"))
-    own = F.pmod(F.xxhash64("v"), F.col("parts")).cast("int")
+    own = F.pmod(F.xxhash64("v", *extra[:1]), F.col("parts")).cast("int")
     pairs = F.transform(
         F.sequence(F.lit(0), F.col("parts") - 1), lambda o: F.struct(F.least(o, F.col("own")).alias("p"), F.greatest(o, F.col("own")).alias("q"))
     )
     dealt = (
         spread.join(hot, ["print", "turn", "front"], "left").withColumn("own", F.when(F.col("parts").isNull(), 0).otherwise(own))
         .withColumn("pair", F.explode(F.when(F.col("parts").isNull(), F.array(F.struct(F.lit(0).alias("p"), F.lit(0).alias("q")))).otherwise(pairs)))
-        .select("print", "turn", "front", "pair.p", "pair.q", "turned", "depth", "v")
+        .select("print", "turn", "front", "pair.p", "pair.q", "turned", "depth", "v", *extra)
     )
     keys = ["print", "turn", "front", "p", "q"]
 
@@ -281,13 +346,20 @@ def _join_groups(table: pa.Table, keys: list[str], budget: int):
     for c in columns:
         fresh[1:] |= c[1:] != c[:-1]
     group = np.cumsum(fresh)
-    order = np.lexsort((turned, group))
-    turned, value = turned[order], table.column("v").to_numpy()[order]
+    every = "label" in table.column_names
+    label = table.column("label").to_numpy() if every else None
+    order = np.lexsort((label, turned, group) if every else (turned, group))
+    turned, value = turned[order], table.column("node" if every else "v").to_numpy()[order]
     depth = table.column("depth").to_numpy()
     heads = np.flatnonzero(fresh)
     for d in np.unique(depth):  # groups of one key length go down together
         mine = np.flatnonzero(depth == d)
         runs = heads[depth[heads] == d]
+        if every:
+            for a, b in trie_pairs(turned[mine], label[order][mine], np.searchsorted(mine, runs), int(d), budget):
+                number = table.column("print").to_numpy()[mine][a]
+                yield pa.RecordBatch.from_arrays([pa.array(number, pa.int32()), pa.array(value[mine][a]), pa.array(value[mine][b])], ["print", "a", "b"])
+            continue
         a, b = trie_links(turned[mine], np.searchsorted(mine, runs), int(d), budget)
         number = table.column("print").to_numpy()[mine][a]
         yield pa.RecordBatch.from_arrays([pa.array(number, pa.int32()), pa.array(value[mine][a]), pa.array(value[mine][b])], ["print", "a", "b"])
@@ -299,12 +371,90 @@ def print_components(rows: DataFrame, budget: int = 4) -> DataFrame:
     ``rows``: (node, prints), any number of rows per node. Values are compared print by print; a value stands for the
     smallest node that has it. Nodes without a link are left out.
     """
-    each = rows.select("node", F.posexplode("prints").alias("print", "v"))
+    return connected_components(_print_links(rows.select("node", F.posexplode("prints").alias("print", "v")), budget))
+
+
+def _print_links(each: DataFrame, budget: int) -> DataFrame:
+    """Links (a, b) that join the nodes of ``each`` (node, print, v) into components."""
     values = stored(each.groupBy("print", "v").agg(F.min("node").alias("rep")))
     same = each.join(values, ["print", "v"]).where("node <> rep").select(F.col("node").alias("a"), F.col("rep").alias("b"))
     one, two = values.select("print", F.col("v").alias("a"), F.col("rep").alias("x")), values.select("print", F.col("v").alias("b"), F.col("rep").alias("y"))
     near = fingerprint_links(values, budget).join(one, ["print", "a"]).join(two, ["print", "b"]).select(F.col("x").alias("a"), F.col("y").alias("b"))
-    return connected_components(same.unionByName(near))
+    return same.unionByName(near)
+
+
+#: Links of one node that are compared in one task.
+HOT_LINKS = 256
+#: Nodes outside the largest group of their component meet so many of its members, in so many rounds, before all pairs are looked at.
+MEMBERS, ROUNDS = 8, 3
+
+
+def shingle_sets(texts: DataFrame, words: int) -> DataFrame:
+    """(node, shingles): the distinct shingle hashes of each ``text``."""
+
+    def run(batches):
+        for part in slices(batches, "text", PART_BYTES):
+            hashes, n = shingle_hashes(*utf8(part.column(1)), words)
+            sets = [np.unique(x) for x in np.split(hashes, np.cumsum(n)[:-1])]
+            at = np.concatenate([[0], np.cumsum([len(x) for x in sets])])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.concatenate(sets).view(np.int64)))], ["node", "shingles"])
+
+    return texts.select("node", "text").mapInArrow(run, "node bigint, shingles array<bigint>")
+
+
+def _alike(links: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b, ok), each once and smaller node first; ok: shared shingles are ``percent`` of all of both or more."""
+    links = stored(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct())
+    met = links
+    for end in ("a", "b"):
+        hot = links.groupBy(end).count().where(F.col("count") > HOT_LINKS).select(end, F.ceil(F.col("count") / HOT_LINKS).cast("int").alias("parts"))
+        dealt = met.join(hot, end, "left").withColumn("part", F.pmod(F.xxhash64("a", "b"), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
+        copies = sets.select(F.col("node").alias(end), F.col("shingles").alias(f"of_{end}")).join(hot, end, "left")
+        copies = copies.withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+        met = dealt.join(copies, [end, "part"]).drop("part")
+    both = F.size(F.array_intersect("of_a", "of_b"))
+    whole = F.size("of_a") + F.size("of_b") - both
+    return stored(met.select("a", "b", (both * 100 >= whole * percent).alias("ok")))
+
+
+def checked_components(rows: DataFrame, texts: DataFrame, budget: int, words: int, percent: int) -> DataFrame:
+    """(node, component) under links within the budget whose shingle sets are alike by ``percent``; nodes without one are left out.
+
+    ``rows``: (node, prints); ``texts``: (node, text), where a node has one text, in any number of rows. Links that span
+    the fingerprints' components come first. Where one of them fails, nodes outside the largest group of alike ones meet
+    some of its members, and then every pair within the budget across two groups is compared: no link is lost by the failure.
+    """
+    each = stored(rows.select("node", F.posexplode("prints").alias("print", "v")))
+    spanning = stored(_print_links(each, budget).distinct())
+    linked = spanning.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    sets = stored(shingle_sets(texts.join(linked, "node", "left_semi").dropDuplicates(["node"]), words))
+    seen = _alike(spanning, sets, percent)
+    good = seen.where("ok").select("a", "b")
+    if seen.where("NOT ok").isEmpty():
+        return connected_components(good)
+    wholes = stored(connected_components(spanning).withColumnRenamed("component", "whole"))
+    failed = seen.where("NOT ok").select(F.col("a").alias("node")).join(wholes, "node").select("whole").distinct()
+    now = stored(
+        wholes.join(failed, "whole", "left_semi").join(connected_components(good), "node", "left").select("node", "whole", F.coalesce("component", "node").alias("label"))
+    )
+    for turn in range(ROUNDS):
+        sizes = now.groupBy("whole", "label").count()
+        largest = sizes.groupBy("whole").agg(F.max_by("label", F.struct("count", "label")).alias("top"))
+        placed = now.join(largest, "whole")
+        order = W.partitionBy("whole").orderBy(F.xxhash64("node", F.lit(turn)), "node")
+        members = placed.where("label = top").withColumn("at", F.row_number().over(order)).where(F.col("at") <= MEMBERS).select("whole", F.col("node").alias("b"))
+        new = _alike(placed.where("label <> top").select("whole", F.col("node").alias("a")).join(members, "whole"), sets, percent).where("ok").select("a", "b")
+        if new.isEmpty():
+            break
+        good = good.unionByName(new)
+        # every new link has one end in the largest group, so the group of its other end goes into that
+        ends = new.select(F.explode(F.array("a", "b")).alias("node"))
+        won = placed.join(ends, "node", "left_semi").select("whole", "label", F.lit(True).alias("won")).distinct()
+        now = stored(placed.join(won, ["whole", "label"], "left").select("node", "whole", F.when(F.col("won"), F.col("top")).otherwise(F.col("label")).alias("label")))
+    mixed = now.groupBy("whole").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("whole")
+    rest = stored(each.join(now.join(mixed, "whole", "left_semi").select("node", "label"), "node"))
+    across = fingerprint_links(rest, budget).select("a", "b")
+    return connected_components(good.unionByName(_alike(across, sets, percent).where("ok").select("a", "b")))
 
 
 def near_components(
@@ -335,21 +485,30 @@ def with_components(printed: DataFrame, budget: int = 4, doc_id: str = "doc_id")
 
 
 def keep_one(
-    docs: DataFrame, budget: int = 4, words: int = 4, doc_id: str = "doc_id", text: str = "text", prints: int = 1
+    docs: DataFrame, budget: int = 4, words: int = 4, doc_id: str = "doc_id", text: str = "text", prints: int = 1, percent: int | None = None
 ) -> DataFrame:
     """One row of each component: that with the smallest id; of several rows with it, the first by a hash of their columns.
 
     Texts are linked if any of their ``prints`` fingerprints are within the budget: more of them find more of the less
-    similar copies. Components are found from ids and hashes, written once; then one shuffle brings whole rows to the
+    similar copies. With ``percent`` a link holds only if the texts share so much of their distinct shingles (Jaccard
+    similarity). Components are found from ids and hashes, written once; then one shuffle brings whole rows to the
     hashes kept.
     """
     columns = hashable(docs)
     keyed = docs.withColumns({"__k1": F.xxhash64(*columns), "__k2": F.xxhash64(F.lit(1), *columns)})
     printed = with_fingerprint(keyed.select("__k1", "__k2", F.col(doc_id).alias("id"), F.col(text).alias("text")), "text", words, "prints", prints)
+    # the smallest id first, null last, then the hash
+    first = F.min(F.struct(F.col("id").isNull(), "id", "__k1", "__k2"))
+    if percent is not None:  # equal texts are one node
+        hashed = printed.withColumn("node", F.xxhash64("text")).select("__k1", "__k2", "id", "node", "prints")
+        narrow = stored(hashed.groupBy("node").agg(first.alias("k"), F.first("prints").alias("prints")))
+        texts = docs.select(F.xxhash64(text).alias("node"), F.col(text).alias("text"))
+        parts = checked_components(narrow.select("node", "prints"), texts, budget, words, percent)
+        labelled = narrow.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        kept = labelled.groupBy("component").agg(F.min("k").alias("k")).select("k.__k1", "k.__k2")
+        return keyed.dropDuplicates(["__k1", "__k2"]).join(kept, ["__k1", "__k2"], "left_semi").select(*docs.columns)
     narrow = stored(printed.select("__k1", "__k2", "id", "prints"))
     parts = print_components(narrow.select(F.col("__k1").alias("node"), "prints"), budget)
     labelled = narrow.join(parts, F.col("__k1") == F.col("node"), "left").withColumn("component", F.coalesce("component", "__k1"))
-    # the smallest id first, null last, then the hash
-    first = F.min(F.struct(F.col("id").isNull(), "id", "__k1", "__k2"))
     kept = labelled.groupBy("component").agg(first.alias("k")).select("k.__k1", "k.__k2")
     return keyed.dropDuplicates(["__k1", "__k2"]).join(kept, ["__k1", "__k2"], "left_semi").select(*docs.columns)

@@ -274,6 +274,39 @@ def test_fingerprints_of_the_pipeline_find_most_copies_from_similarity_080():
     assert corpus_pipeline.PRINTS >= 12 and found(corpus_pipeline.PRINTS) >= 0.8 > found(8)
 
 
+@pytest.mark.parametrize("rounds", [0, 3])
+def test_near_copies_below_080_are_kept(spark, monkeypatch, rounds):
+    monkeypatch.setattr(near_copies, "ROUNDS", rounds)
+    monkeypatch.setattr(near_copies, "HOT_LINKS", 7)
+    assert dict(corpus_pipeline.STAGES)["simhash_near_dedup"] is corpus_pipeline.drop_checked_copies
+    rng = random.Random(3)
+    base = [f"w{i}" for i in range(90)]
+    texts = [None, "", "  ", "one two three four five six", "One two three four five  six", "12 a b c d e"]
+    for _ in range(150):
+        w = list(base)
+        for _ in range(rng.randint(0, 4)):
+            w[rng.randrange(90)] = f"x{rng.randrange(9)}"
+        texts.append(" ".join(w))
+    texts += [r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    rows = [(i, t, "en", "s", 0) for i, t in enumerate(texts)]
+    raw, at = utf8(pa.array(texts, pa.large_string()))
+    table = near_copies.simhash_table(raw, at, 5, corpus_pipeline.PRINTS)
+    linked = np.min(np.bitwise_count(table[:, None, :] ^ table[None, :, :]), axis=2) <= corpus_pipeline.BITS
+    sets = [shingles(t) if (t or "").split() else set() for t in texts]
+    alike = lambda a, b: 5 * len(a & b) >= 4 * len(a | b)
+    held = np.array([[linked[i, j] and alike(a, b) for j, b in enumerate(sets)] for i, a in enumerate(sets)])
+    assert linked.sum() - held.sum() > 100
+    label = np.arange(len(texts))
+    while not np.array_equal(new := np.array([label[held[i]].min() for i in range(len(texts))]), label):
+        label = new
+    got = {r["doc_id"] for r in corpus_pipeline.drop_checked_copies(spark, docs(spark, rows), SF).collect()}
+    wide = {i for i, c in enumerate(label) if i == c}
+    if rounds == 0:
+        assert got == wide
+    else:  # members met on the way may be alike beyond the bits
+        assert got <= wide and all(any(alike(sets[i], sets[j]) for j in range(len(texts)) if j != i) for i in wide - got)
+
+
 def test_pipeline_stage_by_stage(spark):
     docs_ = spark.read.parquet(f"{SF}/documents.parquet")
     extra = [(9000, "12345 !!", None, "src0", 8), (9001, None, "en", "src0", None), (9002, "", "en", None, 0)]
