@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 QUERIES_PER_PASS = 2_000
+# Tasks over which the queries that share a reference are dealt.
+SALTS = 8
 # Base scores of the citation and author methods.
 DIRECT = (0.8, 1.0)
 COUPLED = (0.6, 0.7)
@@ -144,25 +146,32 @@ def nearest_probed(
     return _best(hits, k, F.round("similarity", 9).desc(), "paper_id")
 
 
-def by_citations(queries: DataFrame, edges: DataFrame, k: int, refs: int = 10, per_ref: int = 20) -> DataFrame:
-    """Papers that cite the query, then papers that cite its first references.
+def by_citations(queries: DataFrame, edges: DataFrame, k: int, refs: int | None = None, per_ref: int | None = None) -> DataFrame:
+    """Papers that cite the query, then papers that cite its references.
 
-    Per query the ``refs`` first references are used, and per reference the ``per_ref`` first citing
-    papers, as a page of an id-ordered citation list; both cuts happen before any join grows.
+    All references and all papers that cite them count, unless ``refs`` (first references of a query) or ``per_ref``
+    (first citing papers of a reference) cut them, as a page of an id-ordered citation list. Of a reference's citing
+    papers only the ``2k + 1`` smallest take part in the join: the query itself and at most ``k`` that cite it directly
+    are left out, so these hold the ``k`` smallest of the others, and the result is exact. A reference that many queries
+    share is dealt over ``SALTS`` tasks.
     """
     e = edges.select("src", "dst").distinct()
     ids = queries.select(F.col("paper_id").alias("query_id")).distinct()
     citing = e.select(F.col("dst").alias("query_id"), F.col("src").alias("paper_id")).join(ids, "query_id", "left_semi")
     direct = _best(citing.where("query_id <> paper_id"), k, "paper_id").drop("rank")
     mine = e.select(F.col("src").alias("query_id"), F.col("dst").alias("ref")).join(ids, "query_id", "left_semi")
-    w = W.partitionBy("query_id").orderBy("ref")
-    mine = mine.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= refs).drop("_r")
+    if refs is not None:
+        w = W.partitionBy("query_id").orderBy("ref")
+        mine = mine.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= refs).drop("_r")
     wr = W.partitionBy("ref").orderBy("paper_id")
+    most = 2 * k + 1 if per_ref is None else per_ref
     page = (
         e.select(F.col("dst").alias("ref"), F.col("src").alias("paper_id"))
-        .withColumn("_r", F.row_number().over(wr)).where(F.col("_r") <= per_ref).drop("_r")
+        .withColumn("_r", F.row_number().over(wr)).where(F.col("_r") <= most).drop("_r")
     )
-    coupled = mine.join(page, "ref").where("query_id <> paper_id").select("query_id", "paper_id").distinct().join(
+    mine = mine.withColumn("_s", F.pmod(F.xxhash64("query_id"), F.lit(SALTS)))
+    page = page.withColumn("_s", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    coupled = mine.join(page, ["ref", "_s"]).where("query_id <> paper_id").select("query_id", "paper_id").distinct().join(
         direct, ["query_id", "paper_id"], "left_anti"
     )
 
@@ -220,17 +229,17 @@ def combine(emb: DataFrame, cit: DataFrame, aut: DataFrame, k: int, weights: dic
 
 def find_similar(
     queries: DataFrame, papers: DataFrame, edges: DataFrame, method: str = "combined", k: int = 20,
-    weights: dict[str, float] | None = None,
+    weights: dict[str, float] | None = None, refs: int | None = None, per_ref: int | None = None,
 ) -> DataFrame:
-    """Similar papers per query by one method or by all."""
+    """Similar papers per query by one method or by all; ``refs`` and ``per_ref`` as in ``by_citations``."""
     if method not in METHODS:
         raise ValueError(f"unknown similarity method: {method}")
     if method == "embedding":
         return nearest(queries, papers, k)
     if method == "citation":
-        return by_citations(queries, edges, k)
+        return by_citations(queries, edges, k, refs, per_ref)
     if method == "author":
         return by_authors(queries, papers, k)
     return combine(
-        nearest(queries, papers, 2 * k), by_citations(queries, edges, 2 * k), by_authors(queries, papers, k), k, weights
+        nearest(queries, papers, 2 * k), by_citations(queries, edges, 2 * k, refs, per_ref), by_authors(queries, papers, k), k, weights
     )

@@ -227,6 +227,23 @@ def test_vector_blocks_give_the_same_neighbours_and_silhouette(spark):
     assert abs(a[0] - (other - own) / max(own, other)) < 1e-9
 
 
+def test_citation_similarity_counts_all_references_and_citing_papers(spark):
+    rng = random.Random(6)
+    pairs = {(q, 1000) for q in range(60)} | {(q, 1000 + rng.randrange(1, 40)) for q in range(80) for _ in range(15)} | {(rng.randrange(80), rng.randrange(80)) for _ in range(120)}
+    pairs = sorted(p for p in pairs if p[0] != p[1])
+    for k in (3, 30):
+        got = {(r["query_id"], r["rank"]): (r["paper_id"], r["reason"]) for r in similarity.by_citations(
+            spark.createDataFrame([(q,) for q in range(80)], "paper_id long"), spark.createDataFrame(pairs, "src long, dst long"), k).collect()}
+        want = {}
+        for q in range(80):
+            direct = sorted(s for s, d in pairs if d == q)[:k]
+            refs = {d for s, d in pairs if s == q}
+            coupled = sorted({s for s, d in pairs if d in refs and s != q} - set(direct))
+            for i, (p, why) in enumerate([*((p, "Cites this paper") for p in direct), *((p, "Cites same references") for p in coupled)][:k]):
+                want[q, i + 1] = (p, why)
+        assert got == want
+
+
 def test_long_conflict_chains_settle(spark):
     n = 5000
     rows = [(i, i, f"g{i // 2}a") for i in range(n)] + [(i, i, f"g{(i + 1) // 2}b") for i in range(n)]
