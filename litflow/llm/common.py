@@ -9,9 +9,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from litflow.session import cut_lineage, ship_package
+from litflow.session import cut_lineage, ship_package, stored
 
-__all__ = ["cut_lineage", "ship_package", "utf8", "slices", "prefix_sums", "text_or_empty", "lowered", "words_of"]
+__all__ = ["cut_lineage", "ship_package", "stored", "utf8", "slices", "prefix_sums", "text_or_empty", "lowered", "words_of"]
 
 
 def text_or_empty(name: str = "text") -> Column:
@@ -92,18 +92,6 @@ def words_of(raw: np.ndarray, at: np.ndarray, in_word: np.ndarray) -> tuple[np.n
     return starts, ends, np.searchsorted(starts, at)
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """Written as Parquet under the shared checkpoint folder and read again: for results that are used several times."""
-    import uuid
-
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        cut_lineage(spark.range(0))  # sets the folder
-    path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def plus(fields, ddl: str):
     """A schema of these fields and those of a DDL string."""
     from pyspark.sql import types as T

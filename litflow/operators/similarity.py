@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -11,7 +10,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-QUERIES_PER_PASS = 2_000
+from litflow.session import stored
+
+# Vectors of a block; a pair of blocks of 768 doubles takes 12 MB.
+BLOCK_ROWS = 1_000
 # Tasks over which the queries that share a reference are dealt.
 SALTS = 8
 # Base scores of the citation and author methods.
@@ -63,32 +65,33 @@ def tile_pairs(left: DataFrame, right: DataFrame, left_key: str, right_key: str,
     return a, b
 
 
-def nearest(queries: DataFrame, candidates: DataFrame, k: int, block: int = QUERIES_PER_PASS) -> DataFrame:
+def nearest(queries: DataFrame, candidates: DataFrame, k: int, block: int = BLOCK_ROWS) -> DataFrame:
     """Exact cosine k-NN ``(query_id, paper_id, similarity, rank)``, without the query itself.
 
-    Queries travel to the candidates in blocks of ``block`` vectors; each block is one streaming pass in which every
-    batch of candidates keeps its best ``k`` per query, so no vector of either side is shuffled. Exact search against
-    all candidates is meant for stated query sets; ``nearest_probed`` serves whole tables. No queries give no rows.
+    Both sides are packed into blocks of about ``block`` vectors by a hash, one row each, and every query block meets
+    every candidate block in a cartesian product: a task holds one pair of blocks, and the driver holds no vector. Each
+    pair keeps its best ``k`` per query. No queries give no rows. The work grows with queries times candidates.
     """
     key = candidates.schema["paper_id"].dataType.simpleString()
     schema = f"query_id {key}, paper_id {key}, similarity double"
-    c = candidates.select("paper_id", "embedding")
 
-    def one_pass(held: list) -> DataFrame:
-        ids = np.array([r["paper_id"] for r in held])
-        vecs = _unit(matrix(r["embedding"] for r in held))
+    def pack(side: DataFrame, ids: str, vecs: str) -> DataFrame:
+        n = side.select(F.greatest(F.ceil(F.count("*") / block), F.lit(1))).scalar()
 
-        def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                if len(pdf):
-                    yield _best_pairs(ids, vecs, pdf["paper_id"].to_numpy(), _unit(matrix(pdf["embedding"])), k)
+        def one(pdf: pd.DataFrame) -> pd.DataFrame:
+            m = _unit(matrix(pdf["embedding"]))
+            return pd.DataFrame({ids: [pdf["paper_id"].to_numpy()], vecs: [m.tobytes()]})
+
+        tiles = side.select("paper_id", "embedding", F.pmod(F.xxhash64("paper_id"), F.lit(n)).alias("_tile"))
+        return tiles.groupBy("_tile").applyInPandas(one, f"{ids} array<{key}>, {vecs} binary")
 
-        return c.mapInPandas(scan, schema)
+    def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for row in pdf.itertuples(index=False):
+                q, c = (np.frombuffer(v).reshape(len(i), -1) for i, v in ((row.q, row.qv), (row.c, row.cv)))
+                yield _best_pairs(np.asarray(row.q), q, np.asarray(row.c), c, k)
 
-    rows = queries.select("paper_id", "embedding").toLocalIterator()
-    hits = candidates.sparkSession.createDataFrame([], schema)
-    for held in iter(lambda: list(islice(rows, block)), []):
-        hits = hits.unionByName(one_pass(held))
+    hits = stored(pack(queries, "q", "qv")).crossJoin(stored(pack(candidates, "c", "cv"))).mapInPandas(meet, schema)
     return _best(hits, k, F.round("similarity", 9).desc(), "paper_id")
 
 

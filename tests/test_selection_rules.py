@@ -4,6 +4,7 @@ import random
 from difflib import SequenceMatcher
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from litflow.operators import digest, graph, linkage, ranking, similarity, topics, trends
@@ -227,6 +228,22 @@ def test_vector_blocks_give_the_same_neighbours_and_silhouette(spark):
     assert abs(a[0] - (other - own) / max(own, other)) < 1e-9
 
 
+def test_query_vectors_do_not_pass_through_the_driver(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(70, 5))
+    v = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "paper_id long, embedding array<double>")
+    for name in ("collect", "toLocalIterator"):
+        monkeypatch.setattr(type(v), name, lambda *a, **b: pytest.fail("vectors on the driver"))
+    found = similarity.nearest(v, v, 3, block=9)
+    monkeypatch.undo()
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    sim = u @ u.T
+    np.fill_diagonal(sim, -2)
+    got = {(r["query_id"], r["rank"]): r["paper_id"] for r in found.collect()}
+    assert got == {(i, k + 1): j for i in range(70) for k, j in enumerate(np.argsort(-sim[i])[:3].tolist())}
+    assert similarity.nearest(v.limit(0), v, 3).count() == 0
+
+
 def test_citation_similarity_counts_all_references_and_citing_papers(spark):
     rng = random.Random(6)
     pairs = {(q, 1000) for q in range(60)} | {(q, 1000 + rng.randrange(1, 40)) for q in range(80) for _ in range(15)} | {(rng.randrange(80), rng.randrange(80)) for _ in range(120)}
