@@ -97,13 +97,15 @@ def nearest(queries: DataFrame, candidates: DataFrame, k: int, block: int = BLOC
 
 def nearest_probed(
     queries: DataFrame, candidates: DataFrame, k: int, lists: int | None = None, probes: int | None = None, list_rows: int = 4_000, seed: int = 1,
+    visit_rows: int = 4_000,
 ) -> DataFrame:
     """Approximate k-NN for whole tables: unit vectors are listed by nearest centroid, a query visits ``probes`` lists.
 
     Three quarters of the lists (the default) are for vectors without clusters; clustered ones need a few.
 
-    A list of more than ``list_rows`` vectors is split by a hash, and its queries visit all parts, so no task holds
-    more than a part and its queries. What a visit finds is ranked exactly; each visit keeps its own best ``k``.
+    A list of more than ``list_rows`` vectors is split by a hash, and its queries visit all parts, in blocks of about
+    ``visit_rows`` queries to each of which the part is copied: a task holds a part and a block, whatever the number of
+    queries. What a visit finds is ranked exactly; each visit keeps its own best ``k``.
     """
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
@@ -134,6 +136,10 @@ def nearest_probed(
     listed = listed.join(sizes, "list").withColumn("part", F.pmod(F.xxhash64("paper_id"), F.col("parts")).cast("int"))
     visits = visits.join(sizes, "list").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
 
+    blocks = visits.groupBy("list").agg(F.ceil(F.countDistinct("paper_id") / visit_rows).cast("int").alias("blocks"))
+    visits = visits.join(blocks, "list").withColumn("block", F.pmod(F.xxhash64(F.lit(seed), "paper_id"), F.col("blocks")).cast("int"))
+    listed = listed.join(blocks, "list").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+
     def meet(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
         if x.empty or y.empty:
             return pd.DataFrame({"query_id": [], "paper_id": [], "similarity": []})
@@ -143,8 +149,8 @@ def nearest_probed(
         ]
         return pd.concat(parts)
 
-    hits = visits.select("list", "part", "paper_id", "v").groupBy("list", "part").cogroup(
-        listed.select("list", "part", "paper_id", "v").groupBy("list", "part")
+    hits = visits.select("list", "part", "block", "paper_id", "v").groupBy("list", "part", "block").cogroup(
+        listed.select("list", "part", "block", "paper_id", "v").groupBy("list", "part", "block")
     ).applyInPandas(meet, f"query_id {key}, paper_id {key}, similarity double")
     return _best(hits, k, F.round("similarity", 9).desc(), "paper_id")
 

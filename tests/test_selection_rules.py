@@ -244,6 +244,26 @@ def test_query_vectors_do_not_pass_through_the_driver(spark, monkeypatch):
     assert similarity.nearest(v.limit(0), v, 3).count() == 0
 
 
+def test_visits_of_a_list_meet_in_bounded_blocks(spark, monkeypatch):
+    monkeypatch.setattr(similarity, "_best_pairs", bounded_pairs(similarity._best_pairs, 60))
+    x = np.random.default_rng(5).normal(size=(200, 5))
+    v = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "paper_id long, embedding array<double>")
+    found = similarity.nearest_probed(v, v, 3, lists=2, probes=2, list_rows=40, visit_rows=30)
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    sim = u @ u.T
+    np.fill_diagonal(sim, -2)
+    got = {(r["query_id"], r["rank"]): r["paper_id"] for r in found.collect()}
+    assert got == {(i, k + 1): j for i in range(200) for k, j in enumerate(np.argsort(-sim[i])[:3].tolist())}
+
+
+def bounded_pairs(real, most):
+    def pairs(ids, q, cand, c, k):
+        assert len(ids) <= most and len(cand) <= 2 * most
+        return real(ids, q, cand, c, k)
+
+    return pairs
+
+
 def test_citation_similarity_counts_all_references_and_citing_papers(spark):
     rng = random.Random(6)
     pairs = {(q, 1000) for q in range(60)} | {(q, 1000 + rng.randrange(1, 40)) for q in range(80) for _ in range(15)} | {(rng.randrange(80), rng.randrange(80)) for _ in range(120)}
