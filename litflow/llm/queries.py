@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from litflow.llm import chat, languages, leaks, mixing, near_copies, prints, repeats, secrets, tokens, urls
+from litflow.llm import centroids, chat, languages, leaks, mixing, near_copies, prints, repeats, secrets, tokens, toxicity, urls, whitening
 from litflow.llm.common import start
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -115,3 +115,21 @@ def op9_suffix_dedup(table):
 @query(urls.SQL)
 def op10_url_filter(table):
     return urls.judge_urls(table("pages").select("page_id", "url", "html")).select("page_id", "host", "path", "rule", "verdict")
+
+
+@query()
+def op11_toxicity(table):
+    docs = table("documents")
+    model = toxicity.learn(docs, table("labels"))
+    scored = toxicity.score(docs.select("doc_id", "text", toxicity.held_out().alias("held_out")), model)
+    return scored.select("doc_id", "held_out", "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"), "n_passages", "evidence")
+
+
+@query(centroids.sql())
+def op12_centroid_clusters(table):
+    return centroids.cluster(table("embeddings").select("vec_id", "embedding"))
+
+
+@query()
+def op13_whitening(table):
+    return whitening.whiten(table("embeddings").select("vec_id", "embedding"))
