@@ -9,9 +9,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from litflow.session import cut_lineage, ship_package, stored
+from litflow.session import cut_lineage, discard, ship_package, stored
 
-__all__ = ["cut_lineage", "ship_package", "stored", "utf8", "slices", "prefix_sums", "text_or_empty", "lowered", "words_of"]
+__all__ = ["cut_lineage", "discard", "ship_package", "stored", "utf8", "slices", "prefix_sums", "text_or_empty", "lowered", "words_of"]
 
 
 def text_or_empty(name: str = "text") -> Column:
@@ -92,6 +92,32 @@ def words_of(raw: np.ndarray, at: np.ndarray, in_word: np.ndarray) -> tuple[np.n
     return starts, ends, np.searchsorted(starts, at)
 
 
+_BASE = 0x9E3779B97F4A7C15
+
+
+def span_sums(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For ``span_hashes``: sums of the bytes, each times a power of the base, and the inverse powers."""
+    n = len(raw)
+    with np.errstate(over="ignore"):
+        up = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, _BASE, np.uint64)]), dtype=np.uint64)
+        down = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, pow(_BASE, -1, 1 << 64), np.uint64)]), dtype=np.uint64)
+        sums = np.concatenate([[np.uint64(0)], np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up[:n], dtype=np.uint64)])
+    return sums, down
+
+
+def span_hashes(sums: np.ndarray, down: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of byte ranges, equal for equal bytes wherever they stand."""
+    with np.errstate(over="ignore"):
+        return scrambled((sums[ends] - sums[starts]) * down[starts])
+
+
+def scrambled(h: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+        h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return h ^ (h >> np.uint64(31))
+
+
 def plus(fields, ddl: str):
     """A schema of these fields and those of a DDL string."""
     from pyspark.sql import types as T

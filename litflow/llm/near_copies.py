@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-from math import comb
+from collections.abc import Iterator
+from math import acos, comb, pi, sqrt
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from litflow.llm.common import cut_lineage, hashable, lowered, plus, slices, stored, utf8, words_of
+from litflow.llm.common import cut_lineage, discard, hashable, lowered, plus, scrambled, slices, span_hashes, span_sums, stored, utf8, words_of
 from litflow.llm.components import connected_components
 
 SPACE = np.zeros(256, bool)
@@ -25,9 +25,12 @@ TRIE_ROWS = 200_000
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return h ^ (h >> np.uint64(31))
+    h = h ^ (h >> np.uint64(30))
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    h ^= h >> np.uint64(27)
+    h *= np.uint64(0x94D049BB133111EB)
+    h ^= h >> np.uint64(31)
+    return h
 
 
 def simhashes(raw: np.ndarray, at: np.ndarray, words: int = 4) -> np.ndarray:
@@ -76,6 +79,55 @@ def simhash_table(raw: np.ndarray, at: np.ndarray, words: int, prints: int) -> n
     return out
 
 
+#: One bit of each byte: eight lanes in which up to 255 hashes add up without a carry.
+LANES = np.uint64(0x0101010101010101)
+
+
+def distinct_shingles(raw: np.ndarray, at: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of the distinct shingles of each row, and how many it has; a row without words has none.
+
+    A shingle's hash is mixed from those of its words, A-Z lower-cased; a row of fewer words is one shingle.
+    """
+    raw = lowered(raw)
+    starts, ends, rows = words_of(raw, at, ~SPACE)
+    counts = np.diff(rows)
+    if not len(starts):
+        return np.zeros(0, np.uint64), np.zeros(len(counts), np.int64)
+    word = np.concatenate([span_hashes(*span_sums(raw), starts, ends), np.zeros(words, np.uint64)])
+    n = np.where(counts > 0, np.maximum(counts - words + 1, 1), 0)
+    row = np.repeat(np.arange(len(counts)), n)
+    first = rows[:-1][row] + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    length = np.minimum(counts, words)[row]
+    h = length.astype(np.uint64)
+    for j in range(words):
+        h = np.where(j < length, scrambled(h * np.uint64(0x9E3779B97F4A7C15) + word[first + j]), h)
+    order = np.lexsort((h, row))
+    h, row = h[order], row[order]
+    fresh = np.ones(len(h), bool)
+    fresh[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
+    return h[fresh], np.bincount(row[fresh], minlength=len(counts))
+
+
+def set_prints(hashes: np.ndarray, n: np.ndarray, prints: int) -> np.ndarray:
+    """``prints`` fingerprints for each row of ``distinct_shingles``: a bit is 1 if it is in more than half the mixed hashes."""
+    out = np.zeros((len(n), prints), np.uint64)
+    if not len(hashes):
+        return out
+    full = np.flatnonzero(n)
+    starts = (np.cumsum(n) - n)[full]
+    # rows are summed in pieces of at most 255 shingles
+    pieces = -(-n[full] // 255)
+    piece = np.repeat(starts, pieces) + 255 * (np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces))
+    heads = np.cumsum(pieces) - pieces
+    for k in range(prints):
+        hashes = _mixed(hashes + np.uint64(0x9E3779B97F4A7C15))
+        planes = np.stack([np.add.reduceat((hashes >> np.uint64(bit)) & LANES, piece) for bit in range(8)], axis=1)
+        counts = planes.view(np.uint8).reshape(-1, 8, 8).transpose(0, 2, 1).reshape(-1, 64)
+        bits = np.add.reduceat(counts, heads, axis=0, dtype=np.int64) * 2 > n[full, None]
+        out[full, k] = np.packbits(bits.astype(np.uint8), axis=1, bitorder="little").view(np.uint64).ravel()
+    return out
+
+
 def with_fingerprint(docs: DataFrame, text: str = "text", words: int = 4, name: str = "simhash", prints: int | None = None) -> DataFrame:
     """Adds the fingerprint as a long (its 64 bits), or an array of ``prints`` of them; null text and text without words: zero."""
     kept = docs.drop(*[c for c in docs.columns if c.lower() == name])
@@ -111,8 +163,21 @@ def _labels(n: int, a: np.ndarray, b: np.ndarray, start: np.ndarray) -> np.ndarr
             return label
 
 
-#: Node pairs worked on at once; each is at most 16 pairs of values when it is small enough to be compared directly.
-FRONT = 1 << 16
+#: Node pairs worked on at once; with at most ``DIRECT`` pairs of values one is compared directly, so many pairs at a time.
+FRONT, DIRECT, AT_ONCE = 1 << 16, 1 << 10, 1 << 19
+
+
+def _expand(a: np.ndarray, na: np.ndarray, b: np.ndarray, nb: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of places from ranges that start at a and b with na and nb places, range pair by range pair."""
+    total = na * nb
+    upto = np.cumsum(total)
+    lo = 0
+    while lo < len(total):
+        hi = max(lo + 1, int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + AT_ONCE, side="right")))
+        base = np.repeat(np.arange(lo, hi), total[lo:hi])
+        k = np.arange(len(base)) - np.repeat(upto[lo:hi] - total[lo:hi] - (upto[lo - 1] if lo else 0), total[lo:hi])
+        yield a[base] + k // nb[base], b[base] + k % nb[base]
+        lo = hi
 
 
 def trie_links(prints: np.ndarray, heads: np.ndarray, depth: int, budget: int) -> tuple[np.ndarray, np.ndarray]:
@@ -120,8 +185,9 @@ def trie_links(prints: np.ndarray, heads: np.ndarray, depth: int, budget: int) -
 
     ``heads``: starts of the runs that share the first ``depth`` bits; only values of one run are compared. A node of
     the trie is a range of the sorted values. Pairs of nodes go down together, one bit at a time, and carry the bits
-    that differ so far; a pair beyond the budget is dropped. Passes with budget 0, 1, ... come first: nodes that lie
-    within one component by then need no visit, so a dense group is not paired out.
+    that differ so far; a pair beyond the budget is dropped, and a pair of small nodes is compared value by value, once.
+    Passes with budget 1, 2, ... come first: nodes that lie within one component by then need no visit, so a dense
+    group is not paired out.
     """
     n = len(prints)
     label = np.arange(n)
@@ -150,18 +216,16 @@ def trie_links(prints: np.ndarray, heads: np.ndarray, depth: int, budget: int) -
                 stack.append((level, al, ah, bl, bh, err))
                 continue
             one = (change[ah - 1] == change[al]) & (change[bh - 1] == change[bl]) & (label[al] == label[bl])
-            small = ~one & ((ah - al) * (bh - bl) <= 16) if level < 64 else ~one
-            if small.any():
-                sa, sb, na, nb = al[small], bl[small], (ah - al)[small], (bh - bl)[small]
-                total = na * nb
-                base = np.repeat(np.arange(len(total)), total)
-                k = np.arange(int(total.sum())) - np.repeat(np.cumsum(total) - total, total)
-                x, y = sa[base] + k // nb[base], sb[base] + k % nb[base]
-                ok = (x < y) & (label[x] != label[y]) & (np.bitwise_count(prints[x] ^ prints[y]) <= allowed)
-                if ok.any():
-                    found_a.append(x[ok])
-                    found_b.append(y[ok])
-                    pending += int(ok.sum())
+            small = ~one & ((ah - al) * (bh - bl) <= DIRECT) if level < 64 else ~one
+            fresh = small & ((err == allowed) | (allowed == 1))  # those of fewer bits were compared in an earlier pass
+            if fresh.any():
+                for x, y in _expand(al[fresh], (ah - al)[fresh], bl[fresh], (bh - bl)[fresh]):
+                    ok = (x < y) & (label[x] != label[y])
+                    ok[ok] = np.bitwise_count(prints[x[ok]] ^ prints[y[ok]]) <= budget
+                    if ok.any():
+                        found_a.append(x[ok])
+                        found_b.append(y[ok])
+                        pending += int(ok.sum())
             go = ~one & ~small
             if pending > 16 * FRONT:  # what was found so far is folded in, and prunes the rest
                 label, change, pending = _fold(n, label, found_a, found_b, kept_a, kept_b)
@@ -221,16 +285,13 @@ def trie_pairs(prints: np.ndarray, label: np.ndarray, heads: np.ndarray, depth:
             continue
         al, ah, bl, bh, err = sides
         one = (change[ah - 1] == change[al]) & (change[bh - 1] == change[bl]) & (label[al] == label[bl])
-        small = ~one & ((ah - al) * (bh - bl) <= 16)
+        small = ~one & ((ah - al) * (bh - bl) <= DIRECT)
         if small.any():
-            sa, sb, na, nb = al[small], bl[small], (ah - al)[small], (bh - bl)[small]
-            total = na * nb
-            base = np.repeat(np.arange(len(total)), total)
-            k = np.arange(int(total.sum())) - np.repeat(np.cumsum(total) - total, total)
-            x, y = sa[base] + k // nb[base], sb[base] + k % nb[base]
-            ok = (x < y) & (label[x] != label[y]) & (np.bitwise_count(prints[x] ^ prints[y]) <= budget)
-            if ok.any():
-                yield x[ok], y[ok]
+            for x, y in _expand(al[small], (ah - al)[small], bl[small], (bh - bl)[small]):
+                ok = (x < y) & (label[x] != label[y])
+                ok[ok] = np.bitwise_count(prints[x[ok]] ^ prints[y[ok]]) <= budget
+                if ok.any():
+                    yield x[ok], y[ok]
         go = ~one & ~small
         if not go.any():
             continue
@@ -271,17 +332,20 @@ def _blocks(rows: int, budget: int) -> tuple[int, int]:
     return 16, 16 - budget
 
 
-def fingerprint_links(values: DataFrame, budget: int = 4) -> DataFrame:
+def fingerprint_links(values: DataFrame, budget: int = 4, near: "Near | None" = None) -> DataFrame:
     """Links (print, a, b) that join all distinct values ``v`` of a ``print`` within ``budget`` differing bits into components.
 
     A value goes to one group for each choice of blocks, with the chosen blocks turned to the front, so that the first
     levels of the trie are equal there by choice and the trie joins the rest. A group beyond ``TRIE_ROWS`` is dealt
-    into parts that meet in pairs. The links of a task span what it found; they are fewer than its values. If values
-    have a ``node`` and a ``label``, all pairs of nodes with different labels within the budget are given instead.
+    into parts that meet in pairs. The links of a task span what it found; they are fewer than its values.
+
+    With ``near`` values also have (node, label, size, prints), and pairs of nodes with different labels that it lets
+    through are given instead: of each node those of the fewest differing bits, ``near.most`` in a task. A pair (-1, -1)
+    tells that there are more.
     """
     from itertools import combinations
 
-    extra = [c for c in ("node", "label") if c in values.columns]
+    extra = ["node", "label", "size", "prints"] if near else []
 
     sizes = values.agg(F.count("*").alias("n"), F.countDistinct("print").alias("p")).first()
     n, chosen = _blocks(sizes["n"] // max(1, sizes["p"]), budget)
@@ -320,11 +384,11 @@ def fingerprint_links(values: DataFrame, budget: int = 4) -> DataFrame:
                 table = pa.Table.from_batches(held)
                 cut = _last_group(table, keys)
                 if cut:
-                    yield from _join_groups(table.slice(0, cut), keys, budget)
+                    yield from _join_groups(table.slice(0, cut), keys, budget, near)
                 held = table.slice(cut).to_batches()
                 size = table.num_rows - cut
         if held:
-            yield from _join_groups(pa.Table.from_batches(held), keys, budget)
+            yield from _join_groups(pa.Table.from_batches(held), keys, budget, near)
 
     return dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "print int, a bigint, b bigint")
 
@@ -338,7 +402,7 @@ def _last_group(table: pa.Table, keys: list[str]) -> int:
     return int(np.flatnonzero(~same)[-1]) + 1 if not same.all() else 0
 
 
-def _join_groups(table: pa.Table, keys: list[str], budget: int):
+def _join_groups(table: pa.Table, keys: list[str], budget: int, near: "Near | None"):
     turned = table.column("turned").to_numpy().view(np.uint64)
     columns = [table.column(k).to_numpy() for k in keys]
     fresh = np.zeros(len(turned), bool)
@@ -346,23 +410,98 @@ def _join_groups(table: pa.Table, keys: list[str], budget: int):
     for c in columns:
         fresh[1:] |= c[1:] != c[:-1]
     group = np.cumsum(fresh)
-    every = "label" in table.column_names
-    label = table.column("label").to_numpy() if every else None
-    order = np.lexsort((label, turned, group) if every else (turned, group))
-    turned, value = turned[order], table.column("node" if every else "v").to_numpy()[order]
+    label = table.column("label").to_numpy() if near else None
+    order = np.lexsort((label, turned, group) if near else (turned, group))
+    turned, value = turned[order], table.column("node" if near else "v").to_numpy()[order]
     depth = table.column("depth").to_numpy()
     heads = np.flatnonzero(fresh)
+    if near:
+        size, prints = table.column("size").to_numpy()[order], table.column("prints").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(order), -1)[order]
+        best = Best(near.most)
     for d in np.unique(depth):  # groups of one key length go down together
         mine = np.flatnonzero(depth == d)
         runs = heads[depth[heads] == d]
-        if every:
+        if near:
             for a, b in trie_pairs(turned[mine], label[order][mine], np.searchsorted(mine, runs), int(d), budget):
-                number = table.column("print").to_numpy()[mine][a]
-                yield pa.RecordBatch.from_arrays([pa.array(number, pa.int32()), pa.array(value[mine][a]), pa.array(value[mine][b])], ["print", "a", "b"])
+                a, b = mine[a], mine[b]
+                fits = near.sizes(size[a], size[b])
+                a, b = a[fits], b[fits]
+                bits = np.bitwise_count(prints[a] ^ prints[b]).sum(axis=1, dtype=np.int64)
+                fits = near.bits(bits, np.minimum(size[a], size[b]))
+                best.add(value[a[fits]], value[b[fits]], bits[fits])
             continue
         a, b = trie_links(turned[mine], np.searchsorted(mine, runs), int(d), budget)
         number = table.column("print").to_numpy()[mine][a]
         yield pa.RecordBatch.from_arrays([pa.array(number, pa.int32()), pa.array(value[mine][a]), pa.array(value[mine][b])], ["print", "a", "b"])
+    if near:
+        a, b = best.pairs()
+        yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(a), np.int32)), pa.array(a), pa.array(b)], ["print", "a", "b"])
+
+
+class Near:
+    """Pairs that may be alike by ``percent``: by the counts of their shingles, and by the bits in which all prints differ.
+
+    Sets of similarity J have an angle of at most acos(2 J / (1 + J)), and each bit of two prints differs with the
+    chance of the angle over pi; ``DEVIATIONS`` above that are let through (of pairs just alike one in 4,000 is lost).
+    Texts of few shingles do not follow this law closely: with less than ``FEW`` only the counts decide.
+    """
+
+    FEW, DEVIATIONS = 40, 3.5
+
+    def __init__(self, percent: int, prints: int, most: int = 0) -> None:
+        self.percent, self.most = percent, most
+        p, n = acos(2 * percent / (100 + percent)) / pi, 64 * prints
+        self.cut = int(n * p + self.DEVIATIONS * sqrt(n * p * (1 - p)))
+
+    def sizes(self, a, b):
+        """The smaller set is at least ``percent`` of the larger; arrays or columns."""
+        return (a * 100 >= b * self.percent) & (b * 100 >= a * self.percent)
+
+    def bits(self, bits, smaller):
+        return (bits <= self.cut) | (smaller < self.FEW)
+
+    def column(self, a: str, b: str) -> Column:
+        """The same of the structs a and b with (size, prints)."""
+        count = F.zip_with(F.col(f"{a}.prints"), F.col(f"{b}.prints"), lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+        return self.sizes(F.col(f"{a}.size"), F.col(f"{b}.size")) & self.bits(F.aggregate(count, F.lit(0), lambda s, x: s + x), F.least(f"{a}.size", f"{b}.size"))
+
+
+class Best:
+    """Pairs in which one node is among the ``most`` nearest of the other; pairs that no longer are go while others come."""
+
+    def __init__(self, most: int) -> None:
+        self.most, self.held, self.waiting, self.more = most, [], 0, False
+
+    def add(self, a: np.ndarray, b: np.ndarray, bits: np.ndarray) -> None:
+        if len(a):
+            self.held.append((np.minimum(a, b), np.maximum(a, b), bits))
+            self.waiting += len(a)
+            if self.waiting > 1 << 20:
+                self._cut()
+
+    def _cut(self) -> None:
+        a, b, bits = (np.concatenate(x) for x in zip(*self.held, strict=True))
+        order = np.lexsort((b, a))
+        a, b, bits = a[order], b[order], bits[order]
+        fresh = np.ones(len(a), bool)
+        fresh[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+        a, b, bits = a[fresh], b[fresh], bits[fresh]
+        keep = np.zeros(len(a), bool)
+        for node, other in ((np.concatenate([a, b]), np.concatenate([b, a])),):
+            order = np.lexsort((other, np.tile(bits, 2), node))
+            heads = np.ones(len(order), bool)
+            heads[1:] = node[order][1:] != node[order][:-1]
+            place = np.arange(len(order)) - np.maximum.accumulate(np.where(heads, np.arange(len(order)), 0))
+            keep[order[place < self.most] % len(a)] = True
+        self.more |= not keep.all()
+        self.held, self.waiting = [(a[keep], b[keep], bits[keep])], 0
+
+    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
+        if not self.held:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self._cut()
+        a, b, _ = self.held[0]
+        return (np.append(a, -1), np.append(b, -1)) if self.more else (a, b)
 
 
 def print_components(rows: DataFrame, budget: int = 4) -> DataFrame:
@@ -385,8 +524,8 @@ def _print_links(each: DataFrame, budget: int) -> DataFrame:
 
 #: Links of one node that are compared in one task.
 HOT_LINKS = 256
-#: Nodes outside the largest group of their component meet so many of its members, in so many rounds, before all pairs are looked at.
-MEMBERS, ROUNDS = 8, 3
+#: Nearest nodes of each node that a task gives in the first round of the second step, and by how much more in each later one.
+MOST, GROWTH = 16, 8
 
 
 def shingle_sets(texts: DataFrame, words: int) -> DataFrame:
@@ -394,67 +533,72 @@ def shingle_sets(texts: DataFrame, words: int) -> DataFrame:
 
     def run(batches):
         for part in slices(batches, "text", PART_BYTES):
-            hashes, n = shingle_hashes(*utf8(part.column(1)), words)
-            sets = [np.unique(x) for x in np.split(hashes, np.cumsum(n)[:-1])]
-            at = np.concatenate([[0], np.cumsum([len(x) for x in sets])])
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.concatenate(sets).view(np.int64)))], ["node", "shingles"])
+            hashes, n = distinct_shingles(*utf8(part.column(1)), words)
+            at = np.concatenate([[0], np.cumsum(n)])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(hashes.view(np.int64)))], ["node", "shingles"])
 
     return texts.select("node", "text").mapInArrow(run, "node bigint, shingles array<bigint>")
 
 
-def _alike(links: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b, ok), each once and smaller node first; ok: shared shingles are ``percent`` of all of both or more."""
-    links = stored(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct())
+def _beside(links: DataFrame, facts: DataFrame, value: Column) -> DataFrame:
+    """Links (a, b) with ``value`` of the facts of both nodes as of_a and of_b; a node of many links meets them in several tasks."""
     met = links
     for end in ("a", "b"):
         hot = links.groupBy(end).count().where(F.col("count") > HOT_LINKS).select(end, F.ceil(F.col("count") / HOT_LINKS).cast("int").alias("parts"))
         dealt = met.join(hot, end, "left").withColumn("part", F.pmod(F.xxhash64("a", "b"), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
-        copies = sets.select(F.col("node").alias(end), F.col("shingles").alias(f"of_{end}")).join(hot, end, "left")
+        copies = facts.select(F.col("node").alias(end), value.alias(f"of_{end}")).join(hot, end, "left")
         copies = copies.withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
         met = dealt.join(copies, [end, "part"]).drop("part")
-    both = F.size(F.array_intersect("of_a", "of_b"))
-    whole = F.size("of_a") + F.size("of_b") - both
-    return stored(met.select("a", "b", (both * 100 >= whole * percent).alias("ok")))
+    return met
+
 
+def checked_components(rows: DataFrame, texts: DataFrame, budget: int, words: int, percent: int, linking: int) -> DataFrame:
+    """(node, component) of the nodes that have a link; what is linked is one relation, whatever the order of the work:
 
-def checked_components(rows: DataFrame, texts: DataFrame, budget: int, words: int, percent: int) -> DataFrame:
-    """(node, component) under links within the budget whose shingle sets are alike by ``percent``; nodes without one are left out.
+    some of the first ``linking`` prints of both is within the budget, ``Near`` lets the pair through by all prints, and
+    the distinct shingles have a Jaccard similarity of ``percent`` or more. ``rows``: (node, prints, size), with as many
+    prints everywhere; ``texts``: (node, text), where a node has one text, in any number of rows.
 
-    ``rows``: (node, prints); ``texts``: (node, text), where a node has one text, in any number of rows. Links that span
-    the fingerprints' components come first. Where one of them fails, nodes outside the largest group of alike ones meet
-    some of its members, and then every pair within the budget across two groups is compared: no link is lost by the failure.
+    First, links that span the fingerprints' components are checked. Where one of them fails, the nodes of its
+    component go into the trie again, with labels of what holds so far: across labels each task gives the nearest pairs
+    of every node, these are checked and unite labels, and rounds with more of them follow until no task has any left.
+    Rows grow with the nodes in each round, not with the pairs of a group.
     """
-    each = stored(rows.select("node", F.posexplode("prints").alias("print", "v")))
-    spanning = stored(_print_links(each, budget).distinct())
-    linked = spanning.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    sets = stored(shingle_sets(texts.join(linked, "node", "left_semi").dropDuplicates(["node"]), words))
-    seen = _alike(spanning, sets, percent)
-    good = seen.where("ok").select("a", "b")
-    if seen.where("NOT ok").isEmpty():
+    prints = rows.select(F.size("prints").alias("n")).first()
+    near = Near(percent, prints["n"] if prints else 1)
+    first = F.posexplode(F.slice("prints", 1, linking)).alias("print", "v")
+    each = rows.select("node", first)
+    spanning = stored(_print_links(each, budget).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    facts = F.struct("size", "prints")
+    seen = stored(_beside(spanning, rows, facts).select("a", "b", near.column("of_a", "of_b").alias("ok")))
+    sets = stored(shingle_sets(texts.join(seen.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi").dropDuplicates(["node"]), words))
+
+    def alike(links: DataFrame) -> DataFrame:
+        both = F.size(F.array_intersect("of_a", "of_b"))
+        whole = F.size("of_a") + F.size("of_b") - both
+        return stored(_beside(links, sets, F.col("shingles")).where(both * 100 >= whole * percent).select("a", "b"))
+
+    good = alike(seen.where("ok").select("a", "b"))
+    failed = spanning.join(good, ["a", "b"], "left_anti")
+    if failed.isEmpty():
         return connected_components(good)
     wholes = stored(connected_components(spanning).withColumnRenamed("component", "whole"))
-    failed = seen.where("NOT ok").select(F.col("a").alias("node")).join(wholes, "node").select("whole").distinct()
-    now = stored(
-        wholes.join(failed, "whole", "left_semi").join(connected_components(good), "node", "left").select("node", "whole", F.coalesce("component", "node").alias("label"))
-    )
-    for turn in range(ROUNDS):
-        sizes = now.groupBy("whole", "label").count()
-        largest = sizes.groupBy("whole").agg(F.max_by("label", F.struct("count", "label")).alias("top"))
-        placed = now.join(largest, "whole")
-        order = W.partitionBy("whole").orderBy(F.xxhash64("node", F.lit(turn)), "node")
-        members = placed.where("label = top").withColumn("at", F.row_number().over(order)).where(F.col("at") <= MEMBERS).select("whole", F.col("node").alias("b"))
-        new = _alike(placed.where("label <> top").select("whole", F.col("node").alias("a")).join(members, "whole"), sets, percent).where("ok").select("a", "b")
-        if new.isEmpty():
-            break
-        good = good.unionByName(new)
-        # every new link has one end in the largest group, so the group of its other end goes into that
-        ends = new.select(F.explode(F.array("a", "b")).alias("node"))
-        won = placed.join(ends, "node", "left_semi").select("whole", "label", F.lit(True).alias("won")).distinct()
-        now = stored(placed.join(won, ["whole", "label"], "left").select("node", "whole", F.when(F.col("won"), F.col("top")).otherwise(F.col("label")).alias("label")))
-    mixed = now.groupBy("whole").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("whole")
-    rest = stored(each.join(now.join(mixed, "whole", "left_semi").select("node", "label"), "node"))
-    across = fingerprint_links(rest, budget).select("a", "b")
-    return connected_components(good.unionByName(_alike(across, sets, percent).where("ok").select("a", "b")))
+    broken = failed.select(F.col("a").alias("node")).join(wholes, "node").select("whole").distinct()
+    rest = stored(rows.join(wholes.join(broken, "whole", "left_semi"), "node", "left_semi"))
+    discard(wholes, seen)
+    near.most, tried = MOST, spanning
+    while True:
+        labels = connected_components(good)
+        labelled = rest.join(labels, "node", "left").withColumn("label", F.coalesce("component", "node"))
+        found = stored(fingerprint_links(labelled.select("node", "label", "size", "prints", first), budget, near).select("a", "b").distinct())
+        fresh = found.where("a <> b").join(tried, ["a", "b"], "left_anti")
+        new = alike(fresh)
+        good = stored(good.unionByName(new))
+        tried = tried.unionByName(found.where("a <> b"))
+        discard(new)
+        if found.where("a = b").isEmpty():
+            return connected_components(good)
+        near = Near(percent, prints["n"], near.most * GROWTH)
 
 
 def near_components(
@@ -490,25 +634,44 @@ def keep_one(
     """One row of each component: that with the smallest id; of several rows with it, the first by a hash of their columns.
 
     Texts are linked if any of their ``prints`` fingerprints are within the budget: more of them find more of the less
-    similar copies. With ``percent`` a link holds only if the texts share so much of their distinct shingles (Jaccard
+    similar copies. With ``percent``, which takes half as many prints again to judge pairs by, a link holds only if the texts share so much of their distinct shingles (Jaccard
     similarity). Components are found from ids and hashes, written once; then one shuffle brings whole rows to the
     hashes kept.
+
+    Null and empty texts, and texts of spaces only, have no shingles and are alike: one of them stays. Equal rows are
+    one row of the result. An empty table gives none. Other columns are passed on whatever their names.
     """
     columns = hashable(docs)
     keyed = docs.withColumns({"__k1": F.xxhash64(*columns), "__k2": F.xxhash64(F.lit(1), *columns)})
-    printed = with_fingerprint(keyed.select("__k1", "__k2", F.col(doc_id).alias("id"), F.col(text).alias("text")), "text", words, "prints", prints)
+    bare = keyed.select("__k1", "__k2", F.col(doc_id).alias("id"), F.col(text).cast("string").alias("text"))
     # the smallest id first, null last, then the hash
     first = F.min(F.struct(F.col("id").isNull(), "id", "__k1", "__k2"))
-    if percent is not None:  # equal texts are one node
-        hashed = printed.withColumn("node", F.xxhash64("text")).select("__k1", "__k2", "id", "node", "prints")
-        narrow = stored(hashed.groupBy("node").agg(first.alias("k"), F.first("prints").alias("prints")))
-        texts = docs.select(F.xxhash64(text).alias("node"), F.col(text).alias("text"))
-        parts = checked_components(narrow.select("node", "prints"), texts, budget, words, percent)
-        labelled = narrow.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        kept = labelled.groupBy("component").agg(F.min("k").alias("k")).select("k.__k1", "k.__k2")
-        return keyed.dropDuplicates(["__k1", "__k2"]).join(kept, ["__k1", "__k2"], "left_semi").select(*docs.columns)
-    narrow = stored(printed.select("__k1", "__k2", "id", "prints"))
-    parts = print_components(narrow.select(F.col("__k1").alias("node"), "prints"), budget)
-    labelled = narrow.join(parts, F.col("__k1") == F.col("node"), "left").withColumn("component", F.coalesce("component", "__k1"))
-    kept = labelled.groupBy("component").agg(first.alias("k")).select("k.__k1", "k.__k2")
+    if percent is None:
+        narrow = stored(with_fingerprint(bare, "text", words, "prints", prints).select(F.col("__k1").alias("node"), "__k1", "__k2", "id", "prints"))
+        parts = print_components(narrow.select("node", "prints"), budget)
+    else:  # equal texts are one node
+        t1, t2 = F.xxhash64("text"), F.xxhash64(F.lit(1), "text")
+        texts = with_set_prints(bare.select("__k1", "__k2", "id", t1.alias("t1"), t2.alias("t2"), "text"), words, prints * 3 // 2).groupBy("t1", "t2")
+        named = stored(texts.agg(first.alias("k"), F.first("prints").alias("prints"), F.first("size").alias("size")))
+        # texts of one 64-bit hash: of n texts about n^2 / 2^65, some hundreds in 10^11, so that their hashes are broadcast
+        same = stored(named.groupBy("t1").count().where("count > 1").select("t1", F.lit(True).alias("shared")))
+        node = F.when(F.col("shared"), F.xxhash64(F.lit(2), "t1", "t2")).otherwise(F.col("t1")).alias("node")
+        narrow = named.join(F.broadcast(same), "t1", "left").select(node, "k", "prints", "size")
+        given = bare.select(t1.alias("t1"), t2.alias("t2"), "text").join(F.broadcast(same), "t1", "left").select(node, "text")
+        parts = checked_components(narrow.select("node", "prints", "size"), given, budget, words, percent, prints)
+    labelled = narrow.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    kept = labelled.groupBy("component").agg((first if percent is None else F.min("k")).alias("k")).select("k.__k1", "k.__k2")
     return keyed.dropDuplicates(["__k1", "__k2"]).join(kept, ["__k1", "__k2"], "left_semi").select(*docs.columns)
+
+
+def with_set_prints(docs: DataFrame, words: int, prints: int) -> DataFrame:
+    """(…, prints, size) instead of the last column, the text: prints of its distinct shingles, and how many these are."""
+
+    def run(batches):
+        for part in slices(batches, "text", PART_BYTES):
+            hashes, n = distinct_shingles(*utf8(part.column(part.num_columns - 1)), words)
+            table = set_prints(hashes, n, prints).view(np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(table) + 1) * prints, pa.int32()), pa.array(table.ravel()))
+            yield pa.RecordBatch.from_arrays([*part.columns[:-1], lists, pa.array(n.astype(np.int64))], [*part.schema.names[:-1], "prints", "size"])
+
+    return docs.mapInArrow(run, plus(docs.schema.fields[:-1], "prints array<bigint>, size bigint"))

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from litflow.llm.common import lowered, plus, slices, stored, utf8, words_of
+from litflow.llm.common import lowered, plus, slices, span_hashes, span_sums, stored, utf8, words_of
 
 #: Tokens and their stems are each counted in this many buckets by a hash, so that counts and scores have one size
 #: whatever the vocabulary.
@@ -23,10 +23,6 @@ PART_BYTES = 1 << 20
 IN_TOKEN = np.zeros(256, bool)
 IN_TOKEN[48:58] = IN_TOKEN[97:123] = IN_TOKEN[128:] = True
 
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-
-
 def held_out(doc_id: str = "doc_id") -> Column:
     """Rows whose labels are not learned from."""
     return F.pmod(F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))), F.lit(5)) == 0
@@ -35,22 +31,14 @@ def held_out(doc_id: str = "doc_id") -> Column:
 def tokens(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Buckets (of the token, of its stem), start and end (bytes) of every token, and the first token of each row.
 
-    Tokens are runs of letters and digits, A-Z lower-cased, every byte beyond ASCII a letter. The hash of a token is a
-    difference of two sums along the buffer, brought to one place by a power of the base's inverse.
+    Tokens are runs of letters and digits, A-Z lower-cased, every byte beyond ASCII a letter.
     """
     raw = lowered(raw)
     starts, ends, rows = words_of(raw, at, IN_TOKEN)
     if not len(starts):
         return np.zeros((0, 2), np.int32), starts, ends, rows
-    n = len(raw)
-    with np.errstate(over="ignore"):
-        up = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, _BASE)]), dtype=np.uint64)
-        down = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, _INVERSE)]), dtype=np.uint64)
-        sums = np.concatenate([[np.uint64(0)], np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up[:n], dtype=np.uint64)])
-        stems = np.minimum(ends, starts + STEM)
-        h = np.stack([sums[ends] - sums[starts], sums[stems] - sums[starts]], axis=1) * down[starts, None]
-        h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-        h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    sums = span_sums(raw)
+    h = np.stack([span_hashes(*sums, starts, ends), span_hashes(*sums, starts, np.minimum(ends, starts + STEM))], axis=1)
     return (h >> np.uint64(64 - BUCKET_BITS)).astype(np.int32) + np.array([0, BUCKETS], np.int32), starts, ends, rows
 
 

@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from litflow.llm import components, languages, leaks, mixing, near_copies, prints, queries, repeats, secrets, tokens
+from litflow.llm import components, languages, leaks, mixing, near_copies, prints, queries, repeats, secrets, stages, tokens
 from litflow.llm.common import utf8
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -258,27 +258,75 @@ def jaccard(a, b):
     return len(a & b) / len(a | b)
 
 
-def test_fingerprints_of_the_pipeline_find_most_copies_from_similarity_080():
+def set_table(texts, prints=stages.PRINTS * 3 // 2):
+    hashes, n = near_copies.distinct_shingles(*utf8(pa.array(texts, pa.large_string())), 5)
+    return near_copies.set_prints(hashes, n, prints), n
+
+
+def test_prints_of_shingle_sets_by_hand():
+    texts = ["a b c d e f g", "A b  c d e\nf g", None, "", "one two", "one two three four five", "x " * 2_000, " ".join(f"w{i}" for i in range(1_500))]
+    table, n = set_table(texts, 3)
+    assert n.tolist() == [3, 3, 0, 0, 1, 1, 1, 1496] and (table[0] == table[1]).all() and not table[2:4].any()
+    hashes, _ = near_copies.distinct_shingles(*utf8(pa.array(texts, pa.large_string())), 5)
+    at = 0
+    for row, size in zip(table, n):
+        mine = hashes[at : at + size]
+        assert len(set(mine.tolist())) == size
+        for k in range(3):
+            mine = near_copies._mixed(mine + np.uint64(0x9E3779B97F4A7C15))
+            assert int(row[k]) == sum(1 << b for b in range(64) if 2 * sum(int(h) >> b & 1 for h in mine) > size)
+        at += size
+
+
+def test_fingerprints_of_the_pipeline_find_nine_of_ten_copies_in_every_band_from_080():
     rng = random.Random(4)
-    pairs = []
-    while len(pairs) < 400:
-        w = [f"w{rng.randrange(5000)}" for _ in range(120)]
+    pairs, bands = [], []
+    while len(pairs) < 1600:
+        size = rng.choice([60, 120, 300])
+        w = [f"w{rng.randrange(5000)}" for _ in range(size)]
         c = list(w)
-        for _ in range(rng.randint(1, 3)):
-            c[rng.randrange(120)] = "new"
-        if 0.8 <= jaccard(" ".join(w), " ".join(c)) < 0.9:
+        for _ in range(rng.randint(1, max(1, size // 40))):
+            c[rng.randrange(size)] = "new"
+        alike = jaccard(" ".join(w), " ".join(c))
+        if alike >= 0.8:
             pairs += [" ".join(w), " ".join(c)]
-    raw, at = utf8(pa.array(pairs, pa.large_string()))
-    table = near_copies.simhash_table(raw, at, 5, corpus_pipeline.PRINTS)
-    found = lambda n: np.mean(np.bitwise_count(table[::2, :n] ^ table[1::2, :n]).min(axis=1) <= corpus_pipeline.BITS)
-    assert corpus_pipeline.PRINTS >= 12 and found(corpus_pipeline.PRINTS) >= 0.8 > found(8)
+            bands.append(min(int(alike * 20), 18))
+    table, n = set_table(pairs)
+    near = near_copies.Near(stages.PERCENT, table.shape[1])
+    bits = np.bitwise_count(table[::2] ^ table[1::2]).astype(int)
+    found = (bits[:, : stages.PRINTS].min(axis=1) <= stages.BITS) & near.sizes(n[::2], n[1::2]) & near.bits(bits.sum(axis=1), np.minimum(n[::2], n[1::2]))
+    for band in (16, 17, 18):
+        assert np.mean(found[np.array(bands) == band]) >= 0.9, band
+
+
+def linked_components(texts):
+    """Smallest place reachable by links, from all pairs: the relation that ``checked_components`` states."""
+    table, n = set_table(texts)
+    near = near_copies.Near(stages.PERCENT, table.shape[1])
+    sets = [shingles(t) if (t or "").split() else set() for t in texts]
+    held = np.zeros((len(texts), len(texts)), bool)
+    candidates = 0
+    for i in range(len(texts)):
+        bits = np.bitwise_count(table[i] ^ table).astype(int)
+        maybe = bits[:, : stages.PRINTS].min(axis=1) <= stages.BITS
+        maybe &= near.sizes(n[i], n) & near.bits(bits.sum(axis=1), np.minimum(n[i], n))
+        candidates += maybe.sum()
+        for j in np.flatnonzero(maybe):
+            held[i, j] = 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])
+    label = np.arange(len(texts))
+    while not np.array_equal(new := np.array([label[held[i]].min() for i in range(len(texts))]), label):
+        label = new
+    return label, candidates - held.sum()
 
 
-@pytest.mark.parametrize("rounds", [0, 3])
-def test_near_copies_below_080_are_kept(spark, monkeypatch, rounds):
-    monkeypatch.setattr(near_copies, "ROUNDS", rounds)
+@pytest.mark.parametrize("most, rows", [(16, None), (1, 40)])
+def test_near_copies_are_the_components_of_alike_links(spark, monkeypatch, most, rows):
+    monkeypatch.setattr(near_copies, "MOST", most)
+    monkeypatch.setattr(near_copies, "GROWTH", 2)
     monkeypatch.setattr(near_copies, "HOT_LINKS", 7)
-    assert dict(corpus_pipeline.STAGES)["simhash_near_dedup"] is corpus_pipeline.drop_checked_copies
+    if rows:
+        monkeypatch.setattr(near_copies, "TRIE_ROWS", rows)
+    assert dict(corpus_pipeline.STAGES)["simhash_near_dedup"] is stages.drop_checked_copies
     rng = random.Random(3)
     base = [f"w{i}" for i in range(90)]
     texts = [None, "", "  ", "one two three four five six", "One two three four five  six", "12 a b c d e"]
@@ -288,22 +336,39 @@ def test_near_copies_below_080_are_kept(spark, monkeypatch, rounds):
             w[rng.randrange(90)] = f"x{rng.randrange(9)}"
         texts.append(" ".join(w))
     texts += [r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
-    rows = [(i, t, "en", "s", 0) for i, t in enumerate(texts)]
-    raw, at = utf8(pa.array(texts, pa.large_string()))
-    table = near_copies.simhash_table(raw, at, 5, corpus_pipeline.PRINTS)
-    linked = np.min(np.bitwise_count(table[:, None, :] ^ table[None, :, :]), axis=2) <= corpus_pipeline.BITS
-    sets = [shingles(t) if (t or "").split() else set() for t in texts]
-    alike = lambda a, b: 5 * len(a & b) >= 4 * len(a | b)
-    held = np.array([[linked[i, j] and alike(a, b) for j, b in enumerate(sets)] for i, a in enumerate(sets)])
-    assert linked.sum() - held.sum() > 100
-    label = np.arange(len(texts))
-    while not np.array_equal(new := np.array([label[held[i]].min() for i in range(len(texts))]), label):
-        label = new
-    got = {r["doc_id"] for r in corpus_pipeline.drop_checked_copies(spark, docs(spark, rows), SF).collect()}
-    wide = {i for i, c in enumerate(label) if i == c}
-    # spanning links and members met on the way may be alike beyond the bits
-    assert got <= wide, sorted(got - wide)
-    assert all(any(alike(sets[i], sets[j]) for j in range(len(texts)) if j != i) for i in wide - got), sorted(wide - got)
+    label, failing = linked_components(texts)
+    assert failing > 100
+    got = {r["doc_id"] for r in stages.drop_checked_copies(spark, docs(spark, [(i, t, "en", "s", 0) for i, t in enumerate(texts)]), SF).collect()}
+    assert got == {i for i, c in enumerate(label) if i == c}
+
+
+def test_best_pairs_keep_the_nearest_of_both_ends():
+    best = near_copies.Best(1)
+    best.add(np.array([1, 1, 2, 5]), np.array([2, 3, 3, 6]), np.array([4, 9, 5, 7]))
+    best.add(np.array([2, 4]), np.array([1, 1]), np.array([4, 10]))
+    a, b = best.pairs()
+    # (1, 2) is the nearest of both, (2, 3) of 3, (5, 6) of both, (1, 4) of 4; (1, 3) of none: there are more
+    assert sorted(zip(a.tolist(), b.tolist())) == [(-1, -1), (1, 2), (1, 4), (2, 3), (5, 6)]
+    few = near_copies.Best(9)
+    few.add(np.array([1]), np.array([2]), np.array([3]))
+    assert [x.tolist() for x in few.pairs()] == [[1], [2]]
+
+
+CLASHING = ("score", "lang_pred", "spans", "items", "n_hit", "n_words", "secrets", "size", "copies", "copy", "row", "text2", "SIMHASH", "with space", "a.b", "__k1")
+
+
+def test_stages_pass_on_clashing_columns_and_empty_tables(spark):
+    table = spark.read.parquet(f"{SF}/documents.parquet")
+    wide = table.select("*", *[F.concat(F.lit(f"{c}-"), "doc_id").alias(c) for c in CLASHING])
+    for name, stage in stages.STAGES:
+        got = stage(spark, wide, SF)
+        assert got.columns[: len(wide.columns)] == wide.columns and (name == "mixing") == (len(got.columns) > len(wide.columns)), name
+        rows = got.collect()
+        assert rows and all(r[c] == f"{c}-{r['doc_id']}" for r in rows for c in CLASHING), name
+        assert len(rows) == stage(spark, table, SF).count(), name
+        none = stage(spark, wide.limit(0), SF)
+        assert none.count() == 0 and none.columns == got.columns, name
+    assert "mix_size" in got.columns and "taken" in got.columns
 
 
 def test_pipeline_stage_by_stage(spark):
@@ -311,28 +376,23 @@ def test_pipeline_stage_by_stage(spark):
     extra = [(9000, "12345 !!", None, "src0", 8), (9001, None, "en", "src0", None), (9002, "", "en", None, 0)]
     docs_ = docs_.unionByName(spark.createDataFrame(extra, docs_.schema))
     start = {r["doc_id"]: r["text"] for r in docs_.collect()}
-    one = corpus_pipeline.identify_language(spark, docs_, SF).cache()
+    one = stages.identify_language(spark, docs_, SF).cache()
     assert one.columns == docs_.columns and {r["doc_id"] for r in one.collect()} == set(start) - {9000, 9001, 9002}
-    two = corpus_pipeline.drop_near_copies(spark, one, SF).cache()
+    two = stages.drop_checked_copies(spark, one, SF).cache()
     rows = sorted((r["doc_id"], r["text"]) for r in one.collect())
-    raw, at = utf8(pa.array([t for _, t in rows], pa.large_string()))
-    table = near_copies.simhash_table(raw, at, 5, corpus_pipeline.PRINTS)
-    linked = np.min(np.bitwise_count(table[:, None, :] ^ table[None, :, :]), axis=2) <= corpus_pipeline.BITS
-    label = np.arange(len(rows))
-    while not np.array_equal(new := np.array([label[linked[i]].min() for i in range(len(rows))]), label):
-        label = new
-    assert {r["doc_id"] for r in two.collect()} == {rows[c][0] for c in label} and two.columns == docs_.columns
-    three = corpus_pipeline.decontaminate(spark, two, SF).cache()
+    label, _ = linked_components([t for _, t in rows])
+    assert {r["doc_id"] for r in two.collect()} == {rows[i][0] for i, c in enumerate(label) if i == c} and two.columns == docs_.columns
+    three = stages.decontaminate(spark, two, SF).cache()
     bench = spark.read.parquet(f"{SF}/benchmark.parquet")
     hits = {r["doc_id"]: (r["n_hit"], r["n_words"]) for r in leaks.find_leaks(two, bench).collect()}
     left = {r["doc_id"]: r["text"] for r in three.collect()}
     assert set(left) == {i for i, (h, n) in hits.items() if h == 0 or h < n}
     assert all(left[i] == start[i] for i in left if not hits[i][0]) and any(h for h, _ in hits.values())
-    four = corpus_pipeline.redact_secrets(spark, three, SF).cache()
+    four = stages.redact_secrets(spark, three, SF).cache()
     assert four.count() == three.count() and four.columns == docs_.columns
     assert secrets.find_secrets(four).where(F.size("secrets") > 0).count() == 0
     assert all(r["n_chars"] == len(r["text"]) for r in four.collect())
-    five = corpus_pipeline.mix_sources(spark, four, SF)
+    five = stages.mix_sources(spark, four, SF)
     took = {r["source"]: r["t"] for r in five.groupBy("source").agg(F.sum("size").alias("t")).collect()}
     per = mixing.mix(four).groupBy("source").agg(F.max("target").alias("g"), F.max("size").alias("m")).collect()
     assert all(abs(took.get(r["source"], 0) - r["g"]) <= r["m"] for r in per)
