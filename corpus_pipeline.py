@@ -1,93 +1,5 @@
-"""A corpus pipeline of five training-data operators; each stage works on all that the one before kept."""
+"""The corpus pipeline; its stages are in the subpackage of the training-data operators."""
 
-from __future__ import annotations
+from litflow.llm.stages import ORACLE_SQL, STAGES, run
 
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from litflow.llm import languages, leaks, mixing, near_copies, secrets
-from litflow.llm.common import cut_lineage, start
-
-
-#: SimHash fingerprints of each document in the near-duplicate stage, and bits in which linked ones may differ.
-PRINTS, BITS = 16, 5
-#: Jaccard similarity, in hundredths, from which two texts are near copies.
-PERCENT = 80
-
-
-def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents whose text has a language; drops those without a letter (``und``)."""
-    start(spark)
-    model = languages.learn(docs.where(~languages.held_out()))
-    columns = docs.columns
-    return languages.predict(docs, model).where(F.col("lang_pred") != languages.UNKNOWN).select(*columns)
-
-
-def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group that fingerprint links alone join; not a stage, since some links are false.
-
-    Shingles have five words. One fingerprint within four bits finds a third of the copies of similarity 0.9;
-    ``PRINTS`` of them within ``BITS`` find nearly all, and most from 0.8 on.
-    """
-    start(spark)
-    return near_copies.keep_one(docs, budget=BITS, words=5, prints=PRINTS)
-
-
-def drop_checked_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group of near copies.
-
-    The fingerprint links of ``drop_near_copies`` are candidates; one holds if the five-word shingles of both texts have
-    a Jaccard similarity of ``PERCENT`` or more.
-    """
-    start(spark)
-    return near_copies.keep_one(docs, budget=BITS, words=5, prints=PRINTS, percent=PERCENT)
-
-
-def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts benchmark passages out of the texts; drops documents of which no word is left, if they had any."""
-    start(spark)
-    found = leaks.find_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    clean = leaks.remove_leaks(found.where("n_hit = 0 OR n_hit < n_words"))
-    return _measured(clean).select(*docs.columns)
-
-
-def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replaces secrets by a mark."""
-    return _measured(secrets.redact(secrets.find_secrets(docs))).select(*docs.columns)
-
-
-def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mixture: one row per copy of a document, with its source's size and target."""
-    return mixing.emit(mixing.mix(docs))
-
-
-def _measured(docs: DataFrame) -> DataFrame:
-    if "n_chars" not in docs.columns:
-        return docs
-    return docs.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-
-
-STAGES = [
-    ("language_id", identify_language),
-    ("simhash_near_dedup", drop_checked_copies),
-    ("benchmark_decontamination", decontaminate),
-    ("secret_scans", redact_secrets),
-    ("mixing", mix_sources),
-]
-
-#: Language models and fingerprint links cannot be said in SQL; the tests hold the stages against brute force.
-ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies the stages to ``documents``; each result is written under the shared checkpoint folder and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    cut_lineage(spark.range(0))  # sets the folder where none is set
-    folder = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
-    for number, (name, stage) in enumerate(STAGES):
-        path = f"{folder}/{number}-{name}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
-    return docs
+__all__ = ["ORACLE_SQL", "STAGES", "run"]
