@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from math import acos, comb, pi, sqrt
 
 import numpy as np
@@ -350,29 +350,31 @@ def fingerprint_links(values: DataFrame, budget: int = 4, near: "Near | None" =
     sizes = values.agg(F.count("*").alias("n"), F.countDistinct("print").alias("p")).first()
     n, chosen = _blocks(sizes["n"] // max(1, sizes["p"]), budget)
     edges = [round(i * 64 / n) for i in range(n + 1)]
+    widths = np.diff(edges)
+    orders = [[*choice, *[i for i in range(n) if i not in choice]] for choice in combinations(range(n), chosen)]
+    depth = int(min(widths[order[:chosen]].sum() for order in orders))
     turns = []
-    for choice in combinations(range(n), chosen):
-        order = [*choice, *[i for i in range(n) if i not in choice]]
+    for number, order in enumerate(orders):
         bits, turned = 0, F.lit(0).cast("bigint")
         for i in order:
-            width = edges[i + 1] - edges[i]
-            piece = F.shiftrightunsigned("v", 64 - edges[i + 1]).bitwiseAND(F.lit((1 << width) - 1).cast("bigint"))
-            bits += width
+            piece = F.shiftrightunsigned("v", 64 - edges[i + 1]).bitwiseAND(F.lit((1 << int(widths[i])) - 1).cast("bigint"))
+            bits += int(widths[i])
             turned = turned.bitwiseOR(F.shiftleft(piece, 64 - bits))
-        depth = sum(edges[i + 1] - edges[i] for i in choice)
-        turns.append(F.struct(F.lit(len(turns)).alias("turn"), F.shiftrightunsigned(turned, 64 - depth).alias("front"), turned.alias("turned"), F.lit(depth).alias("depth")))
-    spread = values.select("print", "v", *extra, F.explode(F.array(*turns)).alias("t")).select("print", "t.*", "v", *extra)
-    hot = spread.groupBy("print", "turn", "front").count().where(F.col("count") > TRIE_ROWS).select("print", "turn", "front", F.ceil(F.col("count") / (TRIE_ROWS // 2)).cast("int").alias("parts"))
-    own = F.pmod(F.xxhash64("v", *extra[:1]), F.col("parts")).cast("int")
+        turns.append(F.struct(F.lit(number).alias("turn"), turned.alias("turned")))
+    front = F.shiftrightunsigned("turned", 64 - depth)
+    spread = values.select("print", *extra, F.explode(F.array(*turns)).alias("t")).select("print", "t.*", *extra)
+    # a row for every TRIE_ROWS rows at most, so it is broadcast
+    hot = spread.groupBy("print", "turn", front.alias("front")).count().where(F.col("count") > TRIE_ROWS).select("print", "turn", "front", F.ceil(F.col("count") / (TRIE_ROWS // 2)).cast("int").alias("parts"))
+    own = F.pmod(F.xxhash64("turned", *extra[:1]), F.col("parts")).cast("int")
     pairs = F.transform(
         F.sequence(F.lit(0), F.col("parts") - 1), lambda o: F.struct(F.least(o, F.col("own")).alias("p"), F.greatest(o, F.col("own")).alias("q"))
     )
     dealt = (
-        spread.join(hot, ["print", "turn", "front"], "left").withColumn("own", F.when(F.col("parts").isNull(), 0).otherwise(own))
+        spread.withColumn("front", front).join(F.broadcast(hot), ["print", "turn", "front"], "left").withColumn("own", F.when(F.col("parts").isNull(), 0).otherwise(own))
         .withColumn("pair", F.explode(F.when(F.col("parts").isNull(), F.array(F.struct(F.lit(0).alias("p"), F.lit(0).alias("q")))).otherwise(pairs)))
-        .select("print", "turn", "front", "pair.p", "pair.q", "turned", "depth", "v", *extra)
+        .select("print", "turn", "pair.p", "pair.q", "turned", *extra)
     )
-    keys = ["print", "turn", "front", "p", "q"]
+    keys = ["print", "turn", "p", "q"]
 
     def run(batches):
         held: list[pa.RecordBatch] = []
@@ -382,60 +384,68 @@ def fingerprint_links(values: DataFrame, budget: int = 4, near: "Near | None" =
             size += batch.num_rows
             if size >= TRIE_ROWS:
                 table = pa.Table.from_batches(held)
-                cut = _last_group(table, keys)
+                cut = _last_group(table, keys, depth)
                 if cut:
-                    yield from _join_groups(table.slice(0, cut), keys, budget, near)
+                    yield from _join_groups(table.slice(0, cut), keys, depth, budget, near, straight)
                 held = table.slice(cut).to_batches()
                 size = table.num_rows - cut
         if held:
-            yield from _join_groups(pa.Table.from_batches(held), keys, budget, near)
-
-    return dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "print int, a bigint, b bigint")
+            yield from _join_groups(pa.Table.from_batches(held), keys, depth, budget, near, straight)
+
+    def straight(turn: np.ndarray, turned: np.ndarray) -> np.ndarray:
+        """Turned values with their blocks in the old order."""
+        out = np.zeros(len(turned), np.uint64)
+        for number in np.unique(turn):
+            mine, bits = turn == number, 0
+            for i in orders[number]:
+                bits += int(widths[i])
+                piece = (turned[mine] >> np.uint64(64 - bits)) & np.uint64((1 << int(widths[i])) - 1)
+                out[mine] |= piece << np.uint64(64 - edges[i + 1])
+        return out.view(np.int64)
+
+    # equal fronts have one sign, so a group is sorted like unsigned values
+    return dealt.repartition("print", "turn", front, "p", "q").sortWithinPartitions(*keys, "turned").mapInArrow(run, "print int, a bigint, b bigint")
+
+
+def _fresh(table: pa.Table, keys: list[str], depth: int) -> np.ndarray:
+    """Where a group of a sorted table starts: rows with other keys or another front than the row before."""
+    fresh = np.zeros(table.num_rows, bool)
+    fresh[:1] = True
+    front = table.column("turned").to_numpy().view(np.uint64) >> np.uint64(64 - depth)
+    for values in [front, *[table.column(k).to_numpy() for k in keys]]:
+        fresh[1:] |= values[1:] != values[:-1]
+    return fresh
 
 
-def _last_group(table: pa.Table, keys: list[str]) -> int:
+def _last_group(table: pa.Table, keys: list[str], depth: int) -> int:
     """Where the last group of a sorted table starts."""
-    same = np.ones(table.num_rows, bool)
-    for k in keys:
-        values = table.column(k).to_numpy()
-        same &= values == values[-1]
-    return int(np.flatnonzero(~same)[-1]) + 1 if not same.all() else 0
+    return int(np.flatnonzero(_fresh(table, keys, depth))[-1])
 
 
-def _join_groups(table: pa.Table, keys: list[str], budget: int, near: "Near | None"):
+def _join_groups(table: pa.Table, keys: list[str], depth: int, budget: int, near: "Near | None", straight: Callable):
+    heads = np.flatnonzero(fresh := _fresh(table, keys, depth))
     turned = table.column("turned").to_numpy().view(np.uint64)
-    columns = [table.column(k).to_numpy() for k in keys]
-    fresh = np.zeros(len(turned), bool)
-    fresh[:1] = True
-    for c in columns:
-        fresh[1:] |= c[1:] != c[:-1]
-    group = np.cumsum(fresh)
-    label = table.column("label").to_numpy() if near else None
-    order = np.lexsort((label, turned, group) if near else (turned, group))
-    turned, value = turned[order], table.column("node" if near else "v").to_numpy()[order]
-    depth = table.column("depth").to_numpy()
-    heads = np.flatnonzero(fresh)
+    order = np.arange(len(turned))
+    if near:
+        label = table.column("label").to_numpy()
+        order = np.lexsort((label, turned, np.cumsum(fresh)))
+        label, value = label[order], table.column("node").to_numpy()[order]
     if near:
         size, prints = table.column("size").to_numpy()[order], table.column("prints").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(order), -1)[order]
         best = Best(near.most)
-    for d in np.unique(depth):  # groups of one key length go down together
-        mine = np.flatnonzero(depth == d)
-        runs = heads[depth[heads] == d]
-        if near:
-            for a, b in trie_pairs(turned[mine], label[order][mine], np.searchsorted(mine, runs), int(d), budget):
-                a, b = mine[a], mine[b]
-                fits = near.sizes(size[a], size[b])
-                a, b = a[fits], b[fits]
-                bits = np.bitwise_count(prints[a] ^ prints[b]).sum(axis=1, dtype=np.int64)
-                fits = near.bits(bits, np.minimum(size[a], size[b]))
-                best.add(value[a[fits]], value[b[fits]], bits[fits])
-            continue
-        a, b = trie_links(turned[mine], np.searchsorted(mine, runs), int(d), budget)
-        number = table.column("print").to_numpy()[mine][a]
-        yield pa.RecordBatch.from_arrays([pa.array(number, pa.int32()), pa.array(value[mine][a]), pa.array(value[mine][b])], ["print", "a", "b"])
-    if near:
+        for a, b in trie_pairs(turned, label, heads, depth, budget):
+            fits = near.sizes(size[a], size[b])
+            a, b = a[fits], b[fits]
+            bits = np.bitwise_count(prints[a] ^ prints[b]).sum(axis=1, dtype=np.int64)
+            fits = near.bits(bits, np.minimum(size[a], size[b]))
+            best.add(value[a[fits]], value[b[fits]], bits[fits])
         a, b = best.pairs()
         yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(a), np.int32)), pa.array(a), pa.array(b)], ["print", "a", "b"])
+        return
+    a, b = trie_links(turned, heads, depth, budget)
+    turn, number = table.column("turn").to_numpy(), table.column("print").to_numpy()
+    sides = [pa.array(straight(turn[x], turned[x])) for x in (a, b)]
+    yield pa.RecordBatch.from_arrays([pa.array(number[a], pa.int32()), *sides], ["print", "a", "b"])
 
 
 class Near:
