@@ -180,24 +180,29 @@ def reference_sets(refs: DataFrame) -> DataFrame:
 def similar_sets(refs: DataFrame, threshold: float = 0.3) -> tuple[DataFrame, DataFrame]:
     """Exact Jaccard join of reference sets: ``pairs(set_a, set_b, jaccard)`` and set membership.
 
-    Equal sets collapse to one. References are ordered rare first; two sets that reach the threshold
-    share a reference within their prefixes, at positions that still allow enough overlap. A
-    reference held by very many prefixes is split into salted parts.
+    Equal sets collapse to one row with its references, rare ones first, and a bitmap of 128 bits. Two sets that reach
+    the threshold share a reference within their prefixes, at positions that still allow enough overlap, and their
+    bitmaps differ in no more bits than the sets may in references; only pairs that pass all of these leave the join.
+    They are verified on the two reference arrays. A reference held by very many prefixes is split into salted parts.
     """
     refs = refs.select("src", "dst").distinct()
     member = cut_lineage(reference_sets(refs))
     reps = member.groupBy("set_id", "size").agg(F.min("paper_id").alias("src"))
-    tokens = refs.join(reps, "src").select("set_id", "size", "dst")
+    tokens = refs.join(reps, "src").select("set_id", "size", "dst").withColumn("_slot", F.pmod(F.xxhash64(F.lit(3), "dst"), F.lit(128)).cast("int"))
     freq = tokens.groupBy("dst").agg(F.count("*").alias("_df"))
-    keyed = tokens.join(freq, "dst").withColumns({"_neg": -F.col("_df"), "_h": F.xxhash64("dst")})
-    keyed = cut_lineage(keyed)
-    placed = ranking.row_number_desc(keyed, ["set_id"], "_neg", "_h", name="pos")
-    prefix = F.col("size") - F.ceil(F.col("size") * threshold) + 1
-    idx = cut_lineage(placed.where(F.col("pos") <= prefix).select("dst", "set_id", "size", "pos"))
-    salts = idx.groupBy("dst").agg(F.ceil(F.count("*") / HOT_TOKEN_ROWS).cast("int").alias("k"))
+    sets = cut_lineage(
+        tokens.join(freq, "dst").groupBy("set_id", "size").agg(
+            F.array_sort(F.collect_list(F.struct("_df", F.xxhash64("dst").alias("_h"), "dst"))).alias("tokens"),
+            F.bit_or(F.when(F.col("_slot") < 64, F.expr("shiftleft(1L, _slot)")).otherwise(0)).alias("low"),
+            F.bit_or(F.when(F.col("_slot") >= 64, F.expr("shiftleft(1L, _slot - 64)")).otherwise(0)).alias("high"),
+        )
+    )
+    prefix = (F.col("size") - F.ceil(F.col("size") * threshold) + 1).cast("int")
     # sets whose sizes differ by more than the threshold allows are never in neighbouring bands of size
     band = F.floor(F.log("size") / math.log(1 / threshold) + 1e-9).cast("int")
-    idx = idx.withColumn("band", band)
+    idx = sets.select("set_id", "size", "low", "high", band.alias("band"), F.posexplode(F.slice("tokens", 1, prefix)).alias("pos", "token"))
+    idx = idx.select("set_id", "size", "low", "high", "band", (F.col("pos") + 1).alias("pos"), "token.dst")
+    salts = idx.groupBy("dst").agg(F.ceil(F.count("*") / HOT_TOKEN_ROWS).cast("int").alias("k"))
     left = idx.join(salts, "dst").withColumn("salt", F.pmod(F.xxhash64("set_id"), F.col("k")).cast("int")).drop("k")
     right = idx.join(salts, "dst").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).drop("k")
     right = right.withColumn("band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)))
@@ -205,19 +210,18 @@ def similar_sets(refs: DataFrame, threshold: float = 0.3) -> tuple[DataFrame, Da
     alpha = F.ceil((F.col("a.size") + F.col("b.size")) * (threshold / (1 + threshold)) - 1e-9)
     reachable = 1 + F.least(F.col("a.size") - F.col("a.pos"), F.col("b.size") - F.col("b.pos")) >= alpha
     sizes = (F.col("a.size") >= F.col("b.size") * threshold) & (F.col("b.size") >= F.col("a.size") * threshold)
+    apart = F.bit_count(F.col("a.low").bitwiseXOR(F.col("b.low"))) + F.bit_count(F.col("a.high").bitwiseXOR(F.col("b.high")))
+    overlap = F.col("a.size") + F.col("b.size") - apart >= 2 * alpha
     cand = (
         a.join(b, (F.col("a.dst") == F.col("b.dst")) & (F.col("a.salt") == F.col("b.salt")) & (F.col("a.band") == F.col("b.band"))
-               & (F.col("a.set_id") < F.col("b.set_id")) & sizes & reachable)
-        .select(F.col("a.set_id").alias("set_a"), F.col("b.set_id").alias("set_b"),
-                F.col("a.size").alias("size_a"), F.col("b.size").alias("size_b")).distinct()
-    )
-    ta = tokens.select(F.col("set_id").alias("set_a"), "dst")
-    tb = tokens.select(F.col("set_id").alias("set_b"), "dst")
-    both = cand.join(ta, "set_a").join(tb, ["set_b", "dst"]).groupBy("set_a", "set_b", "size_a", "size_b").agg(
-        F.count("*").alias("c")
+               & (F.col("a.set_id") < F.col("b.set_id")) & sizes & reachable & overlap)
+        .select(F.col("a.set_id").alias("set_a"), F.col("b.set_id").alias("set_b")).distinct()
     )
-    j = F.col("c") / (F.col("size_a") + F.col("size_b") - F.col("c"))
-    return both.select("set_a", "set_b", j.alias("jaccard")).where(F.col("jaccard") >= threshold), member
+    of = lambda end: sets.select(F.col("set_id").alias(f"set_{end}"), F.col("tokens.dst").alias(f"refs_{end}"))
+    both = F.size(F.array_intersect("refs_a", "refs_b"))
+    j = both / (F.size("refs_a") + F.size("refs_b") - both)
+    met = cand.join(of("a"), "set_a").join(of("b"), "set_b")
+    return met.select("set_a", "set_b", j.alias("jaccard")).where(F.col("jaccard") >= threshold), member
 
 
 def coupled_papers(refs: DataFrame, threshold: float = 0.3) -> DataFrame:

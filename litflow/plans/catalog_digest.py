@@ -215,7 +215,7 @@ def kmeans_facts(spark, sf_dir):
 @register("m3_lda_facts", "SELECT count(*) AS papers, 5 AS topics, true AS shares_sum_to_one, 50 AS keywords FROM documents")
 def lda_facts(spark, sf_dir):
     """Every paper has one topic, shares are a distribution, each topic has ten words."""
-    a, t = topics.lda_topics(papers(spark, sf_dir), 5, iterations=5, min_size=1)
+    a, t = topics.lda_topics(papers(spark, sf_dir), 5, min_size=1)
     n = a.where("cluster_id IS NOT NULL").agg(F.count("*").alias("papers"))
     return n.crossJoin(t.agg(F.count("*").alias("topics"), F.sum("share").between(0.99, 1.0 + 1e-6).alias("shares_sum_to_one"), F.sum(F.size("keywords")).alias("keywords")))
 

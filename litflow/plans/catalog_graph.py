@@ -205,19 +205,15 @@ def knn_probed(spark, sf_dir):
 
 CIT_SQL = """
 direct AS (SELECT dst AS query_id, src AS paper_id FROM edges QUALIFY row_number() OVER (PARTITION BY dst ORDER BY src) <= {k}),
-myrefs AS (SELECT src AS query_id, dst AS ref FROM edges QUALIFY row_number() OVER (PARTITION BY src ORDER BY dst) <= 10),
-page AS (SELECT dst AS ref, src AS paper_id FROM edges QUALIFY row_number() OVER (PARTITION BY dst ORDER BY src) <= 20),
+myrefs AS (SELECT src AS query_id, dst AS ref FROM edges),
+page AS (SELECT dst AS ref, src AS paper_id FROM edges),
 coupled AS (SELECT DISTINCT query_id, paper_id FROM myrefs JOIN page USING (ref) WHERE query_id <> paper_id AND (query_id, paper_id) NOT IN (SELECT query_id, paper_id FROM direct)),
 cit0 AS (SELECT query_id, paper_id, 0.8e0 AS similarity, 1e0 AS citation_similarity, 'Cites this paper' AS reason FROM direct UNION ALL SELECT query_id, paper_id, 0.6e0, 0.7e0, 'Cites same references' FROM coupled),
 cit AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, paper_id) AS rank FROM cit0 QUALIFY rank <= {k})"""
 
-# the SQL states the original's page of ten references and twenty citing papers; the operator has no such limits by default
-PAGE = {"refs": 10, "per_ref": 20}
-
-
 @register("j8_j9_citation_similarity", sql(EDGES_SQL, CIT_SQL.format(k=20), body="SELECT query_id, paper_id, similarity, citation_similarity, reason, rank FROM cit WHERE query_id IN (SELECT paper_id FROM nodes)"))
 def citation_similarity(spark, sf_dir):
-    return similarity.by_citations(nodes(spark, sf_dir), edges(spark, sf_dir), 20, **PAGE)
+    return similarity.by_citations(nodes(spark, sf_dir), edges(spark, sf_dir), 20)
 
 
 AUT_SQL = """
@@ -250,7 +246,7 @@ def find_similar(spark, sf_dir):
     p = vectors(spark, sf_dir).join(papers(spark, sf_dir, authors=True).select("paper_id", "year", "authors"), "paper_id")
     out = None
     for method in similarity.METHODS:
-        one = similarity.find_similar(p, p, edges(spark, sf_dir), method, 10, **PAGE).select(F.lit(method).alias("method"), "query_id", "paper_id", "rank")
+        one = similarity.find_similar(p, p, edges(spark, sf_dir), method, 10).select(F.lit(method).alias("method"), "query_id", "paper_id", "rank")
         out = one if out is None else out.unionByName(one)
     return out
 
@@ -266,6 +262,6 @@ def combined(spark, sf_dir):
     p = papers(spark, sf_dir, authors=True).select("paper_id", "year", "authors")
     q = v.join(p, "paper_id", "left")
     c = similarity.combine(
-        similarity.nearest(v, v, 20), similarity.by_citations(v, edges(spark, sf_dir), 20, **PAGE),
+        similarity.nearest(v, v, 20), similarity.by_citations(v, edges(spark, sf_dir), 20),
         similarity.by_authors(q, p, 10), 10)
     return c.select("query_id", "paper_id", F.round("similarity", 6).alias("similarity"), F.array_join("reasons", ";").alias("reasons"), "rank")
