@@ -63,26 +63,73 @@ def rule_for(host: Column, path: Column, rules: Sequence[UrlRule]) -> Column:
 
 
 def node_of(url: Column) -> Column:
-    """Two urls that differ in scheme, fragment or default port only are one node; null, and one without ``://``, has none."""
+    """Two urls that differ in scheme, fragment or default port only are one node (128 bits); null, and one without ``://``, has none."""
     rest = F.regexp_replace(_after_scheme(url), r"(?s)#.*$", "")
     host = F.regexp_replace(host_of(url), r":(80|443)$", "")
     query = F.regexp_extract(rest, r"(?s)\?(.*)$", 1)
-    return F.when(F.contains(url, F.lit("://")), F.xxhash64(host, path_of(url), query))
+    return F.when(F.contains(url, F.lit("://")), F.unhex(F.md5(F.concat(host, path_of(url), F.lit("?"), query))))
 
 
-def links_in(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """(src, dst): canonical links and meta refreshes named in the pages; a target without host is taken on the page's own."""
-    tag = F.coalesce(
-        F.nullif(F.regexp_extract(html, r"(?is)<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>", 0), F.lit("")),
-        F.regexp_extract(html, r"(?is)<meta\b[^>]*http-equiv\s*=\s*[\"']?refresh\b[^>]*>", 0),
+# A tag, its kind, and what it names: the first group that took part.
+TAG = r"(?is)<(?:link|meta)\b[^>]*>"
+CANONICAL = r"(?is)^<link\b.*(?<![\w-])rel\s*=\s*(?:\"[^\"]*\bcanonical\b|'[^']*\bcanonical\b|canonical\b)"
+REFRESH = r"(?is)^<meta\b.*(?<![\w-])http-equiv\s*=\s*[\"']?refresh\b"
+HREF = r"(?is)(?<![\w-])href\s*=\s*(?:\"\s*([^\"]*?)\s*\"|'\s*([^']*?)\s*'|([^\"'\s>]+))"
+GOES_TO = r"(?is)[;,\"'\s]url\s*=\s*(?:'\s*([^'>]*?)\s*'|\"\s*([^\">]*?)\s*\"|([^\"'\s>]+))"
+
+
+def _named_by(tag: Column, pattern: str) -> Column:
+    return F.concat(*[F.regexp_extract(tag, pattern, g) for g in (1, 2, 3)])
+
+
+def _without_dots(path: Column) -> Column:
+    """A path with its ``.`` and ``..`` segments resolved."""
+    parts = F.split(path, "/")
+    kept = F.aggregate(
+        parts, F.array().cast("array<string>"),
+        lambda done, x: F.when(x == ".", done).when(x == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(1)))).otherwise(F.array_append(done, x)),
     )
-    target = F.regexp_extract(tag, r"(?is)(?:\bhref\s*=\s*[\"']?|;\s*url\s*=\s*'?)([^\"'\s>]+)", 1)
-    whole = (
-        F.when(F.startswith(target, F.lit("//")), F.concat(F.lit("http:"), target))
-        .when(F.startswith(target, F.lit("/")), F.concat(F.lit("http://"), host_of(F.col(url)), target)).otherwise(target)
+    folder = F.element_at(parts, -1).isin(".", "..")
+    return F.when(path.contains("/."), F.concat(F.array_join(kept, "/"), F.when(folder, F.lit("/")).otherwise(F.lit("")))).otherwise(path)
+
+
+def resolve(target: Column, page: Column) -> Column:
+    """A link's target as a whole url, relative ones taken on ``page``; null if it names no other page.
+
+    ``//host/x`` takes the page's scheme, ``/x`` its host, ``?x`` its path, and anything else its folder; ``.`` and
+    ``..`` are resolved. Empty targets, mere fragments, schemes without ``://`` (mailto) and relative targets on a page
+    that has none are null.
+    """
+    scheme = F.substring_index(page, "://", 1)
+    authority = F.regexp_extract(_after_scheme(page), r"^[^/?#]*", 0)
+    whole = F.rlike(target, F.lit(r"^[A-Za-z][A-Za-z0-9+.-]*:"))
+    folder = F.regexp_extract(path_of(page), r"(?s)^.*/", 0)
+    folder = F.when(folder == "", F.lit("/")).otherwise(folder)
+    path = F.when(F.startswith(target, F.lit("/")), target).otherwise(F.concat(folder, target))
+    split = r"(?s)^([^?#]*)(.*)$"
+    on_host = F.concat(scheme, F.lit("://"), authority, _without_dots(F.regexp_extract(path, split, 1)), F.regexp_extract(path, split, 2))
+    return (
+        F.when((target == "") | F.startswith(target, F.lit("#")), F.lit(None))
+        .when(whole, F.when(F.contains(target, F.lit("://")), target))
+        .when(~F.contains(page, F.lit("://")), F.lit(None))
+        .when(F.startswith(target, F.lit("//")), F.concat(scheme, F.lit(":"), target))
+        .when(F.startswith(target, F.lit("?")), F.concat(scheme, F.lit("://"), authority, path_of(page), target))
+        .otherwise(on_host)
     )
-    maybe = pages.where(F.col(html).rlike(r"(?i)canonical|http-equiv"))
-    return maybe.select(F.col(url).alias("src"), whole.alias("dst")).where("dst <> '' AND src IS NOT NULL")
+
+
+def links_in(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
+    """(src, dst): every canonical link and every meta refresh named in a page outside comments, targets as whole urls.
+
+    ``rel`` may list several words; ``&amp;`` stands for ``&``. Null pages and null urls have no links; repeated tags
+    and repeated rows give repeated links; other columns play no part.
+    """
+    maybe = pages.select(F.col(url).alias("src"), F.col(html).alias("said")).where(F.col("said").rlike(r"(?i)canonical|http-equiv") & F.col("src").isNotNull())
+    tags = F.regexp_extract_all(F.regexp_replace("said", r"(?s)<!--.*?-->", " "), F.lit(TAG), F.lit(0))
+    tag = F.col("tag")
+    target = F.when(tag.rlike(CANONICAL), _named_by(tag, HREF)).when(tag.rlike(REFRESH), _named_by(tag, GOES_TO))
+    named = maybe.select("src", F.explode(tags).alias("tag")).select("src", F.replace(target, F.lit("&amp;"), F.lit("&")).alias("target"))
+    return named.select("src", resolve(F.col("target"), F.col("src")).alias("dst")).where("dst IS NOT NULL")
 
 
 def judge_urls(

@@ -321,5 +321,49 @@ def test_decisions_reach_aliases_and_allow_goes_first(spark):
     assert all(got[100 + i] == "block" for i in range(31))
 
 
+CANON = '<link rel="canonical" href="{}">'
+
+
+def test_all_links_of_a_page_and_relative_targets(spark):
+    cases = [  # page, html, targets as the standard resolver gives them
+        ("http://a.net/x/p?q=1#f", CANON.format("fr/2"), ["http://a.net/x/fr/2"]),
+        ("http://a.net/x/p?q=1#f", CANON.format("?page=1"), ["http://a.net/x/p?page=1"]),
+        ("http://a.net", CANON.format("fr/2"), ["http://a.net/fr/2"]),
+        ("https://a.net/x/y/p", CANON.format("../z?a=1&amp;b=2"), ["https://a.net/x/z?a=1&b=2"]),
+        ("https://a.net/x/y/p", CANON.format("./"), ["https://a.net/x/y/"]),
+        ("https://a.net/x/y/p", CANON.format("/a/../../b/./c"), ["https://a.net/b/c"]),
+        ("https://a.net/x/y/p", CANON.format("//b.org/k"), ["https://b.org/k"]),
+        ("http://a.net/p", CANON.format("mailto:me@b.org") + CANON.format("#top") + CANON.format(""), []),
+        ("no scheme", CANON.format("fr/2"), []),
+        (None, CANON.format("http://b.org/"), []),
+        ("http://a.net/p", None, []),
+        ("http://a.net/p", "<!-- " + CANON.format("http://b.org/1") + "\n--> canonical", []),
+        ("http://a.net/p", "<LINK href='http://b.org/1' data-rel=canonical rel='alternate Canonical'><link rel=stylesheet href=/canonical.css>", ["http://b.org/1"]),
+        ("http://a.net/p", CANON.format("http://b.org/1") + CANON.format("q") + '<meta http-equiv="refresh" content="0; URL=\'r s\'"><meta content="5;url=t" http-equiv=refresh>',
+         ["http://a.net/q", "http://a.net/r s", "http://a.net/t", "http://b.org/1"]),
+    ]
+    pages = spark.createDataFrame([(i, u, h) for i, (u, h, _) in enumerate(cases)], "n long, url string, html string")
+    for i, (_, _, want) in enumerate(cases):
+        assert sorted(r["dst"] for r in urls.links_in(pages.where(F.col("n") == i)).collect()) == want, cases[i]
+    assert urls.links_in(pages.limit(0)).count() == 0
+
+
+def test_resolved_targets_equal_the_standard_library(spark):
+    from urllib.parse import urljoin
+
+    bases = ["http://a.net/b/c/d?q", "https://a.net/b/", "http://a.net", "http://a.net/b/c/d/e/f.html"]
+    targets = ["g", "./g", "g/", "/g", "//g/h", "?y", "g?y", "g#s", "..", "../", "../g", "../../g", "../../../../g", "./../g", "g/./h", "g/../h", "g;x=1/../y", "/./g", "/../g", "http://x.org/y"]
+    rows = spark.createDataFrame([(b, t) for b in bases for t in targets], "base string, target string")
+    for r in rows.select("base", "target", urls.resolve(F.col("target"), F.col("base")).alias("got")).collect():
+        assert r["got"] == urljoin(r["base"], r["target"]), r
+
+
+def test_a_refresh_passes_a_block_on_beside_a_canonical_link(spark):
+    refresh = "<meta http-equiv=refresh content='0; url=http://x.com/de/6'>"
+    rows = [(1, "http://k.net/1", CANON.format("http://k.net/canon") + refresh), (2, "http://k.net/canon", None), (3, "http://www.x.com/fr/", None), (4, "http://k.net/fr/2", CANON.format("3")), (5, "http://k.net/fr/3", CANON.format("http://y.com/de/"))]
+    got = {r["page_id"]: r["verdict"] for r in urls.judge_urls(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {1: "block", 2: "block", 3: "allow", 4: "block", 5: "block"}
+
+
 def test_items_digest():
     assert leaks.items_digest(["1", "2"]) == hashlib.sha256(b"1,2").hexdigest()
