@@ -11,10 +11,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from litflow.llm.common import cut_lineage, lowered, plus, slices, text_or_empty, utf8, words_of
+from litflow.llm.common import cut_lineage, lowered, plus, slices, stored, text_or_empty, utf8, words_of
 
 IN_WORD = np.zeros(256, bool)
 IN_WORD[0x30:0x3A] = IN_WORD[0x61:0x7B] = IN_WORD[0x80:] = True
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: Text of one shard; its index takes about 25 times as much memory.
 SHARD_BYTES = 1 << 20
@@ -22,6 +23,8 @@ SHARD_BYTES = 1 << 20
 SAMPLE_EVERY = 16
 #: Benchmark text that goes to the tasks at once; a larger benchmark goes in blocks, each over all documents.
 BLOCK_BYTES = 16 << 20
+#: Words of an item that stay together; a longer item is cut into pieces that share all but the first of a window's words.
+PIECE_WORDS = 10_000
 
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 BASE_INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
@@ -258,11 +261,23 @@ def scan_shard(raw: np.ndarray, at: np.ndarray, phrases: Phrases) -> tuple[np.nd
 # ---------------------------------------------------------------- Spark
 
 
-def _blocks(benchmark: DataFrame, item_id: str, text: str) -> Iterator[list[tuple[str, str]]]:
-    """The benchmark in pieces of a bounded size, read one partition at a time."""
+def item_pieces(benchmark: DataFrame, window: int, item_id: str, text: str) -> DataFrame:
+    """(name, said): items with at most ``PIECE_WORDS`` words as they are, longer ones in overlapping pieces of that many,
+    so that each window of an item is one of exactly one of its pieces. Null ids are the empty string, null texts are empty."""
+    name, said = F.coalesce(F.col(item_id).cast("string"), F.lit("")).alias("name"), text_or_empty(text).alias("said")
+    items = benchmark.select(name, said).withColumn("long", F.length("said") > 2 * PIECE_WORDS)
+    step = max(1, PIECE_WORDS - window + 1)
+    words = F.regexp_extract_all(F.translate("said", UPPER, LOWER), F.lit(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"), F.lit(0))
+    last = F.greatest(F.size("words") - window, F.lit(0))
+    cut = items.where("long").select("name", words.alias("words")).select("name", F.explode(F.transform(
+        F.sequence(F.lit(0), last, F.lit(step)), lambda i: F.array_join(F.slice("words", i + 1, step + window - 1), " "))).alias("said"))
+    return items.where("NOT long").select("name", "said").unionByName(cut)
+
+
+def _blocks(pieces: DataFrame) -> Iterator[list[tuple[str, str]]]:
+    """The pieces in blocks of a bounded size, read one partition at a time; the caller holds one block at a time."""
     block, size = [], 0
-    rows = benchmark.select(F.coalesce(F.col(item_id).cast("string"), F.lit("")), text_or_empty(text))
-    for name, said in rows.toLocalIterator():
+    for name, said in pieces.toLocalIterator():
         if block and size + len(said) > BLOCK_BYTES // 4:
             yield block
             block, size = [], 0
@@ -280,30 +295,37 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = 10, text: st
 
     Words are runs of letters, digits and characters beyond ASCII after lower-casing A-Z. A window is ``window`` words
     in a row of one item, or all words of a shorter one. Tasks index their texts shard by shard and search all windows
-    in each index, so documents are never shuffled. The benchmark goes to the tasks in blocks of bounded size; with
-    several blocks, hits are joined on a row number and the spans are merged.
+    in each index, so documents are never shuffled. The benchmark goes to the tasks in blocks of bounded size. With
+    several, each is searched and its hits (rows with none are left out) written before the next one is read, so the
+    driver holds one block, whatever the size of the benchmark or of an item; then hits are joined on a row number and
+    the spans merged.
 
     Null text has no words; an item without words matches nothing; items that share an id count once, a null id is
     the empty string. Rows may repeat. Columns with an output's name are replaced.
     """
     names = {"n_words", "n_hit", "items", "spans"}
     kept = docs.drop(*[c for c in docs.columns if c.lower() in names])
-    blocks = list(_blocks(benchmark, item_id, item_text))
-    if len(blocks) == 1:
-        return _search(kept, text, blocks[0], window)
+    blocks = _blocks(item_pieces(benchmark, window, item_id, item_text))
+    block, following = next(blocks), next(blocks, None)
+    if following is None:
+        return _search(kept, text, block, window)
     # rows get a number and are written once, so that every block sees the same rows
     rest = F.struct(*[F.col(c) for c in kept.columns]).alias("row")
     numbered = cut_lineage(kept.select(rest, F.col(text).alias("text"), F.monotonically_increasing_id().alias("number")))
     texts = numbered.select("number", "text")
     found = None
-    for block in blocks:
-        one = _search(texts, "text", block, window).drop("text")
+    while block is not None:
+        one = stored(_search(texts, "text", block, window).where("n_hit > 0").select("number", "items", "spans"))
         found = one if found is None else found.unionByName(one)
+        block, following = following, next(blocks, None)
     merged = found.groupBy("number").agg(
-        F.max("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
-        F.flatten(F.collect_list("spans")).alias("spans"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.flatten(F.collect_list("spans")).alias("spans"),
+    )
+    zero, empty = F.lit(0).cast("bigint"), merged.schema
+    joined = numbered.join(merged, "number", "left").select(
+        "row.*", zero.alias("n_words"), zero.alias("n_hit"),
+        *[F.coalesce(c, F.array().cast(empty[c].dataType)).alias(c) for c in ("items", "spans")],
     )
-    joined = numbered.join(merged, "number").select("row.*", "n_words", F.lit(0).cast("bigint").alias("n_hit"), "items", "spans")
     return _merge(joined, text)
 
 
@@ -338,7 +360,7 @@ def _search(docs: DataFrame, text: str, items: list[tuple[str, str]], window: in
 
 
 def _merge(docs: DataFrame, text: str) -> DataFrame:
-    """Unites overlapping spans from several blocks and counts their words anew."""
+    """Unites overlapping spans from several blocks; counts the words of each text and of its spans anew."""
 
     def run(batches):
         for batch in batches:
@@ -360,6 +382,7 @@ def _merge(docs: DataFrame, text: str) -> DataFrame:
                 hits.append(n)
                 out.append(joined)
             columns = dict(zip(names, batch.columns, strict=True))
+            columns["n_words"] = pa.array(np.diff(rows), pa.int64())
             columns["n_hit"] = pa.array(hits, pa.int64())
             columns["spans"] = pa.array(out, batch.schema.field("spans").type)
             yield pa.RecordBatch.from_arrays([columns[n] for n in names], names)

@@ -250,6 +250,29 @@ def test_leaks_equal_brute_force(spark, monkeypatch, block):
             assert r["text"] == LEAKY[r["doc_id"]]
 
 
+def test_a_benchmark_in_twenty_blocks_and_items_in_pieces(spark, monkeypatch):
+    monkeypatch.setattr(leaks, "BLOCK_BYTES", 4 * 300)
+    monkeypatch.setattr(leaks, "PIECE_WORDS", 25)
+    held, search = [], leaks._search
+
+    def seen(docs, text, items, window):
+        held.append(sum(len(t) for _, t in items))
+        return search(docs, text, items, window)
+
+    monkeypatch.setattr(leaks, "_search", seen)
+    item = [f"w{i % 37}x{i % 11}" for i in range(900)]  # one item, many times a block
+    items = [("long", " ".join(item)), ("short", "a few words"), ("long", "again a few words")]
+    texts = [" ".join(item[lo : lo + n]) for lo, n in ((0, 9), (0, 10), (14, 14), (20, 40), (880, 20), (889, 11), (390, 35))]
+    texts += [" ".join(item), "only a few words here", "again a few words", None, "", "nothing of it"]
+    got = leaks.find_leaks(docs(spark, [(i, t, None, None, 0) for i, t in enumerate(texts)]), spark.createDataFrame(items, "item_id string, text string"))
+    want = leaks_by_python(texts, items, 10)
+    rows = got.collect()
+    assert len(rows) == len(texts) and [got.columns[-4:]] == [["n_words", "n_hit", "items", "spans"]]
+    for r in rows:
+        assert (r["n_words"], r["n_hit"], r["items"]) == want[r["doc_id"]], r["doc_id"]
+    assert len(held) >= 20 and max(held) <= 300
+
+
 def test_leaks_with_nothing_to_look_for(spark):
     none = spark.createDataFrame([], "item_id string, text string")
     rows = docs(spark, [(1, "a b", "en", "s", 0)])
