@@ -267,7 +267,7 @@ def research_fronts(
     size = rows.groupBy("front").agg(
         F.count("*").alias("size"), F.avg("citation_count").alias("mean_citations")
     ).where(F.col("size") >= min_size)
-    ranked = size.withColumn("rank", F.row_number().over(W.orderBy(F.col("mean_citations").desc(), "front")))  # one row per front
+    ranked = ranking.number_rows(size, [F.col("mean_citations").desc(), F.col("front")], "rank", first=1).withColumn("rank", F.col("rank").cast("int"))
     return rows.select("front", "paper_id").join(ranked, "front")
 
 

@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from litflow.session import stored
+
 MAX_RANGES = 4096
 # Rows of one range, about.
 RANGE_ROWS = 250_000
@@ -73,6 +75,20 @@ def row_number_desc(
     )
 
 
+def number_rows(df: DataFrame, order: Sequence[str | Column], name: str = "position", first: int = 0) -> DataFrame:
+    """Adds the place of every row in the order of the whole table, from ``first`` on; rows equal in ``order`` get any order.
+
+    The table is range-partitioned by the order and written once; ranges are numbered inside and set off by the sizes of
+    the ranges before them, of which there is one row each. No task sees more than a range.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cut = stored(df.repartitionByRange(n, *order).withColumn("_range", F.spark_partition_id()))
+    sizes = _offsets(cut.groupBy("_range").agg(F.count("*").alias("_n")).withColumn("_all", F.lit(0)), ["_all"], ["_range"])
+    w = W.partitionBy("_range").orderBy(*order)
+    placed = cut.withColumn("_at", F.row_number().over(w)).join(F.broadcast(sizes.select("_range", "_before")), "_range")
+    return placed.withColumn(name, F.col("_before") + F.col("_at") - 1 + first).drop("_range", "_at", "_before")
+
+
 def share_at_most(df: DataFrame, value: str, ranges: int | None = None, name: str = "share") -> DataFrame:
     """``cume_dist`` over the whole table: share of rows whose value is at most this one.
 

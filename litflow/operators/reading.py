@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 
 from litflow.functions.text import blank_to_null, strip
 from litflow.operators.history import days_before
+from litflow.operators.ranking import number_rows
 from litflow.operators.scoring import age_days
 
 # Weight of each priority in the next-paper score.
@@ -202,8 +203,9 @@ def merge_lists(items: DataFrame, target: str, order: Sequence[str]) -> DataFram
         "source": F.coalesce(blank_to_null(F.col("source")), F.col("list_name")),
         "list_id": F.lit(target),
     })
-    place = F.row_number().over(W.partitionBy("list_id").orderBy(*order)) - 1
-    return distinct_items(tagged, order).withColumn("position", place)
+    # the positions that the order is by are those of the lists before
+    kept = distinct_items(tagged, order)
+    return number_rows(kept, order, "_place").withColumn("position", F.col("_place").cast("int")).drop("_place")
 
 
 def move_items(items: DataFrame, picked: Column, target: Column) -> DataFrame:

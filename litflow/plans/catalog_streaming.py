@@ -60,21 +60,32 @@ def timeline(spark, sf_dir):
 
 LOG_SQL = """
 log AS (SELECT user_id AS item_id, CASE event_type WHEN 'view' THEN 'read' WHEN 'click' THEN 'rating' WHEN 'signup' THEN 'status' WHEN 'purchase' THEN 'priority' ELSE 'note' END AS kind,
-  CASE WHEN event_type = 'signup' THEN ['to_read', 'reading', 'finished'][CAST(event_id % 3 + 1 AS INTEGER)] ELSE props END AS value, ts, event_id AS seq FROM events)"""
+  CASE WHEN event_type = 'signup' THEN ['to_read', 'reading', 'finished'][CAST(event_id % 3 + 1 AS INTEGER)] ELSE props END AS value, ts, event_id AS seq FROM events
+  UNION ALL SELECT user_id, ['untag', 'tag', 'tag', 'tag', 'highlight', 'skip_reason'][CAST(event_id % 6 + 1 AS INTEGER)],
+    CASE WHEN event_id % 6 < 4 THEN 't' || (event_id // 6 % 5) WHEN event_id % 7 > 0 THEN props ELSE '' END, ts, event_id FROM events WHERE event_type = 'view'),
+tagged AS (SELECT item_id, coalesce(string_agg(value, ',' ORDER BY value) FILTER (WHERE kind = 'tag'), '') AS tags
+  FROM (SELECT item_id, value, arg_max(kind, (ts, seq)) AS kind FROM log WHERE kind IN ('tag', 'untag') GROUP BY item_id, value) GROUP BY item_id)"""
 STATE_BODY = """
 SELECT item_id, arg_max(value, (ts, seq)) FILTER (WHERE kind = 'status') AS status, arg_max(value, (ts, seq)) FILTER (WHERE kind = 'rating') AS rating, arg_max(value, (ts, seq)) FILTER (WHERE kind = 'priority') AS priority,
-  arg_max(value, (ts, seq)) FILTER (WHERE kind = 'read') AS read, strftime(max(ts) FILTER (WHERE kind = 'status' AND value = 'finished'), '%Y-%m-%d %H:%M:%S') AS finished_at, count(*) FILTER (WHERE kind = 'note') AS n_notes FROM log GROUP BY item_id"""
+  arg_max(value, (ts, seq)) FILTER (WHERE kind = 'read') AS read, strftime(max(ts) FILTER (WHERE kind = 'status' AND value = 'finished'), '%Y-%m-%d %H:%M:%S') AS finished_at, count(*) FILTER (WHERE kind = 'note') AS n_notes,
+  count(*) FILTER (WHERE kind = 'highlight') AS n_highlights, coalesce(any_value(tags), '') AS tags FROM log LEFT JOIN tagged USING (item_id) GROUP BY item_id"""
 
 
 def log(events):
     k = F.col("event_type")
     kind = F.when(k == "view", "read").when(k == "click", "rating").when(k == "signup", "status").when(k == "purchase", "priority").otherwise("note")
     value = F.when(k == "signup", F.element_at(F.array(F.lit("to_read"), F.lit("reading"), F.lit("finished")), (F.col("event_id") % 3 + 1).cast("int"))).otherwise(F.col("props"))
-    return events.select(F.col("user_id").alias("item_id"), kind.alias("kind"), value.alias("value"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("seq"))
+    # a view also tags, untags, highlights or gives a reason to skip
+    n = F.col("event_id")
+    other = F.element_at(F.array(*[F.lit(x) for x in ("untag", "tag", "tag", "tag", "highlight", "skip_reason")]), (n % 6 + 1).cast("int"))
+    said = F.when(n % 6 < 4, F.concat(F.lit("t"), (F.floor(n / 6) % 5).cast("string"))).when(n % 7 > 0, F.col("props")).otherwise("")
+    rows = F.array(F.struct(kind.alias("kind"), value.alias("value")), F.when(k == "view", F.struct(other.alias("kind"), said.alias("value"))))
+    return events.select(F.col("user_id").alias("item_id"), F.explode(F.array_compact(rows)).alias("e"), F.col("ts").cast("timestamp").alias("ts"), n.alias("seq")).select(
+        "item_id", "e.kind", "e.value", "ts", "seq")
 
 
 def shown(s):
-    return s.select("item_id", "status", "rating", "priority", "read", F.date_format("finished_at", "yyyy-MM-dd HH:mm:ss").alias("finished_at"), "n_notes")
+    return s.select("item_id", "status", "rating", "priority", "read", F.date_format("finished_at", "yyyy-MM-dd HH:mm:ss").alias("finished_at"), "n_notes", "n_highlights", F.array_join("tags", ",").alias("tags"))
 
 
 @register("t4_item_state", sql(LOG_SQL, body=STATE_BODY))
@@ -85,13 +96,15 @@ def state(spark, sf_dir):
 @register("t4_stream_item_state", sql(LOG_SQL, body=STATE_BODY))
 def stream_state(spark, sf_dir):
     path = jobs.scratch_path(spark, "state")
-    jobs.run_to(jobs.item_state(log(jobs.landed_stream(table(spark, sf_dir, "events"), 4))), path, "update")
-    return shown(jobs.latest_state(jobs.read_out(spark, path)))
+    jobs.run_to(jobs.item_parts(log(jobs.landed_stream(table(spark, sf_dir, "events"), 4))), path, "update")
+    return shown(jobs.folded(jobs.latest_state(jobs.read_out(spark, path), "item_id", "tag")))
 
 
-@register("x34_item_annotations", sql(LOG_SQL, body="SELECT item_id, '[' || strftime(ts, '%Y-%m-%d %H:%M') || '] ' || value AS text, seq FROM log WHERE kind = 'note'"))
+@register("x34_item_annotations", sql(LOG_SQL, body="""
+SELECT item_id, kind, CASE kind WHEN 'note' THEN '[' || strftime(ts, '%Y-%m-%d %H:%M') || '] ' || value WHEN 'skip_reason' THEN 'Skipped: ' || value ELSE value END AS text, seq
+FROM log WHERE kind IN ('note', 'highlight') OR (kind = 'skip_reason' AND value <> '')"""))
 def annotations(spark, sf_dir):
-    return jobs.annotations(log(table(spark, sf_dir, "events"))).select("item_id", "text", "seq")
+    return jobs.annotations(log(table(spark, sf_dir, "events"))).select("item_id", "kind", "text", "seq")
 
 
 @register("t5_stream_sent_once", sql(body="SELECT DISTINCT user_id, event_type FROM events").replace("WITH \n", ""))

@@ -105,28 +105,77 @@ def stream_timeline(
         F.col("w.start").alias("window_start"), "term", "n")
 
 
+def run_alerts(
+    papers: DataFrame, path: str, interests: Sequence[Interest], min_score: float = 0.7, cfg: ScoringConfig | None = None,
+    time: str = "created_at", lookback: str = "1 hour", keep: Sequence[str] = ("paper_id",),
+) -> None:
+    """``stream_alerts`` with a clock that moves: a micro-batch is scored as of the newest event time seen up to it.
+
+    Each batch leaves its clock (one row) under ``clock/batch_id=N`` next to its output, so a repeated batch and a
+    restarted stream take up the one before. A batch without rows alerts on nothing and keeps the clock. Alerts carry
+    the ``as_of`` they were judged by.
+    """
+    once = papers.withWatermark(time, lookback).dropDuplicatesWithinWatermark(["paper_id"])
+    spark = papers.sparkSession
+
+    def judge(batch: DataFrame, n: int) -> DataFrame:
+        clock = batch.agg(F.max(time).alias("as_of"))
+        if n > 0:
+            clock = clock.unionByName(spark.read.parquet(f"{path}/clock/{BATCH}={n - 1}")).agg(F.max("as_of").alias("as_of"))
+        clock.write.mode("overwrite").parquet(f"{path}/clock/{BATCH}={n}")
+        now = spark.read.parquet(f"{path}/clock/{BATCH}={n}").select("as_of").scalar()
+        return alerts(score_papers(batch, interests, now, cfg, keep), min_score).withColumn("as_of", now)
+
+    run_to(once, path, prepare=judge)
+
+
 STATE_KINDS = ("status", "rating", "priority", "list_id", "archived", "read")
 
 
+TAG, UNTAG = "tag", "untag"
+
+
 def item_state(log: DataFrame, key: str = "item_id") -> DataFrame:
-    """Latest value of each attribute per item from an event log ``(item, kind, value, ts, seq)``.
+    """Latest value of each attribute per item from an event log ``(item, kind, value, ts, seq)``, and its ``tags``.
 
-    A constant-size aggregate: the same query folds a table and runs as a stream in update mode.
+    ``tag`` and ``untag`` events add and remove one tag; the later of them by (ts, seq) holds, in whatever order they
+    arrive. An item without events is no row, one without tags has an empty list; null and empty tags are left out.
+    """
+    return folded(item_parts(log, key), key)
+
+
+def item_parts(log: DataFrame, key: str = "item_id") -> DataFrame:
+    """The state in parts: one row with an item's attributes (null ``tag``) and one for each tag it ever had (``held``).
+
+    A constant-size aggregate per part: the same query folds a table and runs as a stream in update mode; an item that
+    has most of the events is combined before the shuffle. ``folded`` makes rows of items of it.
     """
     at = F.struct("ts", "seq")
+    tags = F.col("kind").isin(TAG, UNTAG)
+    log = log.where(~tags | (F.coalesce("value", F.lit("")) != "")).withColumn("tag", F.when(tags, F.col("value")))
 
     def latest(kind: str):
         return F.max_by("value", F.when(F.col("kind") == kind, at)).alias(kind)
 
     started = (F.col("kind") == "status") & (F.col("value") == "reading")
     finished = (F.col("kind") == "status") & (F.col("value") == "finished")
-    return log.groupBy(key).agg(
-        *[latest(k) for k in STATE_KINDS],
+    return log.groupBy(key, "tag").agg(
+        F.max_by(F.col("kind") == TAG, at).alias("held"), *[latest(k) for k in STATE_KINDS],
         F.max(F.when(started, F.col("ts"))).alias("started_at"), F.max(F.when(finished, F.col("ts"))).alias("finished_at"),
         F.count_if(F.col("kind") == "note").alias("n_notes"), F.count_if(F.col("kind") == "highlight").alias("n_highlights"),
     )
 
 
+def folded(parts: DataFrame, key: str = "item_id") -> DataFrame:
+    """One row per item from its parts: the attributes, and the tags it holds in order."""
+    counts = ("n_notes", "n_highlights")
+    rest = [c for c in parts.columns if c not in (key, "tag", "held", *counts)]
+    return parts.groupBy(key).agg(
+        *[F.max(c).alias(c) for c in rest], *[F.sum(c).alias(c) for c in counts],
+        F.sort_array(F.collect_list(F.when(F.col("held") & F.col("tag").isNotNull(), F.col("tag")))).alias("tags"),
+    )
+
+
 def annotations(log: DataFrame, key: str = "item_id") -> DataFrame:
     """Notes, skip reasons and highlights, one row each, newest to be shown first."""
     stamp = F.date_format("ts", "yyyy-MM-dd HH:mm")
@@ -138,10 +187,11 @@ def annotations(log: DataFrame, key: str = "item_id") -> DataFrame:
     return log.select(key, "kind", text.alias("text"), "ts", "seq").where(F.col("text").isNotNull())
 
 
-def latest_state(out: DataFrame, key: str = "item_id") -> DataFrame:
-    """Current row per key from the upserts of all micro-batches."""
+def latest_state(out: DataFrame, *keys: str) -> DataFrame:
+    """Current row per key (``item_id`` if none is named) from the upserts of all micro-batches."""
     whole = F.struct(*[F.col(c) for c in out.columns if c != BATCH])
-    return out.groupBy(F.col(key).alias("_k")).agg(F.max_by(whole, BATCH).alias("r")).select("r.*")
+    by = [F.col(k).alias(f"_k{i}") for i, k in enumerate(keys or ("item_id",))]
+    return out.groupBy(*by).agg(F.max_by(whole, BATCH).alias("r")).select("r.*")
 
 
 def sent_once(sent: DataFrame, keys: Sequence[str] = ("paper_key",), time: str = "sent_at", retention: str = "30 days") -> DataFrame:
