@@ -351,10 +351,21 @@ SCORERS: dict[str, Scorer] = {}
 
 
 def register_scorer(name: str, scorer: Scorer) -> None:
-    """Add or replace a scorer; it returns a Column, which may wrap a ``pandas_udf``."""
+    """Add or replace a scorer that returns a Column; one in Python goes to ``register_python_scorer``."""
     SCORERS[name] = scorer
 
 
+def register_python_scorer(name: str, inputs: Sequence[str], score: Callable[[pd.DataFrame, Interest, ScoringConfig], pd.Series]) -> None:
+    """Add a scorer in Python: it gets a batch of rows with the columns ``inputs`` (``text`` is the lower-cased title and
+    abstract). Rows for which it raises count as 0.5, as does null; the other rows and the job go on."""
+
+    def build(view: PaperView, interest: Interest, cfg: ScoringConfig) -> Column:
+        row = F.struct(*[(view.text if c == "text" else view.row(c)).alias(c) for c in inputs])
+        return guarded(lambda rows: score(rows, interest, cfg))(row)
+
+    register_scorer(name, build)
+
+
 register_scorer("semantic", lambda p, i, c: semantic_score(p.row(f"_cosine{p.slot}")))
 register_scorer(
     "keyword",

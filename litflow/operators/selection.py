@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from litflow.functions import text as tx
+from litflow.functions.vectors import batch_embedder, paper_text
 from litflow.operators.history import days_before
 
 # Queries used when no interest has keywords.
@@ -92,6 +94,17 @@ def missing_embeddings(papers: DataFrame, embedded: DataFrame, limit: int | None
     return out if limit is None else out.orderBy("paper_id").limit(limit)
 
 
+def embed_missing(
+    papers: DataFrame, embedded: DataFrame, model: Callable[[list[str]], np.ndarray], batch: int = 64, limit: int | None = None
+) -> DataFrame:
+    """``(paper_id, embedding)`` for papers without one: their title and abstract go to ``model``, ``batch`` texts at a time.
+
+    ``limit`` takes the first papers by id only, for runs of a bounded length; the next run goes on with the rest.
+    """
+    text = paper_text(F.col("title"), F.col("abstract"))
+    return missing_embeddings(papers, embedded, limit).select("paper_id", batch_embedder(model, batch)(text).alias("embedding"))
+
+
 def stale_interests(interests: DataFrame, as_of: Column, days: int = 7, limit: int | None = None) -> DataFrame:
     old = F.col("embedding_updated_at").isNull() | (F.col("embedding_updated_at") < days_before(as_of, days))
     out = interests.where(old)

@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 from litflow.functions import text as tx
 from litflow.functions import vectors as vx
 from litflow.operators.digest import high_priority as top_priority
-from litflow.operators import ranking, scoring
+from litflow.operators import ranking, scoring, selection
 from litflow.operators.scoring import ScoringConfig, score_papers
 from litflow.plans.registry import register
-from litflow.plans.views import AS_OF, AUTHORS_SQL, INTERESTS, PAPERS_SQL, papers, phrase_sql, sql
+from litflow.plans.views import AS_OF, AUTHORS_SQL, INTERESTS, PAPERS_SQL, papers, phrase_sql, sql, table
 from litflow.session import cut_lineage
 
 CFG = ScoringConfig()
@@ -240,6 +240,36 @@ def totals(spark, sf_dir):
         "paper_id", "interest_id", F.round("total_score", 6).alias("total_score"), "priority")
 
 
+@register("x21_failing_scorer", sql(PAPERS_SQL, body="""
+SELECT paper_id, interest_id, round(s, 6) AS brittle_score, round(s, 6) AS total_score
+FROM (SELECT paper_id, CASE WHEN title IS NULL OR length(title) % 7 = 0 THEN 0.5e0 ELSE 1e0 / (length(title) % 7) END AS s FROM papers), (VALUES """
+    + ", ".join(f"({q(i.interest_id)})" for i in INTERESTS) + ") AS i(interest_id)"))
+def failing_scorer(spark, sf_dir):
+    """A scorer in Python that raises for some rows: these count as 0.5, the others keep their score."""
+    def brittle(rows, interest, cfg):
+        return rows["title"].map(lambda t: 1 / (len(t) % 7))
+
+    scoring.register_python_scorer("brittle", ["title"], brittle)
+    try:
+        s = score_papers(papers(spark, sf_dir, authors=True), INTERESTS, AS_OF, ScoringConfig(weights={"brittle": 1.0}))
+    finally:
+        scoring.SCORERS.pop("brittle")
+    return s.select("paper_id", "interest_id", F.round("brittle_score", 6).alias("brittle_score"), F.round("total_score", 6).alias("total_score"))
+
+
+@register("u2_embedding_backlog", sql(PAPERS_SQL, "t AS (SELECT paper_id, concat_ws(chr(10) || chr(10), title, nullif(abstract, '')) AS t FROM papers)", body="""
+SELECT paper_id, CAST(length(t) AS BIGINT) AS n_chars, CAST(length(t) - length(replace(t, ' ', '')) AS BIGINT) AS n_spaces
+FROM t WHERE paper_id NOT IN (SELECT vec_id FROM embeddings WHERE embedding IS NOT NULL AND vec_id IS NOT NULL)"""))
+def embedding_backlog(spark, sf_dir):
+    """Papers without an embedding go through a model in batches; here one of two plain features."""
+    def model(texts):
+        return [[len(t), t.count(" ")] for t in texts]
+
+    held = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("paper_id"), "embedding")
+    e = selection.embed_missing(papers(spark, sf_dir), held, model)
+    return e.select("paper_id", *[F.get("embedding", F.lit(i)).cast("long").alias(n) for i, n in enumerate(("n_chars", "n_spaces"))])
+
+
 @register("u1_score_components", sql(*SCORED_CTES, body="SELECT paper_id, interest_id, name, round(score, 6) AS score, weight FROM (" +
     " UNION ALL ".join(
         f"SELECT paper_id, interest_id, '{n}' AS name, {n}_score AS score, {w!r}e0 AS weight FROM scored" for n, w in CFG.weights.items()

@@ -58,6 +58,16 @@ def timeline(spark, sf_dir):
     return out.groupBy(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "term").agg(F.max("n").alias("n"))
 
 
+@register("t3_stream_timeline_sliding", sql(PAPERS_SQL, TEXT_SQL, body="""
+SELECT strftime(d - to_days(CAST(b AS INTEGER)), '%Y-%m-%d') AS day, term, count(*) AS n
+FROM (SELECT date_trunc('day', created_at) AS d, unnest(w || list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS term FROM toks JOIN papers USING (paper_id)), unnest(range(3)) AS u(b) GROUP BY ALL"""))
+def sliding(spark, sf_dir):
+    path = jobs.scratch_path(spark, "sliding")
+    jobs.run_to(jobs.stream_timeline(stream_papers(spark, sf_dir, repeated=False), size="3 days", slide="1 day", delay="5 days"), path, "update")
+    out = jobs.read_out(spark, path)
+    return out.groupBy(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "term").agg(F.max("n").alias("n"))
+
+
 LOG_SQL = """
 log AS (SELECT user_id AS item_id, CASE event_type WHEN 'view' THEN 'read' WHEN 'click' THEN 'rating' WHEN 'signup' THEN 'status' WHEN 'purchase' THEN 'priority' ELSE 'note' END AS kind,
   CASE WHEN event_type = 'signup' THEN ['to_read', 'reading', 'finished'][CAST(event_id % 3 + 1 AS INTEGER)] ELSE props END AS value, ts, event_id AS seq FROM events

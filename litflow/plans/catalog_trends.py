@@ -11,6 +11,7 @@ from litflow.plans.catalog_scores import _in_list, q
 from litflow.plans.registry import register
 from litflow.plans.views import INTERESTS, PAPERS_SQL, as_of, papers, sql, table
 from litflow.session import cut_lineage
+from litflow.streaming.jobs import scratch_path
 
 WINDOW = 800  # spans every publication date, so trends read the whole corpus
 EDGE = q(tx.TOKEN_EDGE)
@@ -135,7 +136,9 @@ def fit(spark, sf_dir):
 SELECT p.paper_id, i.interest_id, round(coalesce(s / (dn.n * i.n), 0e0), 6) AS tfidf_score FROM papers p CROSS JOIN pn i LEFT JOIN dots d ON d.paper_id = p.paper_id AND d.interest_id = i.interest_id LEFT JOIN dn ON dn.paper_id = p.paper_id"""))
 def fitted(spark, sf_dir):
     p = papers(spark, sf_dir)
-    model = cut_lineage(tfidf.fit(p, "paper_id", raw_text()))
+    path = scratch_path(spark, "tfidf")
+    tfidf.save(tfidf.fit(p, "paper_id", raw_text()), path)
+    model = tfidf.load(spark, path)
     return tfidf.score(p, "paper_id", raw_text(), model, INTERESTS).withColumn("tfidf_score", F.round("tfidf_score", 6))
 
 
@@ -271,6 +274,17 @@ report AS (SELECT 'trending' AS section, rank, keyword AS name, trend_score AS v
  UNION ALL SELECT 'relevant', row_number() OVER (ORDER BY trend_score DESC, seed_no), keyword, trend_score FROM top_main WHERE list_has_any(keywords, ['tion', 'that']))""")
 
 
+@register("f17_recent_papers", sql(PAPERS_SQL, "dated AS (SELECT paper_id, coalesce(published_date, TIMESTAMP '2024-01-01') AS d FROM papers)", body="""
+SELECT 'window' AS branch, paper_id FROM dated WHERE d >= TIMESTAMP '2024-01-01'
+UNION ALL (SELECT 'newest', paper_id FROM dated ORDER BY d DESC, paper_id LIMIT 100)"""))
+def recent_papers(spark, sf_dir):
+    """Both branches of the rule: enough papers inside the window, and too few."""
+    p = papers(spark, sf_dir)
+    inside = trends.recent(p, as_of(), 30, min_papers=1).select(F.lit("window").alias("branch"), "paper_id")
+    newest = trends.recent(p, as_of(), 30, min_papers=1 << 30).select(F.lit("newest").alias("branch"), "paper_id")
+    return inside.unionByName(newest)
+
+
 @register("a23_f17_trend_report", rsql(*REPORT_CTES, body="SELECT section, rank, lower(name) AS name, round(value, 6) AS value FROM report"))
 def report(spark, sf_dir):
     r = trends.trend_report(papers(spark, sf_dir), as_of(), ["tion that"], WINDOW)

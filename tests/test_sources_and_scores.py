@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from litflow.functions import keys, text, vectors
-from litflow.operators import scoring, tfidf
+from litflow.operators import scoring, selection, tfidf
 from litflow.operators.scoring import Interest, ScoringConfig
 from litflow.sources import feeds, records
 
@@ -164,3 +164,34 @@ def test_content_hash_identity(spark):
     df = spark.createDataFrame(rows, "doi string, s2 string, pmid string, arxiv string, title string, authors array<string>")
     h = [r.h for r in df.select(keys.content_hash(*[F.col(c) for c in cols], F.col("authors")).alias("h")).collect()]
     assert h[0] == h[1] and h[2] == h[3] and h[0] != h[2]
+
+
+def test_python_scorers_are_isolated_without_a_wrapper(spark):
+    def fragile(rows, interest, cfg):
+        return rows["text"].map(lambda t: 1.0 / (len(t) - 3)) * float(interest.name)
+
+    scoring.register_python_scorer("fragile", ["text", "paper_id"], fragile)
+    try:
+        papers = spark.createDataFrame([(1, "ab", ""), (2, "abcd", ""), (3, "abc", None)], "paper_id int, title string, abstract string").withColumn("authors", F.array().cast("array<string>"))
+        cfg = ScoringConfig(weights={"fragile": 1.0})
+        got = {(r.paper_id, r.interest_id): r.fragile_score for r in scoring.score_papers(papers, [Interest("i", "1"), Interest("j", "0.5"), Interest("k", "no number")], "2024-01-01", cfg).collect()}
+        size = {r.paper_id: r.n for r in papers.select("paper_id", F.length(text.joined_text(F.col("title"), F.col("abstract"))).alias("n")).collect()}
+        for n, chars in size.items():
+            want = 0.5 if chars == 3 else 1.0 / (chars - 3)
+            assert got[n, "i"] == pytest.approx(want) and got[n, "k"] == 0.5
+            assert got[n, "j"] == pytest.approx(0.5 if chars == 3 else want / 2)
+    finally:
+        scoring.SCORERS.pop("fragile")
+
+
+def test_embedding_backlog_takes_what_is_missing_in_batches(spark):
+    def model(texts):
+        assert len(texts) <= 4
+        return [[len(t), 1.0] for t in texts]
+
+    papers = spark.createDataFrame([(i, "t" * i, None if i % 2 else "") for i in range(20)], "paper_id int, title string, abstract string")
+    held = spark.createDataFrame([(3, [1.0]), (4, None)], "paper_id int, embedding array<float>")
+    got = {r.paper_id: list(r.embedding) for r in selection.embed_missing(papers, held, model, batch=4).collect()}
+    assert got == {i: [float(i), 1.0] for i in range(20) if i != 3}
+    assert sorted(r.paper_id for r in selection.embed_missing(papers, held, model, limit=3, batch=4).collect()) == [0, 1, 2]
+    assert selection.embed_missing(papers.limit(0), held, model).count() == 0
