@@ -6,6 +6,7 @@ A graph is ``edges(src, dst)`` (src cites dst) and ``nodes(paper_id, year, citat
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
@@ -14,7 +15,7 @@ from pyspark.sql import Window as W
 
 from litflow.operators import ranking
 from litflow.operators.independent_set import greedy_representatives
-from litflow.session import cut_lineage
+from litflow.session import cut_lineage, discard, stored
 
 HOT_TOKEN_ROWS = 5_000
 
@@ -104,51 +105,49 @@ def build_network(
     """Breadth-first network around a seed: ``nodes(paper_id, level, seq)`` and ``edges(src, dst)``.
 
     Papers are expanded in the order they were found; a paper's references come before its citations,
-    each by id. Nodes and edges stop being added once ``max_nodes`` are held. The frontier never
-    exceeds ``max_nodes`` ids, so a level is one filtered scan of the edges, and what returns to the
-    driver is bounded by ``max_nodes`` new nodes and their links to held nodes.
+    each by id. Nodes and edges stop being added once ``max_nodes`` are held. Held nodes, frontier and
+    links are tables: a level joins the edges with the frontier, leaves out what is held, and numbers
+    what is new by ranges, so any ``max_nodes`` will do. The driver sees counts and the last place taken.
     """
     spark = edges.sparkSession
-    e = edges.select("src", "dst").distinct()
-    order: dict = {seed: (0, 0)}
-    kept: list[tuple] = []
-    frontier = [seed]
+    e = edges.select("src", "dst")
+    kinds = []
+    if include_references:
+        kinds.append(e.select(F.col("src").alias("own"), F.col("dst").alias("other"), F.lit(0).alias("kind")))
+    if include_citations:
+        kinds.append(e.select(F.col("dst").alias("own"), F.col("src").alias("other"), F.lit(1).alias("kind")))
+    key = e.schema["src"].dataType
+    # one written table for each level: a union of them is what is held so far
+    held = spark.range(1).select(F.lit(seed).cast(key).alias("paper_id"), F.lit(0).alias("level"), F.lit(0).alias("seq"))
+    links, n = e.where(F.lit(False)), 1
+    if not kinds:
+        return held, links
+    steps = reduce(DataFrame.unionByName, kinds)
     for level in range(depth):
-        if not frontier or len(order) >= max_nodes:
-            break
-        parent = F.coalesce(*[F.when(F.col("own") == p, F.lit(i)) for i, p in enumerate(frontier)])
-        kinds = []
-        if include_references:
-            kinds.append(e.select(F.col("src").alias("own"), F.col("dst").alias("other"), F.lit(0).alias("kind")))
-        if include_citations:
-            kinds.append(e.select(F.col("dst").alias("own"), F.col("src").alias("other"), F.lit(1).alias("kind")))
-        if not kinds:
+        room = max_nodes - n
+        if room <= 0:
             break
-        steps = kinds[0] if len(kinds) == 1 else kinds[0].unionByName(kinds[1])
-        found = steps.where(F.col("own").isin(frontier)).withColumn("at", F.struct(parent.alias("p"), "kind", "other"))
-        room = max_nodes - len(order)
-        new = (
-            found.where(~F.col("other").isin(list(order))).groupBy("other").agg(F.min("at").alias("at"))
-            .orderBy("at").limit(room).collect()
-        )
-        full = len(new) == room
-        last = new[-1]["at"] if full else None
-        for r in new:
-            order[r["other"]] = (level + 1, len(order))
-        inside = found.where(F.col("other").isin(list(order)))
-        if last is not None:
+        frontier = held.where(F.col("level") == level).select(F.col("paper_id").alias("own"), F.col("seq").alias("p"))
+        found = stored(steps.join(frontier, "own").distinct().select("own", "other", "kind", F.struct("p", "kind", "other").alias("at")))
+        first = found.join(held, found["other"] == held["paper_id"], "left_anti").groupBy("other").agg(F.min("at").alias("at"))
+        new = stored(ranking.number_rows(first, ["at"], "seq", first=n).where(F.col("seq") < max_nodes))
+        added = new.count()
+        held = held.unionByName(new.select(
+            F.col("other").alias("paper_id"), F.lit(level + 1).alias("level"), F.col("seq").cast("int").alias("seq")))
+        inside = found.join(held, found["other"] == held["paper_id"], "left_semi")
+        if added == room:
+            last = new.agg(F.max("at").alias("at")).first()["at"]
             stop = F.struct(F.lit(last["p"]).alias("p"), F.lit(last["kind"]).alias("kind"), F.lit(last["other"]).alias("other"))
             inside = inside.where(F.col("at") <= stop)
-        kept += [
-            (r["own"], r["other"]) if r["kind"] == 0 else (r["other"], r["own"])
-            for r in inside.select("own", "other", "kind").collect()
-        ]
-        frontier = [r["other"] for r in new]
-    key = e.schema["src"].dataType.simpleString()
-    nodes = spark.createDataFrame(
-        [(k, lv, seq) for k, (lv, seq) in order.items()], f"paper_id {key}, level int, seq int"
-    )
-    return nodes, spark.createDataFrame(kept, f"src {key}, dst {key}").distinct()
+        cites = F.col("kind") == 0
+        links = links.unionByName(stored(inside.select(
+            F.when(cites, F.col("own")).otherwise(F.col("other")).alias("src"),
+            F.when(cites, F.col("other")).otherwise(F.col("own")).alias("dst"))))
+        discard(found)
+        n += added
+        if added == 0:
+            break
+    return held, links.distinct()
 
 
 def graph_stats(nodes: DataFrame, edges: DataFrame, max_nodes: int = 100) -> DataFrame:

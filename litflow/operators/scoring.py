@@ -10,10 +10,12 @@ from __future__ import annotations
 import math
 import re
 import warnings
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import dataclass, field
-from functools import reduce
+from functools import cached_property, reduce
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -275,30 +277,57 @@ def pair_terms(toks: list[str]) -> Counter:
 _TFIDF_STOP_SET = frozenset(tx.TFIDF_STOP)
 
 
-def pair_tfidf(paper: Counter, other: Counter, max_features: int = PAIR_MAX_FEATURES) -> float:
-    """Cosine of the two-document TF-IDF vectors.
+class RankedTerms:
+    """The terms of one paper, counted and ranked once for however many profiles they are compared with."""
+
+    def __init__(self, counts: Counter):
+        self.counts = counts
+        self.squares = sum(n * n for n in counts.values())
+
+    @cached_property
+    def ranked(self) -> tuple[list[tuple[int, str]], list[int]]:
+        """(-count, term) in order, and the squared counts summed up to each place."""
+        keys = sorted((-n, t) for t, n in self.counts.items())
+        return keys, [0, *accumulate(n * n for n, _ in keys)]
+
+    def tfidf(self, other: Counter, max_features: int = PAIR_MAX_FEATURES) -> float:
+        """Cosine of the two-document TF-IDF vectors.
+
+        With two documents a shared term has idf 1 and any other term ln(1.5)+1. When the joint
+        vocabulary is larger than ``max_features`` the most frequent terms stay, ties by term.
+        """
+        paper = self.counts
+        if not paper and not other:
+            return 0.5
+        shared = [t for t in other if t in paper]
+        if not shared:
+            return 0.0
+        kept = list(other)
+        rest = self.squares - sum(paper[t] ** 2 for t in shared)  # of the terms that only the paper has
+        if len(paper) + len(other) - len(shared) > max_features:
+            keys, upto = self.ranked
+            # shared terms leave their places in the paper's order and meet it again with their joint counts
+            moved = sorted((-paper[t], t) for t in shared)
+            joint = sorted((-paper.get(t, 0) - n, t) for t, n in other.items())
+            kept = [k[1] for i, k in enumerate(joint) if i + bisect_left(keys, k) - bisect_left(moved, k) < max_features]
+            end, gone = max_features - len(kept), 0
+            for key in moved:
+                if bisect_left(keys, key) < end:
+                    end += 1
+                    gone += key[0] ** 2
+            rest = upto[end] - gone
+        both = [t for t in kept if t in paper]
+        dot = sum(paper[t] * other[t] for t in both)
+        if dot == 0:
+            return 0.0
+        unshared = _UNSHARED_IDF**2
+        mine = sum(paper[t] ** 2 for t in both) + unshared * rest
+        theirs = sum(other[t] ** 2 * (1.0 if t in paper else unshared) for t in kept)
+        return dot / math.sqrt(mine * theirs)
 
-    With two documents a shared term has idf 1 and any other term ln(1.5)+1. When the joint
-    vocabulary is larger than ``max_features`` the most frequent terms stay, ties by term.
-    """
-    if not paper and not other:
-        return 0.5
-    vocab = set(paper) | set(other)
-    if len(vocab) > max_features:
-        ranked = sorted(vocab, key=lambda t: (-(paper.get(t, 0) + other.get(t, 0)), t))
-        vocab = set(ranked[:max_features])
-    shared = [t for t in other if t in paper and t in vocab]
-    dot = float(sum(paper[t] * other[t] for t in shared))
-    if dot == 0.0:
-        return 0.0
-    both = set(shared)
-
-    def squared(counts: Counter) -> float:
-        return sum(
-            (n if t in both else n * _UNSHARED_IDF) ** 2 for t, n in counts.items() if t in vocab
-        )
 
-    return dot / math.sqrt(squared(paper) * squared(other))
+def pair_tfidf(paper: Counter, other: Counter, max_features: int = PAIR_MAX_FEATURES) -> float:
+    return RankedTerms(paper).tfidf(other, max_features)
 
 
 def interest_profile_text(i: Interest) -> str:
@@ -323,9 +352,9 @@ def pair_tfidf_udf(interests: Sequence[Interest]):
                     # no shared word, hence no shared bigram: every cosine is zero
                     rows.append([0.0 if p.strip() else 0.5 for p in profiles])
                     continue
-                counts = pair_terms(toks)
+                terms = RankedTerms(pair_terms(toks))
                 rows.append([
-                    0.5 if blank or not p.strip() else pair_tfidf(counts, q)
+                    0.5 if blank or not p.strip() else terms.tfidf(q)
                     for p, q in zip(profiles, profile_terms)
                 ])
             yield pd.Series(rows)

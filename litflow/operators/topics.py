@@ -7,7 +7,6 @@ import math
 import numpy as np
 import pandas as pd
 from pyspark.ml.clustering import LDA, KMeans
-from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import CountVectorizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
@@ -23,6 +22,8 @@ from litflow.session import cut_lineage
 MAX_CLUSTERS = 20
 MIN_SIZE = 3
 POINTS_PER_TILE = 2_000
+# Cells that stand for all points when k is chosen.
+CELLS = 256
 
 
 def default_k(n: int, most: int = MAX_CLUSTERS) -> int:
@@ -49,19 +50,120 @@ def cluster_embeddings(
     return _drop_small(labelled, min_size), centres
 
 
-def best_k(vectors: DataFrame, max_k: int = MAX_CLUSTERS, min_size: int = MIN_SIZE, seed: int = 42) -> int:
-    """The cluster count with the best silhouette; one fit per candidate on checkpointed vectors."""
-    v = cut_lineage(vectors.select("paper_id", array_to_vector("embedding").alias("features")))
-    n = v.count()
-    ev = ClusteringEvaluator()
-    best, top = 2, -1.0
-    for k in range(2, min(max_k + 1, n // min_size + 1)):
-        s = ev.evaluate(KMeans(k=k, seed=seed, maxIter=100, tol=1e-6).fit(v).transform(v))
-        if s > top:
-            best, top = k, s
+def _nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    return ((centres**2).sum(1)[None, :] - 2 * x @ centres.T).argmin(1)
+
+
+def _weighted_kmeans(x: np.ndarray, w: np.ndarray, k: int, seed: int, tries: int = 8, rounds: int = 100) -> np.ndarray:
+    """Centroids of weighted points: the best of some starts drawn by squared distance. Equal points may leave fewer than k."""
+    order = np.lexsort(x.T[::-1])  # the same rows in any order give the same centroids
+    x, w = x[order], w[order]
+    best, least = x[:1], np.inf
+    for t in range(tries):
+        rng = np.random.default_rng([seed, k, t])
+        c, gap = x[rng.choice(len(x), p=w / w.sum())][None], np.full(len(x), np.inf)
+        for _ in range(k - 1):
+            gap = np.minimum(gap, ((x - c[-1]) ** 2).sum(1))
+            far = w * gap
+            if far.sum() <= 0:
+                break
+            c = np.vstack([c, x[rng.choice(len(x), p=far / far.sum())]])
+        for _ in range(rounds):
+            own = _nearest(x, c)
+            new = np.array([np.average(x[own == i], axis=0, weights=w[own == i]) if (own == i).any() else c[i] for i in range(len(c))])
+            moved, c = float(((new - c) ** 2).sum(1).max()), new
+            if moved <= 1e-12:
+                break
+        cost = float((w * ((x - c[_nearest(x, c)]) ** 2).sum(1)).sum())
+        if cost < least:
+            best, least = c, cost
     return best
 
 
+def _silhouettes(x: np.ndarray, own: np.ndarray, n: np.ndarray, mean: np.ndarray, spread: np.ndarray) -> np.ndarray:
+    """Silhouette of points by squared distances: the mean one to a cluster is |x|^2 - 2 x.mean + mean |y|^2."""
+    d = np.maximum((x**2).sum(1)[:, None] - 2 * x @ mean.T + spread[None, :], 0.0)
+    at = np.arange(len(x))
+    a = d[at, own] * n[own] / np.maximum(n[own] - 1, 1)
+    d[:, n == 0] = np.inf
+    d[at, own] = np.inf
+    b = d.min(1) if d.shape[1] > 1 else np.full(len(x), np.inf)
+    top = np.maximum(a, b)
+    alone = (n[own] < 2) | ~np.isfinite(b) | (top <= 0)
+    return np.where(alone, 0.0, (b - a) / np.where(alone, 1.0, top))
+
+
+def k_sweep(
+    vectors: DataFrame, max_k: int = MAX_CLUSTERS, min_size: int = MIN_SIZE, seed: int = 42, cells: int = CELLS
+) -> tuple[DataFrame, dict[int, np.ndarray]]:
+    """``(k, silhouette)`` by squared distances for every candidate k, and the centroids of each.
+
+    The table is read by one fit of ``cells`` small cells (fewer if there are fewer points), whose weighted means stand
+    for it in the fits of all k, and by two passes for all k together: sizes and sums of the clusters, then the
+    silhouette of every point, which is assigned to its nearest centroid; one alone in its cluster counts
+    as 0. Sums leave a task as a row per cluster. An empty table, or one too small for two clusters of ``min_size``, has no
+    candidates.
+    """
+    spark = vectors.sparkSession
+    v = cut_lineage(vectors.select(F.col("embedding").cast("array<double>").alias("x")))
+    n = v.count()
+    ks = list(range(2, min(max_k + 1, n // min_size + 1)))
+    schema = "k int, silhouette double"
+    if not ks:
+        return spark.createDataFrame([], schema), {}
+    points = v.select(array_to_vector("x").alias("features"))
+    cell = KMeans(k=min(cells, n), seed=seed, maxIter=10, initMode="random").fit(points).transform(points)
+    means = cell.groupBy("prediction").agg(Summarizer.mean(F.col("features")).alias("features"), F.count("*").cast("double").alias("weight"))
+    # each k is fitted in a task of its own, on one row for each cell
+    tasks = means.select(vector_to_array("features").alias("x"), "weight", F.explode(F.array(*[F.lit(k) for k in ks])).alias("k"))
+
+    def fit(cells_of: pd.DataFrame) -> pd.DataFrame:
+        k = int(cells_of["k"].iloc[0])
+        found = _weighted_kmeans(matrix(cells_of["x"]), cells_of["weight"].to_numpy(float), k, seed)
+        return pd.DataFrame({"k": k, "centres": [list(found.ravel())], "n": len(found)})
+
+    fits = tasks.groupBy("k").applyInPandas(fit, "k int, centres array<double>, n int").collect()  # a row for each k
+    centres = {r["k"]: np.array(r["centres"]).reshape(r["n"], -1) for r in sorted(fits, key=lambda r: r["k"])}
+
+    def sums(batches):
+        held: dict = {}
+        for b in batches:
+            x = matrix(b["x"])
+            for k, c in centres.items():
+                own = _nearest(x, c)
+                for i in np.unique(own):
+                    mine = x[own == i]
+                    m, s, q = held.get((k, i), (0, 0.0, 0.0))
+                    held[k, i] = m + len(mine), s + mine.sum(0), q + float((mine**2).sum())
+        if held:
+            yield pd.DataFrame([(k, int(i), m, s, q) for (k, i), (m, s, q) in held.items()], columns=["k", "c", "n", "s", "q"])
+
+    parts = v.mapInPandas(sums, "k int, c int, n long, s array<double>, q double")
+    whole = parts.groupBy("k", "c").agg(
+        F.sum("n").alias("n"), vector_to_array(Summarizer.sum(array_to_vector(F.col("s")))).alias("s"), F.sum("q").alias("q"))
+    facts = {k: (np.zeros(len(c)), np.zeros_like(c), np.zeros(len(c))) for k, c in centres.items()}
+    for r in whole.collect():  # a row for each cluster of each k
+        size, mean, spread = facts[r["k"]]
+        size[r["c"]], mean[r["c"]], spread[r["c"]] = r["n"], np.array(r["s"]) / r["n"], r["q"] / r["n"]
+
+    def scores(batches):
+        total = dict.fromkeys(centres, 0.0)
+        for b in batches:
+            x = matrix(b["x"])
+            for k, c in centres.items():
+                total[k] += float(_silhouettes(x, _nearest(x, c), *facts[k]).sum())
+        yield pd.DataFrame({"k": list(total), "s": list(total.values())})
+
+    done = v.mapInPandas(scores, "k int, s double").groupBy("k").agg((F.sum("s") / n).alias("silhouette"))
+    return spark.createDataFrame([tuple(r) for r in done.collect()], schema), centres
+
+
+def best_k(vectors: DataFrame, max_k: int = MAX_CLUSTERS, min_size: int = MIN_SIZE, seed: int = 42) -> int:
+    """The cluster count with the best silhouette, the smallest of equals; 2 if there is no candidate."""
+    top = k_sweep(vectors, max_k, min_size, seed)[0].orderBy(F.col("silhouette").desc(), "k").first()
+    return 2 if top is None else top["k"]
+
+
 def cluster_auto_k(vectors: DataFrame, max_k: int = MAX_CLUSTERS, min_size: int = MIN_SIZE, seed: int = 42):
     return cluster_embeddings(vectors, best_k(vectors, max_k, min_size, seed), min_size, seed)
 
@@ -119,7 +221,7 @@ def silhouette(vectors: DataFrame, tile_rows: int = POINTS_PER_TILE) -> DataFram
     """Exact Euclidean silhouette per point, ``(paper_id, cluster_id, silhouette)``.
 
     Points meet tile by tile in separate tasks and only sums per point and cluster leave a tile. For
-    large data use ``ClusteringEvaluator``, which needs no pairs.
+    large data use ``silhouette_squared``, which needs no pairs.
     """
     v = vectors.where("cluster_id IS NOT NULL").select(
         "paper_id", F.col("cluster_id").cast("long").alias("cluster_id"), "embedding")
@@ -137,6 +239,44 @@ def silhouette(vectors: DataFrame, tile_rows: int = POINTS_PER_TILE) -> DataFram
     return s.select("paper_id", "cluster_id", F.when(top > 0, (b - a) / F.nullif(top, F.lit(0.0))).otherwise(0.0).alias("silhouette"))
 
 
+def _by_sums(pts: pd.DataFrame, clusters: pd.DataFrame) -> pd.DataFrame:
+    """Mean squared distances of a tile's points: to their own cluster, and the least to another one of these clusters."""
+    names = ["paper_id", "cluster_id", "own", "other"]
+    if pts.empty or clusters.empty:
+        return pd.DataFrame(columns=names)
+    x, mean = matrix(pts["embedding"]), matrix(clusters["r_mean"])
+    n = clusters["r_n"].to_numpy(float)
+    d = np.maximum((x**2).sum(1)[:, None] - 2 * x @ mean.T + clusters["r_spread"].to_numpy(float)[None, :], 0.0)
+    same = pts["cluster_id"].to_numpy()[:, None] == clusters["r_cluster_id"].to_numpy()[None, :]
+    own = np.where(same & (n > 1)[None, :], d * (n / np.maximum(n - 1, 1))[None, :], -np.inf).max(1)
+    return pd.DataFrame({
+        "paper_id": pts["paper_id"].to_numpy(), "cluster_id": pts["cluster_id"].to_numpy(),
+        "own": own, "other": np.where(same, np.inf, d).min(1)})[names]
+
+
+def silhouette_squared(vectors: DataFrame, tile_rows: int = POINTS_PER_TILE) -> DataFrame:
+    """Silhouette per point by squared Euclidean distances, ``(paper_id, cluster_id, silhouette)``, without pairs of points.
+
+    A cluster is its size, mean and mean squared length, from which the mean squared distance of any point follows. Tiles
+    of points meet tiles of such rows, so the work is points times clusters. Points without a cluster are left out; one
+    alone in its cluster, and all points if there is one cluster only, follow ``silhouette``.
+    """
+    v = vectors.where("cluster_id IS NOT NULL").select(
+        "paper_id", F.col("cluster_id").cast("long").alias("cluster_id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    key = v.schema["paper_id"].dataType.simpleString()
+    length = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x)
+    clusters = v.select("cluster_id", array_to_vector("embedding").alias("f"), length.alias("sq")).groupBy("cluster_id").agg(
+        vector_to_array(Summarizer.mean(F.col("f"))).alias("mean"), F.avg("sq").alias("spread"), F.count("*").alias("n"))
+    a, b = tile_pairs(v, cut_lineage(clusters), "paper_id", "cluster_id", tile_rows)
+    met = a.groupBy("_tl", "_tr").cogroup(b.groupBy("_tl", "_tr")).applyInPandas(
+        _by_sums, f"paper_id {key}, cluster_id long, own double, other double")
+    s = met.groupBy("paper_id", "cluster_id").agg(F.max("own").alias("own"), F.min("other").alias("other"))
+    a = F.when(F.col("own") >= 0, F.col("own")).otherwise(0.0)
+    b = F.when(F.col("other") < float("inf"), F.col("other")).otherwise(0.0)
+    top = F.greatest(a, b)
+    return s.select("paper_id", "cluster_id", F.when(top > 0, (b - a) / F.nullif(top, F.lit(0.0))).otherwise(0.0).alias("silhouette"))
+
+
 def lda_topics(
     papers: DataFrame, k: int = 10, iterations: int = 50, min_size: int = MIN_SIZE, seed: int = 42, vocab: int = 2**31 - 1
 ) -> tuple[DataFrame, DataFrame]:

@@ -194,6 +194,12 @@ def silhouette(spark, sf_dir):
     return s.withColumn("silhouette", F.round("silhouette", 5))
 
 
+@register("a19_silhouette_squared", sql(SIL_SQL.replace("list_distance(", "power(list_distance(").replace("AS DOUBLE[])) ELSE", "AS DOUBLE[])), 2) ELSE"), body="SELECT vec_id AS paper_id, own AS cluster_id, round(CASE WHEN greatest(a, b) > 0 THEN (b - a) / greatest(a, b) ELSE 0 END, 5) AS silhouette FROM s"))
+def silhouette_squared(spark, sf_dir):
+    s = topics.silhouette_squared(vectors(spark, sf_dir).withColumnRenamed("label", "cluster_id"))
+    return s.withColumn("silhouette", F.round("silhouette", 5))
+
+
 @register("m1_kmeans_clusters")
 def kmeans(spark, sf_dir):
     return topics.cluster_embeddings(vectors(spark, sf_dir))[0]
@@ -233,6 +239,22 @@ def auto_k(spark, sf_dir):
     return topics.cluster_auto_k(vectors(spark, sf_dir))[0]
 
 
+@register("m2_k_sweep_facts", "SELECT least(21, count(*) // 3 + 1) - 2 AS candidates, true AS same_by_point FROM embeddings")
+def k_sweep_facts(spark, sf_dir):
+    """Every k is a candidate, and the best one's silhouette is the mean over points assigned to its nearest centroid."""
+    v = vectors(spark, sf_dir).select("paper_id", "embedding")
+    sweep, centres = topics.k_sweep(v)
+    best = sweep.orderBy(F.col("silhouette").desc(), "k").first()
+    rows = F.array(*[F.struct(F.array(*[F.lit(float(x)) for x in c]).alias("c"), F.lit(i).alias("id")) for i, c in enumerate(centres[best["k"]])])
+    gap = lambda p, q: F.aggregate(F.zip_with(p, q, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, d: s + d)
+    near = F.array_min(F.transform(rows, lambda r: F.struct(gap(F.col("embedding"), r["c"]).alias("gap"), r["id"].alias("id"))))
+    s = topics.silhouette_squared(v.withColumn("cluster_id", near["id"]))
+    s = s.join(s.groupBy("cluster_id").agg(F.count("*").alias("size")), "cluster_id")
+    alone = F.when(F.col("size") > 1, F.col("silhouette")).otherwise(0.0)  # a point alone in its cluster counts as 0 in the sweep
+    same = F.abs(F.avg(alone) - best["silhouette"]) < 1e-6
+    return s.agg(same.alias("same_by_point")).select(F.lit(sweep.count()).cast("long").alias("candidates"), "same_by_point")
+
+
 @register("m3_lda_topics")
 def lda(spark, sf_dir):
     return topics.lda_topics(papers(spark, sf_dir), 5)[1]

@@ -228,6 +228,52 @@ def test_vector_blocks_give_the_same_neighbours_and_silhouette(spark):
     assert abs(a[0] - (other - own) / max(own, other)) < 1e-9
 
 
+def test_squared_silhouette_needs_no_pairs(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, 9 if i == 0 else None if i == 1 else i % 4, [float(x) for x in rng.normal(size=5)]) for i in range(70)]
+    rows += [(100 + i, 1, rows[5][2]) for i in range(3)]
+    v = spark.createDataFrame(rows, "paper_id long, cluster_id int, embedding array<double>")
+    held = [r for r in rows if r[1] is not None]
+    x, lab = np.array([r[2] for r in held]), np.array([r[1] for r in held])
+    d = ((x[:, None] - x[None, :]) ** 2).sum(2)
+    want = {}
+    for i, r in enumerate(held):
+        own = lab == lab[i]
+        a = d[i][own].sum() / (own.sum() - 1) if own.sum() > 1 else 0.0
+        b = min(d[i][lab == c].mean() for c in set(lab) - {lab[i]})
+        want[r[0]] = (b - a) / max(a, b)
+    for tile in (2000, 3):
+        got = {r["paper_id"]: r["silhouette"] for r in topics.silhouette_squared(v, tile).collect()}
+        assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-9 for i in want)
+    one = topics.silhouette_squared(v.where("cluster_id = 2")).agg({"silhouette": "max"}).first()[0]
+    assert one == topics.silhouette(v.where("cluster_id = 2")).agg({"silhouette": "max"}).first()[0]
+    assert topics.silhouette_squared(v.where("paper_id < 0")).count() == 0
+
+
+def test_sweep_finds_the_number_of_groups(spark):
+    rng = np.random.default_rng(9)
+    x = np.concatenate([rng.normal(size=(40, 3)) * 0.2 + c for c in ((0, 0, 0), (5, 0, 0), (0, 5, 0), (0, 0, 5))])
+    v = spark.createDataFrame([(i, [float(y) for y in p]) for i, p in enumerate(x)], "paper_id long, embedding array<double>")
+    assert topics.best_k(v, max_k=8) == 4
+    for cells in (256, 24):  # every point its own cell, or several in one
+        sweep, centres = topics.k_sweep(v, max_k=6, cells=cells)
+        got = {r["k"]: r["silhouette"] for r in sweep.collect()}
+        assert set(got) == {2, 3, 4, 5, 6} == set(centres) and max(got, key=got.get) == 4
+        for k, c in centres.items():
+            lab = ((x[:, None] - c[None]) ** 2).sum(2).argmin(1)
+            d = ((x[:, None] - x[None, :]) ** 2).sum(2)
+            s = []
+            for i in range(len(x)):
+                own = lab == lab[i]
+                if own.sum() < 2:
+                    s.append(0.0)
+                    continue
+                a, b = d[i][own].sum() / (own.sum() - 1), min(d[i][lab == o].mean() for o in set(lab) - {lab[i]})
+                s.append((b - a) / max(a, b))
+            assert abs(np.mean(s) - got[k]) < 1e-9
+    assert topics.k_sweep(v.where("paper_id < 4"))[0].count() == 0 and topics.best_k(v.where("paper_id < 0")) == 2
+
+
 def test_query_vectors_do_not_pass_through_the_driver(spark, monkeypatch):
     rng = np.random.default_rng(4)
     x = rng.normal(size=(70, 5))
@@ -315,6 +361,20 @@ def test_network_depth_of_a_capped_walk(spark):
     assert graph.graph_stats(n, e, 100).first()["depth_reached"] == 1
 
 
+def test_network_of_string_ids_and_directions(spark):
+    edges = spark.createDataFrame([("a", "b"), ("a", "b"), ("c", "a"), ("b", "d"), ("e", "b")], "src string, dst string")
+    n, e = graph.build_network(edges, "a", depth=2)
+    assert sorted(tuple(r) for r in n.collect()) == [("a", 0, 0), ("b", 1, 1), ("c", 1, 2), ("d", 2, 3), ("e", 2, 4)]
+    assert e.count() == 4
+    n, e = graph.build_network(edges, "a", depth=2, include_citations=False)
+    assert sorted(r["paper_id"] for r in n.collect()) == ["a", "b", "d"] and e.count() == 2
+    for kinds in ({"max_nodes": 1}, {"include_references": False, "include_citations": False}):
+        n, e = graph.build_network(edges, "a", **kinds)
+        assert n.count() == 1 and e.count() == 0
+    n, e = graph.build_network(edges, "nobody")
+    assert [r["paper_id"] for r in n.collect()] == ["nobody"] and e.count() == 0
+
+
 def test_digest_counts_the_sections_itself(spark):
     rows = [("u", f"i{k}", k, p, f"T{p}", 1.0 - p / 100) for k in range(5) for p in range(12)]
     df = spark.createDataFrame(rows, "user_id string, interest_id string, interest_ord int, paper_id int, title string, total_score double")

@@ -1,7 +1,9 @@
 """Landed feeds, catalogue, name matching and scores with hand-computed values."""
 
 import math
+import random
 import warnings
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -138,6 +140,21 @@ def test_embedding_and_pair_tfidf():
     assert t["graph"] == 2 and t["graph model"] == 1 and scoring.pair_tfidf(t, t) == pytest.approx(1.0)
 
 
+def test_pair_tfidf_by_ranks_matches_whole_vectors():
+    rng = random.Random(6)
+    for _ in range(400):
+        words = [f"w{i}" for i in range(rng.choice((3, 12, 40)))]
+        paper = Counter(rng.choices(words, k=rng.randrange(0, 60)))
+        other = Counter(rng.choices(words, k=rng.randrange(0, 15)))
+        for most in (2, 5, 11, 1000):
+            vocab = sorted(set(paper) | set(other), key=lambda t: (-paper[t] - other[t], t))[:most]
+            idf = {t: 1.0 if paper[t] and other[t] else math.log(1.5) + 1.0 for t in vocab}
+            dot = sum(paper[t] * other[t] * idf[t] ** 2 for t in vocab)
+            size = [math.sqrt(sum((c[t] * idf[t]) ** 2 for t in vocab)) for c in (paper, other)]
+            want = 0.5 if not paper and not other else dot / (size[0] * size[1]) if dot else 0.0
+            assert abs(scoring.pair_tfidf(paper, other, most) - want) < 1e-12
+
+
 def test_interest_batches_and_registry(spark):
     p = spark.createDataFrame([(1, "polymer graph", "x", [])], "paper_id int, title string, abstract string, authors array<string>").withColumns({
         "citation_count": F.lit(5), "influential_citation_count": F.lit(0), "published_date": F.lit(None).cast("timestamp"),
