@@ -291,6 +291,10 @@ def report(spark, sf_dir):
     return r.select("section", "rank", F.lower("name").alias("name"), F.round("value", 6).alias("value"))
 
 
-@register("a23_report_summary")
+@register("a23_report_summary", rsql(*REPORT_CTES, """
+named AS (SELECT section, rank, CASE WHEN section IN ('trending', 'relevant') THEN array_to_string(list_transform(string_split(name, ' '), lambda w: upper(w[1]) || w[2:]), ' ') ELSE name END AS name FROM report),
+parts AS (SELECT string_agg(name, ', ' ORDER BY rank) FILTER (WHERE section = 'trending' AND rank <= 3) AS t, string_agg(name, ', ' ORDER BY rank) FILTER (WHERE section = 'emerging_keywords' AND rank <= 5) AS e,
+  string_agg(name, ', ' ORDER BY rank) FILTER (WHERE section = 'relevant' AND rank <= 3) AS r, least(count(*) FILTER (WHERE section = 'rapidly_cited'), 5) AS c FROM named),
+line AS (SELECT concat_ws(' ', 'Top trending topics: ' || t || '.', CASE WHEN c > 0 THEN 'Found ' || c || ' rapidly-cited papers.' END, 'Emerging keywords: ' || e || '.', 'Relevant to your interests: ' || r || '.') AS text FROM parts)""", body="SELECT CASE WHEN text = '' THEN 'No significant trends detected.' ELSE text END AS summary FROM line"))
 def summary(spark, sf_dir):
     return trends.report_summary(trends.trend_report(papers(spark, sf_dir), as_of(), ["tion that"], WINDOW))

@@ -1,5 +1,6 @@
 """Greedy and iterative operators against plain loops on small random inputs."""
 
+import math
 import random
 from difflib import SequenceMatcher
 
@@ -361,6 +362,27 @@ def test_network_depth_of_a_capped_walk(spark):
     assert graph.graph_stats(n, e, 100).first()["depth_reached"] == 1
 
 
+def test_hybrid_clusters_join_both_descriptions(spark):
+    words = (("kelp", "reef", "tide", "gull"), ("loom", "weft", "dyes", "wool"))
+    rng = random.Random(5)
+    rows = []
+    for i in range(24):
+        mine = [rng.choice(words[i % 2]) for _ in range(12)]
+        rows.append((i, " ".join(mine[:3]), " ".join(mine[3:]), [float(i % 2), float(1 - i % 2), rng.random() / 50]))
+    df = spark.createDataFrame(rows, "paper_id long, title string, abstract string, embedding array<double>")
+    papers, vectors = df.drop("embedding"), df.select("paper_id", "embedding")
+    got = topics.cluster_hybrid(papers, vectors, k=2).collect()
+    assert sorted(r["size"] for r in got) == [12, 12] and all(0 < r["overlap"] <= r["size"] for r in got)
+    of = {r["paper_id"]: r["cluster_id"] for r in topics.cluster_embeddings(vectors, 2)[0].collect()}
+    for r in got:
+        texts = [(t + " " + a).split() for i, t, a, _ in rows if of[i] == r["cluster_id"]]
+        tf = {w: sum(t.count(w) for t in texts) for g in words for w in g}
+        df_ = {w: sum(w in t for t in texts) for w in tf}
+        score = {w: tf[w] * math.log(len(texts) / df_[w]) for w in tf if df_[w] >= 2}
+        own = sorted(score, key=lambda w: (-round(score[w], 9), w))[:5]
+        assert r["keywords"][: len(own)] == own and len(set(r["keywords"])) == len(r["keywords"]) <= 10
+
+
 def test_network_of_string_ids_and_directions(spark):
     edges = spark.createDataFrame([("a", "b"), ("a", "b"), ("c", "a"), ("b", "d"), ("e", "b")], "src string, dst string")
     n, e = graph.build_network(edges, "a", depth=2)
