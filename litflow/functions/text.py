@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -102,13 +101,6 @@ def contains_phrase(text: Column, phrase: str) -> Column:
     return text.contains(p) & text.rlike(pattern)
 
 
-def contains_phrase_column(text: Column, phrase: Column) -> Column:
-    """As ``contains_phrase`` for a phrase held in a column."""
-    p = F.lower(phrase)
-    escaped = F.regexp_replace(p, r"(\W)", r"\\$1")
-    return text.contains(p) & F.regexp_like(text, F.concat(F.lit(r"(?U)\b"), escaped, F.lit(r"\b")))
-
-
 def strip_html(c: Column) -> Column:
     return strip(F.regexp_replace(c, r"<[^>]+>", ""))
 
@@ -194,6 +186,7 @@ def parse_trend_date(c: Column, as_of: Column) -> tuple[Column, Column]:
     return F.coalesce(parsed, as_of - F.expr("INTERVAL 30 DAYS")), parsed.isNull()
 
 
+# The sentences of the templates below.
 def extractive_summary(title: Column, abstract: Column) -> Column:
     """First sentences (three at most) while their total stays below 400 characters."""
     sentences = F.slice(F.split(strip(abstract), r"(?<=[.!?])(?U)\s+"), 1, 3)
@@ -292,7 +285,3 @@ def subject_line(digest_type: Column, n_papers: Column, n_sections: Column) -> C
             )
         )
     )
-
-
-def is_regex_safe(phrase: str) -> bool:
-    return re.fullmatch(r"[A-Za-z0-9 ]+", phrase) is not None

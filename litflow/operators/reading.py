@@ -14,6 +14,7 @@ from litflow.operators.ranking import number_rows
 from litflow.operators.scoring import age_days
 
 # Weight of each priority in the next-paper score.
+# Points of a priority.
 PRIORITY_WEIGHT = {"urgent": 100.0, "high": 50.0, "medium": 20.0, "low": 5.0}
 
 
@@ -117,6 +118,7 @@ def next_paper_score(as_of: Column) -> Column:
         F.lit(20.0),
     )
     left = age_days(F.col("due_date"), as_of)
+    # Points for what is due soon, for relevance and for waiting.
     due = (
         F.when(F.col("due_date").isNull(), 0.0).when(left < 0, 200.0).when(left < 7, 50.0)
         .when(left < 30, 20.0).otherwise(0.0)

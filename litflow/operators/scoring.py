@@ -97,6 +97,7 @@ class ScoringConfig:
 
 
 # ---------------------------------------------------------------- component expressions
+# The factors, caps and bonuses inside the components below.
 
 
 def semantic_score(cos: Column) -> Column:
@@ -117,6 +118,7 @@ def keyword_score(n_matched: Column, n_excluded: Column, n_keywords: int) -> Col
     return F.greatest(F.lit(0.0), F.sqrt(n_matched / F.lit(float(n_keywords))) - penalty)
 
 
+# Fixed value: name suffixes that do not tell authors apart.
 _SUFFIX = r"\s+(jr\.?|sr\.?|iii?|iv)$"
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from litflow.functions import text as tx
 from litflow.operators.scoring import Interest, interest_profile_text
 
+# Fixed value: what counts as a token.
 TOKEN = r"(?U)\b[a-zA-Z][a-zA-Z0-9-]*[a-zA-Z0-9]\b|\b[a-zA-Z]\b"
 
 

@@ -145,6 +145,7 @@ def related_keywords(members: DataFrame, k: int = 10) -> DataFrame:
 
 def trend_score(n: Column, growth: Column, avg_age: Column, n_keywords: Column, window_days: int = 30) -> Column:
     """Volume 40, growth 30, recency 20, keyword diversity 10."""
+    # Shares of the score and where they saturate.
     one = F.lit(1.0)
     volume = F.least(one, F.log1p(n) / math.log1p(50)) * 40
     rise = F.greatest(F.lit(0.0), F.least(one, growth)) * 30

@@ -22,6 +22,7 @@ ARXIV_CATEGORIES = {
     "math.ST": "Statistics Theory", "stat.ML": "Machine Learning (Statistics)",
     "q-bio": "Quantitative Biology", "econ": "Economics", "q-fin": "Quantitative Finance",
 }
+# Month names of the wire format.
 MONTHS = ("Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec")
 
 _LINK = "ARRAY<STRUCT<_href: STRING, _rel: STRING, _title: STRING>>"
