@@ -52,10 +52,9 @@ def alerts(spark, sf_dir):
 SELECT strftime(date_trunc('day', created_at), '%Y-%m-%d') AS day, term, count(*) AS n FROM (SELECT created_at, unnest(w || list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS term FROM toks JOIN papers USING (paper_id)) GROUP BY ALL"""))
 def timeline(spark, sf_dir):
     path = jobs.scratch_path(spark, "timeline")
-    jobs.run_to(jobs.stream_timeline(stream_papers(spark, sf_dir, repeated=False), delay="5 days"), path, "update")
-    out = jobs.read_out(spark, path)
-    # counts only grow, so the largest upsert of a window is the current one
-    return out.groupBy(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "term").agg(F.max("n").alias("n"))
+    jobs.run_timeline(stream_papers(spark, sf_dir, repeated=False), path)
+    out = jobs.timeline(jobs.read_out(spark, path))
+    return out.select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "term", "n")
 
 
 @register("t3_stream_timeline_sliding", sql(PAPERS_SQL, TEXT_SQL, body="""
@@ -63,9 +62,9 @@ SELECT strftime(d - to_days(CAST(b AS INTEGER)), '%Y-%m-%d') AS day, term, count
 FROM (SELECT date_trunc('day', created_at) AS d, unnest(w || list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS term FROM toks JOIN papers USING (paper_id)), unnest(range(3)) AS u(b) GROUP BY ALL"""))
 def sliding(spark, sf_dir):
     path = jobs.scratch_path(spark, "sliding")
-    jobs.run_to(jobs.stream_timeline(stream_papers(spark, sf_dir, repeated=False), size="3 days", slide="1 day", delay="5 days"), path, "update")
-    out = jobs.read_out(spark, path)
-    return out.groupBy(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "term").agg(F.max("n").alias("n"))
+    jobs.run_timeline(stream_papers(spark, sf_dir, repeated=False), path, size="3 days", slide="1 day")
+    out = jobs.timeline(jobs.read_out(spark, path), "3 days", "1 day")
+    return out.select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "term", "n")
 
 
 LOG_SQL = """

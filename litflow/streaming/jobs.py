@@ -9,6 +9,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Sequence
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,14 +34,18 @@ def table_stream(spark: SparkSession, folder: str, file_name: str) -> DataFrame:
     return spark.readStream.schema(schema).option("pathGlobFilter", file_name).parquet(folder)
 
 
-def landed_stream(df: DataFrame, files: int = 3, repeated: DataFrame | None = None) -> DataFrame:
-    """A table landed as several files, read as a stream of one file per micro-batch; ``repeated`` rows land once more."""
+def landed_stream(df: DataFrame, batches: int = 3, repeated: DataFrame | None = None) -> DataFrame:
+    """A table landed as files, read as a stream of ``batches`` micro-batches; ``repeated`` rows land once more, as another one.
+
+    A micro-batch has as many files as its share of the table has scan partitions, so a task's rows do not grow with the table.
+    """
     spark = df.sparkSession
     path = scratch_path(spark, "landed")
-    df.repartition(files).write.parquet(path)
+    files = max(1, -(-df.rdd.getNumPartitions() // batches))
+    df.repartition(batches * files).write.parquet(path)
     if repeated is not None:
-        repeated.coalesce(1).write.mode("append").parquet(path)
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+        repeated.repartition(files).write.mode("append").parquet(path)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
 def run_to(
@@ -105,6 +110,31 @@ def stream_timeline(
         F.col("w.start").alias("window_start"), "term", "n")
 
 
+def _panes(size: str, slide: str | None) -> bool:
+    """True if a sliding window is made of whole steps, so that counts of steps add up to its own."""
+    try:
+        return slide is not None and pd.Timedelta(size) % pd.Timedelta(slide) == pd.Timedelta(0)
+    except ValueError:
+        return False
+
+
+def run_timeline(papers: DataFrame, path: str, time: str = "created_at", size: str = "1 day", slide: str | None = None) -> None:
+    """``stream_timeline`` without state: a micro-batch leaves its own counts, which ``timeline`` adds up.
+
+    There is nothing to keep between micro-batches, so no row is too late. A sliding window of whole steps is stored by its
+    steps, not once for each window that a row is in.
+    """
+    pane = (slide, None) if _panes(size, slide) else (size, slide)
+    run_to(papers, path, prepare=lambda batch, n: stream_timeline(batch, time, *pane))
+
+
+def timeline(out: DataFrame, size: str = "1 day", slide: str | None = None) -> DataFrame:
+    """Uses of each term per window over all micro-batches that ``run_timeline`` wrote with the same windows."""
+    if _panes(size, slide):
+        out = out.select(F.window("window_start", size, slide)["start"].alias("window_start"), "term", "n")
+    return out.groupBy("window_start", "term").agg(F.sum("n").alias("n"))
+
+
 def run_alerts(
     papers: DataFrame, path: str, interests: Sequence[Interest], min_score: float = 0.7, cfg: ScoringConfig | None = None,
     time: str = "created_at", lookback: str = "1 hour", keep: Sequence[str] = ("paper_id",),

@@ -106,3 +106,40 @@ def test_merged_lists_count_on_from_zero(spark):
     items = spark.createDataFrame(rows, "list_id long, list_name string, item_id long, paper_id string, title string, position int, tags array<string>, source string")
     got = sorted((r["position"], r["item_id"], r["tags"], r["source"]) for r in reading.merge_lists(items, "m", ["list_name", "position", "item_id"]).collect())
     assert got == [(0, 1, ["x", "from:a"], "a"), (1, 2, ["from:a"], "s"), (2, 4, ["from:b"], "b")]
+
+
+def test_a_landed_table_keeps_its_partitions(spark, tmp_path, monkeypatch):
+    landed = str(tmp_path / "landed")
+    monkeypatch.setattr(jobs, "scratch_path", lambda *_: landed)
+    table = spark.range(0, 2400, 1, 12)
+    stream = jobs.landed_stream(table, 3, table.where("id % 6 = 0"))
+    files = spark.read.parquet(landed).groupBy(F.input_file_name()).count().collect()
+    assert len(files) == 16 and max(r["count"] for r in files) <= 250  # no task holds a third of the table
+    jobs.run_to(stream, str(tmp_path / "out"))
+    sizes = jobs.read_out(spark, str(tmp_path / "out")).groupBy(jobs.BATCH).count().orderBy(jobs.BATCH).collect()
+    assert len(sizes) == 4 and sizes[-1]["count"] == 400 and sum(r["count"] for r in sizes) == 2800
+
+
+@pytest.mark.parametrize(("size", "slide"), [("1 day", None), ("3 days", "1 day"), ("3 days", "2 days")])
+def test_timeline_without_state_counts_every_row(spark, tmp_path, size, slide):
+    words = ("glacier", "sediment", "monsoon", "aquifer")
+    rng = random.Random(3)
+    # the second half is 40 days older than the first: a watermark of two days would drop it
+    rows = [(f"{rng.choice(words)} {rng.choice(words)}", rng.choice(words), DAY - timedelta(days=40 * (i >= 30), hours=rng.randrange(96))) for i in range(60)]
+    df = spark.createDataFrame(rows, "title string, abstract string, created_at timestamp")
+    landed = jobs.scratch_path(spark, "rows")
+    df.limit(30).coalesce(1).write.parquet(landed)
+    df.offset(30).coalesce(1).write.mode("append").parquet(landed)
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(landed)
+    jobs.run_timeline(stream, str(tmp_path / "line"), size=size, slide=slide)
+    got = {(r["window_start"], r["term"]): r["n"] for r in jobs.timeline(jobs.read_out(spark, str(tmp_path / "line")), size, slide).collect()}
+    step, long = (timedelta(days=int(x[0])) for x in (slide or size, size))
+    wanted = {}
+    for title, abstract, at in rows:
+        t = [*title.split(), abstract]
+        start = datetime(1970, 1, 1) + (at - datetime(1970, 1, 1)) // step * step
+        while start > at - long:
+            for term in [*t, *(f"{a} {b}" for a, b in zip(t, t[1:]))]:
+                wanted[start, term] = wanted.get((start, term), 0) + 1
+            start -= step
+    assert got == wanted
