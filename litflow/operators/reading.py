@@ -12,6 +12,7 @@ from litflow.functions.text import blank_to_null, strip
 from litflow.operators.history import days_before
 from litflow.operators.ranking import number_rows
 from litflow.operators.scoring import age_days
+from litflow.session import stored
 
 # Weight of each priority in the next-paper score.
 # Points of a priority.
@@ -161,13 +162,26 @@ def distinct_items(items: DataFrame, order: Sequence[str]) -> DataFrame:
     """Items of each list without repeated paper ids or titles, first in order wins.
 
     Equal (id, title) copies collapse first. An item then stays unless an earlier kept item has its
-    id or its title, which is the first-come greedy choice.
+    id or its title, which is the first-come greedy choice. Items that share neither stay without taking part in it.
     """
     from litflow.operators.independent_set import greedy_representatives
 
-    once = first_of_each(items, ["list_id", "paper_id", "title"], order)
+    once = stored(first_of_each(items, ["list_id", "paper_id", "title"], order))
+
+    def shared(column: str) -> DataFrame:
+        many = once.where(F.col(column).isNotNull()).groupBy("list_id", column).agg(F.count("*").alias("_n")).where("_n > 1")
+        return many.select(F.col("list_id").alias(f"_list_{column}"), F.col(column).alias(f"_{column}"))
+
+    def met(column: str) -> Column:
+        return F.col("list_id").eqNullSafe(F.col(f"_list_{column}")) & (F.col(column) == F.col(f"_{column}"))
+
+    # a missing list is one of its own, and a missing id or title conflicts with nothing
+    marked = once.join(shared("paper_id"), met("paper_id"), "left").join(shared("title"), met("title"), "left").withColumn(
+        "_contested", F.col("_paper_id").isNotNull() | F.col("_title").isNotNull()).select(*once.columns, "_contested")
+    marked = stored(marked)
+    alone = marked.where("not _contested").drop("_contested")
     item = F.to_json(F.struct("list_id", "paper_id", "title"))
-    keyed = once.withColumn("_node", item).withColumn("_ord", F.struct(*[F.col(o) for o in order]))
+    keyed = marked.where("_contested").drop("_contested").withColumn("_node", item).withColumn("_ord", F.struct(*[F.col(o) for o in order]))
     groups = keyed.select(
         F.col("_node").alias("node"), F.col("_ord").alias("ord"),
         F.explode(F.array_compact(F.array(  # a missing id or title conflicts with nothing; an item always has its own group
@@ -177,7 +191,7 @@ def distinct_items(items: DataFrame, order: Sequence[str]) -> DataFrame:
         ))).alias("grp"),
     )
     leaders = greedy_representatives(groups).where("is_leader").select(F.col("node").alias("_node"))
-    return keyed.join(leaders, "_node", "left_semi").drop("_node", "_ord")
+    return alone.unionByName(keyed.join(leaders, "_node", "left_semi").drop("_node", "_ord"))
 
 
 def reorder(items: DataFrame, wanted: DataFrame) -> DataFrame:

@@ -414,3 +414,41 @@ def test_batch_embedder_takes_texts_in_batches(spark):
     df = spark.createDataFrame([(i, "x" * i if i != 3 else None) for i in range(7)], "i int, t string").coalesce(1)
     got = {r["i"]: r["v"] for r in df.select("i", vx.batch_embedder(model, 2)(F.col("t")).alias("v")).collect()}
     assert got[3] is None and got[5] == [5.0, 1.0]
+
+
+def test_greedy_rounds_give_back_their_rows(spark):
+    import os
+
+    from litflow.session import _ensure_checkpoint_dir
+
+    _ensure_checkpoint_dir(spark)
+    root = spark.sparkContext.getCheckpointDir().removeprefix("file:")
+    before = set(os.listdir(root))
+    # a chain of conflicts: every round decides one more link
+    rows = [(i, i, f"g{g}") for i in range(9) for g in (i, i + 1)]
+    got = greedy_representatives(spark.createDataFrame(rows, "node int, ord int, grp string"), rounds=3).collect()
+    assert {r["node"] for r in got if r["is_leader"]} == {0, 2, 4, 6, 8}
+    left = sorted(set(os.listdir(root)) - before)
+    kept = [f for f in left if "grp" in spark.read.parquet(f"file:{root}/{f}").columns] if all(f.startswith("table-") for f in left) else left
+    assert len(kept) <= 1  # only the last, empty rest
+
+
+def test_only_contested_items_go_through_the_greedy_choice(spark, monkeypatch):
+    from litflow.operators import independent_set, reading
+
+    seen = []
+    greedy = independent_set.greedy_representatives
+    monkeypatch.setattr(independent_set, "greedy_representatives", lambda groups, *a: seen.append(groups.select("node").distinct().count()) or greedy(groups, *a))
+    rng = random.Random(8)
+    rows = [(1, f"p{rng.randrange(12)}", f"t{rng.randrange(12)}", i) for i in range(20)]
+    rows += [(2, f"q{i}", f"u{i}", i) for i in range(30)] + [(2, None, None, 30), (2, None, "u0", 31), (None, "p", "t", 32), (None, "p", "s", 33), (None, "p2", None, 34)]
+    df = spark.createDataFrame(rows, "list_id int, paper_id string, title string, position int")
+    got = {(r["list_id"], r["position"]) for r in reading.distinct_items(df, ["position"]).collect()}
+    wanted, held = set(), set()
+    for list_id, paper, title, at in rows:
+        mine = {(list_id, kind, v) for kind, v in (("id", paper), ("title", title)) if v is not None}
+        if not mine & held:
+            wanted.add((list_id, at))
+            held |= mine
+    assert got == wanted
+    assert seen[0] <= 24
