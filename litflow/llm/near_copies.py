@@ -10,6 +10,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from litflow.llm.common import cut_lineage, discard, hashable, lowered, plus, scrambled, slices, span_hashes, span_sums, stored, utf8, words_of
 from litflow.llm.components import connected_components
@@ -340,8 +341,8 @@ def fingerprint_links(values: DataFrame, budget: int = 4, near: "Near | None" =
     into parts that meet in pairs. The links of a task span what it found; they are fewer than its values.
 
     With ``near`` values also have (node, label, size, prints), and pairs of nodes with different labels that it lets
-    through are given instead: of each node those of the fewest differing bits, ``near.most`` in a task. A pair (-1, -1)
-    tells that there are more.
+    through are given instead, as (bits, a, b): of each node those of the fewest differing bits, ``near.most`` in a task.
+    A pair (-1, -1) tells that there are more.
     """
     from itertools import combinations
 
@@ -404,7 +405,7 @@ def fingerprint_links(values: DataFrame, budget: int = 4, near: "Near | None" =
         return out.view(np.int64)
 
     # equal fronts have one sign, so a group is sorted like unsigned values
-    return dealt.repartition("print", "turn", front, "p", "q").sortWithinPartitions(*keys, "turned").mapInArrow(run, "print int, a bigint, b bigint")
+    return dealt.repartition("print", "turn", front, "p", "q").sortWithinPartitions(*keys, "turned").mapInArrow(run, f"{'bits' if near else 'print'} int, a bigint, b bigint")
 
 
 def _fresh(table: pa.Table, keys: list[str], depth: int) -> np.ndarray:
@@ -439,8 +440,8 @@ def _join_groups(table: pa.Table, keys: list[str], depth: int, budget: int, near
             bits = np.bitwise_count(prints[a] ^ prints[b]).sum(axis=1, dtype=np.int64)
             fits = near.bits(bits, np.minimum(size[a], size[b]))
             best.add(value[a[fits]], value[b[fits]], bits[fits])
-        a, b = best.pairs()
-        yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(a), np.int32)), pa.array(a), pa.array(b)], ["print", "a", "b"])
+        a, b, bits = best.ranked()
+        yield pa.RecordBatch.from_arrays([pa.array(bits, pa.int32()), pa.array(a), pa.array(b)], ["bits", "a", "b"])
         return
     a, b = trie_links(turned, heads, depth, budget)
     turn, number = table.column("turn").to_numpy(), table.column("print").to_numpy()
@@ -507,11 +508,14 @@ class Best:
         self.held, self.waiting = [(a[keep], b[keep], bits[keep])], 0
 
     def pairs(self) -> tuple[np.ndarray, np.ndarray]:
+        return self.ranked()[:2]
+
+    def ranked(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The pairs and the bits in which they differ."""
         if not self.held:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
         self._cut()
-        a, b, _ = self.held[0]
-        return (np.append(a, -1), np.append(b, -1)) if self.more else (a, b)
+        return tuple(np.append(x, -1) for x in self.held[0]) if self.more else self.held[0]
 
 
 def print_components(rows: DataFrame, budget: int = 4) -> DataFrame:
@@ -534,8 +538,8 @@ def _print_links(each: DataFrame, budget: int) -> DataFrame:
 
 #: Links of one node that are compared in one task.
 HOT_LINKS = 256
-#: Nearest nodes of each node that a task gives in the first round of the second step, and by how much more in each later one.
-MOST, GROWTH = 16, 8
+#: Nearest nodes of each node that are checked in the first round of the second step, and by how much more in each later one.
+MOST, GROWTH = 4, 8
 
 
 def shingle_sets(texts: DataFrame, words: int) -> DataFrame:
@@ -571,8 +575,9 @@ def checked_components(rows: DataFrame, texts: DataFrame, budget: int, words: in
 
     First, links that span the fingerprints' components are checked. Where one of them fails, the nodes of its
     component go into the trie again, with labels of what holds so far: across labels each task gives the nearest pairs
-    of every node, these are checked and unite labels, and rounds with more of them follow until no task has any left.
-    Rows grow with the nodes in each round, not with the pairs of a group.
+    of every node, the nearest over all tasks are checked and unite labels, and rounds with more of them follow until
+    none is left out. Rows grow with the nodes in each round, not with the pairs of a group: what holds is carried on as
+    one link from each node to its label.
     """
     prints = rows.select(F.size("prints").alias("n")).first()
     near = Near(percent, prints["n"] if prints else 1)
@@ -600,17 +605,26 @@ def checked_components(rows: DataFrame, texts: DataFrame, budget: int, words: in
     while True:
         labels = connected_components(good)
         labelled = rest.join(labels, "node", "left").withColumn("label", F.coalesce("component", "node"))
-        found = stored(fingerprint_links(labelled.select("node", "label", "size", "prints", first), budget, near).select("a", "b").distinct())
-        fresh = found.where("a <> b").join(tried, ["a", "b"], "left_anti")
-        new = alike(fresh)
-        good = stored(good.unionByName(new))
-        tried = tried.unionByName(found.where("a <> b"))
-        discard(new)
-        if found.where("a = b").isEmpty():
+        found = stored(fingerprint_links(labelled.select("node", "label", "size", "prints", first), budget, near).distinct())
+        pairs = found.where("a <> b")
+        nearest = stored(nearest_pairs(pairs, near.most))
+        new = alike(nearest.join(tried, ["a", "b"], "left_anti"))
+        good = labels.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(new)
+        left = not found.where("a = b").isEmpty() or nearest.count() < pairs.count()
+        discard(found)
+        if not left:
             return connected_components(good)
+        tried = tried.unionByName(nearest)
         near = Near(percent, prints["n"], near.most * GROWTH)
 
 
+def nearest_pairs(pairs: DataFrame, most: int) -> DataFrame:
+    """Of the distinct pairs (bits, a, b) those (a, b) in which one node is among the ``most`` nearest of the other."""
+    ends = pairs.select("bits", F.col("a").alias("node"), F.col("b").alias("other")).unionByName(pairs.select("bits", F.col("b").alias("node"), F.col("a").alias("other")))
+    place = F.row_number().over(W.partitionBy("node").orderBy("bits", "other"))  # tasks drop what is further off before the shuffle
+    return ends.withColumn("place", place).where(F.col("place") <= most).select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+
+
 def near_components(
     docs: DataFrame, budget: int = 4, words: int = 4, doc_id: str = "doc_id", text: str = "text", columns: list[str] | None = None
 ) -> DataFrame:

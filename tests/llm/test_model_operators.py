@@ -342,6 +342,13 @@ def test_near_copies_are_the_components_of_alike_links(spark, monkeypatch, most,
     assert got == {i for i, c in enumerate(label) if i == c}
 
 
+def test_nearest_pairs_over_all_tasks_are_few(spark):
+    rows = [(abs(i - j), i, j) for i in range(40) for j in range(i + 1, 40)]
+    got = {(r["a"], r["b"]) for r in near_copies.nearest_pairs(spark.createDataFrame(rows, "bits int, a bigint, b bigint").repartition(7), 2).collect()}
+    # each inner node has its two neighbours, the ends have two on one side
+    assert got == {(i, i + 1) for i in range(39)} | {(0, 2), (37, 39)}
+
+
 def test_best_pairs_keep_the_nearest_of_both_ends():
     best = near_copies.Best(1)
     best.add(np.array([1, 1, 2, 5]), np.array([2, 3, 3, 6]), np.array([4, 9, 5, 7]))
