@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from litflow.functions import text as tx
 from litflow.operators import ranking
 from litflow.operators.scoring import age_days
-from litflow.session import cut_lineage, row_count_within
+from litflow.session import cut_lineage, row_count_within, spread, stored
 
 SEEDS = 30
 # Seeds decided by one pass: at most 2**8 patterns of them come back.
@@ -36,9 +36,9 @@ def keyword_timeline(papers: DataFrame, as_of: Column, window_days: int = 30) ->
     """``(term, day, n)``: uses of each word and adjacent word pair by age in days."""
     day = age_days(as_of, paper_date(as_of))
     toks = tx.tokens(tx.joined_text(F.col("title"), F.col("abstract")), tx.TIMELINE_STOP, 3)
-    dated = papers.select(day.alias("day"), toks.alias("t")).where(F.col("day").between(0, window_days))
+    dated = papers.select(day.alias("day"), "title", "abstract").where(F.col("day").between(0, window_days))
     return (
-        dated.select("day", F.explode(F.concat("t", tx.bigrams(F.col("t")))).alias("term"))
+        spread(dated).select("day", toks.alias("t")).select("day", F.explode(F.concat("t", tx.bigrams(F.col("t")))).alias("term"))
         .groupBy("term", "day").agg(F.count("*").alias("n"))
     )
 
@@ -83,15 +83,17 @@ def seed_matches(papers: DataFrame, seeds: Sequence[str]) -> DataFrame:
     """``(seed, paper_id)`` for every seed that occurs in a paper, without a join."""
     text = tx.joined_text(F.col("title"), F.col("abstract"))
     found = F.array_compact(F.array(*[F.when(F.col("_t").contains(s), F.lit(s)) for s in seeds]))
-    return papers.select("paper_id", text.alias("_t")).select(F.explode(found).alias("seed"), "paper_id")
+    return spread(papers.select("paper_id", "title", "abstract")).select("paper_id", text.alias("_t")).select(F.explode(found).alias("seed"), "paper_id")
 
 
-def _seed_mask(seeds: Sequence[str]) -> Column:
-    text = tx.joined_text(F.col("title"), F.col("abstract"))
+def with_seed_mask(papers: DataFrame, seeds: Sequence[str]) -> DataFrame:
+    """Adds ``_mask``: bit i is set if the paper holds seed i. The text is joined and lowered once for all seeds, and the
+    table written, so that later passes read the mask instead of searching the texts again."""
     mask = F.lit(0).cast("bigint")
     for i, s in enumerate(seeds):
-        mask = mask + F.when(text.contains(s), F.lit(1 << i)).otherwise(0)
-    return mask
+        mask = mask + F.when(F.col("_text").contains(s), F.lit(1 << i)).otherwise(0)
+    held = spread(papers).withColumn("_text", tx.joined_text(F.col("title"), F.col("abstract")))
+    return stored(held.withColumn("_mask", mask).drop("_text"))
 
 
 def accepted_seeds(masks: DataFrame, n_seeds: int, min_papers: int, per_pass: int = SEEDS_PER_PASS) -> list[int]:
@@ -113,19 +115,23 @@ def accepted_seeds(masks: DataFrame, n_seeds: int, min_papers: int, per_pass: in
     return taken
 
 
-def topic_papers(papers: DataFrame, seeds: Sequence[tuple[str, float]], min_papers: int = 5) -> DataFrame:
-    """Each paper with the first accepted seed it holds: adds ``seed_no``, ``keyword``, ``growth``."""
+def topic_papers(
+    papers: DataFrame, seeds: Sequence[tuple[str, float]], min_papers: int = 5, masked: DataFrame | None = None
+) -> DataFrame:
+    """Each paper with the first accepted seed it holds: adds ``seed_no``, ``keyword``, ``growth``. ``masked`` is
+    ``with_seed_mask`` of the papers, if the caller has it already."""
     words = [s for s, _ in seeds]
     if not words:
         return papers.where(F.lit(False)).withColumns({
             "seed_no": F.lit(0), "keyword": F.lit(""), "growth": F.lit(0.0)})
-    masks = cut_lineage(papers.groupBy(_seed_mask(words).alias("mask")).agg(F.count("*").alias("n")))
+    if masked is None:
+        masked = with_seed_mask(papers, words)
+    masks = cut_lineage(masked.groupBy(F.col("_mask").alias("mask")).agg(F.count("*").alias("n")))
     taken = accepted_seeds(masks, len(words), min_papers)
     if not taken:
         return topic_papers(papers, [], min_papers)
-    text = tx.joined_text(F.col("title"), F.col("abstract"))
-    first = F.coalesce(*[F.when(text.contains(words[i]), F.lit(i)) for i in taken])
-    out = papers.withColumn("seed_no", first).where(F.col("seed_no").isNotNull())
+    first = F.coalesce(*[F.when(F.col("_mask").bitwiseAND(F.lit(1 << i).cast("bigint")) != 0, F.lit(i)) for i in taken])
+    out = masked.where(F.col("_mask").bitwiseAND(F.lit(sum(1 << i for i in taken)).cast("bigint")) != 0).withColumn("seed_no", first).drop("_mask")
     return out.withColumns({
         "keyword": F.element_at(F.array(*[F.lit(w) for w in words]), F.col("seed_no") + 1),
         "growth": F.element_at(F.array(*[F.lit(float(g)) for _, g in seeds]), F.col("seed_no") + 1),
@@ -283,14 +289,16 @@ def trend_report(
 ) -> DataFrame:
     """Long-format report ``(section, rank, name, value)`` with a one-line summary.
 
-    The timeline is checkpointed once and shared by both topic passes and the keyword section.
+    The timeline, the rising terms and the seeds that each paper holds are written once and shared by both topic passes
+    and the keyword section.
     """
     inside = recent(papers, as_of, window_days)
     line = cut_lineage(keyword_timeline(inside, as_of, window_days))
-    trend = trending_keywords(line, 3, window_days, mode)
+    trend = stored(trending_keywords(line, 3, window_days, mode))
     seeds = seed_terms(trend)
-    main = cut_lineage(topics(topic_papers(inside, seeds, 5), line, as_of, window_days))
-    wide = topics(topic_papers(inside, seeds, 3), line, as_of, window_days)
+    masked = with_seed_mask(inside, [s for s, _ in seeds])
+    main = cut_lineage(topics(topic_papers(inside, seeds, 5, masked), line, as_of, window_days))
+    wide = cut_lineage(topics(topic_papers(inside, seeds, 3, masked), line, as_of, window_days))
 
     def ranked(df: DataFrame, section: str, name: str, value: Column, order: list, n: int) -> DataFrame:
         top = df.orderBy(*order).limit(n)
