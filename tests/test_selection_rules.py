@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from litflow import session
 from litflow.operators import digest, graph, linkage, ranking, similarity, topics, trends
 from litflow.operators.independent_set import components, greedy_representatives
 
@@ -229,6 +230,40 @@ def test_vector_blocks_give_the_same_neighbours_and_silhouette(spark):
     assert abs(a[0] - (other - own) / max(own, other)) < 1e-9
 
 
+def test_silhouette_tiles_grow_before_their_number_does(spark, monkeypatch):
+    monkeypatch.setattr(topics, "MOST_PER_TILE", 12)
+    monkeypatch.setattr(topics, "AT_ONCE", 50)
+    rng = np.random.default_rng(8)
+    v = spark.createDataFrame([(i, i % 3, [float(x) for x in rng.normal(i % 3, 1, 4)]) for i in range(160)], "paper_id long, cluster_id int, embedding array<double>")
+    copies = {}
+    for n in (80, 160, 320):
+        side = spark.range(n).withColumnRenamed("id", "paper_id")
+        copies[n] = [x.count() for x in similarity.tile_pairs(side, side, "paper_id", "paper_id", 2, 1_000)]
+    # 16 tiles of growing size: the copies grow with the rows
+    assert copies == {n: [16 * n, 16 * n] for n in (80, 160, 320)}
+    a = {r["paper_id"]: r["silhouette"] for r in topics.silhouette(v).collect()}
+    b = {r["paper_id"]: r["silhouette"] for r in topics.silhouette(v, tile_rows=3).collect()}
+    assert len(a) == 160 and all(abs(a[i] - b[i]) < 1e-9 for i in a)
+
+
+def test_keyword_timeline_deals_the_rows_of_one_file(spark, tmp_path):
+    rows = [(i, f"Word{'abcd'[i % 4]} planet harvest", "winter harvest planet", i % 9) for i in range(60)]
+    papers = spark.createDataFrame(rows, "paper_id long, title string, abstract string, age int").withColumn(
+        "published_date", F.lit("2024-01-31 00:00:00").cast("timestamp") - F.make_dt_interval("age"))
+    papers.coalesce(1).write.parquet(str(tmp_path / "one"))
+    one = spark.read.parquet(str(tmp_path / "one"))
+    as_of = F.lit("2024-01-31 00:00:00").cast("timestamp")
+    tasks = session.spread(one).groupBy(F.spark_partition_id().alias("p")).count().collect()
+    assert len(tasks) >= 4 and sum(r["count"] for r in tasks) == 60
+    line = trends.keyword_timeline(one, as_of, 30)
+    assert "RoundRobinPartitioning" in line._jdf.queryExecution().executedPlan().toString()
+    assert {(r["day"], r["n"]) for r in line.where("term = 'planet harvest'").collect()} == {(d, sum(a == d for *_, a in rows)) for d in range(9)}
+    seeds = [("harvest planet", 2.0), ("wordb", 1.0)]
+    found = trends.topic_papers(one, seeds, 5)
+    assert found.count() == 60 and {r["seed_no"] for r in found.collect()} == {0}
+    assert "contains" not in found._jdf.queryExecution().executedPlan().toString().lower()
+
+
 def test_squared_silhouette_needs_no_pairs(spark):
     rng = np.random.default_rng(8)
     rows = [(i, 9 if i == 0 else None if i == 1 else i % 4, [float(x) for x in rng.normal(size=5)]) for i in range(70)]
