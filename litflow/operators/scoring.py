@@ -26,6 +26,7 @@ from pyspark.sql import Window as W
 
 from litflow.functions import text as tx
 from litflow.functions import vectors as vx
+from litflow.session import small_batches
 
 # Phrases that hint at a new finding.
 NOVELTY_PHRASES = (
@@ -584,6 +585,7 @@ def score_papers(
     """
     cfg = cfg or ScoringConfig()
     cfg.validate()
+    small_batches(papers.sparkSession)  # whole texts go to Python
     at = F.lit(as_of).cast("timestamp") if isinstance(as_of, str) else as_of
     parts = [
         _score_batch(papers, b, cfg, at, keep, cosine_of) for b in interest_batches(interests)

@@ -1,7 +1,9 @@
 """Landed feeds, catalogue, name matching and scores with hand-computed values."""
 
+import itertools
 import math
 import random
+import tracemalloc
 import warnings
 from collections import Counter
 
@@ -140,6 +142,22 @@ def test_embedding_and_pair_tfidf():
     assert t["graph"] == 2 and t["graph model"] == 1 and scoring.pair_tfidf(t, t) == pytest.approx(1.0)
 
 
+def test_scoring_holds_no_words_and_small_batches(spark):
+    words = ["".join(x) for x in itertools.islice(itertools.product("abcdefgh", repeat=5), 20_000)]
+    vectors.hashed_embedding("abc")
+    tracemalloc.start()
+    for lo in range(0, len(words), 500):
+        vectors.hashed_embedding(" ".join(words[lo : lo + 500]))
+    held = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert held < 1 << 20
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.set(rows, 10_000)
+    papers = spark.createDataFrame([(1, "a", "b", ["A"])], "paper_id long, title string, abstract string, authors array<string>")
+    scoring.score_papers(papers, [Interest("i", "n")], "2024-01-01", ScoringConfig(weights={"tfidf": 1.0}, disabled=frozenset(ScoringConfig().weights) - {"tfidf"}))
+    assert int(spark.conf.get(rows)) <= 1_000 and int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) <= 4 << 20
+
+
 def test_pair_tfidf_by_ranks_matches_whole_vectors():
     rng = random.Random(6)
     for _ in range(400):
