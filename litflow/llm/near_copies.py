@@ -340,13 +340,13 @@ def fingerprint_links(values: DataFrame, budget: int = 4, near: "Near | None" =
     levels of the trie are equal there by choice and the trie joins the rest. A group beyond ``TRIE_ROWS`` is dealt
     into parts that meet in pairs. The links of a task span what it found; they are fewer than its values.
 
-    With ``near`` values also have (node, label, size, prints), and pairs of nodes with different labels that it lets
+    With ``near`` values also have (node, label, size, shared, prints), and pairs of nodes with different labels that it lets
     through are given instead, as (bits, a, b): of each node those of the fewest differing bits, ``near.most`` in a task.
     A pair (-1, -1) tells that there are more.
     """
     from itertools import combinations
 
-    extra = ["node", "label", "size", "prints"] if near else []
+    extra = ["node", "label", "size", "shared", "prints"] if near else []
 
     sizes = values.agg(F.count("*").alias("n"), F.countDistinct("print").alias("p")).first()
     n, chosen = _blocks(sizes["n"] // max(1, sizes["p"]), budget)
@@ -432,10 +432,11 @@ def _join_groups(table: pa.Table, keys: list[str], depth: int, budget: int, near
         order = np.lexsort((label, turned, np.cumsum(fresh)))
         label, value = label[order], table.column("node").to_numpy()[order]
     if near:
-        size, prints = table.column("size").to_numpy()[order], table.column("prints").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(order), -1)[order]
+        size, shared = table.column("size").to_numpy()[order], table.column("shared").to_numpy()[order]
+        prints = table.column("prints").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(order), -1)[order]
         best = Best(near.most)
         for a, b in trie_pairs(turned, label, heads, depth, budget):
-            fits = near.sizes(size[a], size[b])
+            fits = near.common(size[a], size[b], np.minimum(shared[a], shared[b]))
             a, b = a[fits], b[fits]
             bits = np.bitwise_count(prints[a] ^ prints[b]).sum(axis=1, dtype=np.int64)
             fits = near.bits(bits, np.minimum(size[a], size[b]))
@@ -468,6 +469,10 @@ class Near:
         """The smaller set is at least ``percent`` of the larger; arrays or columns."""
         return (a * 100 >= b * self.percent) & (b * 100 >= a * self.percent)
 
+    def common(self, a, b, most):
+        """Sets of these sizes that have ``most`` shingles in common may be alike; implies ``sizes``."""
+        return most * (100 + self.percent) >= (a + b) * self.percent
+
     def bits(self, bits, smaller):
         return (bits <= self.cut) | (smaller < self.FEW)
 
@@ -573,20 +578,24 @@ def checked_components(rows: DataFrame, texts: DataFrame, budget: int, words: in
     the distinct shingles have a Jaccard similarity of ``percent`` or more. ``rows``: (node, prints, size), with as many
     prints everywhere; ``texts``: (node, text), where a node has one text, in any number of rows.
 
-    First, links that span the fingerprints' components are checked. Where one of them fails, the nodes of its
-    component go into the trie again, with labels of what holds so far: across labels each task gives the nearest pairs
-    of every node, the nearest over all tasks are checked and unite labels, and rounds with more of them follow until
-    none is left out. Rows grow with the nodes in each round, not with the pairs of a group: what holds is carried on as
+    First, of the links that span the fingerprints' components, ``MOST`` of each node are checked. The nodes of a
+    component that these do not hold together go into the trie again, with labels of what holds so far: across labels
+    each task gives the nearest pairs of every node, the nearest over all tasks are checked and unite labels, and rounds
+    with more of them follow until none is left out. Only pairs are looked at whose shingles that other labels have, too
+    (``shared_sizes``), would suffice. Rows grow with the nodes in each round, not with the pairs of a group: what holds is carried on as
     one link from each node to its label.
     """
     prints = rows.select(F.size("prints").alias("n")).first()
     near = Near(percent, prints["n"] if prints else 1)
     first = F.posexplode(F.slice("prints", 1, linking)).alias("print", "v")
     each = rows.select("node", first)
-    spanning = stored(_print_links(each, budget).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    links = stored(_print_links(each, budget).groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg((-F.count("*")).alias("bits")))
+    wholes = stored(connected_components(links).withColumnRenamed("component", "whole"))
+    # those found by most prints are likely the nearest
+    tried = stored(nearest_pairs(links, MOST))
     facts = F.struct("size", "prints")
-    seen = stored(_beside(spanning, rows, facts).select("a", "b", near.column("of_a", "of_b").alias("ok")))
-    sets = stored(shingle_sets(texts.join(seen.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi").dropDuplicates(["node"]), words))
+    seen = stored(_beside(tried, rows, facts).select("a", "b", near.column("of_a", "of_b").alias("ok")))
+    sets = stored(shingle_sets(texts.join(wholes, "node", "left_semi").dropDuplicates(["node"]), words))
 
     def alike(links: DataFrame) -> DataFrame:
         both = F.size(F.array_intersect("of_a", "of_b"))
@@ -594,30 +603,47 @@ def checked_components(rows: DataFrame, texts: DataFrame, budget: int, words: in
         return stored(_beside(links, sets, F.col("shingles")).where(both * 100 >= whole * percent).select("a", "b"))
 
     good = alike(seen.where("ok").select("a", "b"))
-    failed = spanning.join(good, ["a", "b"], "left_anti")
-    if failed.isEmpty():
-        return connected_components(good)
-    wholes = stored(connected_components(spanning).withColumnRenamed("component", "whole"))
-    broken = failed.select(F.col("a").alias("node")).join(wholes, "node").select("whole").distinct()
-    rest = stored(rows.join(wholes.join(broken, "whole", "left_semi"), "node", "left_semi"))
-    discard(wholes, seen)
-    near.most, tried = MOST, spanning
+    labels = connected_components(good)
+    label = F.coalesce("component", "node")
+    broken = wholes.join(labels, "node", "left").groupBy("whole").agg(F.min(label).alias("low"), F.max(label).alias("high")).where("low <> high").select("whole")
+    rest = stored(rows.join(wholes.join(broken, "whole", "left_semi"), "node"))
+    discard(links, wholes, seen)
+    if rest.isEmpty():
+        return labels
+    near.most = MOST
     while True:
-        labels = connected_components(good)
-        labelled = rest.join(labels, "node", "left").withColumn("label", F.coalesce("component", "node"))
-        found = stored(fingerprint_links(labelled.select("node", "label", "size", "prints", first), budget, near).distinct())
+        labelled = rest.join(labels, "node", "left").withColumn("label", label).drop("component")
+        # labels only grow together, so a node that no other label can hold any more needs no later round
+        able = stored(shared_sizes(labelled, sets).where(F.col("shared") * 100 >= F.col("size") * percent))
+        found = stored(fingerprint_links(able.select("node", "label", "size", "shared", "prints", first), budget, near).distinct())
         pairs = found.where("a <> b")
         nearest = stored(nearest_pairs(pairs, near.most))
         new = alike(nearest.join(tried, ["a", "b"], "left_anti"))
         good = labels.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(new)
         left = not found.where("a = b").isEmpty() or nearest.count() < pairs.count()
-        discard(found)
+        discard(found, rest)
         if not left:
             return connected_components(good)
+        labels = connected_components(good)
+        rest = able.drop("label", "shared")
+        rest.stored_at = able.stored_at
         tried = tried.unionByName(nearest)
         near = Near(percent, prints["n"], near.most * GROWTH)
 
 
+def shared_sizes(labelled: DataFrame, sets: DataFrame) -> DataFrame:
+    """Nodes (node, whole, label, ...) with ``shared``: how many of a node's shingles some other label of its whole has, too.
+
+    Nodes of two labels have no more than this in common. Shingles are compared by a hash taken with the whole, so
+    ``shared`` may be too large, never too small.
+    """
+    each = labelled.select("node", "whole", "label").join(sets, "node").select("node", "label", F.explode("shingles").alias("s"), "whole")
+    of = W.partitionBy("key")
+    both = each.select(F.xxhash64("whole", "s").alias("key"), "node", "label").select("node", F.min("label").over(of).alias("low"), F.max("label").over(of).alias("high"))
+    counts = both.where("low <> high").groupBy("node").agg(F.count("*").alias("shared"))
+    return labelled.join(counts, "node", "left").withColumn("shared", F.coalesce("shared", F.lit(0).cast("bigint")))
+
+
 def nearest_pairs(pairs: DataFrame, most: int) -> DataFrame:
     """Of the distinct pairs (bits, a, b) those (a, b) in which one node is among the ``most`` nearest of the other."""
     ends = pairs.select("bits", F.col("a").alias("node"), F.col("b").alias("other")).unionByName(pairs.select("bits", F.col("b").alias("node"), F.col("a").alias("other")))

@@ -342,6 +342,23 @@ def test_near_copies_are_the_components_of_alike_links(spark, monkeypatch, most,
     assert got == {i for i, c in enumerate(label) if i == c}
 
 
+def test_copies_edited_too_far_are_not_compared_in_pairs(spark, monkeypatch):
+    base = [f"w{i}" for i in range(100)]
+    texts = []
+    for n in range(60):  # any two share 81 of 96 shingles each, which is too few
+        w = list(base)
+        for at in (20, 50, 80):
+            w[at] = f"own{n}x{at}"
+        texts.append(" ".join(w))
+    label, failing = linked_components(texts)
+    assert failing > 400 and list(label) == list(range(60))
+    checked, beside = [], near_copies._beside
+    monkeypatch.setattr(near_copies, "_beside", lambda links, *more: checked.append(links.count()) or beside(links, *more))
+    table = docs(spark, [(i, t, "en", "s", 0) for i, t in enumerate(texts)])
+    assert stages.drop_checked_copies(spark, table, SF).count() == 60
+    assert sum(checked[1:]) <= 2 * near_copies.MOST * 60 and sum(checked[2:]) == 0
+
+
 def test_nearest_pairs_over_all_tasks_are_few(spark):
     rows = [(abs(i - j), i, j) for i in range(40) for j in range(i + 1, 40)]
     got = {(r["a"], r["b"]) for r in near_copies.nearest_pairs(spark.createDataFrame(rows, "bits int, a bigint, b bigint").repartition(7), 2).collect()}
