@@ -333,7 +333,7 @@ def _blocks(rows: int, budget: int) -> tuple[int, int]:
     return 16, 16 - budget
 
 
-def fingerprint_links(values: DataFrame, budget: int = 4, near: "Near | None" = None) -> DataFrame:
+def fingerprint_links(values: DataFrame, budget: int = 4, near: "Near | None" = None, most: int | None = None) -> DataFrame:
     """Links (print, a, b) that join all distinct values ``v`` of a ``print`` within ``budget`` differing bits into components.
 
     A value goes to one group for each choice of blocks, with the chosen blocks turned to the front, so that the first
@@ -343,10 +343,14 @@ def fingerprint_links(values: DataFrame, budget: int = 4, near: "Near | None" =
     With ``near`` values also have (node, label, size, shared, prints), and pairs of nodes with different labels that it lets
     through are given instead, as (bits, a, b): of each node those of the fewest differing bits, ``near.most`` in a task.
     A pair (-1, -1) tells that there are more.
+
+    With ``most`` values also have ``rep``, a node that has them, and links of nodes (bits, a, b) are given: without bits
+    one from each node to the smallest that a task's links join it to, so that a dense group, which tasks see again and
+    again, gives much the same few links; with bits, minus the number of times a link was found, up to ``most`` links of each node.
     """
     from itertools import combinations
 
-    extra = ["node", "label", "size", "shared", "prints"] if near else []
+    extra = ["node", "label", "size", "shared", "prints"] if near else ["rep"] if most is not None else []
 
     sizes = values.agg(F.count("*").alias("n"), F.countDistinct("print").alias("p")).first()
     n, chosen = _blocks(sizes["n"] // max(1, sizes["p"]), budget)
@@ -387,11 +391,11 @@ def fingerprint_links(values: DataFrame, budget: int = 4, near: "Near | None" =
                 table = pa.Table.from_batches(held)
                 cut = _last_group(table, keys, depth)
                 if cut:
-                    yield from _join_groups(table.slice(0, cut), keys, depth, budget, near, straight)
+                    yield from _join_groups(table.slice(0, cut), keys, depth, budget, near, most, straight)
                 held = table.slice(cut).to_batches()
                 size = table.num_rows - cut
         if held:
-            yield from _join_groups(pa.Table.from_batches(held), keys, depth, budget, near, straight)
+            yield from _join_groups(pa.Table.from_batches(held), keys, depth, budget, near, most, straight)
 
     def straight(turn: np.ndarray, turned: np.ndarray) -> np.ndarray:
         """Turned values with their blocks in the old order."""
@@ -405,7 +409,7 @@ def fingerprint_links(values: DataFrame, budget: int = 4, near: "Near | None" =
         return out.view(np.int64)
 
     # equal fronts have one sign, so a group is sorted like unsigned values
-    return dealt.repartition("print", "turn", front, "p", "q").sortWithinPartitions(*keys, "turned").mapInArrow(run, f"{'bits' if near else 'print'} int, a bigint, b bigint")
+    return dealt.repartition("print", "turn", front, "p", "q").sortWithinPartitions(*keys, "turned").mapInArrow(run, f"{'bits' if extra else 'print'} int, a bigint, b bigint")
 
 
 def _fresh(table: pa.Table, keys: list[str], depth: int) -> np.ndarray:
@@ -423,7 +427,7 @@ def _last_group(table: pa.Table, keys: list[str], depth: int) -> int:
     return int(np.flatnonzero(_fresh(table, keys, depth))[-1])
 
 
-def _join_groups(table: pa.Table, keys: list[str], depth: int, budget: int, near: "Near | None", straight: Callable):
+def _join_groups(table: pa.Table, keys: list[str], depth: int, budget: int, near: "Near | None", most: int | None, straight: Callable):
     heads = np.flatnonzero(fresh := _fresh(table, keys, depth))
     turned = table.column("turned").to_numpy().view(np.uint64)
     order = np.arange(len(turned))
@@ -445,11 +449,33 @@ def _join_groups(table: pa.Table, keys: list[str], depth: int, budget: int, near
         yield pa.RecordBatch.from_arrays([pa.array(bits, pa.int32()), pa.array(a), pa.array(b)], ["bits", "a", "b"])
         return
     a, b = trie_links(turned, heads, depth, budget)
+    if most is not None:
+        rep = table.column("rep").to_numpy()
+        for links in _node_links(rep[a], rep[b], most):
+            yield pa.RecordBatch.from_arrays(list(links), ["bits", "a", "b"])
+        return
     turn, number = table.column("turn").to_numpy(), table.column("print").to_numpy()
     sides = [pa.array(straight(turn[x], turned[x])) for x in (a, b)]
     yield pa.RecordBatch.from_arrays([pa.array(number[a], pa.int32()), *sides], ["print", "a", "b"])
 
 
+def _node_links(a: np.ndarray, b: np.ndarray, most: int) -> Iterator[tuple[pa.Array, pa.Array, pa.Array]]:
+    """Of links between nodes: one from each node to the smallest that they join it to, then the ``most`` of each node found most often."""
+    nodes, place = np.unique(np.concatenate([a, b]), return_inverse=True)
+    a, b = place[: len(a)], place[len(a) :]
+    least = _labels(len(nodes), a, b, np.arange(len(nodes)))
+    moved = np.flatnonzero(least != np.arange(len(nodes)))
+    yield pa.nulls(len(moved), pa.int32()), pa.array(nodes[least[moved]]), pa.array(nodes[moved])
+    if most:
+        apart = a != b  # a node may have several values of a print
+        pair, found = np.unique(np.minimum(a, b)[apart] * len(nodes) + np.maximum(a, b)[apart], return_counts=True)
+        best = Best(most)
+        best.add(nodes[pair // len(nodes)], nodes[pair % len(nodes)], -found)
+        a, b, bits = best.ranked()
+        held = slice(0, len(a) - best.more)
+        yield pa.array(bits[held], pa.int32()), pa.array(a[held]), pa.array(b[held])
+
+
 class Near:
     """Pairs that may be alike by ``percent``: by the counts of their shingles, and by the bits in which all prints differ.
 
@@ -529,16 +555,20 @@ def print_components(rows: DataFrame, budget: int = 4) -> DataFrame:
     ``rows``: (node, prints), any number of rows per node. Values are compared print by print; a value stands for the
     smallest node that has it. Nodes without a link are left out.
     """
-    return connected_components(_print_links(rows.select("node", F.posexplode("prints").alias("print", "v")), budget))
+    return connected_components(_print_links(rows.select("node", F.posexplode("prints").alias("print", "v")), budget, 0))
+
 
+def _print_links(each: DataFrame, budget: int, most: int) -> DataFrame:
+    """Links (bits, a, b) of the nodes of ``each`` (node, print, v): those without bits join them into components.
 
-def _print_links(each: DataFrame, budget: int) -> DataFrame:
-    """Links (a, b) that join the nodes of ``each`` (node, print, v) into components."""
+    Those with bits are spanning links, up to ``most`` of a node from each task, and links of equal values; the fewer bits, the more often.
+    """
     values = stored(each.groupBy("print", "v").agg(F.min("node").alias("rep")))
-    same = each.join(values, ["print", "v"]).where("node <> rep").select(F.col("node").alias("a"), F.col("rep").alias("b"))
-    one, two = values.select("print", F.col("v").alias("a"), F.col("rep").alias("x")), values.select("print", F.col("v").alias("b"), F.col("rep").alias("y"))
-    near = fingerprint_links(values, budget).join(one, ["print", "a"]).join(two, ["print", "b"]).select(F.col("x").alias("a"), F.col("y").alias("b"))
-    return same.unionByName(near)
+    same = each.join(values, ["print", "v"]).where("node <> rep").select(F.col("rep").alias("a"), F.col("node").alias("b"))
+    joins = same.select(F.lit(None).cast("int").alias("bits"), "a", "b")
+    if most:
+        joins = joins.unionByName(same.select(F.lit(-1).alias("bits"), "a", "b"))
+    return joins.unionByName(fingerprint_links(values, budget, most=most))
 
 
 #: Links of one node that are compared in one task.
@@ -589,12 +619,15 @@ def checked_components(rows: DataFrame, texts: DataFrame, budget: int, words: in
     near = Near(percent, prints["n"] if prints else 1)
     first = F.posexplode(F.slice("prints", 1, linking)).alias("print", "v")
     each = rows.select("node", first)
-    links = stored(_print_links(each, budget).groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg((-F.count("*")).alias("bits")))
-    wholes = stored(connected_components(links).withColumnRenamed("component", "whole"))
+    links = stored(_print_links(each, budget, MOST).groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(
+        F.sum("bits").alias("bits"), F.count_if(F.col("bits").isNull()).alias("joins")))
+    wholes = stored(connected_components(links.where("joins > 0")).withColumnRenamed("component", "whole"))
     # those found by most prints are likely the nearest
-    tried = stored(nearest_pairs(links, MOST))
+    tried = stored(nearest_pairs(links.where("bits IS NOT NULL"), MOST))
     facts = F.struct("size", "prints")
-    seen = stored(_beside(tried, rows, facts).select("a", "b", near.column("of_a", "of_b").alias("ok")))
+    # spanning links name the first node of each side, which need not be within the budget of one another
+    gaps = F.zip_with(*[F.slice(f"{end}.prints", 1, linking) for end in ("of_a", "of_b")], lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    seen = stored(_beside(tried, rows, facts).select("a", "b", (near.column("of_a", "of_b") & (F.array_min(gaps) <= budget)).alias("ok")))
     sets = stored(shingle_sets(texts.join(wholes, "node", "left_semi").dropDuplicates(["node"]), words))
 
     def alike(links: DataFrame) -> DataFrame:

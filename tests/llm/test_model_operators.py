@@ -359,6 +359,32 @@ def test_copies_edited_too_far_are_not_compared_in_pairs(spark, monkeypatch):
     assert sum(checked[1:]) <= 2 * near_copies.MOST * 60 and sum(checked[2:]) == 0
 
 
+def test_links_into_components_do_not_grow_with_the_pairs_of_a_dense_group(spark, monkeypatch):
+    rng = random.Random(6)
+    centre, reach, per_node = [rng.getrandbits(64) for _ in range(16)], [], []
+    monkeypatch.setattr(near_copies, "connected_components", lambda links: reach.append(links.distinct().count()) or components.connected_components(links))
+    for n in (100, 200):
+        rows = []
+        for node in range(n):
+            prints = [v ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 3))) for v in centre]
+            rows.append((node, [v - 2**64 if v >= 2**63 else v for v in prints]))
+        got = near_copies.print_components(spark.createDataFrame(rows, "node long, prints array<long>"), 6).collect()
+        assert {(r["node"], r["component"]) for r in got} == {(node, 0) for node in range(n)}
+        per_node.append(reach[-1] / n)
+    assert max(per_node) < 6, per_node
+
+
+def test_texts_alike_are_not_linked_by_prints_beyond_the_budget(spark):
+    words = [f"w{i}" for i in range(100)]
+    texts = [(1, " ".join(words)), (2, " ".join(f"x{i}" for i in range(100))), (3, " ".join([*words[:50], "new", *words[51:]]))]
+    table = spark.createDataFrame([(1, [0], 96), (2, [0b111], 96), (3, [0b111111], 96)], "node long, prints array<long>, size long")
+    # 1 and 3 share enough, but differ in six bits; 2 lies between them and is unlike both
+    got = near_copies.checked_components(table, spark.createDataFrame(texts, "node long, text string"), 4, 5, 80, 1).collect()
+    assert all(r["node"] == r["component"] for r in got), got
+    got = near_copies.checked_components(table, spark.createDataFrame(texts, "node long, text string"), 6, 5, 80, 1).collect()
+    assert {r["node"]: r["component"] for r in got}[3] == 1
+
+
 def test_nearest_pairs_over_all_tasks_are_few(spark):
     rows = [(abs(i - j), i, j) for i in range(40) for j in range(i + 1, 40)]
     got = {(r["a"], r["b"]) for r in near_copies.nearest_pairs(spark.createDataFrame(rows, "bits int, a bigint, b bigint").repartition(7), 2).collect()}
