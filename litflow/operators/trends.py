@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from itertools import accumulate
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -12,9 +15,11 @@ from pyspark.sql import Window as W
 from litflow.functions import text as tx
 from litflow.operators import ranking
 from litflow.operators.scoring import age_days
-from litflow.session import cut_lineage, row_count_within, spread, stored
+from litflow.session import cut_lineage, discard, give_back, row_count_within, spread, stored, task_count
 
 SEEDS = 30
+# Uses of a term that trends, at least.
+LEAST_USES = 3
 # Seeds decided by one pass: at most 2**8 patterns of them come back.
 SEEDS_PER_PASS = 8
 
@@ -32,15 +37,75 @@ def recent(papers: DataFrame, as_of: Column, window_days: int, min_papers: int =
     return inside
 
 
-def keyword_timeline(papers: DataFrame, as_of: Column, window_days: int = 30) -> DataFrame:
-    """``(term, day, n)``: uses of each word and adjacent word pair by age in days."""
-    day = age_days(as_of, paper_date(as_of))
+def _with_text(papers: DataFrame) -> DataFrame:
+    """Adds ``_text``, the search text. As the output of a generator it is made once for a row, however many conditions
+    read it; as a column they would each get its expression."""
+    return papers.select("*", F.explode(F.array(tx.joined_text(F.col("title"), F.col("abstract")))).alias("_text"))
+
+
+def _uses(dated: DataFrame, *keep: str) -> DataFrame:
+    """A row for each use of a word or adjacent word pair: ``(*keep, term)``."""
     toks = tx.tokens(tx.joined_text(F.col("title"), F.col("abstract")), tx.TIMELINE_STOP, 3)
-    dated = papers.select(day.alias("day"), "title", "abstract").where(F.col("day").between(0, window_days))
-    return (
-        spread(dated).select("day", toks.alias("t")).select("day", F.explode(F.concat("t", tx.bigrams(F.col("t")))).alias("term"))
-        .groupBy("term", "day").agg(F.count("*").alias("n"))
-    )
+    return dated.select(*keep, toks.alias("t")).select(*keep, F.explode(F.concat("t", tx.bigrams(F.col("t")))).alias("term"))
+
+
+def keyword_timeline(
+    papers: DataFrame, as_of: Column, window_days: int = 30, least: int = 1, only: Sequence[str] | None = None
+) -> DataFrame:
+    """``(term, day, n)``: uses of each word and adjacent word pair by age in days.
+
+    Terms used fewer than ``least`` times may be missing: most pairs occur once or twice, and are dropped before they are
+    shuffled. With ``only``, just these terms are counted, in papers that hold their words.
+    """
+    day = age_days(as_of, paper_date(as_of))
+    dated = papers.withColumn("day", day).where(F.col("day").between(0, window_days))
+    if only is not None:
+        holds = F.lit(False)
+        for term in only:
+            words = F.lit(True)
+            for w in term.split(" "):
+                words = words & F.col("_text").contains(w)
+            holds = holds | words
+        mine = _uses(_with_text(spread(dated.select("day", "title", "abstract"))).where(holds), "day")
+        return mine.where(F.col("term").isin(*only)).groupBy("term", "day").agg(F.count("*").alias("n"))
+    if least <= 1:
+        return _uses(spread(dated.select("day", "title", "abstract")), "day").groupBy("term", "day").agg(F.count("*").alias("n"))
+    often = used_often(_uses(spread(dated.select("day", "title", "abstract"))), least)
+    # the days follow each other over the tasks, in equal parts, by a number that the plan knows: a task adds up what it
+    # has of its few days before terms meet, once
+    n = task_count(papers.sparkSession)
+    held = {r["day"]: r["n"] for r in dated.groupBy("day").agg(F.count("*").alias("n")).collect()}  # a row for each day
+    sizes = [held.get(d, 0) for d in range(window_days + 1)]
+    each, before = max(1, -(-sum(sizes) // n)), [0, *accumulate(sizes)]
+    at = lambda xs: F.get(F.expr(f"array({', '.join(f'{x}L' for x in xs)})"), F.col("day").cast("int"))
+    place = at(before[:-1]) + F.pmod(F.xxhash64("paper_id", "title"), at([max(1, x) for x in sizes]))
+    dealt = dated.select(F.floor(place / each).cast("int").alias("deal"), "day", "title", "abstract").repartitionById(n, "deal")
+    mine = _uses(dealt, "deal", "day").where(often).groupBy("deal", "term", "day").agg(F.count("*").alias("n"))
+    return mine.repartition("term").groupBy("term", "day").agg(F.sum("n").alias("n"))
+
+
+def used_often(uses: DataFrame, least: int) -> Column:
+    """A condition on ``term`` that holds for every term with ``least`` uses or more, and for few others.
+
+    Uses are counted by 32 bits of the term's hash; terms that share them only add to each other. The hashes with enough
+    uses are set in a bit map of at most 2^27 bits, one row that each task reads.
+    """
+    spark = uses.sparkSession
+    key = F.xxhash64("term")
+    held = stored(
+        uses.select(key.bitwiseAND(F.lit((1 << 32) - 1)).alias("h")).groupBy("h").agg(F.count("*").alias("n"))
+        .where(F.col("n") >= least).select("h"))
+    bits = 1 << min(27, max(16, (16 * held.count()).bit_length()))
+    one = "shiftleft(1L, cast({} & 63L as int))"
+    words = held.groupBy(F.shiftright(F.col("h").bitwiseAND(F.lit(bits - 1)), 6).cast("int").alias("at")).agg(
+        F.bit_or(F.expr(one.format("h"))).alias("word")).toArrow()  # bits / 64 rows at most
+    whole = np.zeros(bits // 64, dtype=np.int64)
+    whole[words["at"].to_numpy()] = words["word"].to_numpy()
+    discard(held)
+    row = stored(spark.createDataFrame(pa.table({"words": pa.array([whole], type=pa.list_(pa.int64()))})))
+    at = F.shiftright(key.bitwiseAND(F.lit(bits - 1)), 6).cast("int")
+    give_back()
+    return F.get(row.select("words").scalar(), at).bitwiseAND(F.expr(one.format("xxhash64(term)"))) != 0
 
 
 def trending_keywords(
@@ -79,6 +144,11 @@ def seed_terms(trending: DataFrame, n: int = SEEDS) -> list[tuple[str, float]]:
     return [(r["term"], r["score"]) for r in top.collect()]
 
 
+def seed_timeline(papers: DataFrame, as_of: Column, seeds: Sequence[tuple[str, float]], window_days: int = 30) -> DataFrame:
+    """The timeline of the seeds, all that the momentum of topics needs; a row for each seed and day, written once."""
+    return stored(keyword_timeline(papers, as_of, window_days, only=[s for s, _ in seeds]))
+
+
 def seed_matches(papers: DataFrame, seeds: Sequence[str]) -> DataFrame:
     """``(seed, paper_id)`` for every seed that occurs in a paper, without a join."""
     text = tx.joined_text(F.col("title"), F.col("abstract"))
@@ -87,13 +157,13 @@ def seed_matches(papers: DataFrame, seeds: Sequence[str]) -> DataFrame:
 
 
 def with_seed_mask(papers: DataFrame, seeds: Sequence[str]) -> DataFrame:
-    """Adds ``_mask``: bit i is set if the paper holds seed i. The text is joined and lowered once for all seeds, and the
-    table written, so that later passes read the mask instead of searching the texts again."""
+    """The papers that hold a seed, with ``_mask``: bit i is set if the paper holds seed i. The text is joined and lowered
+    once for all seeds, and the table written, so that later passes read the mask instead of searching the texts again."""
     mask = F.lit(0).cast("bigint")
     for i, s in enumerate(seeds):
         mask = mask + F.when(F.col("_text").contains(s), F.lit(1 << i)).otherwise(0)
-    held = spread(papers).withColumn("_text", tx.joined_text(F.col("title"), F.col("abstract")))
-    return stored(held.withColumn("_mask", mask).drop("_text"))
+    held = _with_text(spread(papers)).select(*papers.columns, F.explode(F.array(mask)).alias("_mask"))
+    return stored(held.where("_mask <> 0"))
 
 
 def accepted_seeds(masks: DataFrame, n_seeds: int, min_papers: int, per_pass: int = SEEDS_PER_PASS) -> list[int]:
@@ -191,8 +261,10 @@ def detect_topics(
 ) -> DataFrame:
     """Trending topics, best first."""
     inside = recent(papers, as_of, window_days, min_papers)
-    line = keyword_timeline(inside, as_of, window_days) if timeline is None else timeline
-    seeds = seed_terms(trending_keywords(line, 3, window_days, mode))
+    line = keyword_timeline(inside, as_of, window_days, LEAST_USES) if timeline is None else timeline
+    seeds = seed_terms(trending_keywords(line, LEAST_USES, window_days, mode))
+    if timeline is None:
+        line = seed_timeline(inside, as_of, seeds, window_days)
     found = topics(topic_papers(inside, seeds, min_papers), line, as_of, window_days)
     return found.orderBy(F.col("trend_score").desc(), "seed_no").limit(top_k)
 
@@ -289,13 +361,14 @@ def trend_report(
 ) -> DataFrame:
     """Long-format report ``(section, rank, name, value)`` with a one-line summary.
 
-    The timeline, the rising terms and the seeds that each paper holds are written once and shared by both topic passes
-    and the keyword section.
+    The rising terms, the timeline of the seeds and the seeds that each paper holds are written once and shared by both
+    topic passes and the keyword section.
     """
     inside = recent(papers, as_of, window_days)
-    line = cut_lineage(keyword_timeline(inside, as_of, window_days))
-    trend = stored(trending_keywords(line, 3, window_days, mode))
+    trend = stored(trending_keywords(keyword_timeline(inside, as_of, window_days, LEAST_USES), LEAST_USES, window_days, mode))
     seeds = seed_terms(trend)
+    give_back()
+    line = seed_timeline(inside, as_of, seeds, window_days)
     masked = with_seed_mask(inside, [s for s, _ in seeds])
     main = cut_lineage(topics(topic_papers(inside, seeds, 5, masked), line, as_of, window_days))
     wide = cut_lineage(topics(topic_papers(inside, seeds, 3, masked), line, as_of, window_days))

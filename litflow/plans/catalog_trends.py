@@ -10,7 +10,7 @@ from litflow.operators import scoring, tfidf, trends
 from litflow.plans.catalog_scores import _in_list, q
 from litflow.plans.registry import register
 from litflow.plans.views import INTERESTS, PAPERS_SQL, as_of, papers, sql, table
-from litflow.session import cut_lineage
+from litflow.session import give_back
 from litflow.streaming.jobs import scratch_path
 
 WINDOW = 800  # spans every publication date, so trends read the whole corpus
@@ -72,7 +72,11 @@ def line(spark, sf_dir):
 
 
 def seeds(spark, sf_dir):
-    return trends.seed_terms(trends.trending_keywords(line(spark, sf_dir), 3, WINDOW))
+    often = trends.keyword_timeline(papers(spark, sf_dir), as_of(), WINDOW, trends.LEAST_USES)
+    found = trends.seed_terms(trends.trending_keywords(often, trends.LEAST_USES, WINDOW))
+    del often
+    give_back()
+    return found
 
 
 def members(spark, sf_dir, min_papers=5):
@@ -80,11 +84,10 @@ def members(spark, sf_dir, min_papers=5):
 
 
 def topic_table(spark, sf_dir):
-    # the timeline feeds the seeds and the momentum, so it is written once
     p = papers(spark, sf_dir)
-    tl = cut_lineage(trends.keyword_timeline(p, as_of(), WINDOW))
-    found = trends.topic_papers(p, trends.seed_terms(trends.trending_keywords(tl, 3, WINDOW)), 5)
-    return trends.topics(found, tl, as_of(), WINDOW)
+    chosen = seeds(spark, sf_dir)
+    tl = trends.seed_timeline(p, as_of(), chosen, WINDOW)
+    return trends.topics(trends.topic_papers(p, chosen, 5), tl, as_of(), WINDOW)
 
 
 @register("x10_tokens", sql(PAPERS_SQL, TEXT_SQL, body="SELECT paper_id, word, count(*) AS n FROM (SELECT paper_id, unnest(w) AS word FROM toks) GROUP BY ALL"))

@@ -487,3 +487,40 @@ def test_only_contested_items_go_through_the_greedy_choice(spark, monkeypatch):
             held |= mine
     assert got == wanted
     assert seen[0] <= 24
+
+
+def test_rare_terms_are_dropped_before_terms_meet(spark):
+    rng = random.Random(8)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(40)]
+    rows = [(i, " ".join(rng.choice(words) for _ in range(3)), " ".join(rng.choice(words) for _ in range(6)), None if i % 5 == 0 else rng.randrange(40)) for i in range(150)]
+    rows += [(900, None, "abcde fghab abcde fghab abcde", 3), (901, "alone alone", None, 45)]
+    as_of = F.lit("2024-01-31 00:00:00").cast("timestamp")
+    papers = spark.createDataFrame(rows, "paper_id long, title string, abstract string, age int").withColumn("published_date", as_of - F.make_dt_interval("age"))
+    whole = {(r["term"], r["day"]): r["n"] for r in trends.keyword_timeline(papers, as_of, 35).collect()}
+    total = {}
+    for (t, _), n in whole.items():
+        total[t] = total.get(t, 0) + n
+    often = trends.keyword_timeline(papers, as_of, 35, 3)
+    got = {(r["term"], r["day"]): r["n"] for r in often.collect()}
+    assert {k: n for k, n in whole.items() if total[k[0]] >= 3} == {k: n for k, n in got.items() if total[k[0]] >= 3}
+    assert set(got) <= set(whole) and sum(total[t] < 3 for t in {t for t, _ in got}) < 0.1 * len(total)
+    rising = trends.trending_keywords(often, 3, 35)
+    full = trends.trending_keywords(trends.keyword_timeline(papers, as_of, 35), 3, 35)
+    assert {(r["term"], r["total"], round(r["score"], 9)) for r in rising.collect()} == {(r["term"], r["total"], round(r["score"], 9)) for r in full.collect()}
+    # terms meet once: the counts by day and the series of a term need no exchange of their own
+    plan = rising._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    assert plan.count("Exchange") == 2 and "hashpartitioning(term" in plan
+    seeds = [(words[0], 2.0), (f"{words[1]} {words[2]}", 1.0), ("abcde fghab", 1.0)]
+    mine = {(r["term"], r["day"]): r["n"] for r in trends.seed_timeline(papers, as_of, seeds, 35).collect()}
+    assert mine == {k: n for k, n in whole.items() if k[0] in {s for s, _ in seeds}} and ("abcde fghab", 3) in mine
+    assert trends.seed_timeline(papers, as_of, [], 35).count() == 0
+    assert trends.keyword_timeline(papers.limit(0), as_of, 35, 3).count() == 0
+    held = {r["paper_id"]: r["_mask"] for r in trends.with_seed_mask(papers, [words[0], "abcde fghab"]).collect()}
+    assert held == {i: m for i, t, a, _ in rows if (m := sum(1 << k for k, s in enumerate((words[0], "abcde fghab")) if s in " ".join(x for x in (t, a) if x)))}
+
+
+def test_rows_in_fair_parts_are_not_dealt_again(spark):
+    even = spark.range(400, numPartitions=8)
+    assert "RoundRobin" not in session.spread(even)._jdf.queryExecution().executedPlan().toString()
+    assert "RoundRobin" in session.spread(even.where("id < 90"))._jdf.queryExecution().executedPlan().toString()
+    assert session.spread(even.where("id < 0")).count() == 0
