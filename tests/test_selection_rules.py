@@ -508,7 +508,7 @@ def test_rare_terms_are_dropped_before_terms_meet(spark):
     full = trends.trending_keywords(trends.keyword_timeline(papers, as_of, 35), 3, 35)
     assert {(r["term"], r["total"], round(r["score"], 9)) for r in rising.collect()} == {(r["term"], r["total"], round(r["score"], 9)) for r in full.collect()}
     # terms meet once: the counts by day and the series of a term need no exchange of their own
-    plan = rising._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    plan = trends.trending_keywords(often, 3, 35)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 2 and "hashpartitioning(term" in plan
     seeds = [(words[0], 2.0), (f"{words[1]} {words[2]}", 1.0), ("abcde fghab", 1.0)]
     mine = {(r["term"], r["day"]): r["n"] for r in trends.seed_timeline(papers, as_of, seeds, 35).collect()}
