@@ -524,3 +524,48 @@ def test_rows_in_fair_parts_are_not_dealt_again(spark):
     assert "RoundRobin" not in session.spread(even)._jdf.queryExecution().executedPlan().toString()
     assert "RoundRobin" in session.spread(even.where("id < 90"))._jdf.queryExecution().executedPlan().toString()
     assert session.spread(even.where("id < 0")).count() == 0
+
+
+def test_registered_searches_ask_for_every_row(spark, tmp_path):
+    import __spark_entry__ as entry
+
+    rng = np.random.default_rng(9)
+    tables = {
+        "embeddings": spark.createDataFrame([(i, rng.normal(size=4).tolist(), i % 3) for i in range(45)], "vec_id long, embedding array<float>, label int"),
+        "documents": spark.createDataFrame([(i, f"Text {i}. More words.", "en", "src1") for i in range(60)], "doc_id long, text string, lang string, source string"),
+        "supplier": spark.createDataFrame([(i, f"Supplier {i}") for i in range(7)], "s_suppkey long, s_name string"),
+        "customer": spark.createDataFrame([(i, f"Customer {i}", "SEG") for i in range(11)], "c_custkey long, c_name string, c_mktsegment string"),
+        "part": spark.createDataFrame([(i, i % 50) for i in range(60)], "p_partkey long, p_size int"),
+        "lineitem": spark.createDataFrame(
+            [(o, n, int(rng.integers(60)), 1, 1.0, "1996-01-01") for o in range(80) for n in range(4)],
+            "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_extendedprice double, l_shipdate string"),
+    }
+    for name, rows in tables.items():
+        rows.write.parquet(str(tmp_path / f"{name}.parquet"))
+    queries, here = entry.queries(), str(tmp_path)
+    asked = lambda name: {r["query_id"] for r in queries[name](spark, here).select("query_id").distinct().collect()}
+    assert asked("w7_embedding_knn") == asked("w8_find_similar") == asked("j10_w8_combined_similarity") == set(range(45))
+    assert len(asked("j8_j9_citation_similarity")) > 50
+    assert queries["w7_embedding_knn_lsh"](spark, here).first()["pairs"] == 450
+
+
+def test_shared_references_are_dealt_and_blocks_merge(spark, monkeypatch):
+    monkeypatch.setattr(similarity, "SHARED", 5)
+    monkeypatch.setattr(similarity, "FIRST", 1)
+    pairs = sorted({(q, 100) for q in range(40)} | {(q, 101 + q % 7) for q in range(40)} | {(q, q // 3) for q in range(1, 40)})
+    for k in (2, 50):
+        got = {}
+        for r in similarity.by_citations(spark.createDataFrame([(q,) for q in range(40)], "paper_id long"), spark.createDataFrame(pairs, "src long, dst long"), k).collect():
+            got.setdefault(r["query_id"], []).append((r["rank"], r["paper_id"]))
+        for q in range(40):
+            direct = sorted(s for s, d in pairs if d == q and s != q)[:k]
+            refs = {d for s, d in pairs if s == q}
+            coupled = sorted({s for s, d in pairs if d in refs and s != q} - set(direct))
+            assert [p for _, p in sorted(got[q])] == (direct + coupled)[:k]
+    x = np.round(np.random.default_rng(10).normal(size=(90, 2)), 1)  # many equal similarities
+    v = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "paper_id long, embedding array<double>")
+    for found in (similarity.nearest(v, v, 3, block=4), similarity.nearest_probed(v, v, 3, lists=6, probes=6, list_rows=5, visit_rows=8)):
+        u = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+        sim = np.round(u @ u.T, 9)
+        got = {(r["query_id"], r["rank"]): r["paper_id"] for r in found.collect()}
+        assert got == {(i, n + 1): j for i in range(90) for n, j in enumerate(sorted((j for j in range(90) if j != i), key=lambda j: (-sim[i, j], j))[:3])}
