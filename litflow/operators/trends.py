@@ -6,8 +6,6 @@ import math
 from collections.abc import Sequence
 from itertools import accumulate
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -15,7 +13,7 @@ from pyspark.sql import Window as W
 from litflow.functions import text as tx
 from litflow.operators import ranking
 from litflow.operators.scoring import age_days
-from litflow.session import cut_lineage, discard, give_back, row_count_within, spread, stored, task_count
+from litflow.session import bit_map, cut_lineage, give_back, row_count_within, spread, stored, task_count
 
 SEEDS = 30
 # Uses of a term that trends, at least.
@@ -87,25 +85,14 @@ def keyword_timeline(
 def used_often(uses: DataFrame, least: int) -> Column:
     """A condition on ``term`` that holds for every term with ``least`` uses or more, and for few others.
 
-    Uses are counted by 32 bits of the term's hash; terms that share them only add to each other. The hashes with enough
-    uses are set in a bit map of at most 2^27 bits, one row that each task reads.
+    Uses are counted by 32 bits of the term's hash; terms that share them only add to each other.
     """
-    spark = uses.sparkSession
     key = F.xxhash64("term")
-    held = stored(
+    often = bit_map(
         uses.select(key.bitwiseAND(F.lit((1 << 32) - 1)).alias("h")).groupBy("h").agg(F.count("*").alias("n"))
         .where(F.col("n") >= least).select("h"))
-    bits = 1 << min(27, max(16, (16 * held.count()).bit_length()))
-    one = "shiftleft(1L, cast({} & 63L as int))"
-    words = held.groupBy(F.shiftright(F.col("h").bitwiseAND(F.lit(bits - 1)), 6).cast("int").alias("at")).agg(
-        F.bit_or(F.expr(one.format("h"))).alias("word")).toArrow()  # bits / 64 rows at most
-    whole = np.zeros(bits // 64, dtype=np.int64)
-    whole[words["at"].to_numpy()] = words["word"].to_numpy()
-    discard(held)
-    row = stored(spark.createDataFrame(pa.table({"words": pa.array([whole], type=pa.list_(pa.int64()))})))
-    at = F.shiftright(key.bitwiseAND(F.lit(bits - 1)), 6).cast("int")
     give_back()
-    return F.get(row.select("words").scalar(), at).bitwiseAND(F.expr(one.format("xxhash64(term)"))) != 0
+    return often(key)
 
 
 def trending_keywords(

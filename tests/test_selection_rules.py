@@ -569,3 +569,31 @@ def test_shared_references_are_dealt_and_blocks_merge(spark, monkeypatch):
         sim = np.round(u @ u.T, 9)
         got = {(r["query_id"], r["rank"]): r["paper_id"] for r in found.collect()}
         assert got == {(i, n + 1): j for i in range(90) for n, j in enumerate(sorted((j for j in range(90) if j != i), key=lambda j: (-sim[i, j], j))[:3])}
+
+
+def test_rows_without_a_partner_are_dropped_by_a_bit_map(spark):
+    held = spark.range(2000).select(F.xxhash64("id").alias("h"))
+    test = session.bit_map(held)
+    found = spark.range(40000).where(test(F.xxhash64("id"))).select("id").collect()
+    assert {r["id"] for r in found} >= set(range(2000)) and len(found) < 6000
+    assert spark.range(50).where(session.bit_map(held.limit(0))(F.xxhash64("id"))).count() == 0
+
+
+def test_titles_are_compared_once_and_lists_joined_step_by_step(spark, monkeypatch):
+    from litflow.operators import reading
+
+    seen = []
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    greedy = linkage.greedy_representatives
+    monkeypatch.setattr(linkage, "greedy_representatives", lambda groups: seen.append(plan(groups)) or greedy(groups))
+    rows = [(i, f"A long enough title number {i // 2}", ["Ann Lee"], None, None, None, None) for i in range(8)] + [(8, "A long enough title number 0", None, None, None, None, None)]
+    papers = spark.createDataFrame(rows, "ord int, title string, authors array<string>, doi string, arxiv_id string, semantic_scholar_id string, pubmed_id string")
+    got = {r["ord"]: r["rep"] for r in linkage.group_records(papers, "greedy").collect()}
+    assert got == dict.fromkeys(range(9), 0)
+    assert "MapInPandas" not in seen[0] and "FileScan parquet" in seen[0]
+    distinct = reading.distinct_items
+    monkeypatch.setattr(reading, "distinct_items", lambda items, order: seen.append(plan(items)) or distinct(items, order))
+    lists = spark.createDataFrame([(1, f"p{i}", f"t{i % 7}", i) for i in range(10)] + [(None, "p1", "t1", 11), (1, None, None, 12)], "list_id int, paper_id string, title string, position int")
+    new = spark.createDataFrame([(1, "p3", "x", 0), (1, "y", "t3", 1), (1, "y", "z", 2), (1, None, "z", 3), (None, "p1", "t1", 4)], "list_id int, paper_id string, title string, position int")
+    assert {r["position"] for r in reading.add_new(lists, new, ["position"]).collect()} == {2, 4}
+    assert seen[1].count("LeftAnti") == 1
