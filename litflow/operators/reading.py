@@ -12,7 +12,7 @@ from litflow.functions.text import blank_to_null, strip
 from litflow.operators.history import days_before
 from litflow.operators.ranking import number_rows
 from litflow.operators.scoring import age_days
-from litflow.session import stored
+from litflow.session import discard, give_back, stored
 
 # Weight of each priority in the next-paper score.
 # Points of a priority.
@@ -153,7 +153,8 @@ def first_of_each(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> D
 
 def add_new(existing: DataFrame, incoming: DataFrame, order: Sequence[str]) -> DataFrame:
     """Incoming items that a list does not hold yet, by paper id or by title; first one wins."""
-    fresh = incoming.join(existing.select("list_id", "paper_id"), ["list_id", "paper_id"], "left_anti")
+    fresh = stored(incoming.join(existing.select("list_id", "paper_id"), ["list_id", "paper_id"], "left_anti"))
+    give_back()
     fresh = fresh.join(existing.select("list_id", "title"), ["list_id", "title"], "left_anti")
     return distinct_items(fresh, order)
 
@@ -167,6 +168,7 @@ def distinct_items(items: DataFrame, order: Sequence[str]) -> DataFrame:
     from litflow.operators.independent_set import greedy_representatives
 
     once = stored(first_of_each(items, ["list_id", "paper_id", "title"], order))
+    give_back()
 
     def shared(column: str) -> DataFrame:
         many = once.where(F.col(column).isNotNull()).groupBy("list_id", column).agg(F.count("*").alias("_n")).where("_n > 1")
@@ -179,6 +181,8 @@ def distinct_items(items: DataFrame, order: Sequence[str]) -> DataFrame:
     marked = once.join(shared("paper_id"), met("paper_id"), "left").join(shared("title"), met("title"), "left").withColumn(
         "_contested", F.col("_paper_id").isNotNull() | F.col("_title").isNotNull()).select(*once.columns, "_contested")
     marked = stored(marked)
+    discard(once)
+    give_back()
     alone = marked.where("not _contested").drop("_contested")
     item = F.to_json(F.struct("list_id", "paper_id", "title"))
     keyed = marked.where("_contested").drop("_contested").withColumn("_node", item).withColumn("_ord", F.struct(*[F.col(o) for o in order]))

@@ -12,6 +12,7 @@ from litflow.operators import feedback as fb
 from litflow.operators import history, reading
 from litflow.plans.registry import register
 from litflow.plans.views import ORDERS_AS_OF, PAPERS_SQL, as_of, papers, sql, table
+from litflow.session import give_back, stored
 
 # ---------------------------------------------------------------- history
 
@@ -267,7 +268,8 @@ fresh AS (SELECT * FROM inc n WHERE NOT EXISTS (SELECT 1 FROM items i WHERE i.li
 SELECT list_id, item_id FROM fresh f WHERE NOT EXISTS (SELECT 1 FROM fresh g WHERE g.list_id = f.list_id AND g.paper_id = f.paper_id AND g.position < f.position)
  AND NOT EXISTS (SELECT 1 FROM fresh g WHERE g.list_id = f.list_id AND g.title = f.title AND g.position < f.position)""".strip().replace(", inc AS", "SELECT * FROM (WITH inc AS", 1) + ")"))
 def add_to_list(spark, sf_dir):
-    x = items(spark, sf_dir).select("list_id", "item_id", "paper_id", "title", "position")
+    x = stored(items(spark, sf_dir).select("list_id", "item_id", "paper_id", "title", "position"))
+    give_back()
     return reading.add_new(x, x.withColumn("list_id", F.col("list_id") + 1), ["position"]).select("list_id", "item_id")
 
 
